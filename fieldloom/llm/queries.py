@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, html_extract, language_id, url_filters
+from fieldloom.llm import bpe, html_extract, language_id, minhash, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def vocabulary() -> str:
     """Where the byte-level vocabulary is; part of the tokenizer package that is installed on every machine."""
     import public_tokenizers
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op4_html_extraction": op4_html_extraction,
         "op7_language_id": op7_language_id,
+        "op8_minhash": op8_minhash,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
