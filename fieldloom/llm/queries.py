@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, html_extract, language_id, minhash, url_filters
+from fieldloom.llm import bpe, decontaminate, hnsw, html_extract, language_id, minhash, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     model = language_id.learn(docs.where(~F.col("held_out")))
@@ -77,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op4_html_extraction": op4_html_extraction,
+        "op5_decontamination": op5_decontamination,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_language_id": op7_language_id,
         "op8_minhash": op8_minhash,
         "op9_byte_bpe": op9_byte_bpe,
