@@ -315,7 +315,7 @@ def _build(group: pd.DataFrame, least: float) -> pd.DataFrame:
 def _query(graphs: pd.DataFrame, blocks: pd.DataFrame, least: float) -> pd.DataFrame:
     """Counts and touched local components of each vector of a block in one graph. The graph's own block has both at hand."""
     if not len(graphs) or not len(blocks):
-        return pd.DataFrame({"id": [], "n": [], "to": []})
+        return pd.DataFrame({"id": [], "n": [], "to": pd.Series([], dtype=object)})
     g = np.load(io.BytesIO(graphs["blob"].iat[0]))
     if graphs["i"].iat[0] == graphs["j"].iat[0]:
         return pd.DataFrame({"id": g["ids"], "n": g["count"], "to": [[x] for x in g["local"].tolist()]})
@@ -330,7 +330,7 @@ def _query(graphs: pd.DataFrame, blocks: pd.DataFrame, least: float) -> pd.DataF
     ok = _verified(w, v, p, q, least)
     p, q = p[ok], q[ok]
     if not len(p):
-        return pd.DataFrame({"id": [], "n": [], "to": []})
+        return pd.DataFrame({"id": [], "n": [], "to": pd.Series([], dtype=object)})
     hits = pd.DataFrame({"id": b["ids"][p], "n": g["weight"][q], "to": g["local"][q]})
     return hits.groupby("id", as_index=False).agg(n=("n", "sum"), to=("to", lambda s: sorted(set(s))))
 
