@@ -1,8 +1,83 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
+"""A corpus pipeline: quality, near duplicates, benchmark passages, secrets, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Documents that the
+quality classifier rejects go; of each group of near duplicates one stays; documents that hold a benchmark
+item go; secrets are replaced by a mark in documents that stay; the last stage encodes what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.llm import bpe, decontaminate, minhash, quality, secrets
+from fieldloom.llm.common import Scratch, join_sized
+from fieldloom.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_scratch: list[Scratch] = []
+
+
+def _fresh(spark: SparkSession) -> Scratch:
+    """Scratch space of a stage. That of the stage before is deleted: its result has been written by then."""
+    while _scratch:
+        _scratch.pop().drop()
+    _scratch.append(Scratch(spark))
+    return _scratch[-1]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, scratch=_fresh(spark)).where("keep").select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = _fresh(spark)
+    judged = minhash.near_duplicates(docs.select("doc_id", "text"), scratch=scratch)
+    gone = scratch.table(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = join_sized(docs.select(*COLUMNS), gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = scratch.table(judged.where("kept").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    once = join_sized(kept, twice, F.col("doc_id") == F.col("_twice"), "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
+    return join_sized(kept, twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _fresh(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _fresh(spark)
+    return secrets.redact(docs, path="source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _fresh(spark)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary(), with_ids=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", F.col("ids_le").alias("ids"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("byte-level BPE", tokens_stage),
+]
+#: SQL can't express the classifiers; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written to the shared folder and read again."""
+    between = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = between.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            between.drop(f"stage{k - 1}")
+    while _scratch:
+        _scratch.pop().drop()
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, decontaminate, hnsw, html_extract, language_id, minhash, url_filters
+from fieldloom.llm import bpe, decontaminate, hnsw, html_extract, language_id, minhash, quality, secrets, token_output, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,16 @@ from judged
 """
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialise(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.learn(docs, _read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "source", "lang", "evidence", "site_rate", "score", "keep")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -81,15 +91,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source")
+    return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "chance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_token_output": op2_token_output,
+        "op3_quality": op3_quality,
         "op4_html_extraction": op4_html_extraction,
         "op5_decontamination": op5_decontamination,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_language_id": op7_language_id,
         "op8_minhash": op8_minhash,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_secrets": op10_secrets,
     }
 
 
