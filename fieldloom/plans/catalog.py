@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from fieldloom.plans import geo, zone
+
 FLAGSHIP = "zone_crops_summary"
+PARTS = (geo, zone)
 
 
 def queries() -> dict:
     """Every query of the parcel engine by name."""
-    return {}
+    return {name: q for part in PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql is not None}
