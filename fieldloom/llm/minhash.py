@@ -4,7 +4,8 @@ Every text has a set of five-word shingles. Texts of equal sets form a class tha
 Signatures of the classes are cut into bands; classes that share a band are candidates. A bucket's candidates
 are first compared with its least id (a star, not all pairs); the links found join buckets up into components.
 Only buckets that still hold several components are gone through again, in blocks, between members of different
-components, since a further link inside a component changes no result. Signatures are compared a batch of hashes at a time, and a pair is
+components, since a further link inside a component changes no result; a block verifies the likeliest pairs first and
+skips those that its own links have joined by then, so it returns fewer links than it has members. Signatures are compared a batch of hashes at a time, and a pair is
 dropped once the posterior chance that its similarity reaches the threshold is below ``miss``. Survivors
 are verified on their full sets.
 
@@ -34,8 +35,8 @@ ROWS, BANDS = 4, 28
 HASHES = ROWS * BANDS
 #: Hashes compared at a time; chance below which a pair is dropped; least similarity in hundredths.
 BATCH, MISS, LEAST = 16, 1e-6, 75
-#: Members of a block of a bucket.
-BLOCK = 512
+#: Members of a block of a bucket, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 
 @lru_cache(1)
@@ -73,8 +74,8 @@ def least_matches(miss: float = MISS, least: int = LEAST) -> tuple[int, ...]:
     return tuple(out)
 
 
-def plausible(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, miss: float = MISS, least: int = LEAST) -> np.ndarray:
-    """Which rows of signatures a and b may be linked; a batch of hashes at a time, on those left."""
+def matching(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, miss: float = MISS, least: int = LEAST) -> np.ndarray:
+    """Matches of rows of signatures a and b that may be linked, -1 of others; compared a batch of hashes at a time."""
     left = np.flatnonzero(100 * np.minimum(sizes_a, sizes_b) >= least * np.maximum(sizes_a, sizes_b))
     matches = np.zeros(len(a), np.int32)
     for k, need in enumerate(least_matches(miss, least)):
@@ -83,11 +84,17 @@ def plausible(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.nda
         cols = slice(k * BATCH, (k + 1) * BATCH)
         matches[left] += (a[left, cols] == b[left, cols]).sum(1, dtype=np.int32)
         left = left[matches[left] >= need]
-    out = np.zeros(len(a), bool)
-    out[left] = True
+    out = np.full(len(a), -1, np.int32)
+    out[left] = matches[left]
     return out
 
 
+def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
+    """Whether two sets share enough."""
+    n = common(a, b)
+    return 100 * n >= least * (len(a) + len(b) - n)
+
+
 def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, n, print, signature): size of each set, a 128-bit hash of it, and its signature (null of an empty set)."""
 
@@ -121,7 +128,7 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, miss: float, least: i
     @F.pandas_udf("boolean")
     def passes(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, HASHES) for s in (a, b))
-        return pd.Series(plausible(x, y, na.to_numpy(), nb.to_numpy(), miss, least))
+        return pd.Series(matching(x, y, na.to_numpy(), nb.to_numpy(), miss, least) >= 0)
 
     for end in ("a", "b"):
         side = classes.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("signature").alias(f"s{end}"))
@@ -129,31 +136,35 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, miss: float, least: i
     return pairs.where(passes("sa", "sb", "na", "nb")).select("a", "b")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scratch, name: str, least: int = LEAST) -> DataFrame:
-    """Pairs (a, b) whose full sets share enough: 100 * intersection >= least * union. Sets are built only for texts in pairs."""
-    pairs = scratch.table(pairs, f"{name}_pairs")
-    ids = scratch.table(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), f"{name}_ids")
+def _sets(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, set) of the texts whose ids are in a table (_id)."""
 
     @F.pandas_udf("binary")
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: shingle_set(t).tobytes())
 
+    texts = docs.select(F.col(id).alias("_i"), F.col(text).alias("_x"))
+    texts = join_sized(texts, ids, F.col("_i") == F.col("_id")).groupBy("_i").agg(F.first("_x").alias("_x"))  # repeated rows are one
+    return texts.select(F.col("_i").alias("id"), build("_x").alias("set"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Pairs (a, b) whose full sets share enough: 100 * intersection >= least * union. Sets are built only for texts in pairs."""
+    pairs = scratch.table(pairs, "pairs")
+    ids = scratch.table(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
+
     @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def enough(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for one, two in batches:
-            out = []
-            for x, y in zip(one, two, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = common(x, y)
-                out.append(100 * n >= least * (len(x) + len(y) - n))
-            yield pd.Series(out, dtype=bool)
+            yield pd.Series([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(one, two, strict=True)], dtype=bool)
 
-    texts = docs.select(F.col(id).alias("_i"), F.col(text).alias("_x"))
-    texts = join_sized(texts, ids, F.col("_i") == F.col("_id")).groupBy("_i").agg(F.first("_x").alias("_x"))  # repeated rows are one
-    sets = scratch.table(texts.select("_i", build("_x").alias("set")), f"{name}_sets")
-    found = pairs.join(sets.select(F.col("_i").alias("b"), F.col("set").alias("tb")), "b").join(sets.select(F.col("_i").alias("a"), F.col("set").alias("ta")), "a")
-    return scratch.table(found.where(linked("ta", "tb")).select("a", "b").distinct(), f"{name}_links")
+    sets = scratch.table(_sets(docs, ids, id, text), "sets")
+    found = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("ta")), "a")
+    found = scratch.table(found.where(enough("ta", "tb")).select("a", "b").distinct(), "links")
+    for name in ("sets", "ids", "pairs"):
+        scratch.drop(name)
+    return found
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -162,47 +173,70 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(bands).alias("key"), "id")
 
 
-def _blocked(rows: DataFrame, sides: DataFrame, classes: DataFrame, miss: float, least: int) -> DataFrame:
-    """Plausible pairs of mixed buckets between members of different components.
+def _compare(group: pd.DataFrame, miss: float, least: int) -> pd.DataFrame:
+    """Links between members of different components in one block, the likeliest first, until all that are linked are joined."""
+    kind, i, j = group["kind"].iat[0], group["i"].iat[0], group["j"].iat[0]
+    sig = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+    ids, n, mine = (group[c].to_numpy() for c in ("id", "n", "mine"))
+    _, comp = np.unique(group["component"].to_numpy(), return_inverse=True)
+    if kind == 0:
+        inside = group["inside"].to_numpy(bool)
+        left, right = np.flatnonzero(inside), np.flatnonzero(~inside)
+    elif i == j:
+        left = right = np.arange(len(group))
+    else:
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    ps, qs, ms = [], [], []
+    for at in range(0, len(left), 64):
+        p, q = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+        different = comp[p] != comp[q]
+        if kind and i == j:
+            different &= p < q
+        p, q = p[different], q[different]
+        m = matching(sig[p], sig[q], n[p], n[q], miss, least)
+        ps.append(p[m >= 0])
+        qs.append(q[m >= 0])
+        ms.append(m[m >= 0])
+    root = list(range(int(comp.max()) + 1 if len(comp) else 0))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
 
-    rows: (key, id, component); sides: (key, pivot, home, inner, outer): a mixed bucket's pivot, its component,
-    and how many members lie in it and outside. Each side is cut into blocks of BLOCK; every pair
-    of an inner and an outer block, and of two outer ones, is a group of its own, so none is larger than two blocks.
+    out = []
+    if ps:
+        order = np.argsort(-np.concatenate(ms), kind="stable")
+        for p, q in zip(np.concatenate(ps)[order].tolist(), np.concatenate(qs)[order].tolist(), strict=True):
+            a, b = find(comp[p]), find(comp[q])
+            if a != b and linked(sets[p], sets[q], least):
+                root[a] = b
+                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _blocked(rows: DataFrame, sides: DataFrame, members: DataFrame, miss: float, least: int) -> DataFrame:
+    """Links of mixed buckets between members of different components.
+
+    rows: (key, id, component); sides: (key, home, inner_blocks, outer_blocks): the component of a mixed bucket's pivot, and
+    into how many blocks members in it and outside are cut; members: (id, n, signature, set). Every pair of
+    an inner and an outer block, and of two outer ones, is a group of its own, so none is larger than two blocks.
     """
     inside = F.col("component") == F.col("home")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    mine = F.when(inside, F.pmod(F.xxhash64("id"), blocks("inner"))).otherwise(F.pmod(F.xxhash64("id"), blocks("outer"))).cast("int")
-    spread = F.when(inside, F.transform(F.sequence(F.lit(0), blocks("outer") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(0).alias("kind")))).otherwise(
+    mine = F.pmod(F.xxhash64("id"), F.when(inside, F.col("inner_blocks")).otherwise(F.col("outer_blocks"))).cast("int")
+    group = lambda i, j, kind: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    none = F.array().cast("array<struct<i:int,j:int,kind:int>>")
+    spread = F.when(inside, F.transform(upto("outer_blocks"), lambda j: group(F.col("mine"), j, 0))).otherwise(
         F.concat(
-            F.when(F.col("inner") > 0, F.transform(F.sequence(F.lit(0), F.greatest(blocks("inner") - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(0).alias("kind")))).otherwise(F.array().cast("array<struct<i:int,j:int,kind:int>>")),
-            F.transform(F.sequence(F.lit(0), blocks("outer") - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j"), F.lit(1).alias("kind"))),
+            F.when(F.col("inner_blocks") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("inner_blocks") - 1, F.lit(0))), lambda i: group(i, F.col("mine"), 0))).otherwise(none),
+            F.transform(upto("outer_blocks"), lambda j: group(F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), 1)),
         )
     )
-    placed = rows.join(sides, "key").withColumn("mine", mine).withColumn("inside", inside).withColumn("g", F.explode(spread))
-    placed = placed.join(classes.select("id", "n", "signature"), "id").select("key", "g.*", "id", "component", "inside", "mine", "n", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        kind, i, j = group["kind"].iat[0], group["i"].iat[0], group["j"].iat[0]
-        sig = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
-        ids, comp, n, mine = (group[c].to_numpy() for c in ("id", "component", "n", "mine"))
-        if kind == 0:
-            left, right = np.flatnonzero(group["inside"]), np.flatnonzero(~group["inside"])
-        elif i == j:
-            left = right = np.arange(len(group))
-        else:
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out = []
-        for at in range(0, len(left), 64):
-            p, q = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-            different = comp[p] != comp[q]
-            if kind and i == j:
-                different &= ids[p] < ids[q]
-            p, q = p[different], q[different]
-            keep = plausible(sig[p], sig[q], n[p], n[q], miss, least)
-            out.append(pd.DataFrame({"a": np.minimum(ids[p[keep]], ids[q[keep]]), "b": np.maximum(ids[p[keep]], ids[q[keep]])}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []})
-
-    return placed.groupBy("key", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    placed = join_sized(rows, sides, "key").withColumn("mine", mine).withColumn("inside", inside).withColumn("g", F.explode(spread))
+    placed = placed.select("key", "g.*", "id", "component", "inside", "mine").join(members, "id")
+    return placed.groupBy("key", "kind", "i", "j").applyInPandas(lambda g: _compare(g, miss, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", miss: float = MISS, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
@@ -223,8 +257,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", mis
     rows = join_sized(buckets, pivots, "key")
     rows = scratch.table(rows.select("key", "id", "pivot", "size"), "rows")
     star = rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(_plausible_pairs(star, classes, miss, least), docs, id, text, scratch, "star", least)
-    found = components(links, scratch, "star_cc")
+    links = verify(_plausible_pairs(star, classes, miss, least), docs, id, text, scratch, least)
+    found = components(links, scratch, "star")
 
     wide = rows.where("size > 2").select("key", "id", "pivot")
     wide = wide.join(found.withColumnRenamed("component", "c"), "id", "left").select("key", "id", "pivot", F.coalesce("c", "id").alias("component"))
@@ -232,17 +266,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", mis
     mixed = wide.groupBy("key").agg(F.min("pivot").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = scratch.table(mixed.select("key", "pivot"), "mixed")
     if not mixed.isEmpty():
-        homes = mixed.join(found.withColumnRenamed("id", "pivot"), "pivot", "left").select("key", "pivot", F.coalesce("component", "pivot").alias("home"))
+        homes = mixed.join(found.withColumnRenamed("id", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("home"))
         homes = scratch.table(homes, "homes")
         # What was compared with the pivot need not be again; the pivot itself stays out.
-        inner = join_sized(wide.where("id <> pivot").select("key", "id", "component"), homes.select("key", "home"), "key")
+        others = join_sized(wide.where("id <> pivot").select("key", "id", "component"), homes, "key").join(classes.select("id", "n"), "id")
+        others = scratch.table(others, "others")
         inside = F.col("component") == F.col("home")
-        sides = inner.groupBy("key", "home").agg(F.count_if(inside).alias("inner"), F.count_if(~inside).alias("outer")).where("outer > 0 and inner + outer > 1")
+        size = lambda side: F.greatest(F.ceil(F.count_if(side) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+        sides = others.groupBy("key", "home").agg(size(inside).alias("inner_blocks"), size(~inside).alias("outer_blocks"), F.count(F.lit(1)).alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"))
+        # Buckets with the same members, as copies of one text have, are one.
+        sides = sides.where("outer_blocks > 0 and all > 1").groupBy("print", "all", "home").agg(*[F.min(F.struct("key", "inner_blocks", "outer_blocks")).alias("s")]).select("s.*", "home")
         sides = scratch.table(sides, "sides")
-        pairs = _blocked(scratch.table(inner.select("key", "id", "component").transform(lambda df: join_sized(df, sides.select("key"), "key", "left_semi")), "inner"), sides, classes, miss, least)
-        more = verify(pairs, docs, id, text, scratch, "block", least)
+        chosen = scratch.table(join_sized(others.select("key", "id", "component"), sides.select("key"), "key", "left_semi"), "chosen")
+        ids = scratch.table(chosen.select(F.col("id").alias("_id")).distinct(), "ids")
+        full = join_sized(classes, ids, F.col("id") == F.col("_id"), "left_semi").join(_sets(docs, ids, id, text), "id")
+        more = scratch.table(_blocked(chosen, sides, scratch.table(full, "full"), miss, least), "more")
         if not more.isEmpty():
-            found = components(links.union(more), scratch, "cc")
+            found = components(links.union(more), scratch, "all")
     named = found.select(F.col("id").alias("class"), "component")
     out = members.join(named, "class", "left").select("id", "n", F.coalesce("component", "class").alias("component_id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
