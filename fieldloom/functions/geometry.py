@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
-from fieldloom.functions.mathx import col, lng_scale, mercator
+from fieldloom.functions.mathx import bind, col, lng_scale, mercator
 
 RING = "array<struct<lat:double,lng:double>>"
 
@@ -41,13 +41,17 @@ def preceding(ring: Column) -> Column:
 
 def normalize(ring: Column) -> Column:
     """Valid points, without a closing duplicate; null if fewer than three are valid."""
-    ok = F.filter(
+    valid = F.filter(
         ring,
         lambda p: F.coalesce(p["lat"].between(-90, 90) & p["lng"].between(-180, 180) & ~F.isnan(p["lat"]) & ~F.isnan(p["lng"]), F.lit(False)),
     )
-    first, last = F.try_element_at(ok, F.lit(1)), F.try_element_at(ok, F.lit(-1))
-    closed = (first["lat"] == last["lat"]) & (first["lng"] == last["lng"])
-    return F.when(F.size(ok) >= 3, F.when(closed, F.slice(ok, 1, F.size(ok) - 1)).otherwise(ok))
+
+    def opened(ok: Column) -> Column:
+        first, last = F.get(ok, 0), F.get(ok, F.size(ok) - 1)
+        closed = (first["lat"] == last["lat"]) & (first["lng"] == last["lng"])
+        return F.when(F.size(ok) >= 3, F.when(closed, F.slice(ok, 1, F.size(ok) - 1)).otherwise(ok))
+
+    return bind(valid, opened)
 
 
 def close(ring: Column) -> Column:
@@ -57,36 +61,52 @@ def close(ring: Column) -> Column:
 
 def ring_of_geojson(geometry: Column) -> Column:
     """Outer ring of a GeoJSON Polygon, or of a MultiPolygon's first one; empty for other geometries."""
-    kind = F.get_json_object(geometry, "$.type")
-    plain = F.from_json(F.get_json_object(geometry, "$.coordinates[0]"), "array<array<double>>")
-    multi = F.from_json(F.get_json_object(geometry, "$.coordinates[0][0]"), "array<array<double>>")
-    ring = F.when(kind == "Polygon", plain).when(kind == "MultiPolygon", multi)
-    ok = F.filter(F.coalesce(ring, F.array().cast("array<array<double>>")), lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull())
-    return F.transform(ok, lambda c: point(F.get(c, 1), F.get(c, 0)))
+    none = F.array().cast("array<array<double>>")
+
+    def parse(text: Column) -> Column:
+        kind = F.get_json_object(text, "$.type")
+        plain = F.from_json(F.get_json_object(text, "$.coordinates[0]"), "array<array<double>>")
+        multi = F.from_json(F.get_json_object(text, "$.coordinates[0][0]"), "array<array<double>>")
+        return F.coalesce(F.when(kind == "Polygon", plain).when(kind == "MultiPolygon", multi), none)
+
+    def points(ring: Column) -> Column:
+        return F.transform(F.filter(ring, lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull()), lambda c: point(F.get(c, 1), F.get(c, 0)))
+
+    return bind(geometry, lambda text: bind(parse(text), points))
 
 
 def centroid(ring: Column) -> Column:
     """Mean of the vertices."""
-    return point(total(F.transform(ring, lambda p: p["lat"])) / F.size(ring), total(F.transform(ring, lambda p: p["lng"])) / F.size(ring))
+    return bind(ring, lambda r: point(total(F.transform(r, lambda p: p["lat"])) / F.size(r), total(F.transform(r, lambda p: p["lng"])) / F.size(r)))
 
 
-def _metric(ring: Column, center: Column) -> Column:
-    scale = K.M_PER_DEG * F.cos(F.radians(center["lat"]))
-    return F.transform(ring, lambda p: F.struct(((p["lng"] - center["lng"]) * scale).alias("x"), ((p["lat"] - center["lat"]) * K.M_PER_DEG).alias("y")))
+def _metric(ring: Column, center: Column | None, use) -> Column:
+    """use(points (x, y) in metres around a centre), each computed once a row."""
+    both = F.struct(ring.alias("r"), (centroid(ring) if center is None else center).alias("c"))
+
+    def scaled(b: Column) -> Column:
+        return F.struct(b["r"].alias("r"), b["c"].alias("c"), (K.M_PER_DEG * F.cos(F.radians(b["c"]["lat"]))).alias("s"))
+
+    def moved(b: Column) -> Column:
+        return F.transform(b["r"], lambda p: F.struct(((p["lng"] - b["c"]["lng"]) * b["s"]).alias("x"), ((p["lat"] - b["c"]["lat"]) * K.M_PER_DEG).alias("y")))
+
+    return bind(bind(bind(both, scaled), moved), use)
 
 
 def area_m2(ring: Column, center: Column | None = None) -> Column:
     """Shoelace area in metres around the mean vertex; 0 of fewer than three points."""
-    p = _metric(ring, centroid(ring) if center is None else center)
-    cross = F.zip_with(p, following(p), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.when(F.size(ring) >= 3, F.abs(total(cross)) / 2).otherwise(0.0)
+    area = _metric(ring, center, lambda p: F.abs(total(F.zip_with(p, following(p), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))) / 2)
+    return F.when(F.size(ring) >= 3, area).otherwise(0.0)
 
 
 def area_deg2(ring: Column) -> Column:
     """Shoelace area in square degrees, relative to the first point so that no digits cancel."""
-    x, y = F.get(ring, 0)["lng"], F.get(ring, 0)["lat"]
-    cross = F.zip_with(ring, following(ring), lambda a, b: (a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y))
-    return F.abs(total(cross)) / 2
+
+    def area(r: Column) -> Column:
+        x, y = F.get(r, 0)["lng"], F.get(r, 0)["lat"]
+        return F.abs(total(F.zip_with(r, following(r), lambda a, b: (a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y)))) / 2
+
+    return bind(ring, area)
 
 
 def area_ha(ring: Column, lat: Column) -> Column:
@@ -95,8 +115,7 @@ def area_ha(ring: Column, lat: Column) -> Column:
 
 
 def perimeter_m(ring: Column, center: Column | None = None) -> Column:
-    p = _metric(ring, centroid(ring) if center is None else center)
-    return total(F.zip_with(p, following(p), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])))
+    return _metric(ring, center, lambda p: total(F.zip_with(p, following(p), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))))
 
 
 def compactness(area: Column, perimeter: Column) -> Column:

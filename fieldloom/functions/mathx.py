@@ -14,6 +14,11 @@ def col(c: Column | str | float) -> Column:
     return c if isinstance(c, Column) else F.col(c) if isinstance(c, str) else F.lit(float(c))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def round_up(x: Column, digits: int = 0) -> Column:
     """Nearest value of so many digits; ties toward plus infinity."""
     return F.floor(x + 0.5).cast("double") if not digits else F.floor(x * 10.0**digits + 0.5).cast("double") / 10.0**digits
@@ -35,13 +40,13 @@ def finite(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))  # greatest and least pass over nulls
 
 
 def haversine_m(lng1, lat1, lng2, lat2) -> Column:
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(col(lng2) - col(lng1)) / 2), 2)
-    return 2 * K.EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * K.EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h < 1, h).when(h.isNotNull(), 1.0)))
 
 
 def lng_scale(lat) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.mathx import col, finite
+from fieldloom.functions.mathx import bind, col, finite
 
 
 def month_key(date: Column) -> Column:
@@ -47,7 +47,8 @@ def growth_stage(days: Column) -> Column:
 
 def age_days(seen: Column, as_of: Column) -> Column:
     """Whole days between two timestamps, 0 at least."""
-    return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_millis(as_of) - F.unix_millis(seen)) / 86_400_000.0 + 0.5))
+    days = F.floor((F.unix_millis(as_of) - F.unix_millis(seen)) / 86_400_000.0 + 0.5)
+    return F.when(days > 0, days).when(days.isNotNull(), F.lit(0).cast("long"))
 
 
 def iso_millis(ms: Column) -> Column:
@@ -79,17 +80,26 @@ def as_texts(values: Column) -> Column:
 
 def hue(red: Column, green: Column, blue: Column) -> Column:
     """Hue in degrees of 0 to 255 channels; 0 of greys."""
-    high, low = F.greatest(red, green, blue), F.least(red, green, blue)
-    d = high - low
-    h = F.when(high == red, F.try_divide(green - blue, d)).when(high == green, F.try_divide(blue - red, d) + 2).otherwise(F.try_divide(red - green, d) + 4)
-    return F.coalesce(F.pmod(h * 60, F.lit(360.0)), F.lit(0.0))
+
+    def of(p: Column) -> Column:
+        d = p["high"] - p["low"]
+        h = F.when(p["high"] == p["r"], F.try_divide(p["g"] - p["b"], d)).when(p["high"] == p["g"], F.try_divide(p["b"] - p["r"], d) + 2).otherwise(F.try_divide(p["r"] - p["g"], d) + 4)
+        return F.coalesce(F.pmod(h * 60, F.lit(360.0)), F.lit(0.0))
+
+    channels = F.struct(red.alias("r"), green.alias("g"), blue.alias("b"))
+    spread = lambda c: F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.greatest(c["r"], c["g"], c["b"]).alias("high"), F.least(c["r"], c["g"], c["b"]).alias("low"))
+    return bind(bind(channels, spread), of)
 
 
 def kml_label(color: Column) -> Column:
     """1 (barley) of green hues, 0 of red ones, null of others, from a KML aabbggrr colour."""
-    part = lambda k: F.conv(F.substring(color, k, 2), 16, 10).cast("double")
-    h = hue(part(7), part(5), part(3))
-    return F.when(F.length(color) == 8, F.when(h.between(70, 170), 1).when((h < 30) | (h > 330), 0))
+
+    def of(c: Column) -> Column:
+        part = lambda k: F.conv(F.substring(c, k, 2), 16, 10).cast("double")
+        label = bind(hue(part(7), part(5), part(3)), lambda h: F.when(h.between(70, 170), 1).when((h < 30) | (h > 330), 0))
+        return F.when(F.length(c) == 8, label)
+
+    return bind(color, of)
 
 
 def failure_notice(message: Column) -> Column:

@@ -136,7 +136,7 @@ def planting(series: DataFrame, as_of: str, align: str = "position") -> DataFram
         "parcel_id",
         day.alias("planting_date"),
         F.date_add(day, 100).alias("harvest_date"),
-        F.greatest(days, F.lit(0)).alias("days_since_planting"),
+        F.when(days > 0, days).when(days.isNotNull(), 0).alias("days_since_planting"),
         growth_stage(days).alias("growth_stage"),
         F.when(F.col("rise").isNull(), 0.0).when(backed, F.least(F.lit(95.0), confidence + 10)).otherwise(confidence).alias("planting_confidence"),
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import geo, zone
+from fieldloom.plans import geo, rasters, registers, timeline, verdicts, zone
 
 FLAGSHIP = "zone_crops_summary"
-PARTS = (geo, zone)
+PARTS = (geo, zone, timeline, verdicts, rasters, registers)
 
 
 def queries() -> dict:
