@@ -198,7 +198,7 @@ def train_forest(features: DataFrame, label: str, columns: list[str], trees: int
 def forest_probability(model, features: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(features).withColumn("p", vector_to_array("_prob")[1]).drop("_x", "_prob", "_pred", "_raw")
+    return model.transform(features).withColumn("p", F.coalesce(F.get(vector_to_array("_prob"), 1), F.lit(0.0))).drop("_x", "_prob", "_pred", "_raw")
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str) -> dict:
