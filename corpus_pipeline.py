@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, decontaminate, minhash, quality, secrets
-from fieldloom.llm.common import Scratch, join_sized
+from fieldloom.llm.common import Scratch, join_sized, small_batches
 from fieldloom.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,6 +20,7 @@ _scratch: list[Scratch] = []
 
 def _fresh(spark: SparkSession) -> Scratch:
     """Scratch space of a stage. That of the stage before is deleted: its result has been written by then."""
+    small_batches(spark)
     while _scratch:
         _scratch.pop().drop()
     _scratch.append(Scratch(spark))
@@ -27,8 +28,9 @@ def _fresh(spark: SparkSession) -> Scratch:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = _fresh(spark)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, scratch=_fresh(spark)).where("keep").select(*COLUMNS)
+    return quality.score(docs, model, scratch=scratch).where("keep").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+#: Rows that go to a Python worker at once: texts may be long, and a worker's memory should not depend on luck.
+ROWS_AT_ONCE = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to ROWS_AT_ONCE, if more are set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where none is set (as in tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
