@@ -273,12 +273,28 @@ def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
     return float(area)
 
 
+def _upright(p: np.ndarray) -> bool:
+    """Whether a ring is a rectangle along the axes."""
+    if len(p) != 4:
+        return False
+    d = np.roll(p, -1, 0) - p
+    return bool(((d == 0).sum(1) == 1).all() and (d[0] == -d[2]).all() and (d[1] == -d[3]).all())
+
+
+def shared_area(p: np.ndarray, q: np.ndarray) -> float:
+    """overlap_area, at once for two rectangles along the axes."""
+    if _upright(p) and _upright(q):
+        side = np.minimum(p.max(0), q.max(0)) - np.maximum(p.min(0), q.min(0))
+        return float(side[0] * side[1]) if (side > 0).all() else 0.0
+    return overlap_area(p, q)
+
+
 def overlap():
     """Arrow UDF: area in square degrees that two rings share."""
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area(_array(a), _array(b)) if a is not None and b is not None and len(a) > 2 and len(b) > 2 else 0.0 for a, b in zip(left, right, strict=True)])
+        return pd.Series([shared_area(_array(a), _array(b)) if a is not None and b is not None and len(a) > 2 and len(b) > 2 else 0.0 for a, b in zip(left, right, strict=True)])
 
     return run
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +14,6 @@ from pyspark.sql import functions as F
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
 from fieldloom.functions.mathx import flat_km, round_up
-from fieldloom.operators import spatial as S
 
 
 def newest_first(parcels: DataFrame, tie: str = "parcel_id") -> DataFrame:
@@ -20,8 +22,6 @@ def newest_first(parcels: DataFrame, tie: str = "parcel_id") -> DataFrame:
 
 def near_box(parcels: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """Rows whose centre is in the box around a circle; the bounds reach the scan."""
-    import math
-
     d_lat = radius_km / K.KM_PER_DEG_LAT
     d_lng = radius_km / (K.KM_PER_DEG_LNG * max(abs(math.cos(math.radians(lat))), 0.1))
     return parcels.where(F.col("center_lat").between(lat - d_lat, lat + d_lat) & F.col("center_lng").between(lng - d_lng, lng + d_lng))
@@ -98,15 +98,32 @@ def rank_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def _thinned(group: pd.DataFrame, apart_km: float) -> pd.DataFrame:
+    """Ids that stay: a kept point is filed under its cell, and a new one is held only against those in the cells around."""
+    lat, lng, ids = group["lat"].to_numpy(), group["lng"].to_numpy(), group["id"].to_numpy()
+    scale = np.maximum(np.abs(np.cos(np.radians(lat))), 0.1)
+    high, wide = apart_km / K.KM_PER_DEG_LAT, apart_km / (K.KM_PER_DEG_LNG * scale.min())
+    cells: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for k in range(len(ids)):
+        i, j = math.floor(lat[k] / high), math.floor(lng[k] / wide)
+        near = (e for a in (-1, 0, 1) for b in (-1, 0, 1) for e in cells.get((i + a, j + b), ()))
+        if not any(math.hypot((lng[k] - lng[e]) * K.KM_PER_DEG_LNG * scale[e], (lat[k] - lat[e]) * K.KM_PER_DEG_LAT) < apart_km for e in near):
+            cells.setdefault((i, j), []).append(k)
+            out.append(k)
+    return group.iloc[out][["g", "id"]]
+
+
 def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CENTER_DUPLICATE_KM, id: str = "candidate_id") -> DataFrame:
-    """Greedy thinning of each query's candidates: one stays if none that stayed is nearer than ``apart_km``. Candidates of a query number two thousand at most."""
-    item = F.struct(*order, F.col(id).alias("id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"))
-    near = lambda e, c: flat_km(e["lat"], e["lng"], c["lat"], c["lng"]) < apart_km
-    typed = candidates.select(group, item.alias("i"))
-    kind = typed.schema["i"].dataType.simpleString()
-    kept = typed.groupBy(group).agg(S.spread_out(F.array_sort(F.collect_list("i")), near, f"array<{kind}>").alias("k"))
-    ids = kept.select(group, F.explode("k").alias("i")).select(group, F.col("i.id").alias(id))
-    return candidates.join(ids, [group, id], "left_semi")
+    """Greedy thinning of each query's candidates in an order: one stays if none that stayed is nearer than ``apart_km``.
+
+    A query's candidates are one group; requests hold two thousand at most.
+    """
+    names = [f"o{k}" for k in range(len(order))]
+    typed = candidates.select(F.col(group).alias("g"), F.col(id).alias("id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    types = dict(typed.dtypes)
+    kept = typed.groupBy("g").applyInPandas(lambda g: _thinned(g.sort_values(names, kind="stable"), apart_km), f"g {types['g']}, id {types['id']}")
+    return candidates.join(kept.select(F.col("g").alias(group), F.col("id").alias(id)), [group, id], "left_semi")
 
 
 def first_available(options: DataFrame, group: str, priority: str = "source_rank") -> DataFrame:
@@ -116,8 +133,6 @@ def first_available(options: DataFrame, group: str, priority: str = "source_rank
 
 def coverage(candidates: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """One row: share of the circle that candidates cover, overlaps counted each time."""
-    import math
-
     part = candidates.withColumn("_clip", G.clip_to_circle(lat, lng, radius_km)(F.col("ring")))
     area = F.sum(F.when(F.size("_clip") >= 3, G.area_m2(F.col("_clip"))))
     return part.agg((F.coalesce(area, F.lit(0.0)) / (math.pi * (radius_km * 1000) ** 2)).alias("coverage"))
@@ -125,8 +140,6 @@ def coverage(candidates: DataFrame, lat: float, lng: float, radius_km: float) ->
 
 def search_cells(df: DataFrame, radius_km: float, limit: int = K.MAX_CELLS) -> DataFrame:
     """Square search cells over the circle of each query (query_id, lat, lng), nearest first: (query_id, row, column, cell_lat, cell_lng)."""
-    import math
-
     size = max(0.1, radius_km / math.sqrt(limit / math.pi))
     n = math.ceil(radius_km / size)
     steps = F.sequence(F.lit(-n), F.lit(n))

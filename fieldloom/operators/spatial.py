@@ -108,11 +108,6 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def spread_out(items: Column, apart, kept_type: str) -> Column:
-    """Greedy thinning of an ordered array: an item stays if it is not near one that stayed (``apart`` gives that as a Column)."""
-    return F.aggregate(items, F.array().cast(kept_type), lambda kept, c: F.when(F.exists(kept, lambda e: apart(e, c)), kept).otherwise(F.concat(kept, F.array(c))))
-
-
 def z_order(lat: Column, lng: Column, bits: int = 16) -> Column:
     """Morton key of a point, for clustering files so that scans skip row groups."""
     scale = float((1 << bits) - 1)
