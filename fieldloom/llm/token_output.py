@@ -1,15 +1,15 @@
-"""Token ids in training order: a keyed Feistel permutation gives every sequence a global slot in fixed-stride shards.
-
-A document's token ids are cut into sequences of LENGTH ids; the last one is padded. A first pass counts
-sequences in each input partition (one number a partition reaches the driver), so every sequence has a dense
-index. A Feistel network over the least even number of bits that holds all indices, keyed and walked
-along its cycle until it lands inside the range, maps indices one to one to slots. Rows are dealt by ranges of
-shards, sorted by slot, and written as raw little-endian unsigned 16-bit ids, so slot s stands in shard
-s // per_shard at byte (s % per_shard) * 2 * LENGTH: a reader may start anywhere and read on. A shard is written under a name of
-its own attempt and then renamed, so a task that is run again leaves the same file.
-
-Ids are computed in both passes instead of being stored between them, since they would take more disk than the
-input. Edge cases: a null or empty text has no sequence; an empty table gives an empty manifest; repeated
+"""Token ids in training order: a keyed Feistel permutation gives every sequence its place in fixed-stride shards.
+
+A document's token ids are cut into sequences of LENGTH ids; the last one is padded. Sequence r of input
+partition p has the index p * ROOM + r. A Feistel network over the least even number of bits that holds all indices,
+keyed, and walked along its cycle until it lands inside the range, maps indices one to one to places in the same
+range, so all the places are known in a single pass, without a count. Each shard takes an equal range of places; its rows are
+sorted by place and written as raw little-endian unsigned 16-bit ids, 2 * LENGTH bytes each, so that sequence i of a
+shard stands at byte i * 2 * LENGTH and a reader may start anywhere and read on. The global slot of a
+sequence is its rank: the sequences of the shards before, of which one count each is kept, plus its number in its own.
+A shard is written under a name of its attempt and then renamed; a task that is run again leaves the same file.
+
+Edge cases: a null or empty text has no sequence; an empty table gives an empty manifest; repeated
 rows are sequences of their own.
 """
 
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bpe import cut, ragged
-from fieldloom.llm.common import Scratch
+from fieldloom.llm.common import Scratch, join_sized
 
-#: Ids in a sequence, sequences in a shard, id that pads, words that a process keeps.
-LENGTH, PER_SHARD, PAD, MOST_WORDS = 256, 16_384, 50_256, 400_000
+#: Ids in a sequence, input partitions and indices kept for each, id that pads, words that a process keeps.
+LENGTH, PARTITIONS, ROOM, PAD, MOST_WORDS = 256, 1_000_000, 1 << 32, 50_256, 400_000
 CHARS_AT_ONCE, ROUNDS = 1_000_000, 6
 
 
@@ -79,10 +79,6 @@ class Words:
             yield rows, self.ends[rows + 1] - self.ends[rows], np.concatenate([[0], np.cumsum(counts)])
             at = stop
 
-    def counts(self, texts: list[str]) -> Iterator[int]:
-        for _, sizes, upto in self.batches(texts):
-            yield from np.diff(np.concatenate([[0], np.cumsum(sizes)])[upto]).tolist()
-
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for rows, sizes, upto in self.batches(texts):
             ids = self.ids[ragged(self.ends[rows], sizes)]
@@ -126,30 +122,20 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: int = 20_240_229, id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, scratch: Scratch | None = None) -> DataFrame:
-    """Writes shards to ``out`` (a folder that all machines share; by default a new one in the shared folder).
+def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: int = 20_240_229, id: str = "doc_id", text: str = "text", length: int = LENGTH, shards: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Writes shards (by default as many as the input has partitions) to ``out``, a folder that all machines share; by default a new one in the shared folder.
 
     Returns the manifest: slot, doc_id, part (number of the sequence in its document), n_tokens, shard,
     byte_offset and sha256 of the sequence's bytes.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     out = out or scratch.path("shards")
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for batch in batches:
-            n += sum(-(-c // length) for c in words(vocabulary).counts([t or "" for t in batch["t"]]))
-        yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "n": [n]})
-
-    counts = {r["p"]: r["n"] for r in rows.mapInPandas(count, "p int, n long").collect()}
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
+    shards = shards or max(1, rows.rdd.getNumPartitions())
+    space = PARTITIONS * ROOM
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = first.get(TaskContext.get().partitionId(), 0)
+        at = TaskContext.get().partitionId() * ROOM
         for batch in batches:
             texts = [t or "" for t in batch["t"]]
             keys = batch["id"].astype("Int64").array
@@ -158,17 +144,17 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
                 raw = ids.astype("<u2").tobytes()
                 lot += [(k, j // (2 * length), raw[j : j + 2 * length]) for j in range(0, len(raw), 2 * length)]
                 if len(lot) >= 8192 or k == len(texts) - 1 and lot:
-                    yield pd.DataFrame({"slot": permute(np.arange(at, at + len(lot)), total, key), "id": keys[[x[0] for x in lot]], "part": [x[1] for x in lot], "ids": [x[2] for x in lot]})
+                    place = permute(np.arange(at, at + len(lot)), space, key)
+                    yield pd.DataFrame({"place": place, "shard": np.minimum(place / space * shards, shards - 1).astype(np.int32), "id": keys[[x[0] for x in lot]], "part": [x[1] for x in lot], "ids": [x[2] for x in lot]})
                     at, lot = at + len(lot), []
 
-    dealt = rows.mapInPandas(sequences, "slot long, id long, part long, ids binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
-    shards = max(1, -(-total // per_shard))
-    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    dealt = rows.mapInPandas(sequences, "place long, shard int, id long, part long, ids binary")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder = _open(out)
         system.create_dir(folder, recursive=True)
-        shard, stream, name = -1, None, ""
+        shard, stream, name, number = -1, None, "", 0
         pad = np.uint16(PAD).astype("<u2").tobytes()
 
         def close() -> None:
@@ -179,20 +165,24 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
         try:
             for batch in batches:
                 full = [b + pad * (length - len(b) // 2) for b in batch["ids"]]
-                for s, lot in batch.groupby("shard", sort=True).groups.items():
+                numbers = np.zeros(len(batch), np.int64)
+                of = batch["shard"].to_numpy()
+                for s in np.unique(of).tolist():
+                    lot = np.flatnonzero(of == s)
                     if s != shard:
                         close()
-                        shard, name = s, f"{folder}/.{s:08d}-{uuid.uuid4().hex}"
+                        shard, name, number = s, f"{folder}/.{s:08d}-{uuid.uuid4().hex}", 0
                         stream = system.open_output_stream(name)
                     stream.write(b"".join(full[i] for i in lot))
+                    numbers[lot] = number + np.arange(len(lot))
+                    number += len(lot)
                 yield pd.DataFrame(
                     {
-                        "slot": batch["slot"],
+                        "number": numbers,
                         id: batch["id"].astype("Int64"),
                         "part": batch["part"],
                         "n_tokens": [len(b) // 2 for b in batch["ids"]],
-                        "shard": batch["shard"],
-                        "byte_offset": batch["slot"] % per_shard * 2 * length,
+                        "shard": of.astype(np.int64),
                         "sha256": [hashlib.sha256(b).hexdigest() for b in full],
                     }
                 )
@@ -202,7 +192,15 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
             if stream is not None and not stream.closed:
                 stream.close()
 
-    return scratch.table(dealt.mapInPandas(write, f"slot long, {id} long, part long, n_tokens long, shard long, byte_offset long, sha256 string"), "manifest")
+    written = scratch.table(dealt.mapInPandas(write, f"number long, {id} long, part long, n_tokens long, shard long, sha256 string"), "written")
+    counts = written.groupBy("shard").agg(F.max("number").alias("last"))
+    before, rows_before = [], 0
+    for r in sorted(counts.collect()):  # one row a shard
+        before.append((r["shard"], rows_before))
+        rows_before += r["last"] + 1
+    starts = docs.sparkSession.createDataFrame(before, "shard long, before long")
+    found = join_sized(written, starts, "shard", "inner", len(before))
+    return found.select((F.col("before") + F.col("number")).alias("slot"), id, "part", "n_tokens", "shard", (F.col("number") * 2 * length).alias("byte_offset"), "sha256")
 
 
 def read_shard(out: str, shard: int, start: int = 0, length: int = LENGTH) -> np.ndarray:

@@ -185,15 +185,18 @@ def test_shards_hold_every_sequence_at_its_slot(spark, reference, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
     docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     out = str(tmp_path / "shards")
-    rows = token_output.materialise(docs, VOCABULARY, out, length=64, per_shard=500).collect()
+    rows = token_output.materialise(docs, VOCABULARY, out, length=64, shards=7).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert [(r.shard, r.byte_offset) for r in sorted(rows, key=lambda r: r.slot)] == sorted((r.shard, r.byte_offset) for r in rows)
     shards = {s: token_output.read_shard(out, s, length=64) for s in {r.shard for r in rows}}
+    assert sum(map(len, shards.values())) == len(rows) and len(shards) == 7
     for r in rows[::7]:
         ids = reference.encode_ordinary(texts[r.doc_id])[64 * r.part : 64 * r.part + 64]
-        line = shards[r.shard][r.slot % 500]
-        assert line[: r.n_tokens].tolist() == ids and (line[r.n_tokens :] == token_output.PAD).all() and r.byte_offset == r.slot % 500 * 128
+        line = shards[r.shard][r.byte_offset // 128]
+        assert line[: r.n_tokens].tolist() == ids and (line[r.n_tokens :] == token_output.PAD).all()
+    assert {(r.doc_id, r.part) for r in rows} == {(i, k) for i, t in texts.items() for k in range(-(-len(reference.encode_ordinary(t or "")) // 64))}
     assert token_output.read_shard(out, 0, start=3, length=64)[0].tolist() == shards[0][3].tolist()
     again = str(tmp_path / "again")
-    assert sorted(map(tuple, token_output.materialise(docs, VOCABULARY, again, length=64, per_shard=500).select("slot", "sha256").collect())) == sorted((r.slot, r.sha256) for r in rows)
+    assert sorted(map(tuple, token_output.materialise(docs, VOCABULARY, again, length=64, shards=7).select("slot", "sha256").collect())) == sorted((r.slot, r.sha256) for r in rows)
     assert token_output.materialise(docs.limit(0), VOCABULARY, str(tmp_path / "none")).count() == 0
