@@ -194,6 +194,15 @@ def _array(ring) -> np.ndarray:
     return np.array([(p["lng"], p["lat"]) for p in ring], float).reshape(-1, 2)
 
 
+def _axes(ring: Column) -> tuple[Column, Column]:
+    """Longitudes and latitudes as plain arrays, which reach Python without an object for each point."""
+    return F.transform(ring, lambda p: p["lng"]), F.transform(ring, lambda p: p["lat"])
+
+
+def _joined(x, y) -> np.ndarray:
+    return np.column_stack([x, y]) if x is not None and y is not None else np.zeros((0, 2))
+
+
 def hull_area(p: np.ndarray) -> float:
     """Area of the convex hull (monotone chain)."""
     pts = sorted(set(map(tuple, p.tolist())))
@@ -221,18 +230,17 @@ def shoelace(p: np.ndarray) -> float:
 
 
 def hull_ratio():
-    """Arrow UDF: a ring's area over its hull's."""
+    """A ring's area over its hull's, by an Arrow UDF."""
 
     @F.pandas_udf("double")
-    def run(rings: pd.Series) -> pd.Series:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for ring in rings:
-            p = _array(ring) if ring is not None else np.zeros((0, 2))
+        for p in map(_joined, x, y):
             hull = hull_area(p)
             out.append(shoelace(p) / hull if hull > 0 else 0.0)
         return pd.Series(out)
 
-    return run
+    return lambda ring: run(*_axes(ring))
 
 
 def _crossings(p: np.ndarray, y: float) -> np.ndarray:
@@ -290,25 +298,32 @@ def shared_area(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def overlap():
-    """Arrow UDF: area in square degrees that two rings share."""
+    """Area in square degrees that two rings share, by an Arrow UDF."""
 
     @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([shared_area(_array(a), _array(b)) if a is not None and b is not None and len(a) > 2 and len(b) > 2 else 0.0 for a, b in zip(left, right, strict=True)])
+    def run(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([shared_area(p, q) if len(p) > 2 and len(q) > 2 else 0.0 for p, q in zip(map(_joined, ax, ay), map(_joined, bx, by), strict=True)])
 
-    return run
+    return lambda left, right: run(*_axes(left), *_axes(right))
 
 
 def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of a ring inside a convex counter-clockwise window, one half-plane after the other."""
+    """The part of a ring inside a convex counter-clockwise window, one half-plane after the other; those that hold the whole ring are passed over."""
+    if not len(subject):
+        return subject
+    step = np.roll(window, -1, 0) - window
+    sides = step[:, :1] * (subject[:, 1] - window[:, 1:]) - step[:, 1:] * (subject[:, 0] - window[:, :1])
+    if (sides < 0).all(1).any():
+        return subject[:0]
     out = subject
-    for a, b in zip(window, np.roll(window, -1, 0), strict=True):
+    for k in np.flatnonzero((sides < 0).any(1)):
         if not len(out):
             break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
+        a, d = window[k], step[k]
+        side = d[0] * (out[:, 1] - a[1]) - d[1] * (out[:, 0] - a[0])
         before, side_before = np.roll(out, 1, 0), np.roll(side, 1)
         nxt = []
-        for p, s, q, r in zip(out, side, before, side_before, strict=True):
+        for p, s, q, r in zip(out, side.tolist(), before, side_before.tolist(), strict=True):
             if (s >= 0) != (r >= 0):
                 nxt.append(q + (p - q) * (r / (r - s)))
             if s >= 0:
@@ -318,25 +333,23 @@ def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 def clip_to_circle(lat: float, lng: float, radius_km: float):
-    """Arrow UDF: a ring's part inside a circle of 48 vertices, as a ring; empty if there is none."""
+    """A ring's part inside a circle of 48 vertices, as a ring, by an Arrow UDF; empty if there is none."""
     scale = np.array([K.M_PER_DEG * max(abs(math.cos(math.radians(lat))), 0.1), 110_574.0])
     angle = np.arange(48) / 48 * 2 * math.pi
     window = np.column_stack([np.cos(angle), np.sin(angle)]) * radius_km * 1000
     origin = np.array([lng, lat])
 
-    @F.pandas_udf(RING)
-    def run(rings: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in rings:
-            out = []
-            for ring in batch:
-                p = _array(ring) if ring is not None else np.zeros((0, 2))
-                if len(p) > 1 and (p[0] == p[-1]).all():
-                    p = p[:-1]
-                inside = clip_convex((p - origin) * scale, window) / scale + origin
-                out.append([{"lat": float(y), "lng": float(x)} for x, y in inside])
-            yield pd.Series(out, dtype=object)
-
-    return run
+    @F.pandas_udf("x array<double>, y array<double>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in map(_joined, xs, ys):
+            if len(p) > 1 and (p[0] == p[-1]).all():
+                p = p[:-1]
+            inside = clip_convex((p - origin) * scale, window) / scale + origin
+            out.append((inside[:, 0], inside[:, 1]))
+        return pd.DataFrame({"x": [o[0] for o in out], "y": [o[1] for o in out]})
+
+    return lambda ring: bind(run(*_axes(ring)), lambda c: F.zip_with(c["x"], c["y"], lambda x, y: point(y, x)))
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

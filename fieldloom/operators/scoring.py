@@ -243,7 +243,10 @@ def leave_one_out(rows: DataFrame, sets: list[list[str]], label: str, key: str,
             w, ridge = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * (z.shape[1] - 1))
             for _ in range(25):
                 p = 1 / (1 + np.exp(-z @ w))
-                w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - y[rest]) + ridge @ w)
+                step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - y[rest]) + ridge @ w)
+                w = w - step
+                if np.abs(step).max() < 1e-9:
+                    break
             hits += int((np.append(1.0, (x[k] - m) / s) @ w >= 0) == (y[k] == 1))
         share = y.mean()
         return pd.DataFrame({"rank": [int(group["rank"].iat[0])], "features": [",".join(sets[int(group["rank"].iat[0])])], "n_rows": [len(y)], "accuracy": [hits / len(y)], "majority": [max(share, 1 - share)]})
