@@ -7,7 +7,7 @@ table, contracts each word's leftmost pair of least rank, and ends when no word
 ordered aggregation of token bytes. What a document's ids are is then a lookup of its words; the decode of a
 document is the concatenation of the decodes of its words' ids, since bytes of tokens concatenate.
 
-No shuffle; memory is bounded by the batch and by MOST_WORDS kept words. Edge cases: null is the empty text,
+No shuffle; memory is bounded by the batch and by MOST_WORDS kept words, which a task drops at its end. Edge cases: null is the empty text,
 with no ids; the empty text has no ids; words of any length go the same way, though one of n bytes takes up to n
 steps of n rows.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import without
 
 #: Words kept by a process between batches; words given to one recursive query; characters cut at once.
-MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 500_000, 50_000, 2_000_000
+MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 250_000, 25_000, 1_000_000
 #: Sequences decoded at once.
 ROWS_AT_ONCE = 200
 LETTER, NUMBER, OTHER, SPACE, GAP = range(5)
@@ -105,7 +105,7 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """One vocabulary: its ranks, a DuckDB connection with merge and vocabulary tables, and the words met last."""
+    """One vocabulary: its ranks, a DuckDB connection with merge and vocabulary tables, and the words that the task has met."""
 
     def __init__(self, path: str):
         import duckdb
@@ -120,16 +120,17 @@ class Codec:
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the kept words, as at a task's end: the process may go on to other work."""
         self.words: dict[str, int] = {}
         self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.id_ends, self.text_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -173,7 +174,7 @@ class Codec:
         """Encodes words that are not kept yet, and decodes their ids."""
         new = [w for w in words if w not in self.words]
         if self.words and len(self.words) + len(new) > MOST_WORDS:
-            self._forget()
+            self.forget()
             new = list(words)
         for at in range(0, len(new), WORDS_AT_ONCE):
             lot = new[at : at + WORDS_AT_ONCE]
@@ -209,7 +210,7 @@ class Codec:
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
-    """One codec a process and vocabulary; tasks that follow one another share it."""
+    """One codec a process and vocabulary; tasks that follow one another share its tables."""
     return Codec(path)
 
 
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in codec(path).texts([t or "" for t in batch])], dtype=object)
+        codec(path).forget()
 
     return without(docs, name).withColumn(name, run(F.col(text)))
 
@@ -252,6 +254,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
         for batch in batches:
             rows = [(len(i) // 4, sha(i), sha(d), *([i] * with_ids)) for i, d in codec(path).texts([t or "" for t in batch])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids_le"] * with_ids])
+        codec(path).forget()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids_le"] * with_ids]
     out = without(docs, *names)

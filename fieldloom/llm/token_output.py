@@ -46,16 +46,17 @@ class Words:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the kept words, as at a task's end."""
         self.of: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.of))
         if self.of and len(self.of) + len(new) > MOST_WORDS:
-            self._forget()
+            self.forget()
             new = list(set(words))
         if new:
             one = self.encoding.encode_ordinary
@@ -147,6 +148,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
                     place = permute(np.arange(at, at + len(lot)), space, key)
                     yield pd.DataFrame({"place": place, "shard": np.minimum(place / space * shards, shards - 1).astype(np.int32), "id": keys[[x[0] for x in lot]], "part": [x[1] for x in lot], "ids": [x[2] for x in lot]})
                     at, lot = at + len(lot), []
+        words(vocabulary).forget()
 
     dealt = rows.mapInPandas(sequences, "place long, shard int, id long, part long, ids binary")
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
