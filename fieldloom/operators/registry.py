@@ -20,6 +20,19 @@ def newest_first(parcels: DataFrame, tie: str = "parcel_id") -> DataFrame:
     return parcels.orderBy(F.desc("created_at"), tie)
 
 
+def lookup(parcels: DataFrame, **keys) -> DataFrame:
+    """Rows with given values of columns, such as a label or a primary key; the filter reaches the scan."""
+    for name, value in keys.items():
+        parcels = parcels.where(F.col(name) == value)
+    return parcels
+
+
+def insert(parcels: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """parcels and new rows, with an id from their label and the time; columns that new lacks are null."""
+    stamped = new.withColumn("created_at", as_of)
+    return parcels.unionByName(stamped, allowMissingColumns=True).select(*parcels.columns)
+
+
 def near_box(parcels: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """Rows whose centre is in the box around a circle; the bounds reach the scan."""
     d_lat = radius_km / K.KM_PER_DEG_LAT
@@ -98,23 +111,23 @@ def rank_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def _thinned(group: pd.DataFrame, apart_km: float) -> pd.DataFrame:
+def _thinned(group: pd.DataFrame, apart_km: float, degree_km: tuple[float, float]) -> pd.DataFrame:
     """Ids that stay: a kept point is filed under its cell, and a new one is held only against those in the cells around."""
     lat, lng, ids = group["lat"].to_numpy(), group["lng"].to_numpy(), group["id"].to_numpy()
     scale = np.maximum(np.abs(np.cos(np.radians(lat))), 0.1)
-    high, wide = apart_km / K.KM_PER_DEG_LAT, apart_km / (K.KM_PER_DEG_LNG * scale.min())
+    high, wide = apart_km / degree_km[0], apart_km / (degree_km[1] * scale.min())
     cells: dict[tuple[int, int], list[int]] = {}
     out = []
     for k in range(len(ids)):
         i, j = math.floor(lat[k] / high), math.floor(lng[k] / wide)
         near = (e for a in (-1, 0, 1) for b in (-1, 0, 1) for e in cells.get((i + a, j + b), ()))
-        if not any(math.hypot((lng[k] - lng[e]) * K.KM_PER_DEG_LNG * scale[e], (lat[k] - lat[e]) * K.KM_PER_DEG_LAT) < apart_km for e in near):
+        if not any(math.hypot((lng[k] - lng[e]) * degree_km[1] * scale[e], (lat[k] - lat[e]) * degree_km[0]) < apart_km for e in near):
             cells.setdefault((i, j), []).append(k)
             out.append(k)
     return group.iloc[out][["g", "id"]]
 
 
-def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CENTER_DUPLICATE_KM, id: str = "candidate_id") -> DataFrame:
+def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CENTER_DUPLICATE_KM, id: str = "candidate_id", degree_km: tuple[float, float] = (K.KM_PER_DEG_LAT, K.KM_PER_DEG_LNG)) -> DataFrame:
     """Greedy thinning of each query's candidates in an order: one stays if none that stayed is nearer than ``apart_km``.
 
     A query's candidates are one group; requests hold two thousand at most.
@@ -122,7 +135,7 @@ def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CEN
     names = [f"o{k}" for k in range(len(order))]
     typed = candidates.select(F.col(group).alias("g"), F.col(id).alias("id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
     types = dict(typed.dtypes)
-    kept = typed.groupBy("g").applyInPandas(lambda g: _thinned(g.sort_values(names, kind="stable"), apart_km), f"g {types['g']}, id {types['id']}")
+    kept = typed.groupBy("g").applyInPandas(lambda g: _thinned(g.sort_values(names, kind="stable"), apart_km, degree_km), f"g {types['g']}, id {types['id']}")
     return candidates.join(kept.select(F.col("g").alias(group), F.col("id").alias(id)), [group, id], "left_semi")
 
 

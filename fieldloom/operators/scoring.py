@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions import spectral as X
-from fieldloom.functions.mathx import clamp, logistic, round_even, round_up
+from fieldloom.functions.mathx import clamp, finite, logistic, round_even, round_up
 from fieldloom.functions.text import joined, month_start
 
 ML_INDICES = ("NDVI", "EVI", "NDRE", "NDMI")
@@ -58,6 +58,19 @@ def hybrid(cnn_confidence: Column, cnn_is_barley: Column, agro: Column) -> dict[
     return {"score": score, "is_barley": score > 50, "confidence": final, "verdict": text}
 
 
+def network_answer(confidence: Column, is_barley: Column, p_barley: Column, p_other: Column) -> Column:
+    """A network's answer as a struct; null if a number is missing or not finite, or the verdict is missing."""
+    ok = is_barley.isNotNull()
+    for v in (confidence, p_barley, p_other):
+        ok = ok & finite(v).isNotNull()
+    return F.when(ok, F.struct(confidence.alias("confidence"), is_barley.alias("is_barley"), p_barley.alias("prob_barley"), p_other.alias("prob_non_barley")))
+
+
+def segment(ring: Column, is_barley: Column, confidence: Column, ndvi: Column, area: Column, least: float = 0.0) -> Column:
+    """The whole parcel as the barley contour, with its figures; null if the verdict is another or too unsure."""
+    return F.when(is_barley & (confidence >= least), F.struct(ring.alias("coordinates"), round_up(confidence).alias("confidence"), (ndvi / 100).alias("ndvi"), round_up(area / 10_000, 2).alias("area_ha")))
+
+
 def rules_only(agro: Column) -> dict[str, Column]:
     start = F.when(agro > 50, "⚠️ ORGE PROBABLE").otherwise("⚠️ NON-ORGE PROBABLE")
     return {"score": agro, "is_barley": agro > 50, "confidence": agro, "verdict": F.concat(start, F.lit(" (CNN indisponible, estimation agro seule) — Score agro "), whole(agro), F.lit("%"))}

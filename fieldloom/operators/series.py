@@ -37,6 +37,13 @@ def usable(scenes: DataFrame, max_cloud: float) -> DataFrame:
     return scenes.where(F.col("cloud_pct") < max_cloud)
 
 
+def scenes_of(scenes: DataFrame, start: str, end: str, max_cloud: float | None = None, mode: str | None = None) -> DataFrame:
+    """Scenes in [start, end), less cloudy than a bound, of an instrument mode; whatever is not asked for is not filtered."""
+    out = scenes.where((F.col("ts") >= start) & (F.col("ts") < end))
+    out = out if max_cloud is None else usable(out, max_cloud)
+    return out if mode is None else out.where(F.col("instrument_mode") == mode)
+
+
 def composite(pixels: DataFrame, bands: list[str], *keys: str) -> DataFrame:
     """Per-pixel medians over the scenes of a group."""
     return pixels.groupBy(*keys, "pixel_id").agg(*[F.median(b).alias(b) for b in bands], F.count(F.lit(1)).alias("n_scenes"))
@@ -101,6 +108,25 @@ def monthly_rain(weather: DataFrame, windows: DataFrame, as_of: str) -> DataFram
     return spine.join(totals, ["site_id", "label"], "left").select("site_id", "label", round_up(F.col("s"), 1).alias("precipitation_mm"))
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """(parcel_id, n_ndvi, ndvi_range, and quantiles) of each parcel's months with NDVI."""
+    v = F.col("ndvi")
+    return series.groupBy("parcel_id").agg(
+        F.count(v).alias("n_ndvi"),
+        (F.max(v) - F.min(v)).alias("ndvi_range"),
+        F.median(v).alias("ndvi_median"),
+        F.percentile(v, 0.1).alias("ndvi_q10"),
+        F.percentile(v, 0.9).alias("ndvi_q90"),
+    )
+
+
+def month_results(results: DataFrame, windows: DataFrame) -> DataFrame:
+    """Results that come as a list in the order of months (id, values), a row a month; missing places are null."""
+    names = windows.agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    both = results.crossJoin(F.broadcast(names)).select("id", F.explode(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value"))).alias("m"))
+    return both.select("id", "m.label", "m.value").where("label is not null")
+
+
 def planting(series: DataFrame, as_of: str, align: str = "position") -> DataFrame:
     """Estimated planting of each parcel from a monthly series (parcel_id, month_key, ndvi in percent, vv).
 

@@ -116,6 +116,17 @@ def read_traced(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_registry(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 16, **options: str) -> DataFrame:
+    """A registry in a database, read by ranges of a numeric key in parallel."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options)
+    return reader.load()
+
+
+def append_log(runs: DataFrame, path: str) -> None:
+    """Adds scan runs to the log, a folder of Parquet files by day."""
+    runs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def footer(path: str) -> dict[str, str]:
     """Key-value metadata in a Parquet file's footer."""
     import pyarrow.parquet as pq
