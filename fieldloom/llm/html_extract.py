@@ -39,11 +39,13 @@ CLOSES_P = BLOCKS - {"body", "html", "head"}
 AWAY = frozenset("nav footer aside header form menu dialog button label fieldset".split())
 HOME = frozenset("article main".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|side-?bar|widget|menu|nav\w*|breadcrumbs?|foot\w*|head-?bar|masthead|topbar|header"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|(?:site|page|top|global)[_-]?header|head-?bar|masthead|topbar"
     r"|share|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus|newsletter|subscri\w*|login|search|copyright|legal|tags?)(?:$|[\s_-])",
     re.I,
 )
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Names of layouts, which say what a page has beside an element, not what the element is.
+LAYOUT = re.compile(r"(?:has|with|without|no|is)[_-]", re.I)
 SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "hint", "home", "heading")
@@ -103,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if depth >= 0 and (stack[depth][0] == "p" or stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr", "td", "th")):
                 while len(stack) > depth:
                     pop()
-        hint = any(HINT.search(v.strip("\"'")) for v in ATTR.findall(m[4])) if m[4] else False
+        hint = any(HINT.search(c) and not LAYOUT.match(c) for v in ATTR.findall(m[4]) for c in v.strip("\"'").split()) if m[4] else False
         on = kinds(name, hint and name not in ("html", "body"))
         for k in on:
             counts[k] += 1
@@ -126,7 +128,7 @@ def features(found: list[tuple]) -> np.ndarray:
     return x
 
 
-#: The labelled table: a page a line, before it the labels of its blocks in page order (+ content, - boilerplate).
+#: The labelled table: a page a line, before it the labels of its blocks in page order (+ content, - boilerplate). {n} stands for n words.
 LABELLED = """
 -- <nav><a href=1>Home</a> <a href=2>News</a></nav><nav>Jump to</nav>
 --++++- <nav><ul><li><a href=1>World affairs today</a></li></ul></nav><div class="ad">Buy now and save.</div><article><h1>The river rose again last night</h1><p>After three days of rain the river left its bed and the lower town stood under water until the morning came.</p><p>Indeed.</p><p>Nobody was hurt in the town, and the school will open on Monday as planned, the council said.</p></article><footer>Copyright of the publisher. All rights reserved.</footer>
@@ -141,6 +143,14 @@ LABELLED = """
 ++-- <div><p>The old mill still turns when the brook is high, and on some days they grind corn in it for show.</p><p>Most days it stands still and the ducks have it to themselves from dawn until the gates are shut.</p></div><footer>The mill is kept by a trust of the town, and the town is not liable for harm that comes to guests who climb on the wheel.</footer><div class="ad">Corn and flour from the mill, now sold in all good shops of the town and of the next one too.</div>
 -++- <nav>You are here in the old part of our site, which we keep for those who have linked to it in the past</nav><p>The new mill by the road has no wheel, it runs on power from the grid and grinds all day.</p><p>It is loud, and the neighbours have often said so to the owner, who says that he hears nothing.</p><footer>Written by the mill club, printed by the town press, paid for by the readers of both of them.</footer>
 -- <aside>Some of our readers have said that they would like to read more of this, and so there is now a page of it.</aside><div class="comments">It is true what they say of the mill, my father told me so too and he knew the man who built it.</div>
++++ <article><h1>Snow</h1><p>It fell all night and by the morning the road to the pass was shut, as it is each year at about this time.</p><p>Cold.</p></article>
++++ <main><p>Listen.</p><p>There is a sound in the walls of old houses at night that no one can put a name to, though all have heard it.</p><p>Yes.</p></main>
++++- <div><h1>{4}</h1><p>{60}</p><p>{12}</p></div><footer>{30}</footer>
+-+++-- <nav>{20}</nav><div><p>{45}</p><p>{3}</p><p>{80}</p></div><div class="ad">{40}</div><div class="comments">{50}</div>
+++++ <p>{120}</p><p>{35}</p><p>{8}</p><p>{26}</p>
+-++- <header>{12}</header><div>{50}</div><div>{30}</div><aside>{60}</aside>
+++-- <div>{90}</div><div>{28}</div><form>{9}</form><footer>{70}</footer>
+-++-- <div class="menu">{24}</div><p>{22}</p><p>{33}</p><div class="related">{18}</div><div class="sidebar">{140}</div>
 -- <form>Your name please and your address</form><aside><p>Most read this week</p></aside>
 --- <div>Menu</div><ul><li><a href=1>All</a></li><li><a href=1>Sports</a></li></ul>
 --- <div class="menu">Food</div><div class="sidebar">A long text in a side bar is still not what a reader came for, whatever it may say in its many words.</div><footer>Made by hand in a small town by the sea, with care, for all of you who read this every day.</footer>
@@ -149,7 +159,7 @@ LABELLED = """
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (1 content) of the labelled blocks."""
-    rows = [line.split(" ", 1) for line in LABELLED.strip().splitlines()]
+    rows = [line.split(" ", 1) for line in re.sub(r"\{(\d+)\}", lambda m: "word " * int(m[1]), LABELLED).strip().splitlines()]
     return np.vstack([features(blocks(page)) for _, page in rows]), np.array([int(s == "+") for signs, _ in rows for s in signs])
 
 
