@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import give_back, without
 
 #: Words kept by a process between batches; words given to one recursive query; characters cut at once.
-MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 250_000, 25_000, 1_000_000
+MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 150_000, 10_000, 500_000
 #: Sequences decoded at once.
 ROWS_AT_ONCE = 200
 LETTER, NUMBER, OTHER, SPACE, GAP = range(5)
@@ -120,7 +120,7 @@ class Codec:
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -222,6 +222,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
         for batch in batches:
             yield pd.Series([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in codec(path).texts([t or "" for t in batch])], dtype=object)
         codec(path).forget()
+        give_back()
 
     return without(docs, name).withColumn(name, run(F.col(text)))
 
@@ -255,6 +256,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
             rows = [(len(i) // 4, sha(i), sha(d), *([i] * with_ids)) for i, d in codec(path).texts([t or "" for t in batch])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids_le"] * with_ids])
         codec(path).forget()
+        give_back()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids_le"] * with_ids]
     out = without(docs, *names)

@@ -23,6 +23,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_AT_ONCE))
 
 
+def give_back() -> None:
+    """At a Python task's end: returns freed memory to the system, since the process stays and other work may follow in it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where none is set (as in tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, join_sized
+from fieldloom.llm.common import Scratch, give_back, join_sized
 from fieldloom.llm.components import components
 from fieldloom.llm.shingles import common, shingle_set
 
@@ -118,6 +118,7 @@ def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
                     held = 0
             flush()
             yield pd.DataFrame(rows, columns=["n", "print", "signature"])
+        give_back()
 
     return docs.select(F.col(id).alias("id"), run(F.col(text)).alias("s")).select("id", "s.*")
 
@@ -143,6 +144,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: shingle_set(t).tobytes())
+        give_back()
 
     texts = docs.select(F.col(id).alias("_i"), F.col(text).alias("_x"))
     texts = join_sized(texts, ids, F.col("_i") == F.col("_id")).groupBy("_i").agg(F.first("_x").alias("_x"))  # repeated rows are one
@@ -158,6 +160,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scrat
     def enough(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for one, two in batches:
             yield pd.Series([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(one, two, strict=True)], dtype=bool)
+        give_back()
 
     sets = scratch.table(_sets(docs, ids, id, text), "sets")
     found = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("ta")), "a")

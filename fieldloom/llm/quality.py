@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, join_sized, without
+from fieldloom.llm.common import Scratch, give_back, join_sized, without
 
 #: Labelled documents that the regression may learn from; score below which a document is rejected.
 SAMPLE, THRESHOLD = 6000, 0.5
@@ -127,6 +127,7 @@ def score(docs: DataFrame, model: Model, host: str | Column = "source", path: st
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.evidence(np.array([features(t) for t in batch], np.float64).reshape(-1, NAMES)))
+        give_back()
 
     out = without(docs, "evidence", "site_rate", "score", "keep", "_host", "_path")
     seen = out.select("*", as_column(host).cast("string").alias("_host"), as_column(path).cast("string").alias("_path"), evidence(F.col(text)).alias("evidence"))
