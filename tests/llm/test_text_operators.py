@@ -10,7 +10,6 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
-from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, html_extract, language_id, quality, queries, secrets, token_output, url_filters
 
