@@ -8,15 +8,15 @@ item's block: two fingerprints within the radius agree that well in one block at
 Candidates within the radius are verified at every start nearby by the weighted Jaccard similarity of five-word
 shingles, windows being as long as the item; a shingle weighs less the more items hold it.
 
-The benchmark goes to the executors in lots of at most LOT items, each a pass over the texts, so what is sent is bounded
-whatever its size. Texts are never shuffled. Edge cases: null or empty texts and items match nothing; an item of
+The benchmark goes to the executors in lots of about LOT items, each a pass over the texts, so what is sent is bounded
+whatever its size. How many items hold a shingle or have a length is counted over all lots, so lots don't change the result. Texts are never shuffled. Edge cases: null or empty texts and items match nothing; an item of
 fewer than five words is one shingle; equal items each get their row; repeated rows of a text give repeated rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import give_back
+from fieldloom.llm.common import Scratch, give_back
 from fieldloom.llm.shingles import SPAN, hash_words, spans, words
 
 #: Least weighted similarity; bits in which fingerprints may differ; blocks of a fingerprint.
@@ -67,6 +67,19 @@ def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.packbits(sums > half[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def window_sizes(lengths: dict[int, int]) -> dict[int, int]:
+    """The window size for each length in words, given how many items have it; up to 64 items of near lengths share one."""
+    out, order, at = {}, sorted(lengths), 0
+    while at < len(order):
+        stop, held = at + 1, lengths[order[at]]
+        while stop < len(order) and order[stop] <= order[at] * STEP and held + lengths[order[stop]] <= 64:
+            held += lengths[order[stop]]
+            stop += 1
+        out |= dict.fromkeys(order[at:stop], round((order[at] + order[stop - 1]) / 2))
+        at = stop
+    return out
+
+
 class Group:
     """Up to 64 items that share a window size: their fingerprints and block tables."""
 
@@ -112,9 +125,12 @@ class Group:
 
 
 class Benchmark:
-    """Items ready for matching; ``weights`` has a shingle's weight where it isn't the full one."""
+    """Items ready for matching; ``weights`` has a shingle's weight where it isn't the full one.
+
+    Of a part of a benchmark, ``frequency`` (items that hold a shingle), ``total`` and ``lengths`` (items of so many words) are those of the whole.
+    """
 
-    def __init__(self, rows: list[tuple[object, str]], frequency: dict[int, int] | None = None, total: int | None = None, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, rows: list[tuple[object, str]], frequency: dict[int, int] | None = None, total: int | None = None, lengths: dict[int, int] | None = None, radius: int = RADIUS, blocks: int = BLOCKS):
         self.items = []
         for key, text in rows:
             h = hash_words(words(text)) if text else np.zeros(0, np.uint64)
@@ -132,13 +148,13 @@ class Benchmark:
             i["weight"] = sum(self.weights.get(s, self.full) for s in i["set"])
         self.items.sort(key=lambda i: len(i["h"]))
         self.groups, at = [], 0
+        sizes = window_sizes({n: c for n, c in (lengths or Counter(len(i["h"]) for i in self.items)).items() if n})
         while at < len(self.items):
-            first = len(self.items[at]["h"])
+            size = sizes[len(self.items[at]["h"])]
             stop = at
-            while stop < len(self.items) and stop - at < 64 and len(self.items[stop]["h"]) <= first * STEP:
+            while stop < len(self.items) and stop - at < 64 and sizes[len(self.items[stop]["h"])] == size:
                 stop += 1
-            lot = self.items[at:stop]
-            self.groups.append(Group(round((first + len(lot[-1]["h"])) / 2), lot, radius, blocks))
+            self.groups.append(Group(size, self.items[at:stop], radius, blocks))
             at = stop
 
     def _best(self, item: dict, h: np.ndarray, low: int, high: int) -> tuple[float, int]:
@@ -218,16 +234,53 @@ class Benchmark:
                 yield d, it["id"], round(best[0], 6), best[1], min(len(it["h"]), len(h))
 
 
+def _shared(items: DataFrame) -> DataFrame:
+    """(lot, s, f) of each shingle that f > 1 of all items hold, for each lot that holds it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(spans(hash_words(words(t)))) for t in batch["t"]]
+            s = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pd.DataFrame({"lot": np.repeat(batch["lot"].to_numpy(), [len(x) for x in sets]), "s": s})
+
+    held = items.select("lot", "t").mapInPandas(run, "lot int, s long")
+    return held.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.collect_set("lot").alias("lots")).where("f > 1").select(F.explode("lots").alias("lot"), "s", "f")
+
+
+def _lengths(items: DataFrame) -> dict[int, int]:
+    """How many items have so many words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(words(t)) for t in batch["t"]]}, dtype="int64")
+
+    return {r["n"]: r["count"] for r in items.select("t").mapInPandas(run, "n long").groupBy("n").count().collect()}
+
+
+def _lots(items: DataFrame, radius: int = RADIUS) -> Iterator[Benchmark]:
+    """The items (i, t), in lots of about LOT."""
+    total = items.count()
+    lots = max(1, -(-total // LOT))
+    if lots == 1:
+        yield Benchmark(sorted(((r["i"], r["t"]) for r in items.collect()), key=lambda x: (x[0] is None, x)), radius=radius, total=total)
+        return
+    items = items.withColumn("lot", F.pmod(F.xxhash64("i", "t"), F.lit(lots)).cast("int"))
+    scratch = Scratch(items.sparkSession)
+    shared, lengths = scratch.table(_shared(items), "shared"), _lengths(items)
+    for lot in range(lots):
+        rows = sorted(((r["i"], r["t"]) for r in items.where(F.col("lot") == lot).collect()), key=lambda x: (x[0] is None, x))
+        f = shared.where(F.col("lot") == lot).select("s", "f").toArrow()
+        frequency = dict(zip(f["s"].to_numpy().view(np.uint64).tolist(), f["f"].to_pylist(), strict=True))
+        yield Benchmark(rows, frequency, total, lengths, radius)
+    scratch.drop()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """(id, item_id, similarity, first_word, n_words) of each benchmark item found in each text."""
     kind = f"{id} long, item_id long, similarity double, first_word long, n_words long"
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
-    total = items.count()
-    lots = max(1, -(-total // LOT))
     out = None
-    for lot in range(lots):
-        rows = items if lots == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == lot)
-        mine = Benchmark(sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda x: (x[0] is None, x)), total=total, radius=radius)
+    for mine in _lots(items, radius):
 
         def run(batches: Iterator[pd.DataFrame], mine=mine) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -258,10 +311,7 @@ def _leaks(mine: Benchmark):
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; rows are dropped in place, so nothing is shuffled."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    total = items.count()
-    lots = max(1, -(-total // LOT))
     kept = docs
-    for lot in range(lots):
-        rows = items if lots == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == lot)
-        kept = kept.where(~_leaks(Benchmark([(r["i"], r["t"]) for r in rows.collect()], total=total))(F.col(text)))
+    for mine in _lots(items):
+        kept = kept.where(~_leaks(mine)(F.col(text)))
     return kept

@@ -131,6 +131,32 @@ def test_decontamination_finds_planted_items(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0 and decontaminate.decontaminate(df, bench.limit(0)).count() == 0
 
 
+def test_lots_of_a_benchmark_change_nothing(spark, monkeypatch):
+    """Items that share passages get the same similarities whether they are sent at once or in lots."""
+    rng = random.Random(12)
+    some = lambda n: [rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(n)]
+    passages = [some(10) for _ in range(4)]
+    items = [(k, [*some(rng.randrange(9, 24)), *passages[k % 4], *some(rng.randrange(3, 9))]) for k in range(48)]
+    docs = []
+    for k, w in items:
+        for _ in range(3):  # words of the item's own part, of the shared passage or of both are others
+            v = list(w)
+            for at in rng.sample(range(len(v)), rng.randrange(4)):
+                v[at] = "other"
+            docs.append((len(docs), " ".join([*some(20), *v, *some(rng.randrange(40))])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(90, ""), (91, None)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def both():
+        return sorted(map(tuple, decontaminate.decontaminate(df, bench).collect())), {r.doc_id for r in decontaminate.clean(df, bench).collect()}
+
+    once = both()
+    assert {r[2] for r in once[0]} > {1.0} and once[1]
+    for lot in (20, 5):
+        monkeypatch.setattr(decontaminate, "LOT", lot)
+        assert both() == once
+
+
 def test_hamming_blocks_miss_nothing():
     rng = np.random.default_rng(2)
     items = [{"h": rng.integers(0, 1 << 63, 20, np.uint64)} for _ in range(40)]
