@@ -10,7 +10,7 @@ shingles, windows being as long as the item; a shingle weighs less the more item
 
 The benchmark goes to the executors in lots of about LOT items, each a pass over the texts, so what is sent is bounded
 whatever its size. How many items hold a shingle or have a length is counted over all lots, so lots don't change the result. Texts are never shuffled. Edge cases: null or empty texts and items match nothing; an item of
-fewer than five words is one shingle; equal items each get their row; repeated rows of a text give repeated rows.
+fewer than five words is one shingle, looked up as it is at every word; equal items each get their row; repeated rows of a text give repeated rows.
 """
 
 from __future__ import annotations
@@ -147,8 +147,14 @@ class Benchmark:
         for i in self.items:
             i["weight"] = sum(self.weights.get(s, self.full) for s in i["set"])
         self.items.sort(key=lambda i: len(i["h"]))
-        self.groups, at = [], 0
-        sizes = window_sizes({n: c for n, c in (lengths or Counter(len(i["h"]) for i in self.items)).items() if n})
+        self.short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # by words and their shingle
+        at = 0
+        while at < len(self.items) and len(h := self.items[at]["h"]) < SPAN:
+            self.short[len(h)][int(spans(h, len(h))[0])].append(self.items[at]["id"])
+            at += 1
+        self.short = {n: dict(of) for n, of in self.short.items()}
+        self.groups = []
+        sizes = window_sizes({n: c for n, c in (lengths or Counter(len(i["h"]) for i in self.items)).items() if n >= SPAN})
         while at < len(self.items):
             size = sizes[len(self.items[at]["h"])]
             stop = at
@@ -193,10 +199,28 @@ class Benchmark:
             yield from ((at + k, *rest) for k, *rest in self._chunk(flat, counts, least))
             at += len(hashed)
 
+    def _short(self, flat: np.ndarray, offsets: np.ndarray, least: float):
+        """Items of fewer than SPAN words: a window as long is the same shingle or none of it."""
+        for n, of in self.short.items() if least <= 1 else ():
+            if len(flat) < n:
+                continue
+            found = spans(flat, n)
+            at = np.flatnonzero(np.isin(found, np.array(list(of), np.uint64)))
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + n <= offsets[doc + 1]
+            seen = set()
+            for d, k in zip(doc[inside].tolist(), at[inside].tolist(), strict=True):
+                s = int(found[k])
+                if (d, s) not in seen:
+                    seen.add((d, s))
+                    for key in of[s]:
+                        yield d, key, 1.0, k - int(offsets[d]), n
+
     def _chunk(self, flat: np.ndarray, counts: np.ndarray, least: float):
         if not len(flat) or not self.items:
             return
         offsets = np.cumsum([0, *counts])
+        yield from self._short(flat, offsets, least)
         bits = np.unpackbits(_pairs(flat).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         upto = _blocked_cumsum(bits)
         spots: dict[tuple[int, int, int], list[int]] = defaultdict(list)

@@ -157,6 +157,34 @@ def test_lots_of_a_benchmark_change_nothing(spark, monkeypatch):
         assert both() == once
 
 
+def test_items_of_few_words_are_found_in_texts(spark):
+    items = [(1, "solo"), (2, "tiny item"), (3, "of three words"), (4, "four words it has"), (5, "just five words it has"), (6, "TINY  item")]
+    docs = [
+        ("a b solo c d", {(1, 2)}),
+        ("solo", {(1, 0)}),
+        ("a tiny Item b c d e f g tiny item", {(2, 1), (6, 1)}),
+        ("x of three words", {(3, 1)}),
+        ("of three words", {(3, 0)}),
+        ("a b c d e four words it has f", {(4, 5)}),
+        ("just five words it has", {(5, 0)}),
+        ("of three other words and tiny", set()),
+        ("item at the end, tiny", set()),
+        ("item tiny", set()),
+        ("four words it", set()),
+        (None, set()),
+        ("", set()),
+        ("tiny", set()),  # an item across two texts is in none
+        ("item", set()),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(docs)], "doc_id long, text string").coalesce(1)
+    got = decontaminate.decontaminate(df, bench).collect()
+    size = {i: len(t.split()) for i, t in items}
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in got) == sorted((k, *f) for k, (_, found) in enumerate(docs) for f in found)
+    assert all((r.similarity, r.n_words) == (1.0, size[r.item_id]) for r in got)
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {k for k, (_, found) in enumerate(docs) if not found}
+
+
 def test_hamming_blocks_miss_nothing():
     rng = np.random.default_rng(2)
     items = [{"h": rng.integers(0, 1 << 63, 20, np.uint64)} for _ in range(40)]
