@@ -5,6 +5,9 @@ inside ``a`` against all), those of the block before and after, and flags for th
 decision tree, grown here on the small labelled table below, keeps or rejects every block; nothing is
 dropped by length or position. Whole pages are read in one pass with a bounded number of rows at a time.
 
+Class names hint at boilerplate in all that an element holds, but a name on an article or on what a page calls its
+main part, or on a wrapper around it, only if the whole name is one of boilerplate (``OTHER``), and around ``main`` never.
+
 Edge cases: null or empty html gives an empty text; broken character references stay as they are; an
 unclosed element ends with its parent or with the page; text outside any element is a block like others.
 """
@@ -46,6 +49,13 @@ HINT = re.compile(
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Names of layouts, which say what a page has beside an element, not what the element is.
 LAYOUT = re.compile(r"(?:has|with|without|no|is)[_-]", re.I)
+#: Where a page names its main part; and class names that say what a whole element, even an article, is: not the page's own text.
+ROOF = re.compile(r"""(?<![\w-])(?:id|role)\s*=\s*["']?(?:main|content|main[_-]?content)["']?(?:[\s/]|$)""", re.I)
+OTHER = re.compile(
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|popup|modal|side-?bar|widget|menu|nav\w*|footer|related|recommend\w*|comments?|commentlist|respond|replies|disqus|newsletter)"
+    r"(?:[_-](?:lists?|body|area|section|box|posts?|articles?|items?|stories|content))?",
+    re.I,
+)
 SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "hint", "home", "heading")
@@ -54,8 +64,8 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """Flat blocks in page order: (text, words, words inside links, away, hint, home, heading)."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    counts = {"away": 0, "hint": 0, "home": 0, "a": 0, "heading": 0}
+    stack: list[tuple[str, list[str], tuple[int, int] | None]] = []
+    counts = {"away": 0, "hint": 0, "other": 0, "home": 0, "a": 0, "heading": 0}
     parts: list[str] = []
     linked: list[str] = []
 
@@ -68,12 +78,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             parts.clear()
         linked.clear()
 
-    def kinds(name: str, hint: bool) -> list[str]:
-        return [k for k, on in (("away", name in AWAY and not (name == "header" and counts["home"])), ("hint", hint), ("home", name in HOME), ("a", name == "a"), ("heading", name in ("h1", "h2", "h3", "h4", "h5", "h6"))) if on]
+    def kinds(name: str, hint: bool, other: bool) -> list[str]:
+        return [k for k, on in (("away", name in AWAY and not (name == "header" and counts["home"])), ("hint", hint), ("other", other), ("home", name in HOME), ("a", name == "a"), ("heading", name in ("h1", "h2", "h3", "h4", "h5", "h6"))) if on]
 
     def pop() -> None:
-        for k in stack.pop()[1]:
+        _, on, around = stack.pop()
+        for k in on:
             counts[k] -= 1
+        if around:
+            counts["hint"], counts["other"] = around
 
     at = 0
     for m in MARKUP.finditer(page):
@@ -105,11 +118,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if depth >= 0 and (stack[depth][0] == "p" or stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr", "td", "th")):
                 while len(stack) > depth:
                     pop()
-        hint = any(HINT.search(c) and not LAYOUT.match(c) for v in ATTR.findall(m[4]) for c in v.strip("\"'").split()) if m[4] else False
-        on = kinds(name, hint and name not in ("html", "body"))
+        hints = [c for v in ATTR.findall(m[4]) for c in v.strip("\"'").split() if HINT.search(c) and not LAYOUT.match(c)] if m[4] and name not in ("html", "body") else []
+        other = any(OTHER.fullmatch(c) for c in hints)
+        around = None
+        main = name == "main" or bool(m[4]) and name in BLOCKS and name not in AWAY and ROOF.search(m[4]) is not None
+        if main or name == "article":
+            around = counts["hint"], counts["other"]
+            if main:
+                counts["other"], hints, other = 0, [], False
+            counts["hint"] = counts["other"]
+            hints = hints if other else []
+        on = kinds(name, bool(hints), other)
         for k in on:
             counts[k] += 1
-        stack.append((name, on))
+        stack.append((name, on, around))
     if at < len(page):
         parts.append(page[at:] if not page[at:].lstrip().startswith("<") else "")
     flush()
@@ -145,6 +167,10 @@ LABELLED = """
 -- <aside>Some of our readers have said that they would like to read more of this, and so there is now a page of it.</aside><div class="comments">It is true what they say of the mill, my father told me so too and he knew the man who built it.</div>
 +++ <article><h1>Snow</h1><p>It fell all night and by the morning the road to the pass was shut, as it is each year at about this time.</p><p>Cold.</p></article>
 +++ <main><p>Listen.</p><p>There is a sound in the walls of old houses at night that no one can put a name to, though all have heard it.</p><p>Yes.</p></main>
+++++- <article class="post tag-rain share-enabled"><h2><a href=1>Rain again</a></h2><p>It has rained for a week now, and the lower meadows are as wet as they were in the spring of last year.</p><p>Sheep.</p><p><a href=1>The forecast</a></p></article><div class="sidebar"><a href=1>Archive</a></div>
+-++++- <nav><a href=1>Home</a></nav><div id=main class="col sidebar-left"><h1>Fog</h1><p>It came in from the sea at noon, and by the evening no one could see the other side of the street.</p><p>Later it rose, and the moon stood over the roofs of the town as if nothing had been there at all.</p><p>Good.</p></div><div class="share"><a href=1>Share</a></div>
+++++- <main class="search-results"><h3><a href=1>On dams</a></h3><p>A dam holds back what the river brings in spring, and lets it go when the fields below are dry.</p><h3><a href=1>Mud</a></h3><p>What stays behind is mud, and it has to be dug out every few years at no small cost.</p><div class="ad"><a href=1>Spades</a></div></main>
++++++-- <div class="page sidebar-right"><article class="legal"><h1>The new law</h1><p>Whoever owns a well has to report it to the county by the end of the year, the law now says.</p><p>Sources:</p><ul><li><a href=1>Text of the law</a></li><li><a href=1>Debate</a></li></ul></article><div class="comments"><article class="comment"><p>I have owned a well for years and nobody has ever asked me about it, so why should they now?</p></article></div></div><footer>{12}</footer>
 +++- <div><h1>{4}</h1><p>{60}</p><p>{12}</p></div><footer>{30}</footer>
 -+++-- <nav>{20}</nav><div><p>{45}</p><p>{3}</p><p>{80}</p></div><div class="ad">{40}</div><div class="comments">{50}</div>
 ++++ <p>{120}</p><p>{35}</p><p>{8}</p><p>{26}</p>

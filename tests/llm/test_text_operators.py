@@ -74,6 +74,24 @@ def test_html_text(spark):
     assert (html_extract.decide(html_extract.tree(), x) == y).all()
 
 
+LONG = "The bridge was shut for a week, and those who live on the far side had to go round by the mill."
+HTML_HINTS = [
+    (f"<article class='post tag-rain category-x'><h1>Bridge</h1><p>{LONG}</p><div class='share'>Tell a friend of it</div></article>", f"Bridge\n{LONG}"),
+    (f"<div class='wrap share-enabled'><article><p>{LONG}</p></article><p class='ad'>{LONG}</p></div>", LONG),
+    (f"<div id=main class='col sidebar-left'><p>{LONG}</p><div class='comments'>{LONG}</div></div><div class='sidebar-left'>{LONG}</div>", LONG),
+    (f"<div class='banner'><main class='search-results'><p>{LONG}</p></main><p>{LONG}</p></div>", LONG),
+    (f"<article class='legal'><p>{LONG}</p></article>", LONG),
+    (f"<article><h2><a href=1>Old bridge</a></h2><p>{LONG}</p><p>Well.</p><p><a href=1>The mill</a></p></article><p><a href=1>Next page</a></p>", f"Old bridge\n{LONG}\nWell.\nThe mill"),
+    (f"<main><article><p>{LONG}</p></article><ol class='comment-list'><li><article class='comment'><p>{LONG}</p></article></li></ol></main>", LONG),
+    (f"<article><p>{LONG}</p></article><div class='related-posts'><article class='card'><p>{LONG}</p></article></div><article class='ad'><p>{LONG}</p></article>", LONG),
+]
+
+
+def test_html_hints_on_articles():
+    for page, text in HTML_HINTS:
+        assert html_extract.main_text(page) == text
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
     out = {r.doc_id: r for r in queries.op7_language_id(spark, "/root/testdata/sf0.01").collect()}
