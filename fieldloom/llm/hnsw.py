@@ -3,8 +3,8 @@
 Vectors are dealt to shards by a hash; equal vectors are one row with its count. A task builds the graph of
 a shard (a batch of vectors at a time, so that numpy does the work), audits it, and stores it in the shared folder.
 Then every vector queries every shard, a block of one shard's vectors against one graph a task. Beams start at BEAM
-and are doubled until an audit of AUDIT queries against all vectors of the shard finds at least RECALL of the
-links, and doubled for a query as long as its whole beam is links. All hits are verified in double precision.
+and are doubled until an audit against all vectors of the shard finds at least RECALL of the links of AUDIT of its own
+vectors and of as many that are not in its graph, as those of other shards, placed so that each has a link there; and doubled for a query as long as its whole beam is links. All hits are verified in double precision.
 A task returns a query's count of links in the shard and the shard's local components that it touches, not
 pairs, so dense groups cost no rows; components of those links give the result.
 
@@ -179,13 +179,26 @@ class Graph:
                 rows, starts, ef = rows[full], starts[full], ef * 2
         return np.concatenate(outq) if outq else np.zeros(0, int), np.concatenate(outr) if outr else np.zeros(0, int)
 
+    def _strangers(self, least: float, rng: np.random.Generator) -> np.ndarray:
+        """Vectors that are not in the graph, each in a random direction from one of AUDIT that are, at a cosine between ``least`` and 1."""
+        x = self.x[rng.permutation(len(self.x))[:AUDIT]].astype(np.float64)
+        u = rng.normal(size=x.shape)
+        u -= (u * x).sum(1, keepdims=True) * x
+        u /= np.maximum(np.sqrt((u * u).sum(1, keepdims=True)), 1e-12)
+        c = rng.uniform(least + 0.01 * (1 - least), 1, (len(x), 1))
+        out = c * x + np.sqrt(1 - c * c) * u
+        return (out / np.sqrt((out * out).sum(1, keepdims=True))).astype(np.float32)
+
     def audit(self, least: float, seed: int = 23) -> float:
-        """Widens the beam until a sample of the vectors, compared with all, finds RECALL of its links; the recall."""
+        """Widens the beam until a sample of the vectors and of strangers, compared with all, finds RECALL of its links; the recall."""
         n = len(self.x)
-        rows = np.random.default_rng(seed).permutation(n)[:AUDIT]
-        want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(self.x[rows] @ self.x.T >= least)), strict=True) if rows[i] != j}
+        rng = np.random.default_rng(seed)
+        rows = rng.permutation(n)[:AUDIT]
+        q = np.concatenate([self.x[rows], self._strangers(least, rng)])
+        rows = np.concatenate([rows, np.full(len(q) - len(rows), -1)])
+        want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(q @ self.x.T >= least)), strict=True) if rows[i] != j}
         while True:
-            found = {(i, j) for i, j in zip(*(v.tolist() for v in self.search(self.x[rows], least)), strict=True) if rows[i] != j}
+            found = {(i, j) for i, j in zip(*(v.tolist() for v in self.search(q, least)), strict=True) if rows[i] != j}
             recall = len(want & found) / len(want) if want else 1.0
             if recall >= RECALL or self.beam >= n:
                 return recall

@@ -231,6 +231,21 @@ def test_graph_recall_by_audit():
     assert len(p) >= 0.99 * (x @ x.T >= 0.9).sum()
 
 
+def test_audit_of_a_shard_without_links_of_its_own():
+    """Links of vectors of other shards are found even where none lies inside the shard."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(3000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    assert (x @ x.T >= 0.9).sum() == len(x)
+    graph = hnsw.Graph(x)
+    graph.beam = 1
+    assert graph.audit(0.9) >= hnsw.RECALL and graph.beam > 1
+    q = x[:1000] + rng.normal(size=(1000, 32)) * 0.06
+    q /= np.sqrt((q * q).sum(1))[:, None]
+    found, _ = graph.search(q, 0.9)
+    assert len(found) >= 0.99 * (q @ x.T >= 0.9).sum() > 0
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline_equals_its_parts(spark, sf):
     import corpus_pipeline as P
