@@ -143,6 +143,59 @@ def test_watershed_and_outline(spark):
     assert A.outline(square, 3) == [] and (A.flood(s, np.ones_like(wall)) == 0).all()
 
 
+def test_outline_is_the_border_that_faces_outside():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        mask = np.zeros((14, 16), bool)
+        for _ in range(4):  # overlapping blocks, two pixels wide at least, with holes at times
+            y, x = rng.integers(0, 9), rng.integers(0, 10)
+            mask[y : y + rng.integers(2, 6), x : x + rng.integers(2, 7)] = True
+        path = A.outline(mask * 5, 5)
+        reach = {path[0]}
+        for x, y in (todo := [path[0]]):
+            for q in ((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if q not in reach and 0 <= q[0] < 16 and 0 <= q[1] < 14 and mask[q[1], q[0]]:
+                    reach.add(q)
+                    todo.append(q)
+        outside = {(-1, -1)}
+        for x, y in (todo := [(-1, -1)]):
+            for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if q not in outside and -1 <= q[0] <= 16 and -1 <= q[1] <= 14 and q not in reach:
+                    outside.add(q)
+                    todo.append(q)
+        border = {(x, y) for x, y in reach if outside & {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)}}
+        assert set(path) == border and path[0] == min(reach, key=lambda q: (q[1], q[0]))
+        assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(path, path[1:] + path[:1]))
+
+
+def test_outline_of_thin_parts():
+    assert A.outline(np.array([[0, 3]]), 3) == [(1, 0)]
+    assert A.outline(np.array([[3, 3, 3]]), 3) == [(0, 0), (1, 0), (2, 0), (1, 0)]
+    assert A.outline(np.array([[0, 3, 0], [3, 0, 3]]), 3) == [(1, 0), (2, 1)]  # ends at its first pixel
+    assert A.outline(np.array([[3, 0], [0, 3]]), 3) == [(0, 0), (1, 1)]
+
+
+def test_equal_strengths_flood_in_reading_order():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        s = rng.integers(0, 4, (7, 8)) / 4
+        wall = rng.random((7, 8)) < 0.1
+        seeds = A.flood(s, wall | (s > 0), share=1.0 - 1e-9, least_seed=3)  # no more than the groups of the lowest value
+        if not seeds.any():
+            continue
+        want = seeds.copy()
+        beside = lambda y, x: [(y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)]
+        inside = lambda y, x: 0 <= y < 7 and 0 <= x < 8
+        while True:
+            open_ = [(s[y, x], y, x) for y in range(7) for x in range(8) if not want[y, x] and not wall[y, x] and any(inside(*q) and want[q] for q in beside(y, x))]
+            if not open_:
+                break
+            _, y, x = min(open_)
+            want[y, x] = next(want[q] for q in beside(y, x) if inside(*q) and want[q])
+        got = A.flood(s, wall, share=((s == 0) & ~wall).sum() / (~wall).sum() - 1e-9, least_seed=3)
+        assert (got == want).all()
+
+
 def test_upsert_and_guarded_delete(spark):
     old = spark.createDataFrame([(1, "a", 1.0, "auto"), (2, "b", 2.0, "Tracé automatique corrigé"), (3, "c", 3.0, None)], "parcel_id long, label string, v double, data_source string")
     new = spark.createDataFrame([("b", None), ("d", 9.0)], "label string, v double")
