@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,23 +13,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
-#: Rows that go to a Python worker at once: texts may be long, and a worker's memory should not depend on luck.
-ROWS_AT_ONCE = 500
+#: Rows, and bytes, that go to a Python worker at once: texts may be long, and a worker's memory should not depend on luck.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch to ROWS_AT_ONCE, if more are set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))
+    """Lowers the rows and bytes of an Arrow batch to ROWS_AT_ONCE and BYTES_AT_ONCE, if more are set. A single row may still be larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def give_back() -> None:
     """At a Python task's end: returns freed memory to the system, since the process stays and other work may follow in it."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -36,10 +40,18 @@ def give_back() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Between stages of long work: every executor collects its garbage, so that its heap shrinks before Python workers need the memory."""
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, numPartitions=tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (as in tests), a temporary one is set."""
+    """The folder that driver and executors share. Where none is set and all runs on one machine (as in tests), a temporary one is set; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -52,6 +64,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,6 +72,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written as Parquet and read again."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
@@ -66,6 +80,12 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names -= {name} if name else self.names
+
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but these, once a result stands on these alone."""
+        for name in self.names.difference(names):
+            self.drop(name)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:

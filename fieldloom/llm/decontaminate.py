@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,18 +35,20 @@ LEAST, RADIUS, BLOCKS = 0.75, 15, 4
 STEP, STRIDE = 1.12, 1 / 16
 #: Items sent at once; words handled at once.
 LOT, WORDS_AT_ONCE = 20_000, 16_384
+#: Lots of so many words that share a group's tables while they are in memory; words up to which 16 bits count a window.
+LOTS_AT_ONCE, SMALL = 8, 1 << 15
 
 
-def _blocked_cumsum(bits: np.ndarray) -> np.ndarray:
-    """Prefix sums along axis 0 with a leading 0, modulo 2^16."""
+def _blocked_cumsum(bits: np.ndarray, kind: type = np.int16) -> np.ndarray:
+    """Prefix sums along axis 0 with a leading 0, modulo 2^16 or as ``kind`` has it: enough for windows of fewer words than its largest number."""
     n = len(bits)
-    full = np.zeros((-(-n // 32) * 32 or 32, bits.shape[1]), np.int16)
+    full = np.zeros((-(-n // 32) * 32 or 32, bits.shape[1]), kind)
     full[:n] = bits
     cube = full.reshape(-1, 32, bits.shape[1])
     for k in range(1, 32):
         cube[:, k] += cube[:, k - 1]
-    cube[1:] += np.cumsum(cube[:-1, -1], axis=0, dtype=np.int16)[:, None]
-    return np.concatenate([np.zeros((1, bits.shape[1]), np.int16), full[:n]])
+    cube[1:] += np.cumsum(cube[:-1, -1], axis=0, dtype=kind)[:, None]
+    return np.concatenate([np.zeros((1, bits.shape[1]), kind), full[:n]])
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -56,24 +59,28 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash of the word pairs of each window [start, end) of hashed words."""
-    bits = np.unpackbits(_pairs(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    upto = _blocked_cumsum(bits)
-    last = np.maximum(ends - 1, starts + 1)
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(_pairs(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _majority(upto: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The fingerprint of each window: bits that more than half of its word pairs have."""
     sums = upto.take(last, 0)
     sums -= upto.take(starts, 0)
-    half = ((last - starts) // 2).astype(np.int16)
-    return np.packbits(sums > half[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.packbits(sums > ((last - starts) // 2).astype(upto.dtype)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def window_sizes(lengths: dict[int, int]) -> dict[int, int]:
-    """The window size for each length in words, given how many items have it; up to 64 items of near lengths share one."""
+def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of the word pairs of each window [start, end) of hashed words."""
+    return _majority(_blocked_cumsum(_bits(h), np.int16 if len(h) < SMALL else np.int32), starts, np.maximum(ends - 1, starts + 1))
+
+
+def window_sizes(lengths: Iterable[int]) -> dict[int, int]:
+    """The window size for each length in words; items of near lengths share one."""
     out, order, at = {}, sorted(lengths), 0
     while at < len(order):
-        stop, held = at + 1, lengths[order[at]]
-        while stop < len(order) and order[stop] <= order[at] * STEP and held + lengths[order[stop]] <= 64:
-            held += lengths[order[stop]]
+        stop = at + 1
+        while stop < len(order) and order[stop] <= order[at] * STEP:
             stop += 1
         out |= dict.fromkeys(order[at:stop], round((order[at] + order[stop - 1]) / 2))
         at = stop
@@ -81,41 +88,30 @@ def window_sizes(lengths: dict[int, int]) -> dict[int, int]:
 
 
 class Group:
-    """Up to 64 items that share a window size: their fingerprints and block tables."""
+    """Up to 64 items that share a window size, and their fingerprints."""
 
-    def __init__(self, size: int, items: list, radius: int, blocks: int):
-        self.size, self.items, self.radius, self.blocks = size, items, radius, blocks
-        self.stride = max(1, int(size * STRIDE))
+    def __init__(self, items: list, radius: int, blocks: int):
+        self.items, self.radius, self.blocks, self.bits = items, radius, blocks, 64 // blocks
         self.prints = np.array([fingerprints(i["h"], np.array([0]), np.array([len(i["h"])]))[0] for i in items], np.uint64)
-        self.bits = 64 // blocks
-        self.tables = self._tables()
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": None}  # megabytes that take a worker a moment to build
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.tables = self._tables()
 
-    def _tables(self) -> np.ndarray:
-        """For each block and value of it, the items whose block differs in so few bits."""
-        radius, blocks = self.radius, self.blocks
+    def tables(self) -> np.ndarray:
+        """For each block and value of it, the items whose block differs in so few bits: 2 MB, built when needed and then dropped, so that memory doesn't grow with items."""
         near = [0]
-        for k in range(1, radius // blocks + 1):
+        for k in range(1, self.radius // self.blocks + 1):
             near += [sum(1 << b for b in c) for c in combinations(range(self.bits), k)]
         near = np.array(near, np.int64)
-        tables = np.zeros((blocks, 1 << self.bits), np.uint64)
+        tables = np.zeros((self.blocks, 1 << self.bits), np.uint64)
         for k, p in enumerate(self.prints.tolist()):
-            for b in range(blocks):
+            for b in range(self.blocks):
                 tables[b, ((p >> (b * self.bits)) & ((1 << self.bits) - 1)) ^ near] |= np.uint64(1 << k)
         return tables
 
-    def search(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    def search(self, prints: np.ndarray, tables: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """(window numbers, item number) of all fingerprints within the radius."""
         low = np.uint64((1 << self.bits) - 1)
         hit = np.zeros(len(prints), np.uint64)
         for b in range(self.blocks):
-            hit |= self.tables[b].take(((prints >> np.uint64(b * self.bits)) & low).astype(np.int64))
+            hit |= tables[b].take(((prints >> np.uint64(b * self.bits)) & low).astype(np.int64))
         some = np.flatnonzero(hit)
         for k, p in enumerate(self.prints):
             at = some[(hit[some] >> np.uint64(k)) & np.uint64(1) == 1]
@@ -135,17 +131,17 @@ class Benchmark:
         for key, text in rows:
             h = hash_words(words(text)) if text else np.zeros(0, np.uint64)
             if len(h):
-                self.items.append({"id": key, "h": h, "set": frozenset(spans(h).tolist())})
+                self.items.append({"id": key, "h": h, "set": np.unique(spans(h))})
         if frequency is None:
             frequency = defaultdict(int)
             for i in self.items:
-                for s in i["set"]:
+                for s in i["set"].tolist():
                     frequency[s] += 1
         n = max(1, total or len(self.items))
         self.full = math.log1p(n)
         self.weights = {s: math.log1p(n / f) for s, f in frequency.items() if f > 1}
         for i in self.items:
-            i["weight"] = sum(self.weights.get(s, self.full) for s in i["set"])
+            i["weight"] = sum(self.weights.get(s, self.full) for s in i["set"].tolist())
         self.items.sort(key=lambda i: len(i["h"]))
         self.short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # by words and their shingle
         at = 0
@@ -153,19 +149,19 @@ class Benchmark:
             self.short[len(h)][int(spans(h, len(h))[0])].append(self.items[at]["id"])
             at += 1
         self.short = {n: dict(of) for n, of in self.short.items()}
-        self.groups = []
-        sizes = window_sizes({n: c for n, c in (lengths or Counter(len(i["h"]) for i in self.items)).items() if n >= SPAN})
+        sizes = window_sizes(n for n in (lengths or Counter(len(i["h"]) for i in self.items)) if n >= SPAN)
+        self.kind = np.int16 if max(sizes.values(), default=0) < SMALL else np.int32
+        self.groups: list[tuple[int, list[Group]]] = []  # by window size
         while at < len(self.items):
-            size = sizes[len(self.items[at]["h"])]
-            stop = at
-            while stop < len(self.items) and stop - at < 64 and sizes[len(self.items[stop]["h"])] == size:
+            size, stop = sizes[len(self.items[at]["h"])], at
+            while stop < len(self.items) and sizes[len(self.items[stop]["h"])] == size:
                 stop += 1
-            self.groups.append(Group(size, self.items[at:stop], radius, blocks))
+            self.groups.append((size, [Group(self.items[k : min(stop, k + 64)], radius, blocks) for k in range(at, stop, 64)]))
             at = stop
 
     def _best(self, item: dict, h: np.ndarray, low: int, high: int) -> tuple[float, int]:
         """The best similarity of a window as long as the item that starts in [low, high], and its start."""
-        size, mine = len(item["h"]), item["set"]
+        size, mine = len(item["h"]), frozenset(item["set"].tolist())
         low, high = max(0, low), max(0, min(high, len(h) - size))
         if low > high:
             low = high
@@ -187,17 +183,18 @@ class Benchmark:
 
     def matches(self, texts: list[str | None], least: float = LEAST) -> Iterator[tuple[int, object, float, int, int]]:
         """(text number, item id, similarity, first word, words) of each item found in each text."""
-        at = 0
+        at, lots = 0, []
         while at < len(texts):
-            hashed, held = [], 0
-            while at + len(hashed) < len(texts) and (not hashed or held < WORDS_AT_ONCE):
-                t = texts[at + len(hashed)]
-                hashed.append(words(t) if t else [])
-                held += len(hashed[-1])
-            counts = np.array([len(w) for w in hashed])
-            flat = hash_words([w for ws in hashed for w in ws])
-            yield from ((at + k, *rest) for k, *rest in self._chunk(flat, counts, least))
-            at += len(hashed)
+            found, held = [], 0
+            while at + len(found) < len(texts) and (not found or held < WORDS_AT_ONCE):
+                t = texts[at + len(found)]
+                found.append(words(t) if t else [])
+                held += len(found[-1])
+            lots.append((at, hash_words([w for ws in found for w in ws]), np.array([len(w) for w in found])))
+            at += len(found)
+            if at == len(texts) or len(lots) == LOTS_AT_ONCE:
+                yield from self._look(lots, least)
+                lots = []
 
     def _short(self, flat: np.ndarray, offsets: np.ndarray, least: float):
         """Items of fewer than SPAN words: a window as long is the same shingle or none of it."""
@@ -216,46 +213,53 @@ class Benchmark:
                     for key in of[s]:
                         yield d, key, 1.0, k - int(offsets[d]), n
 
-    def _chunk(self, flat: np.ndarray, counts: np.ndarray, least: float):
-        if not len(flat) or not self.items:
+    def _look(self, lots: list[tuple[int, np.ndarray, np.ndarray]], least: float):
+        """The same of some lots of hashed texts: (number of the first, all words, words of each). A group's tables serve all of them."""
+        lots = [(at, flat, counts, np.cumsum([0, *counts])) for at, flat, counts in lots if len(flat)]
+        for at, flat, _, offsets in lots:
+            yield from ((at + k, *rest) for k, *rest in self._short(flat, offsets, least))
+        if not lots or not self.groups:
             return
-        offsets = np.cumsum([0, *counts])
-        yield from self._short(flat, offsets, least)
-        bits = np.unpackbits(_pairs(flat).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        upto = _blocked_cumsum(bits)
-        spots: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for g, group in enumerate(self.groups):
-            size, stride = group.size, group.stride
-            room = counts - size
-            whole = (room < 0) & (counts >= size * least * 0.8)
-            n = np.where(room >= 0, room // stride + 1 + (room % stride > 0), whole)
-            if not n.any():
-                continue
-            doc = np.repeat(np.arange(len(counts)), n)
-            k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            start = np.minimum(k * stride, np.maximum(room, 0)[doc])
-            begin = offsets[doc] + start
-            last = np.maximum(begin + np.minimum(size, counts[doc]) - 1, begin + 1)
-            last = np.minimum(last, len(flat))
-            sums = upto.take(last, 0)
-            sums -= upto.take(begin, 0)
-            prints = np.packbits(sums > ((last - begin) // 2).astype(np.int16)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-            for at, item in group.search(prints):
-                for d, s in zip(doc[at].tolist(), start[at].tolist(), strict=True):
-                    spots[d, g, item].append(s)
-        for (d, g, item), starts in sorted(spots.items()):
-            group, it = self.groups[g], self.groups[g].items[item]
-            slack = group.stride + abs(group.size - len(it["h"])) + 1
+        sums = [_blocked_cumsum(_bits(flat), self.kind) for _, flat, _, _ in lots]
+        spots: dict[tuple, list[int]] = defaultdict(list)  # by lot, text, size, group, item
+        for n, (size, groups) in enumerate(self.groups):
+            windows = [self._windows(size, least, *lot[1:], upto) for lot, upto in zip(lots, sums, strict=True)]
+            for g, group in enumerate(groups if any(w is not None for w in windows) else ()):
+                tables = group.tables()
+                for k, w in enumerate(windows):
+                    if w is not None:
+                        doc, start, prints = w
+                        for at, item in group.search(prints, tables):
+                            for d, s in zip(doc[at].tolist(), start[at].tolist(), strict=True):
+                                spots[k, d, n, g, item].append(s)
+        for (k, d, n, g, item), starts in sorted(spots.items()):
+            first, flat, _, offsets = lots[k]
+            size, it = self.groups[n][0], self.groups[n][1][g].items[item]
+            slack = max(1, int(size * STRIDE)) + abs(size - len(it["h"])) + 1
             h = flat[offsets[d] : offsets[d + 1]]
             best, reach = (0.0, 0), -1
-            for s in starts:
+            for s in sorted(starts):
                 low, high = max(s - slack, reach + 1), s + slack
                 if low <= high:
                     found = self._best(it, h, low, high)
                     best = found if found[0] > best[0] + 1e-12 else best
                     reach = high
             if best[0] >= least:
-                yield d, it["id"], round(best[0], 6), best[1], min(len(it["h"]), len(h))
+                yield first + d, it["id"], round(best[0], 6), best[1], min(len(it["h"]), len(h))
+
+    @staticmethod
+    def _windows(size: int, least: float, flat: np.ndarray, counts: np.ndarray, offsets: np.ndarray, upto: np.ndarray):
+        """(text, first word, fingerprint) of each window of a size in a lot of texts; None if there is none."""
+        stride, room = max(1, int(size * STRIDE)), counts - size
+        n = np.where(room >= 0, room // stride + 1 + (room % stride > 0), (room < 0) & (counts >= size * least * 0.8))
+        if not n.any():
+            return None
+        doc = np.repeat(np.arange(len(counts)), n)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = np.minimum(k * stride, np.maximum(room, 0)[doc])
+        begin = offsets[doc] + start
+        last = np.minimum(np.maximum(begin + np.minimum(size, counts[doc]) - 1, begin + 1), len(flat))
+        return doc, start, _majority(upto, begin, last)
 
 
 def _shared(items: DataFrame) -> DataFrame:
@@ -281,30 +285,28 @@ def _lengths(items: DataFrame) -> dict[int, int]:
     return {r["n"]: r["count"] for r in items.select("t").mapInPandas(run, "n long").groupBy("n").count().collect()}
 
 
-def _lots(items: DataFrame, radius: int = RADIUS) -> Iterator[Benchmark]:
-    """The items (i, t), in lots of about LOT."""
+def _lots(items: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Iterator[tuple[Benchmark, bool]]:
+    """The items (i, t), in lots of about LOT, and whether a lot is the last."""
     total = items.count()
     lots = max(1, -(-total // LOT))
     if lots == 1:
-        yield Benchmark(sorted(((r["i"], r["t"]) for r in items.collect()), key=lambda x: (x[0] is None, x)), radius=radius, total=total)
+        yield Benchmark(sorted(((r["i"], r["t"]) for r in items.collect()), key=lambda x: (x[0] is None, x)), radius=radius, total=total), True
         return
     items = items.withColumn("lot", F.pmod(F.xxhash64("i", "t"), F.lit(lots)).cast("int"))
-    scratch = Scratch(items.sparkSession)
     shared, lengths = scratch.table(_shared(items), "shared"), _lengths(items)
     for lot in range(lots):
         rows = sorted(((r["i"], r["t"]) for r in items.where(F.col("lot") == lot).collect()), key=lambda x: (x[0] is None, x))
         f = shared.where(F.col("lot") == lot).select("s", "f").toArrow()
         frequency = dict(zip(f["s"].to_numpy().view(np.uint64).tolist(), f["f"].to_pylist(), strict=True))
-        yield Benchmark(rows, frequency, total, lengths, radius)
-    scratch.drop()
+        yield Benchmark(rows, frequency, total, lengths, radius), lot == lots - 1
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST, radius: int = RADIUS) -> DataFrame:
-    """(id, item_id, similarity, first_word, n_words) of each benchmark item found in each text."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
+    """(id, item_id, similarity, first_word, n_words) of each benchmark item found in each text. With several lots, each one's rows are written before the next is drawn up."""
     kind = f"{id} long, item_id long, similarity double, first_word long, n_words long"
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
-    out = None
-    for mine in _lots(items, radius):
+    scratch, parts = scratch or Scratch(docs.sparkSession), []
+    for mine, last in _lots(items, scratch, radius):
 
         def run(batches: Iterator[pd.DataFrame], mine=mine) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -314,10 +316,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
                     {id: keys.iloc[[f[0] for f in found]].array, "item_id": pd.array([f[1] for f in found], "Int64")}
                     | {n: [f[k] for f in found] for n, k in (("similarity", 2), ("first_word", 3), ("n_words", 4))}
                 )
+            give_back()
 
         part = docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, kind)
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(part if last else scratch.table(part, f"found{len(parts)}"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _leaks(mine: Benchmark):
@@ -332,10 +335,14 @@ def _leaks(mine: Benchmark):
     return leaks
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; rows are dropped in place, so nothing is shuffled."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """docs without those that hold a benchmark item; rows are dropped in place, so nothing is shuffled. With several lots, what is left is written before the next is drawn up."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    kept = docs
-    for mine in _lots(items):
+    scratch, kept = scratch or Scratch(docs.sparkSession), docs
+    for k, (mine, last) in enumerate(_lots(items, scratch)):
         kept = kept.where(~_leaks(mine)(F.col(text)))
+        if not last:
+            kept = scratch.table(kept, f"clean{k}")
+            if k:
+                scratch.drop(f"clean{k - 1}")
     return kept

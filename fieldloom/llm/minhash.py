@@ -13,7 +13,9 @@ The chance that a pair at the threshold shares no band is (1 - 0.75^4)^28 < 3e-5
 are compared as 64-bit shingle hashes.
 
 Edge cases: a text that is null or has no words has an empty set and links with nothing; one of fewer than
-five words is one shingle; rows that repeat an id and its text are one document; a null id is linked with nothing and kept.
+five words is one shingle; rows that repeat an id and its text are one document; rows of one id with different texts are
+judged each by its own; a null id is linked with nothing and kept; of equal texts the least id stays; an empty table gives an
+empty result; other columns of the table, whatever their names, are not looked at. Texts of any length go the same way.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
 
 
 def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, n, print, signature): size of each set, a 128-bit hash of it, and its signature (null of an empty set)."""
+    """(id, h, n, print, signature): a hash of each text, size of its set, a 128-bit hash of that, and its signature (null of an empty set)."""
 
     @F.pandas_udf("n long, print binary, signature binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -120,7 +122,7 @@ def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n", "print", "signature"])
         give_back()
 
-    return docs.select(F.col(id).alias("id"), run(F.col(text)).alias("s")).select("id", "s.*")
+    return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("h"), run(F.col(text)).alias("s")).select("id", "h", "s.*")
 
 
 def _plausible_pairs(pairs: DataFrame, classes: DataFrame, miss: float, least: int) -> DataFrame:
@@ -138,7 +140,7 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, miss: float, least: i
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, set) of the texts whose ids are in a table (_id)."""
+    """(id, set) of the classes in a table (_id, doc, h): those of a text with that id and hash."""
 
     @F.pandas_udf("binary")
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -146,15 +148,16 @@ def _sets(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
             yield batch.map(lambda t: shingle_set(t).tobytes())
         give_back()
 
-    texts = docs.select(F.col(id).alias("_i"), F.col(text).alias("_x"))
-    texts = join_sized(texts, ids, F.col("_i") == F.col("_id")).groupBy("_i").agg(F.first("_x").alias("_x"))  # repeated rows are one
-    return texts.select(F.col("_i").alias("id"), build("_x").alias("set"))
+    texts = docs.select(F.col(id).alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).alias("_x"))
+    texts = join_sized(texts, ids, (F.col("_i") == F.col("doc")) & (F.col("_h") == F.col("h"))).groupBy("_id").agg(F.first("_x").alias("_x"))  # repeated rows are one
+    return texts.select(F.col("_id").alias("id"), build("_x").alias("set"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """Pairs (a, b) whose full sets share enough: 100 * intersection >= least * union. Sets are built only for texts in pairs."""
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets share enough: 100 * intersection >= least * union. Sets are built only for texts in pairs."""
     pairs = scratch.table(pairs, "pairs")
-    ids = scratch.table(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    ids = scratch.table(ids.join(classes.select(F.col("id").alias("_id"), "doc", "h"), "_id"), "ids")
 
     @F.pandas_udf("boolean")
     def enough(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -243,24 +246,25 @@ def _blocked(rows: DataFrame, sides: DataFrame, members: DataFrame, miss: float,
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", miss: float = MISS, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: size of its set, the least id that links reach from it, and whether it is that one."""
+    """(id, n_shingles, component_id, kept, text_hash) of every row: size of its set, the least id that links reach from it, whether it is that one, and xxhash64 of its text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     drawn = scratch.table(sketch(docs, id, text), "sketches")
-    prints = drawn.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("class"))
-    prints = scratch.table(prints, "prints")
-    members = drawn.join(prints, "print", "left").select("id", "n", F.coalesce("class", "id").alias("class"), F.when(F.col("class") == F.col("id"), F.col("signature")).alias("signature"))
-    members = scratch.table(members, "members")
+    able = F.col("print").isNotNull() & F.col("id").isNotNull()
+    classes = drawn.where(able).groupBy("print").agg(F.min(F.struct("id", "h")).alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # Numbers, since an id may have several texts; they are fixed once the table is written.
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("id"), F.col("of.id").alias("doc"), F.col("of.h").alias("h"), "n", "signature", "print"), "classes")
+    members = drawn.where(able).select("id", "h", "n", "print").join(classes.select("print", F.col("id").alias("class")), "print").drop("print")
+    members = scratch.table(members.unionByName(drawn.where(~able).select("id", "h", "n", F.lit(None).cast("long").alias("class"))), "members")
     scratch.drop("sketches")
-    scratch.drop("prints")
-    classes = members.where("signature is not null").select("id", "n", "signature")
+    classes = classes.drop("print")
 
     buckets = _buckets(classes)
     pivots = scratch.table(buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "pivots")
     rows = join_sized(buckets, pivots, "key")
     rows = scratch.table(rows.select("key", "id", "pivot", "size"), "rows")
     star = rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(_plausible_pairs(star, classes, miss, least), docs, id, text, scratch, least)
+    links = verify(_plausible_pairs(star, classes, miss, least), classes, docs, id, text, scratch, least)
     found = components(links, scratch, "star")
 
     wide = rows.where("size > 2").select("key", "id", "pivot")
@@ -281,11 +285,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", mis
         sides = sides.where("outer_blocks > 0 and all > 1").groupBy("print", "all", "home").agg(*[F.min(F.struct("key", "inner_blocks", "outer_blocks")).alias("s")]).select("s.*", "home")
         sides = scratch.table(sides, "sides")
         chosen = scratch.table(join_sized(others.select("key", "id", "component"), sides.select("key"), "key", "left_semi"), "chosen")
-        ids = scratch.table(chosen.select(F.col("id").alias("_id")).distinct(), "ids")
-        full = join_sized(classes, ids, F.col("id") == F.col("_id"), "left_semi").join(_sets(docs, ids, id, text), "id")
+        ids = scratch.table(chosen.select(F.col("id").alias("_id")).distinct().join(classes.select(F.col("id").alias("_id"), "doc", "h"), "_id"), "ids")
+        full = join_sized(classes.select("id", "n", "signature"), ids, F.col("id") == F.col("_id"), "left_semi").join(_sets(docs, ids, id, text), "id")
         more = scratch.table(_blocked(chosen, sides, scratch.table(full, "full"), miss, least), "more")
         if not more.isEmpty():
             found = components(links.union(more), scratch, "all")
-    named = found.select(F.col("id").alias("class"), "component")
-    out = members.join(named, "class", "left").select("id", "n", F.coalesce("component", "class").alias("component_id"))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = classes.select(F.col("id").alias("class"), "doc").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = scratch.table(named, "named")
+    least_ids = scratch.table(found.select("component").distinct().join(named, "component").groupBy("component").agg(F.min("doc").alias("least")), "least_ids")
+    named = join_sized(named, least_ids, "component", "left").select("class", F.coalesce("least", "doc").alias("component_id"))
+    able = members.where("class is not null").join(named, "class").drop("class")
+    out = scratch.table(able.unionByName(members.where("class is null").select("id", "h", "n", F.col("id").alias("component_id"))), "judged")
+    scratch.drop_but("judged")
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"))

@@ -188,13 +188,13 @@ def test_items_of_few_words_are_found_in_texts(spark):
 def test_hamming_blocks_miss_nothing():
     rng = np.random.default_rng(2)
     items = [{"h": rng.integers(0, 1 << 63, 20, np.uint64)} for _ in range(40)]
-    group = decontaminate.Group(20, items, 15, 4)
+    group = decontaminate.Group(items, 15, 4)
     prints = rng.integers(0, 1 << 63, 3000, np.uint64)
     prints[:200] = group.prints[rng.integers(0, 40, 200)]
     for k in range(200):
         for b in rng.choice(64, rng.integers(0, 16), replace=False):
             prints[k] ^= np.uint64(1 << int(b))
-    got = {(int(w), k) for at, k in group.search(prints) for w in at}
+    got = {(int(w), k) for at, k in group.search(prints, group.tables()) for w in at}
     far = np.bitwise_count(prints[:, None] ^ group.prints[None])
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= 15), strict=True)}
 
