@@ -7,15 +7,24 @@ dropped by length or position. Whole pages are read in one pass with a bounded n
 
 Class names hint at boilerplate in all that an element holds, but a name on an article or on what a page calls its
 main part, or on a wrapper around it, only if the whole name is one of boilerplate (``OTHER``), and around ``main`` never.
+Inside an article a part of a name is no hint either: there the whole name must be one of boilerplate (``WHOLE``), and that of a
+paragraph, heading or list item one of few (``INSERTS``).
+
+Markup is found in one pass, in time that grows with the page's length whatever its faults: a quote that is never
+closed is read as text of its tag, once for the whole page; an element whose content is no text (``RAW``) ends with its own tag
+if it closes itself or is never closed, but an unclosed script or style with the page; a ``<`` that starts no markup is text.
 
 Edge cases: null or empty html gives an empty text; broken character references stay as they are; an
-unclosed element ends with its parent or with the page; text outside any element is a block like others.
+unclosed element ends with its parent or with the page, an unclosed comment with the page, and a last tag that is cut off is no
+text; text outside any element is a block like others; repeated rows get equal texts, and an empty table an empty result;
+of shares that tie in the tree content wins; columns named like results are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,15 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import give_back, without
 
-#: Comments, declarations, raw-text elements with all they hold, or one tag.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|template|textarea|title|noscript|select|svg|math|iframe|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-RAW = re.compile(r"<(script|style|template|textarea|title|noscript|select|svg|math|iframe|object|canvas)\b", re.I)
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style template textarea title noscript select svg iframe object canvas annotation annotation-xml".split())
+#: Those that end with the page if they are never closed: what follows is code.
+CODE = frozenset(("script", "style"))
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: Inside a tag: a value that a quote opens, or the tag's end. A cut-off tag: its name and nothing more, or an attribute.
+NEXT = re.compile(r"""=\s*(["'])|>""")
+CUT_OFF = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s*/?\Z|\s+[^\s=<>]+\s*(?:=|\Z))")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html"
     " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -56,16 +66,83 @@ OTHER = re.compile(
     r"(?:[_-](?:lists?|body|area|section|box|posts?|articles?|items?|stories|content))?",
     re.I,
 )
+_WORDS = r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|popup|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus|notice|breadcrumbs?"
+_BEFORE, _AFTER = r"(?:(?:post|article|entry|page|site|top|bottom|inline|google|social|js|c)[_-]{1,2})?", r"(?:[_-]{1,2}(?:lists?|body|area|section|box|posts?|articles?|items?|stories|content|buttons?|links?|bar|slot|sign-?up|form|block|container|wrap(?:per)?|unit|banner|footer|header|icons?|widget|inner|label|text|title|top|bottom|\d+))*"
+#: Class names that hint at boilerplate inside an article: of any element, and of paragraphs, headings and list items.
+WHOLE = re.compile(rf"{_BEFORE}{_WORDS}|modal|side-?bar|widget|menu|nav\w*|footer|masthead|login|search|copyright|legal|tags?){_AFTER}", re.I)
+INSERTS = re.compile(rf"{_BEFORE}{_WORDS}){_AFTER}", re.I)
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figure figcaption span a b i em strong".split())
 SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "hint", "home", "heading")
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each piece of markup, in one pass; the name is empty of comments, declarations and raw elements."""
+    at, last = 0, page.rfind(">")
+    strict = True  # do quotes hold tags together? Not after one that is never closed.
+    unclosed: set[str] = set()  # raw elements that close nowhere further on
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            yield start, end, "", False, ""
+            at = end
+            continue
+        if start > last:
+            if CUT_OFF.match(page, start):
+                yield start, len(page), "", False, ""
+                return
+            at = start + 1
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1
+            yield start, at, "", False, ""
+            continue
+        m = NAME.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        end = _tag_end(page, m.end()) if strict else page.find(">", m.end()) + 1
+        if not end:
+            strict, end = False, page.find(">", m.end()) + 1
+        name, attributes = m[2].lower(), page[m.end() : end - 1]
+        if name in RAW:
+            if not m[1] and not (attributes.endswith("/") and name not in CODE):
+                stop = None if name in unclosed else _closing(name).search(page, end)
+                if stop:
+                    end = stop.end()
+                else:
+                    unclosed.add(name)
+                    if name in CODE and not attributes.endswith("/"):
+                        end = len(page)
+            name = ""
+        yield start, end, name, bool(m[1]), attributes
+        at = end
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``, quoted values passed over; 0 if a quote or the tag is never closed."""
+    while m := NEXT.search(page, at):
+        if not m[1]:
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return 0
+    return 0
+
+
+@lru_cache(32)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?:\s[^>]*)?>", re.I)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """Flat blocks in page order: (text, words, words inside links, away, hint, home, heading)."""
     out: list[tuple] = []
     stack: list[tuple[str, list[str], tuple[int, int] | None]] = []
     counts = {"away": 0, "hint": 0, "other": 0, "home": 0, "a": 0, "heading": 0}
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
 
@@ -82,46 +159,49 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         return [k for k, on in (("away", name in AWAY and not (name == "header" and counts["home"])), ("hint", hint), ("other", other), ("home", name in HOME), ("a", name == "a"), ("heading", name in ("h1", "h2", "h3", "h4", "h5", "h6"))) if on]
 
     def pop() -> None:
-        _, on, around = stack.pop()
+        name, on, around = stack.pop()
+        open_[name] -= 1
         for k in on:
             counts[k] -= 1
         if around:
             counts["hint"], counts["other"] = around
 
     at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    for start, end, name, closing, attributes in markup(page):
+        if start > at:
+            text = page[at:start]
             parts.append(text)
             if counts["a"]:
                 linked.append(text)
-        at = m.end()
-        name = m[3]
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             flush()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        if closing:
+            depth = -1 if not open_[name] else next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0 and (name in BLOCKS or all(stack[i][0] not in BLOCKS for i in range(depth + 1, len(stack)))):
                 while len(stack) > depth:
                     pop()
             continue
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in CLOSES_P:  # a paragraph ends where a block starts, and with it what it left open
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), -1)
             if depth >= 0 and (stack[depth][0] == "p" or stack[depth][0] == name and name in ("li", "dt", "dd", "option", "tr", "td", "th")):
                 while len(stack) > depth:
                     pop()
-        hints = [c for v in ATTR.findall(m[4]) for c in v.strip("\"'").split() if HINT.search(c) and not LAYOUT.match(c)] if m[4] and name not in ("html", "body") else []
+        hints = []
+        if attributes and name not in ("html", "body"):
+            named = [c for v in ATTR.findall(attributes) for c in v.strip("\"'").split() if HINT.search(c) and not LAYOUT.match(c)]
+            fits = (INSERTS if name in LINES else WHOLE) if counts["home"] and name not in HOME else None
+            hints = [c for c in named if fits is None or fits.fullmatch(c)]
         other = any(OTHER.fullmatch(c) for c in hints)
         around = None
-        main = name == "main" or bool(m[4]) and name in BLOCKS and name not in AWAY and ROOF.search(m[4]) is not None
+        main = name == "main" or bool(attributes) and name in BLOCKS and name not in AWAY and ROOF.search(attributes) is not None
         if main or name == "article":
             around = counts["hint"], counts["other"]
             if main:
@@ -132,8 +212,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         for k in on:
             counts[k] += 1
         stack.append((name, on, around))
+        open_[name] += 1
     if at < len(page):
-        parts.append(page[at:] if not page[at:].lstrip().startswith("<") else "")
+        parts.append(page[at:])
+        if counts["a"]:
+            linked.append(page[at:])
     flush()
     return out
 
@@ -241,6 +324,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(main_text, na_action=None)
+        give_back()
 
     out = without(pages, "text", "n_chars") if html.lower() not in ("text", "n_chars") else pages
     return out.withColumn("text", run(F.col(html))).withColumn("n_chars", F.length("text").cast("long"))

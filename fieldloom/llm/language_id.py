@@ -1,7 +1,8 @@
 """Language ID: a byte convolutional network with filters of several widths, max pooling and softmax, in numpy.
 
 Learning: a bounded sample of labelled texts (``sample`` texts in all, chosen by a hash of the text, equal
-shares for each language) is cut into windows of ``window`` bytes; the network is trained by Adam on the driver.
+shares for each language) is cut into windows of ``window`` bytes; at most WINDOWS_A_TEXT of each text reach the driver,
+where the network is trained by Adam.
 Prediction: every whole text is cut into windows, batches of windows run through the network, and a text's
 probabilities are the mean of its windows', weighted by their letters. No shuffle.
 
@@ -9,26 +10,29 @@ As a filter sees one-hot bytes, its answer at a place is a sum of table entries;
 entries of tables for pairs of bytes. Bytes are classed first: letters without case, digits, spaces, punctuation, and every byte
 from 0x80 up by itself.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row exists.
+Edge cases: a text that is null or has no letter (of Unicode's category L) is ``und`` with score 0; so is every text if
+no labelled row exists; an empty table gives an empty result; repeated rows get equal answers and a text counts once in
+learning; of languages with equal chances the first by name is taken; columns named like results are replaced, others stay.
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import give_back, without
 
 UNKNOWN = "und"
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
 #: Labelled texts to learn from, and the most windows of one text.
 SAMPLE, WINDOWS_A_TEXT = 1600, 8
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _classes() -> np.ndarray:
@@ -168,24 +172,31 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     The shares are drawn by a hash of the text: only texts below a hash bound leave the executors, and
     copies of one text meet before they do.
     """
+
+    @F.pandas_udf("binary")
+    def some_windows(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, hashes in batches:
+            out = []
+            for t, h in zip(texts, hashes, strict=True):
+                c, _ = windows([t])
+                chosen = np.sort(np.random.default_rng(h & 0xFFFFFFFF).permutation(len(c))[:WINDOWS_A_TEXT])
+                out.append(c[chosen].astype(np.uint8).tobytes() if LETTER.search(t) else None)
+            yield pd.Series(out, dtype=object)
+
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text, F.lit(3)).alias("h"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Network([])
     share = max(1, sample // len(counts))
     bound = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, 1.3 * share / max(1, n)))) for k, n in counts.items()], F.lit(0.0))
-    kept = rows.where(F.pmod("h", F.lit(1 << 20)) < bound * (1 << 20)).groupBy("l", "h").agg(F.first("t").alias("t")).collect()
-    languages = sorted(counts)
-    rng = np.random.default_rng(5)
-    xs, ys = [], []
+    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < bound * (1 << 20)).select("l", "h", some_windows("t", "h").alias("w"))
+    kept = drawn.where("w is not null").groupBy("l", "h").agg(F.min("w").alias("w")).collect()
+    languages, xs, ys = sorted(counts), [], []
     for k, name in enumerate(languages):
-        texts = [r["t"] for r in sorted((r for r in kept if r["l"] == name), key=lambda r: r["h"])[:share]]
-        for t in texts:
-            if LETTER.search(t):
-                c, _ = windows([t])
-                c = c[np.sort(rng.permutation(len(c))[:WINDOWS_A_TEXT])]
-                xs.append(c)
-                ys.append(np.full(len(c), k))
+        for r in sorted((r for r in kept if r["l"] == name), key=lambda r: r["h"])[:share]:
+            c = np.frombuffer(r["w"], np.uint8).astype(np.int32).reshape(-1, WINDOW)
+            xs.append(c)
+            ys.append(np.full(len(c), k))
     if not xs:
         return Network([])
     return Network(languages).train(np.concatenate(xs), np.concatenate(ys))
@@ -199,11 +210,12 @@ def identify(docs: DataFrame, model: Network, text: str = "text", name: str = "l
         for batch in batches:
             langs, scores = model.predict([t if isinstance(t, str) else None for t in batch])
             yield pd.DataFrame({"lang": langs, "score": scores})
+        give_back()
 
     out = without(docs, name, score)
     return out.withColumn("_p", run(F.col(text))).select(*[F.col(c) for c in out.columns], F.col("_p.lang").alias(name), F.col("_p.score").alias(score))
 
 
 def held_out(key: Column) -> Column:
-    """Whether crc32 of the key as text is 2 modulo 4."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the key as text is 2 modulo 4; a null key is not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

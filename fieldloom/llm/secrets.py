@@ -5,8 +5,9 @@ candidate's length, how its characters change kind, how much of it dictionary wo
 document and the words beside it; it is grown here in numpy, from labelled findings that are written from
 templates of real and of harmless strings (see ``labelled_findings``). Whole texts are scanned where they lie; nothing is shuffled.
 
-Edge cases: a null or empty text holds no secret; a candidate may be as long as the text; of candidates that
-overlap the first and longest counts; repeated rows give repeated findings.
+Edge cases: a null or empty text holds no secret; a candidate may be as long as the text, and all of it is
+described; of candidates that overlap the first and longest counts; a key block without its end line ends with its last line
+of key; repeated rows give repeated findings; an empty table has none; other columns stay as they are and are not looked at.
 """
 
 from __future__ import annotations
@@ -28,16 +29,21 @@ from fieldloom.llm.common import give_back, without
 THRESHOLD, MARK = 0.5, "[SECRET]"
 #: Names before a credential; the forms of a candidate.
 NAMED = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credential|client[_-]?secret|private[_-]?key)"
+#: A key block: its first line, lines of key (also with ends of lines written out), its last line if there is one.
+_GAP = r"(?:\s|\\[nr])"
+PEM = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:{_GAP}+(?:Proc-Type|DEK-Info):[^\n]{{0,80}})*(?:{_GAP}+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]{{16,}})+(?:{_GAP}+[A-Za-z0-9+/=]{{1,15}}(?={_GAP}*-----END))?(?:{_GAP}*-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)?"
+PREFIX = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk[_-](?:live|test|proj)?|rk_live_|AIza|eyJ|npm_|hf_|SG\.)"
 CANDIDATE = re.compile(
-    r"(?P<pem>-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\Z))"
-    rf"|(?P<named>(?i:{NAMED})[\"']?\s{{0,3}}(?:[=:]|=>|:=)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}}))"
-    r"|(?P<run>(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z+/_=.~-]*[0-9])[A-Za-z0-9+/_=.~-]{16,}|(?<![A-Z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Z0-9]))",
+    rf"(?P<pem>{PEM})"
+    rf"|(?P<named>(?i:{NAMED})[\"']?\s{{0,3}}(?:[=:]|=>|:=)\s{{0,3}}[\"']?(?:(?:Bearer|Basic) )?(?P<value>[^\s\"'<>,;]{{6,}}))"
+    r"|(?<=://)[^\s/@:\"'<>]{0,64}:(?P<pass>[^\s/@\"'<>]{3,})@"
+    rf"|(?P<run>(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z+/_=.~-]*[0-9]|{PREFIX})[A-Za-z0-9+/_=.~-]{{16,}}|(?<![A-Z0-9])A[KS]IA[A-Z0-9]{{16}}(?![A-Z0-9]))",
     re.S,
 )
 NEAR_GOOD = re.compile(rf"(?i){NAMED}|aws|akia|slack|github|stripe|jwt|ssh")
 NEAR_BAD = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|test|fake|commit|revision|sha1|sha256|md5|checksum|digest|uuid|guid|isbn|phone|card|version|image|href|build|order|etag")
 PATH_BAD = re.compile(r"(?i)test|example|sample|doc|fixture|mock")
-KNOWN = re.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abpr]-|^sk[_-]|^eyJ[A-Za-z0-9_-]+\.|^AIza|^glpat-")
+KNOWN = re.compile(rf"^(?:AKIA|ASIA)[A-Z0-9]{{16}}$|^{PREFIX}")
 #: Common words that make a candidate harmless.
 WORDS = """about above access account after again agent alpha android apple archive article asset author backup banner base beta black blog blue book button cache camera card case center
 change chart check child class client close cloud code color column comment commit config content control copy core count course cover create data database date debug default delete
@@ -69,46 +75,49 @@ def _words() -> frozenset[str]:
     return frozenset(WORDS)
 
 
-def _kinds(text: str) -> np.ndarray:
-    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    return np.where((b >= 97) & (b <= 122), 0, np.where((b >= 65) & (b <= 90), 1, np.where((b >= 48) & (b <= 57), 2, 3)))
+#: Of each byte: 0 a-z, 1 A-Z, 2 digit, 3 other.
+KIND = np.array([0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 for b in range(256)])
+VOWELS = np.frombuffer(b"aeiouAEIOU", np.uint8)
 
 
-NAMES = ("length", "entropy", "lower", "upper", "digits", "symbols", "changes", "letter_changes", "distinct", "hex", "covered", "vowels", "longest_kind", "named", "known", "near_good", "near_bad", "path_bad", "dashes", "dots", "slashes", "repeats", "pem")
+NAMES = ("length", "entropy", "lower", "upper", "digits", "symbols", "changes", "letter_changes", "distinct", "hex", "covered", "vowels", "longest_kind", "named", "known", "near_good", "near_bad", "path_bad", "dashes", "dots", "slashes", "repeats", "pem", "quoted", "assigned", "address")
 
 
 def describe(value: str, before: str, after: str, path: str, named: bool, pem: bool) -> list[float]:
-    """NAMES of a candidate with the text on either side of it and its document's path."""
-    head = value[:512]
-    k = _kinds(head)
+    """NAMES of a candidate, all of it, with the text on either side of it and its document's path."""
+    raw = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
+    k = KIND[raw]
     n = max(1, len(k))
     counts = np.bincount(k, minlength=4) / n
     change = k[1:] != k[:-1]
     edges = np.flatnonzero(np.concatenate([[True], change, [True]]))
-    _, each = np.unique(np.frombuffer(head.encode("utf-8", "replace"), np.uint8), return_counts=True)
-    p = each / each.sum() if len(each) else np.ones(1)
-    letters = sum(c.isalpha() for c in head)
+    each = np.bincount(raw, minlength=256)
+    p = each[each > 0] / n
+    letters = int(each[65:91].sum() + each[97:123].sum())
     return [
         math.log1p(len(value)),
         float(-(p * np.log2(p)).sum()),
         *counts,
         float(change.mean()) if len(change) else 0.0,
         float((change & (k[1:] < 2) & (k[:-1] < 2)).mean()) if len(change) else 0.0,
-        len(each) / n,
-        float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", head) is not None),
-        _covered(head),
-        sum(c in "aeiouAEIOU" for c in head) / max(1, letters),
+        len(p) / n,
+        float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None),
+        _covered(value),
+        float(each[VOWELS].sum()) / max(1, letters),
         float(np.diff(edges).max()) / n,
         float(named),
         float(KNOWN.search(value) is not None),
         float(NEAR_GOOD.search(before) is not None),
-        float(NEAR_BAD.search(before) is not None or NEAR_BAD.search(after) is not None or NEAR_BAD.search(head) is not None),
+        float(NEAR_BAD.search(before) is not None or NEAR_BAD.search(after) is not None or NEAR_BAD.search(value) is not None),
         float(PATH_BAD.search(path) is not None),
-        head.count("-") / n,
-        head.count(".") / n,
-        head.count("/") / n,
-        float((np.diff(np.frombuffer(head.encode("utf-8", "replace"), np.uint8)) == 0).mean()) if n > 1 else 0.0,
+        float(each[45]) / n,
+        float(each[46]) / n,
+        float(each[47]) / n,
+        float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0,
         float(pem),
+        float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
+        float("=" in before[-4:]),
+        float(after[:1] == "@" and before[-1:] == ":"),
     ]
 
 
@@ -121,12 +130,14 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, bool, bool]]:
             value = m["value"].rstrip(".:!?)]}")
             if len(value) >= 6:
                 yield m.start("value"), m.start("value") + len(value), value, True, False
+        elif m["pass"]:
+            yield m.start("pass"), m.end("pass"), m["pass"], True, False
         else:
             value = m[0].strip("=.~-/_+") if not m[0].endswith("==") else m[0].lstrip("=.~-/_+")
             start = m.start() + m[0].index(value) if value else m.start()
-            inner = re.match(rf"(?i){NAMED}=(.+)", value)
-            if inner and len(inner[1]) >= 6:
-                yield start + inner.start(1), start + len(value), inner[1], True, False
+            head, _, tail = value.partition("=")
+            if len(tail) >= 6 and re.search(rf"(?i){NAMED}", head):
+                yield start + len(value) - len(tail), start + len(value), tail, True, False
             elif len(value) >= 16:
                 yield start, start + len(value), value, False, False
 
@@ -157,10 +168,23 @@ def labelled_findings(count: int = 3000, seed: int = 31) -> list[tuple[str, str,
         lambda: some(mixed + "+/", 40),
         lambda: f"secret key {some(mixed + '+/', 40)}",
         lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{some(mixed + '+/', 200)}\n-----END RSA PRIVATE KEY-----",
+        lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(mixed + "+/", 64) for _ in range(r.randint(2, 25))),
+        lambda: r.choice(["sk_live_", "ghp_", "glpat-", "xoxp-", "npm_", "hf_"]) + some("abcdefghijklmnopqrstuvwxyz", r.randint(20, 40)),
+        lambda: f"{name()}{equals()}{quote(term() + some('0123456789', r.randint(2, 4)))}",
+        lambda: f'{name()}{equals()}"{term()}{term()}{r.choice(["", term()])}"',
+        lambda: f'{name()}{equals()}"{r.choice(["prod", "live", "main", "master", term()])}-{term()}-{r.choice(["key", "token", "pass", term()])}"',
+        lambda: f"{name()}={term()}{term()}{term()}",
+        lambda: f"{r.choice(['postgres', 'mysql', 'mongodb', 'redis', 'amqp', 'https', 'ftp'])}://{term()}:{r.choice([some(mixed, r.randint(6, 20)), term().capitalize() + some('0123456789', 3), term() + some('0123456789', 2), some(mixed, 8) + r.choice('!#%*')])}@{term()}.{r.choice(['com', 'internal', 'net'])}/{term()}",
     ]
     harmless = [
         lambda: f"{name()}{equals()}{quote(r.choice(['changeme', 'xxxxxxxx', '********', 'your_password_here', 'YOUR-API-KEY', 'example', 'placeholder', '<redacted>', 'password', 'undefined', 'process.env.TOKEN', '${TOKEN}', 'getToken()']))}",
         lambda: f"{name()}: {word()}{word()} {prose()}",
+        lambda: f"{name()}: {term()}{r.choice(['', 's', 'ing', 'ed'])} {prose()}",
+        lambda: f"{name()} = {term()}.{term()}",
+        lambda: f"{name()}={term()}_{term()}()",
+        lambda: f'{name()}{equals()}"{r.choice(["<your", "your-", "my-example-", "sample-", "test-", "dummy-"])}{term()}-{term()}"',
+        lambda: f"https://{r.choice(['user', 'name', 'username'])}:{r.choice(['password', 'pass', 'secret', 'yourpassword', 'changeme'])}@example.com/{term()}",
+        lambda: f"http://{term()}.com:{some('0123456789', 4)}/{term()}/{term()}@{term()}.{r.randint(1, 99)}",
         lambda: f"{r.choice(['commit', 'revision', 'sha1', 'sha256', 'md5', 'checksum', 'etag'])} {some(hexa, r.choice([32, 40, 64]))}",
         lambda: "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)),
         lambda: some("0123456789", r.choice([16, 18, 19, 20])),
@@ -286,6 +310,7 @@ def findings(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, paths in batches:
             yield pd.Series([[{"start": a, "length": b - a, "secret": v, "chance": round(p, 6)} for a, b, v, p in scan(t, q, model, threshold)] for t, q in zip(texts, paths, strict=True)], dtype=object)
+        give_back()
 
     return docs.select(F.col(id).alias(id), F.explode(run(F.col(text), _path(docs, path))).alias("f")).select(id, "f.*")
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -74,8 +75,26 @@ def test_html_text(spark):
     assert (html_extract.decide(html_extract.tree(), x) == y).all()
 
 
+@pytest.mark.parametrize("unit", ['<a href="x ', '<a href="x>', '<p x="y>', "<svg>", "<b></i>", "<!-- ", "< ", "<script ", "<div>"])
+def test_faulty_pages_of_a_megabyte_take_no_long(unit):
+    begun = time.perf_counter()
+    html_extract.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - begun < 20
+
+
 LONG = "The bridge was shut for a week, and those who live on the far side had to go round by the mill."
 HTML_HINTS = [
+    (f"<article><svg viewBox='0 0 1 1'/><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><iframe src=x /><p>Second</p></article>", f"{LONG}\nSecond"),
+    (f"<article><p>{LONG}</p><iframe src=x><p>Second</p><canvas><p>Third</p></article>", f"{LONG}\nSecond\nThird"),
+    (f"<article><select><option>one</select><svg><text>drawn</text></svg><p>{LONG}</p></article>", LONG),
+    (f"<p>{LONG}</p>< 5 apples and many more words", f"{LONG}\n< 5 apples and many more words"),
+    (f"<article><p>{LONG} if a <b and c", f"{LONG} if a <b and c"),
+    (f'<article><p>{LONG}</p><div class="cut', LONG),
+    (f"<article><p class='related-work'>{LONG}</p><p id='legal'>{LONG}</p><div class='share-buttons'>Share it</div><p class='ad'>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be. {LONG}</p></article>", f"Let x=2 be. {LONG}"),
+    (f"<article><p title=it's>{LONG}</p><p>It's</p></article>", f"{LONG}\nIt's"),
+    (f"<article><p>{LONG}</p><script>if (a < b) {{ '<p>no</p>' }}", LONG),
     (f"<article class='post tag-rain category-x'><h1>Bridge</h1><p>{LONG}</p><div class='share'>Tell a friend of it</div></article>", f"Bridge\n{LONG}"),
     (f"<div class='wrap share-enabled'><article><p>{LONG}</p></article><p class='ad'>{LONG}</p></div>", LONG),
     (f"<div id=main class='col sidebar-left'><p>{LONG}</p><div class='comments'>{LONG}</div></div><div class='sidebar-left'>{LONG}</div>", LONG),
