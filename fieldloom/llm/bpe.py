@@ -3,13 +3,16 @@
 Texts are cut into words as the tokenizer's pattern does (checked against it in the tests), but with array
 operations on code-point classes. The distinct words of a batch that the process has not met yet are rows
 (word, list of ids); a recursive query turns them into token-position rows, joins neighbours with the merge
-table, contracts each word's leftmost pair of least rank, and ends when no word has a pair left. Decoding is an
-ordered aggregation of token bytes. What a document's ids are is then a lookup of its words; the decode of a
-document is the concatenation of the decodes of its words' ids, since bytes of tokens concatenate.
+table, contracts each word's leftmost pair of least rank, and ends when no word has a pair left. A document's ids are then a
+lookup of its words. Decoding joins each document's own ids with the vocabulary and aggregates the tokens' bytes in order of position.
 
-No shuffle; memory is bounded by the batch and by MOST_WORDS kept words, which a task drops at its end. Edge cases: null is the empty text,
-with no ids; the empty text has no ids; words of any length go the same way, though one of n bytes takes up to n
-steps of n rows.
+Long words are first cut between bytes that no token of the vocabulary spans. What is still long goes to a query that
+contracts all of a word's pairs of the least rank in one step, from the left, up to the first that makes a pair which ranks before
+it, so that the result is that of one contraction after the other. So a word of a megabyte takes a number of steps that depends on the ranks in it.
+
+No shuffle; memory is bounded by the batch and by MOST_WORDS kept words, which a task drops at its end; DuckDB never writes to disk. Edge
+cases: null is the empty text, which has no ids and decodes to no bytes; words of any length go the same way; repeated rows get equal
+results; leftmost goes first where ranks tie; an empty table gives an empty result; columns named like results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import give_back, without
 
 #: Words kept by a process between batches; words given to one recursive query; characters cut at once.
-MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 150_000, 10_000, 500_000
-#: Sequences decoded at once.
-ROWS_AT_ONCE = 200
+MOST_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 250_000, 10_000, 500_000
+#: Ids decoded at once; bytes from which a word is cut, and from which a piece goes to the query for long ones.
+IDS_AT_ONCE, CUT_FROM, LONG = 200_000, 48, 96
 LETTER, NUMBER, OTHER, SPACE, GAP = range(5)
 
 RECURSION = """
@@ -44,9 +47,38 @@ with recursive state(w, ids) using key (w) as (
     group by w) b using (w))
 select w, ids from state order by w
 """
+LONG_RECURSION = """
+with recursive state(w, ids) using key (w) as (
+  select w, ids from words
+  union all
+  select t.w, list(coalesce(a.rank, t.id) order by t.spot)
+  from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as spot from state) t
+  semi join (select distinct w from (select w, unnest(ids[:-2]) as l, unnest(ids[2:]) as r from state) p join merges m on m.pair = ((p.l::bigint << 32) | p.r)) pairs on pairs.w = t.w
+  left join ({chosen}) a on a.w = t.w and a.spot = t.spot
+  left join ({chosen}) b on b.w = t.w and b.spot + 1 = t.spot
+  where b.spot is null
+  group by t.w)
+select w, ids from state order by w
+"""
+#: Of each word's pairs of the least rank: in a row of overlapping ones every other, up to the first whose new token makes a pair that ranks before it.
+CHOSEN = """
+  select w, spot, rank from (
+    select w, spot, rank, row_number() over (partition by w, run order by spot) as k, coalesce(sum(early) over (partition by w order by spot rows between unbounded preceding and 1 preceding), 0) as earlier
+    from (select c.w, c.spot, c.rank, c.spot - row_number() over (partition by c.w order by c.spot) as run, coalesce(least(x.rank, y.rank, z.rank) < c.rank, false)::int as early
+      from (select w, spot, rank, before, after from (
+          select w, spot, m.rank, before, after, min(m.rank) over (partition by w) as least
+          from (select *, lag(l) over (partition by w order by spot) as before, lead(r) over (partition by w order by spot) as after
+            from (select w, unnest(ids[:-2]) as l, unnest(ids[2:]) as r, generate_subscripts(ids[2:], 1) as spot from state)) p
+          join merges m on m.pair = ((p.l::bigint << 32) | p.r))
+        where rank = least) c
+      left join merges x on x.pair = ((c.before::bigint << 32) | c.rank)
+      left join merges y on y.pair = ((c.rank::bigint << 32) | c.after)
+      left join merges z on z.pair = ((c.rank::bigint << 32) | c.rank)))
+  where earlier = 0 and k % 2 = 1"""
+#: The connection has one thread, so that the rows reach the aggregation in their order. A letter stands for a byte.
 DECODE = """
-select k, string_agg(hex, '' order by spot) as hex
-from (select k, unnest(ids) as id, generate_subscripts(ids, 1) as spot from coded) t join vocabulary using (id)
+select k, string_agg(letters, '') as letters
+from (select k, spot, letters from (select k, unnest(ids) as id, generate_subscripts(ids, 1) as spot from coded) t join vocabulary using (id) order by k, spot)
 group by k order by k
 """
 
@@ -120,20 +152,41 @@ class Codec:
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
+        self._spans()
+        # A word is small and many words are asked about at once: one thread, no files.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
         self.forget()
 
+    def _spans(self) -> None:
+        """What tokens hold: which two bytes are a token, and which three follow each other in one."""
+        two = [t for t in self.ranks if len(t) == 2]
+        three = {t[k : k + 3] for t in self.ranks for k in range(len(t) - 2)}
+        self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 21, np.uint8)  # the second by bits
+        self.two[[t[0] << 8 | t[1] for t in two]] = True
+        at = np.array([t[0] << 16 | t[1] << 8 | t[2] for t in three], np.int64)
+        np.bitwise_or.at(self.three, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def pieces(self, word: bytes) -> list[bytes]:
+        """A word, cut wherever no token can span the cut: one that does is two bytes long or holds three that span it."""
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        at = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        three = (self.three[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        whole = self.two[b[:-1] << 8 | b[1:]]  # of the cut after each byte but the last
+        whole[:-1] |= three
+        whole[1:] |= three
+        cuts = [0, *(np.flatnonzero(~whole) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def forget(self) -> None:
         """Drops the kept words, as at a task's end: the process may go on to other work."""
         self.words: dict[str, int] = {}
-        self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        self.id_ends, self.text_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.id_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ask(self, query: str, name: str, table):
         self.db.register(name, table)
@@ -143,35 +196,60 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and where each word's end (after a 0)."""
+        raw = [[b] if len(b) < CUT_FROM or b in self.ranks else self.pieces(b) for b in (w.encode("utf-8") for w in words)]
+        upto = np.concatenate([[0], np.cumsum([len(p) for p in raw])])
+        flat = [b for p in raw for b in p]
+        far = np.array([len(b) >= LONG for b in flat], bool)
+        if not far.any():
+            ids, ends = self._contracted(flat, RECURSION)
+            return ids, ends[upto]
+        near, near_ends = self._contracted([b for b, f in zip(flat, far, strict=True) if not f], RECURSION)
+        long, long_ends = self._contracted([b for b, f in zip(flat, far, strict=True) if f], LONG_RECURSION.format(chosen=CHOSEN))
+        sizes, starts = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+        for which, ends, shift in ((~far, near_ends, 0), (far, long_ends, len(near))):
+            sizes[which], starts[which] = np.diff(ends), ends[:-1] + shift
+        return np.concatenate([near, long])[ragged(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[upto]
+
+    def _contracted(self, raw: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words or pieces of them, by one recursive query."""
         import pyarrow as pa
 
-        raw = [w.encode("utf-8") for w in words]
         whole = np.array([self.ranks.get(b, -1) for b in raw], np.int32)  # a word that is a token is that token
         sizes = np.where(whole >= 0, 1, [len(b) for b in raw])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         flat, single = np.empty(ends[-1], np.int32), np.zeros(ends[-1], bool)
         single[ends[:-1][whole >= 0]] = True
         flat[single] = whole[whole >= 0]
         flat[~single] = self.bytes[np.frombuffer(b"".join([b for b, r in zip(raw, whole.tolist(), strict=True) if r < 0]), np.uint8)]
         lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))
-        done = self._ask(RECURSION, "words", pa.table({"w": np.arange(len(words), dtype=np.int32), "ids": lists})).column("ids")
+        done = self._ask(query, "words", pa.table({"w": np.arange(len(raw), dtype=np.int32), "ids": lists})).column("ids")
         done = done.chunk(0) if done.num_chunks else pa.array([], pa.list_(pa.int32()))
         offsets = done.offsets.to_numpy().astype(np.int64)
         return done.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of sequences of ids (none of them empty) one after the other, and where each one's end (after a 0)."""
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids, given one after the other, and where each one's end (after a 0); one longer than IDS_AT_ONCE is decoded in parts."""
+        parts = sorted({*ends.tolist(), *range(0, int(ends[-1]), IDS_AT_ONCE)})
+        out, at = [], 0
+        while at < len(parts) - 1:
+            stop = at + 1
+            while stop < len(parts) - 1 and parts[stop + 1] - parts[at] <= IDS_AT_ONCE:
+                stop += 1
+            out += self._decoded(ids[parts[at] : parts[stop]], np.array(parts[at : stop + 1]) - parts[at])
+            at = stop
+        place = np.searchsorted(parts, ends).tolist()
+        return [b"".join(out[i:j]) for i, j in zip(place[:-1], place[1:], strict=True)]
+
+    def _decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The same of sequences that are not empty, by one ordered aggregation."""
         import pyarrow as pa
 
-        lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32()))
-        done = self._ask(DECODE, "coded", pa.table({"k": np.arange(len(ends) - 1, dtype=np.int32), "ids": lists})).column("hex")
-        done = (done.chunk(0) if done.num_chunks else pa.array([], pa.string())).cast(pa.large_string())
-        offsets = np.frombuffer(done.buffers()[1], np.int64)[done.offset : done.offset + len(done) + 1]
-        text = bytes.fromhex(done.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]].decode()) if len(done) else b""
-        return np.frombuffer(text, np.uint8), (offsets - offsets[0]) // 2
+        lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.astype(np.int32)))
+        done = self._ask(DECODE, "coded", pa.table({"k": np.arange(len(ends) - 1, dtype=np.int32), "ids": lists})).column("letters")
+        return [x.encode("latin-1") for x in done.to_pylist()]
 
     def learn(self, words: set[str]) -> None:
-        """Encodes words that are not kept yet, and decodes their ids."""
+        """Encodes words that are not kept yet."""
         new = [w for w in words if w not in self.words]
         if self.words and len(self.words) + len(new) > MOST_WORDS:
             self.forget()
@@ -179,14 +257,12 @@ class Codec:
         for at in range(0, len(new), WORDS_AT_ONCE):
             lot = new[at : at + WORDS_AT_ONCE]
             ids, ends = self.encode_words(lot)
-            text, text_ends = self.decode(ids, ends)
             self.words.update(zip(lot, range(len(self.words), len(self.words) + len(lot)), strict=True))
             self.id_ends = np.concatenate([self.id_ends, ends[1:] + len(self.ids)])
-            self.text_ends = np.concatenate([self.text_ends, text_ends[1:] + len(self.text)])
-            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+            self.ids = np.concatenate([self.ids, ids])
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of lots of texts one after the other, and where each text's end (after a 0)."""
         at = 0
         while at < len(texts):
             stop, held = at, 0
@@ -196,17 +272,18 @@ class Codec:
             words, counts = cut(texts[at:stop])
             self.learn(set(words))
             rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            parts = []
-            for ends, values in ((self.id_ends, self.ids), (self.text_ends, self.text)):
-                sizes = ends[rows + 1] - ends[rows]
-                upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-                parts.append((values[ragged(ends[rows], sizes)], upto))
-            (ids, i), (text, t) = parts
-            ids = ids.astype("<u4", copy=False)
-            for k in range(stop - at):
-                yield ids[i[k] : i[k + 1]].tobytes(), text[t[k] : t[k + 1]].tobytes()
+            sizes = self.id_ends[rows + 1] - self.id_ends[rows]
+            upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            yield self.ids[ragged(self.id_ends[rows], sizes)], upto
             at = stop
 
+    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian unsigned 32-bit integers, bytes that these ids decode to) of each text."""
+        for ids, ends in self.encode(texts):
+            raw = ids.astype("<u4", copy=False)
+            for k, text in enumerate(self.decode(ids, ends)):
+                yield raw[ends[k] : ends[k + 1]].tobytes(), text
+
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
@@ -220,7 +297,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in codec(path).texts([t or "" for t in batch])], dtype=object)
+            coded = codec(path).encode([t or "" for t in batch])
+            yield pd.Series([ids[a:b] for ids, ends in coded for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], dtype=object)
         codec(path).forget()
         give_back()
 
@@ -233,14 +311,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = [b""] * len(batch)
-            rows = [k for k, x in enumerate(batch) if x is not None and len(x)]
-            for at in range(0, len(rows), ROWS_AT_ONCE):
-                lot = rows[at : at + ROWS_AT_ONCE]
-                text, ends = codec(path).decode(np.concatenate([batch.iloc[k] for k in lot]), np.cumsum([0, *(len(batch.iloc[k]) for k in lot)]))
-                for n, k in enumerate(lot):
-                    out[k] = text[ends[n] : ends[n + 1]].tobytes()
-            yield pd.Series(out, dtype=object)
+            held = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in batch]
+            yield pd.Series(codec(path).decode(np.concatenate([np.zeros(0, np.int32), *held]), np.cumsum([0, *map(len, held)])), dtype=object)
+        give_back()
 
     return without(docs, name).withColumn(name, run(F.col(ids)))
 

@@ -6,12 +6,13 @@ global rate, that of a section its host's posterior, and how strongly each level
 spread between groups (method of moments). A document's score adds the log odds of its section, against the global
 ones, to its own; documents below the threshold are rejected.
 
-The regression learns from at most SAMPLE labelled documents, drawn by a hash of the id; only their features
-reach the driver. Evidence is computed once for the sums and once for the scores instead of being stored; texts are not shuffled
+The regression learns from at most SAMPLE labelled documents, the first by a hash of the id; only their features
+reach the driver. An id with several labels counts with the least, one with several texts with the text of the least hash. Evidence is computed once for the sums and once for the scores instead of being stored; texts are not shuffled
 unless there are more sections than may be broadcast, in which case AQE splits a hot host.
 
 Edge cases: a null or empty text, or one of white space, has evidence 0 and is rejected, and counts for no site; a null host or path is a
-group of its own; without labels of both kinds, all other documents are kept.
+group of its own; without labels of both kinds, all other documents are kept; a score of just the threshold is kept; repeated
+rows each count and get equal scores; an empty table gives an empty result; columns named like results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -94,12 +95,17 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([features(t) for t in batch], dtype=object)
+        give_back()
 
     usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("_l"), F.col(label).cast("int").alias("_y"))
-    share = min(1.0, sample / max(1, usable.agg(F.approx_count_distinct("_l", 0.02)).first()[0]))
-    drawn = usable.where(F.pmod(F.xxhash64("_l", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).groupBy("_l").agg(F.min("_y").alias("_y"))
-    rows = docs.select(F.col(id).alias("_i"), F.col(text).alias("_t")).join(F.broadcast(drawn), F.col("_i") == F.col("_l")).select("_l", "_y", measured("_t").alias("f")).dropDuplicates(["_l"]).collect()
-    rows = sorted(rows, key=lambda r: r["_l"])[: int(1.1 * sample)]
+    # The hash bound leaves a little more than the sample, which is then cut to size: so many rows are broadcast and collected at most.
+    share = min(1.0, 1.2 * sample / max(1, usable.agg(F.approx_count_distinct("_l", 0.02)).first()[0]))
+    place = F.pmod(F.xxhash64("_l", F.lit(1)), F.lit(1 << 20))
+    drawn = usable.where(place < F.lit(int(share * (1 << 20)))).groupBy("_l").agg(F.min("_y").alias("_y"))
+    drawn = drawn.orderBy(place, "_l").limit(sample)
+    found = docs.select(F.col(id).alias("_i"), F.col(text).alias("_t")).join(F.broadcast(drawn), F.col("_i") == F.col("_l"))
+    rows = found.select("_l", F.struct(F.xxhash64("_t"), measured("_t").alias("f"), "_y").alias("_r")).groupBy("_l").agg(F.min("_r").alias("_r")).collect()
+    rows = [r["_r"] for r in sorted(rows, key=lambda r: r["_l"])]
     return Model(np.array([r["f"] for r in rows], np.float64).reshape(-1, NAMES), np.array([r["_y"] for r in rows], np.float64))
 
 
