@@ -58,6 +58,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shared_files(uri: str):
+    """The file system of a folder in the shared one, as tasks use it, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage so that a lost executor costs no long recomputation."""
 
@@ -75,6 +82,11 @@ class Scratch:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def folder(self, name: str) -> str:
+        """A folder for files of tasks; dropped like a table."""
+        self.names.add(name)
+        return self.path(name)
+
     def drop(self, name: str | None = None) -> None:
         """Deletes one table, or all."""
         jvm = self.spark._jvm

@@ -1,30 +1,37 @@
 """Embedding near-duplicates through hierarchical navigable small-world graphs, one a shard.
 
 Vectors are dealt to shards by a hash; equal vectors are one row with its count. A task builds the graph of
-a shard (a batch of vectors at a time, so that numpy does the work), audits it, and stores it in the shared folder.
-Then every vector queries every shard, a block of one shard's vectors against one graph a task. Beams start at BEAM
+a shard (a batch of vectors at a time, so that numpy does the work), audits it, and writes it to files in the shared folder, once.
+Then every vector queries every shard: a task reads the vectors of a few shards and the graphs of a few others in turn, so
+nothing but the names of files is shuffled. Beams start at BEAM
 and are doubled until an audit against all vectors of the shard finds at least RECALL of the links of AUDIT of its own
-vectors and of as many that are not in its graph, as those of other shards, placed so that each has a link there; and doubled for a query as long as its whole beam is links. All hits are verified in double precision.
+vectors and of as many that are not in its graph, as those of other shards, placed so that each has a link there. Each time vectors of another
+shard query a graph, a sample of them is audited again, against all of the graph's vectors, and the beam doubled until they reach
+RECALL too; and doubled for a query as long as its whole beam is links. All hits are verified in double precision.
 A task returns a query's count of links in the shard and the shard's local components that it touches, not
 pairs, so dense groups cost no rows; components of those links give the result.
 
 A shard holds about SHARD rows (never fewer than LEAST_SHARDS shards); queries times shards is the cost of the method.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
-neither do vectors of different lengths; rows that repeat an id and its vector are one vector; a null id links
-with nothing and is kept.
+neither do vectors of different lengths; vectors may be of any finite size, since each is scaled by a power of two first; rows that
+repeat an id and its vector are one vector; rows of one id with different vectors are judged each by its own; a null id links
+with nothing and is kept; of linked vectors the least id stays; an empty table gives an empty result; other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch
+from fieldloom.llm.common import Scratch, give_back, join_sized, shared_files
 from fieldloom.llm.components import components
 
 SHARD, LEAST_SHARDS = 20_000, 6
@@ -32,6 +39,8 @@ SHARD, LEAST_SHARDS = 20_000, 6
 LINKS, BOTTOM, BUILD_BEAM, BEAM = 12, 24, 48, 48
 #: Queries of an audit, and the share of links that it must find.
 AUDIT, RECALL = 512, 0.999
+#: Queries of the audit of another shard's vectors; shards that a task queries with, and that it queries, at most.
+SAMPLE, SHARDS_AT_ONCE = 128, 8
 #: Queries searched together; nodes of each that are expanded at once; nodes below which a layer is searched in full.
 TOGETHER, AT_ONCE, FULL = 192, 4, 256
 
@@ -191,18 +200,21 @@ class Graph:
 
     def audit(self, least: float, seed: int = 23) -> float:
         """Widens the beam until a sample of the vectors and of strangers, compared with all, finds RECALL of its links; the recall."""
-        n = len(self.x)
         rng = np.random.default_rng(seed)
-        rows = rng.permutation(n)[:AUDIT]
+        rows = rng.permutation(len(self.x))[:AUDIT]
         q = np.concatenate([self.x[rows], self._strangers(least, rng)])
-        rows = np.concatenate([rows, np.full(len(q) - len(rows), -1)])
-        want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(q @ self.x.T >= least)), strict=True) if rows[i] != j}
-        while True:
-            found = {(i, j) for i, j in zip(*(v.tolist() for v in self.search(q, least)), strict=True) if rows[i] != j}
-            recall = len(want & found) / len(want) if want else 1.0
-            if recall >= RECALL or self.beam >= n:
-                return recall
-            self.beam = min(n, self.beam * 2)
+        return self.widen(q, least, np.concatenate([rows, np.full(len(q) - len(rows), -1)]))
+
+    def widen(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> float:
+        """Widens the beam until queries q, compared with all vectors, find RECALL of their links; the recall. own: the row that a query is itself, or -1."""
+        own = np.full(len(q), -1) if own is None else own
+        want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(q.astype(np.float32) @ self.x.T >= least)), strict=True) if own[i] != j}
+        while want:
+            found = want.intersection(zip(*(v.tolist() for v in self.search(q, least)), strict=True))
+            if len(found) >= RECALL * len(want) or self.beam >= len(self.x):
+                return len(found) / len(want)
+            self.beam = min(len(self.x), self.beam * 2)
+        return 1.0
 
 
 def _with(starts: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -278,10 +290,27 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, e
     return np.where(ids == n, -1, ids), near
 
 
-def _pack(**arrays) -> bytes:
+def _save(folder: str, **arrays) -> str:
+    """The name of a new file with these arrays. A task that is run again writes another."""
     out = io.BytesIO()
     np.savez(out, **arrays)
-    return out.getvalue()
+    system, path = shared_files(folder)
+    system.create_dir(path, recursive=True)
+    name = f"{uuid.uuid4().hex}.npz"
+    with system.open_output_stream(f"{path}/{name}") as f:
+        f.write(out.getbuffer())
+    return name
+
+
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    system, path = shared_files(folder)
+    with system.open_input_file(f"{path}/{name}") as f, np.load(io.BytesIO(f.read())) as found:
+        return dict(found)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which brings its largest component to between a half and one and changes no digit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -310,41 +339,45 @@ def _local(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         of = new
 
 
-def _build(group: pd.DataFrame, least: float) -> pd.DataFrame:
+def _build(group: pd.DataFrame, least: float, folder: str) -> pd.DataFrame:
+    """Writes a shard's vectors, with what links them among each other, and its graph; the names of the files."""
     group = group.sort_values("id")
     ids, weight = group["id"].to_numpy(), group["m"].to_numpy()
-    v = np.stack(group["v"].to_numpy()).astype(np.float64)
+    v = _scaled(np.stack(group["v"].to_numpy()).astype(np.float64))
     graph = Graph(_unit(v))
     recall = graph.audit(least - 1e-4)
     p, q = graph.search(graph.x, least - 1e-4)
     ok = (p != q) & _verified(v, v, p, q, least)
     p, q = p[ok], q[ok]
     count = np.bincount(p, weights=weight[q], minlength=len(ids)).astype(np.int64)
+    vectors = _save(folder, ids=ids, weight=weight, v=v, local=ids[_local(len(ids), p, q)], count=count)
     layers = {f"nodes{k}": a for k, (a, _) in enumerate(graph.layers)} | {f"links{k}": a for k, (_, a) in enumerate(graph.layers)} | {f"extra{k}": a for k, a in enumerate(graph.extra)}
-    blob = _pack(ids=ids, weight=weight, v=v, local=ids[_local(len(ids), p, q)], count=count, beam=graph.beam, **layers)
-    return pd.DataFrame({"dim": group["dim"].iloc[:1].to_numpy(), "shard": group["shard"].iloc[:1].to_numpy(), "recall": [recall], "beam": [graph.beam], "blob": [blob]})
-
-
-def _query(graphs: pd.DataFrame, blocks: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Counts and touched local components of each vector of a block in one graph. The graph's own block has both at hand."""
-    if not len(graphs) or not len(blocks):
-        return pd.DataFrame({"id": [], "n": [], "to": pd.Series([], dtype=object)})
-    g = np.load(io.BytesIO(graphs["blob"].iat[0]))
-    if graphs["i"].iat[0] == graphs["j"].iat[0]:
-        return pd.DataFrame({"id": g["ids"], "n": g["count"], "to": [[x] for x in g["local"].tolist()]})
-    b = np.load(io.BytesIO(blocks["blob"].iat[0]))
+    links = _save(folder, beam=np.array(graph.beam), **layers)
+    give_back()
+    return pd.DataFrame({"dim": group["dim"].iloc[:1].to_numpy(), "shard": group["shard"].iloc[:1].to_numpy(), "recall": [recall], "vectors": [vectors], "links": [links]})
+
+
+def _graph(folder: str, vectors: dict[str, np.ndarray], links: str) -> Graph:
+    held = _load(folder, links)
     graph = Graph.__new__(Graph)
-    v, w = g["v"], b["v"]
-    graph.x, graph.beam = _unit(v).astype(np.float32), int(g["beam"])
-    n = sum(k.startswith("nodes") for k in g.files)
-    graph.layers = [(g[f"nodes{k}"], g[f"links{k}"]) for k in range(n)]
-    graph.extra = [g[f"extra{k}"] for k in range(n)]
-    p, q = graph.search(_unit(w), least - 1e-4)
-    ok = _verified(w, v, p, q, least)
-    p, q = p[ok], q[ok]
-    if not len(p):
-        return pd.DataFrame({"id": [], "n": [], "to": pd.Series([], dtype=object)})
-    hits = pd.DataFrame({"id": b["ids"][p], "n": g["weight"][q], "to": g["local"][q]})
+    graph.x, graph.beam = _unit(vectors["v"]).astype(np.float32), int(held["beam"])
+    n = sum(k.startswith("nodes") for k in held)
+    graph.layers = [(held[f"nodes{k}"], held[f"links{k}"]) for k in range(n)]
+    graph.extra = [held[f"extra{k}"] for k in range(n)]
+    return graph
+
+
+def _query(block: dict[str, np.ndarray], vectors: dict[str, np.ndarray], graph: Graph, least: float) -> pd.DataFrame | None:
+    """Counts and touched local components of each vector of a block in another shard's graph."""
+    q = _unit(block["v"])
+    sample = np.random.default_rng(len(q)).permutation(len(q))[:SAMPLE]
+    graph.widen(q[sample], least - 1e-4)
+    i, j = graph.search(q, least - 1e-4)
+    ok = _verified(block["v"], vectors["v"], i, j, least)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return None
+    hits = pd.DataFrame({"id": block["ids"][i], "n": vectors["weight"][j], "to": vectors["local"][j]})
     return hits.groupby("id", as_index=False).agg(n=("n", "sum"), to=("to", lambda s: sorted(set(s))))
 
 
@@ -356,21 +389,48 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     sound = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     good = rows.where("sound").select("id", "v").distinct()
-    classes = scratch.table(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("v")), "classes")
+    classes = good.groupBy("v").agg(F.min("id").alias("of"), F.count(F.lit(1)).alias("m"))
+    # Numbers, since an id may have several vectors; they are fixed once the table is written.
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("id"), "of", "v", "m", F.size("v").alias("dim")), "classes")
     shards = max(LEAST_SHARDS, -(-classes.count() // SHARD))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    built = dealt.groupBy("dim", "shard").applyInPandas(lambda g: _build(g, least), "dim int, shard int, recall double, beam int, blob binary")
-    built = scratch.table(built, "graphs")
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    graphs = built.select("dim", F.col("shard").alias("i"), F.explode(every).alias("j"), "blob")
-    blocks = built.select("dim", F.explode(every).alias("i"), F.col("shard").alias("j"), "blob")
-    found = graphs.groupBy("dim", "i", "j").cogroup(blocks.groupBy("dim", "i", "j")).applyInPandas(lambda a, b: _query(a, b, least), "id long, n long, to array<long>")
-    found = scratch.table(found, "found")
+    folder = scratch.folder("graphs")
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).drop("of")
+    built = dealt.groupBy("dim", "shard").applyInPandas(lambda g: _build(g, least, folder), "dim int, shard int, recall double, vectors string, links string")
+    built = scratch.table(built, "built")
+
+    lot = max(1, min(SHARDS_AT_ONCE, shards // 24))
+    lots = -(-shards // lot)
+    held = built.groupBy("dim", F.floor(F.col("shard") / lot).cast("int").alias("lot")).agg(F.collect_list(F.struct("shard", "vectors", "links")).alias("held"))
+    asking = held.select("dim", F.col("held").alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    pairs = asking.join(held.withColumnRenamed("held", "asked"), ["dim", "lot"]).select("asking", "asked")
+    pairs = pairs.repartition(max(1, min(lots * lots, 8 * spark.sparkContext.defaultParallelism)))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asking, asked in zip(batch["asking"], batch["asked"], strict=True):
+                for g in asked:
+                    mine = _load(folder, g["vectors"])
+                    graph = None
+                    for b in asking:
+                        if b["shard"] == g["shard"]:
+                            yield pd.DataFrame({"id": mine["ids"], "n": mine["count"], "to": [[x] for x in mine["local"].tolist()]})
+                            continue
+                        graph = graph or _graph(folder, mine, g["links"])
+                        found = _query(_load(folder, b["vectors"]), mine, graph, least)
+                        if found is not None:
+                            yield found
+        give_back()
+
+    found = scratch.table(pairs.mapInPandas(ask, "id long, n long, to array<long>"), "found")
     links = found.select(F.col("id").alias("a"), F.explode("to").alias("b"))
     parts = components(links, scratch, "cc")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.select(F.col("id").alias("class"), "v", "m").join(counts.withColumnRenamed("id", "class"), "class", "left").join(parts.withColumnRenamed("id", "class"), "class", "left")
-    named = scratch.table(named.select(F.col("v").alias("_v"), "class", "m", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "class").alias("component")), "named")
-    out = rows.withColumn("_k", F.when(F.col("sound"), F.col("v"))).join(named, F.col("_k") == F.col("_v"), "left")
-    comp = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id), F.coalesce(F.col("n") + F.col("m") - 1, F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    named = classes.select("id", "of", "v", "m").join(counts, "id", "left").join(parts, "id", "left")
+    named = scratch.table(named.select(F.col("v").alias("_v"), "of", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"), "component"), "named")
+    least_ids = scratch.table(named.where("component is not null").groupBy("component").agg(F.min("of").alias("least")), "least_ids")
+    named = join_sized(named, least_ids, "component", "left").select("_v", "n_links", F.coalesce("least", "of").alias("component_id"))
+    able = rows.where("sound").join(named, F.col("v") == F.col("_v")).select("id", "n_links", "component_id")
+    out = able.unionByName(rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    out = scratch.table(out, "judged")
+    scratch.drop_but("judged")
+    return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

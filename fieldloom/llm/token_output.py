@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bpe import cut, ragged
-from fieldloom.llm.common import Scratch, join_sized
+from fieldloom.llm.common import Scratch, give_back, join_sized, shared_files
 
 #: Ids in a sequence, input partitions and indices kept for each, id that pads, words that a process keeps.
 LENGTH, PARTITIONS, ROOM, PAD, MOST_WORDS = 256, 1_000_000, 1 << 32, 50_256, 400_000
@@ -116,13 +116,6 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _open(uri: str):
-    """The file system of a path and the path within it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: int = 20_240_229, id: str = "doc_id", text: str = "text", length: int = LENGTH, shards: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Writes shards (by default as many as the input has partitions) to ``out``, a folder that all machines share; by default a new one in the shared folder.
 
@@ -154,7 +147,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, folder = _open(out)
+        system, folder = shared_files(out)
         system.create_dir(folder, recursive=True)
         shard, stream, name, number = -1, None, "", 0
         pad = np.uint16(PAD).astype("<u2").tobytes()
@@ -207,7 +200,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
 
 def read_shard(out: str, shard: int, start: int = 0, length: int = LENGTH) -> np.ndarray:
     """Sequences of a shard from number ``start`` on, (n, length), without reading what stands before."""
-    system, folder = _open(out)
+    system, folder = shared_files(out)
     with system.open_input_file(f"{folder}/shard-{shard:08d}.bin") as f:
         f.seek(start * 2 * length)
         return np.frombuffer(f.read(), "<u2").reshape(-1, length)
