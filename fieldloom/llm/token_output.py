@@ -1,16 +1,18 @@
 """Token ids in training order: a keyed Feistel permutation gives every sequence its place in fixed-stride shards.
 
-A document's token ids are cut into sequences of LENGTH ids; the last one is padded. Sequence r of input
-partition p has the index p * ROOM + r. A Feistel network over the least even number of bits that holds all indices,
+A document's token ids are cut into sequences of LENGTH ids; the last one is padded. Sequence r of the document with id i
+has the index (i - least id) * room + r, where room is the most sequences that the longest text can have, so an index
+depends on the data alone, not on which task met it. A Feistel network over the least even number of bits that holds all indices,
 keyed, and walked along its cycle until it lands inside the range, maps indices one to one to places in the same
 range, so all the places are known in a single pass, without a count. Each shard takes an equal range of places; its rows are
 sorted by place and written as raw little-endian unsigned 16-bit ids, 2 * LENGTH bytes each, so that sequence i of a
 shard stands at byte i * 2 * LENGTH and a reader may start anywhere and read on. The global slot of a
-sequence is its rank: the sequences of the shards before, of which one count each is kept, plus its number in its own.
+sequence is the rank of its place: the sequences of the shards before, of which one count each is kept, plus its number in its own.
 A shard is written under a name of its attempt and then renamed; a task that is run again leaves the same file.
 
-Edge cases: a null or empty text has no sequence; an empty table gives an empty manifest; repeated
-rows are sequences of their own.
+Edge cases: a null or empty text has no sequence; an empty table gives an empty manifest; rows that share an id share its places,
+and the order of their ids settles the tie, so each sequence still has a slot of its own; rows without an id stand for one more id; texts may be of
+any length and other columns of any name; if ids times room exceed 2^62, that is an error.
 """
 
 from __future__ import annotations
@@ -22,15 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bpe import cut, ragged
 from fieldloom.llm.common import Scratch, give_back, join_sized, shared_files
 
-#: Ids in a sequence, input partitions and indices kept for each, id that pads, words that a process keeps.
-LENGTH, PARTITIONS, ROOM, PAD, MOST_WORDS = 256, 1_000_000, 1 << 32, 50_256, 400_000
+#: Ids in a sequence, id that pads, words that a process keeps.
+LENGTH, PAD, MOST_WORDS = 256, 50_256, 400_000
 CHARS_AT_ONCE, ROUNDS = 1_000_000, 6
 
 
@@ -126,25 +127,31 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
     out = out or scratch.path("shards")
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
     shards = shards or max(1, rows.rdd.getNumPartitions())
-    space = PARTITIONS * ROOM
+    low, high, longest = rows.agg(F.min("id"), F.max("id"), F.max(F.octet_length("t"))).first()
+    low, high, room = low or 0, high or 0, max(1, -(-(longest or 0) // length))  # a token has a byte at least
+    space = (high - low + 2) * room  # with one more for rows without an id
+    if space > 1 << 62:
+        raise ValueError(f"ids from {low} to {high} with up to {room} sequences each are too many for 62 bits")
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = TaskContext.get().partitionId() * ROOM
         for batch in batches:
             texts = [t or "" for t in batch["t"]]
             keys = batch["id"].astype("Int64").array
+            first = (keys.fillna(high + 1).to_numpy(np.int64) - low) * room
             lot: list[tuple] = []
             for k, ids in enumerate(words(vocabulary).encode(texts)):
                 raw = ids.astype("<u2").tobytes()
                 lot += [(k, j // (2 * length), raw[j : j + 2 * length]) for j in range(0, len(raw), 2 * length)]
                 if len(lot) >= 8192 or k == len(texts) - 1 and lot:
-                    place = permute(np.arange(at, at + len(lot)), space, key)
-                    yield pd.DataFrame({"place": place, "shard": np.minimum(place / space * shards, shards - 1).astype(np.int32), "id": keys[[x[0] for x in lot]], "part": [x[1] for x in lot], "ids": [x[2] for x in lot]})
-                    at, lot = at + len(lot), []
+                    row, part = np.array([x[0] for x in lot]), np.array([x[1] for x in lot])
+                    place = permute(first[row] + part, space, key)
+                    yield pd.DataFrame({"place": place, "shard": np.minimum(place / space * shards, shards - 1).astype(np.int32), "id": keys[row], "part": part, "ids": [x[2] for x in lot]})
+                    lot = []
         words(vocabulary).forget()
+        give_back()
 
     dealt = rows.mapInPandas(sequences, "place long, shard int, id long, part long, ids binary")
-    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "ids")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder = shared_files(out)

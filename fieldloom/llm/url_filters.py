@@ -8,7 +8,8 @@ those run their regular expressions. A rule without a whole literal token is fil
 which every address carries.
 
 Edge cases: an address that is null or has no ``://`` has empty host and path and the default verdict;
-repeated rows stay; columns named like results are replaced.
+repeated rows stay; columns named like results are replaced; an empty table gives an empty result, and without rules every
+address gets the default; of rules that tie in length the last by name wins; addresses may be of any length.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     from a table in the shared folder, so that AQE can split a hot address.
     """
     scratch = scratch or Scratch(pages.sparkSession)
-    size = rules.count()
+    size = rules.agg(F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(1))), F.lit(0))).first()[0]  # tokens, of which a rule has at least one row
     small = (lambda df: F.broadcast(df)) if size <= BROADCAST_ROWS else (lambda df: df)
     urls = pages.select(F.col(url).alias("_u")).where(F.col("_u").contains("://")).distinct()
     urls = urls.withColumn("_t", F.concat(host(F.col("_u")), path(F.col("_u"))))

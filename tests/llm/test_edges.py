@@ -304,6 +304,15 @@ def test_each_stage_takes_odd_rows_and_empty_tables(spark, tmp_path, k):
     assert k or not {1, 2, 3} & set(ids)
 
 
+def test_slots_depend_on_the_data_alone(spark):
+    rows = [(i, " ".join(f"{i}word{j}" for j in range(i * 13 % 400))) for i in [*range(-5, 60), 7, 7, 10**12]] + [(7, "another text"), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = [sorted((r.slot, r.doc_id or 0, r.part, r.sha256) for r in token_output.materialise(d, VOCABULARY, shards=3).collect()) for d in (docs.repartition(5), docs.coalesce(1).orderBy("text"))]
+    assert slots[0] == slots[1] and [s[0] for s in slots[0]] == list(range(len(slots[0])))
+    with pytest.raises(ValueError):
+        token_output.materialise(spark.createDataFrame([(-(2**62), "a"), (2**62, "b")], "doc_id long, text string"), VOCABULARY)
+
+
 def test_embeddings_of_any_size_of_number(spark):
     rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1.0, 0.0]), (4, [1e300, 1e299]), (5, [0.0, 1e-310]), (6, [float("inf"), 1.0]), (7, None), (8, []), (9, [0.0, -0.0]), (2, [0.0, 5.0]), (None, [1.0, 0.0]), (3, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, id string")
