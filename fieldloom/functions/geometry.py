@@ -280,30 +280,27 @@ def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
     return float(area)
 
 
-def _upright(p: np.ndarray) -> bool:
+def upright(ring: Column) -> Column:
     """Whether a ring is a rectangle along the axes."""
-    if len(p) != 4:
-        return False
-    d = np.roll(p, -1, 0) - p
-    return bool(((d == 0).sum(1) == 1).all() and (d[0] == -d[2]).all() and (d[1] == -d[3]).all())
-
-
-def shared_area(p: np.ndarray, q: np.ndarray) -> float:
-    """overlap_area, at once for two rectangles along the axes."""
-    if _upright(p) and _upright(q):
-        side = np.minimum(p.max(0), q.max(0)) - np.maximum(p.min(0), q.min(0))
-        return float(side[0] * side[1]) if (side > 0).all() else 0.0
-    return overlap_area(p, q)
+    p = [F.get(ring, k) for k in range(4)]
+    along = lambda a, b: (p[0][a] == p[1][a]) & (p[1][b] == p[2][b]) & (p[2][a] == p[3][a]) & (p[3][b] == p[0][b])
+    return F.coalesce((F.size(ring) == 4) & (along("lat", "lng") | along("lng", "lat")), F.lit(False))
 
 
 def overlap():
-    """Area in square degrees that two rings share, by an Arrow UDF."""
+    """Area in square degrees that two rings share: of two rectangles along the axes in Columns, of others by an Arrow UDF, to which the rectangles go as nulls."""
 
     @F.pandas_udf("double")
     def run(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([shared_area(p, q) if len(p) > 2 and len(q) > 2 else 0.0 for p, q in zip(map(_joined, ax, ay), map(_joined, bx, by), strict=True)])
+        return pd.Series([0.0 if x is None or u is None or len(x) < 3 or len(u) < 3 else overlap_area(np.column_stack([x, y]), np.column_stack([u, v])) for x, y, u, v in zip(ax, ay, bx, by, strict=True)], dtype=float)
+
+    def shared(left: Column, right: Column) -> Column:
+        a, b, plain = (F.get(left, 0), F.get(left, 2)), (F.get(right, 0), F.get(right, 2)), upright(left) & upright(right)
+        side = lambda k: F.greatest(F.least(F.greatest(a[0][k], a[1][k]), F.greatest(b[0][k], b[1][k])) - F.greatest(F.least(a[0][k], a[1][k]), F.least(b[0][k], b[1][k])), F.lit(0.0))
+        others = [F.when(~plain, axis) for axis in (*_axes(left), *_axes(right))]
+        return F.when(plain, side("lng") * side("lat")).otherwise(run(*others))
 
-    return lambda left, right: run(*_axes(left), *_axes(right))
+    return shared
 
 
 def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:

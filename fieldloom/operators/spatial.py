@@ -10,10 +10,6 @@ from fieldloom import constants as K
 from fieldloom.functions import geometry as G
 from fieldloom.functions.mathx import col, degrees_of, haversine_m, mercator
 
-#: A side of a join is broadcast only up to so many rows.
-BROADCAST_ROWS = 50_000
-
-
 def bounds(ring: Column) -> Column:
     lats, lngs = F.transform(ring, lambda p: p["lat"]), F.transform(ring, lambda p: p["lng"])
     return F.struct(F.array_min(lngs).alias("x0"), F.array_min(lats).alias("y0"), F.array_max(lngs).alias("x1"), F.array_max(lats).alias("y1"))
@@ -87,9 +83,22 @@ def uncovered(blocks: DataFrame, assigned: DataFrame, enough: float = K.BLOCK_CO
 def not_within(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
     """Points (lat, lng) inside no polygon (ring); both sides meet by cell."""
     size = size or cell_size(polygons)
-    p = polygons.select(F.col("ring").alias("_ring"), F.explode(cells(bounds(F.col("ring")), size)).alias("_cell"))
+    p = polygons.select(F.col("ring").alias("_ring"), bounds(F.col("ring")).alias("_box")).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
     cell = F.struct(F.floor(F.col("lng") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
-    return points.join(p, (cell == F.col("_cell")) & G.contains(F.col("_ring"), F.col("lat"), F.col("lng")), "left_anti")
+    return points.join(p, (cell == F.col("_cell")) & in_box(F.col("_box"), F.col("lat"), F.col("lng")) & G.contains(F.col("_ring"), F.col("lat"), F.col("lng")), "left_anti")
+
+
+def in_box(box: Column, lat: Column, lng: Column) -> Column:
+    """Whether a point is in a bounding box: a few comparisons that spare most rings the walk along their edges."""
+    return lng.between(box["x0"], box["x1"]) & lat.between(box["y0"], box["y1"])
+
+
+def containing(points: DataFrame, polygons: DataFrame, size: float, lat: str = "center_lat", lng: str = "center_lng") -> DataFrame:
+    """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring."""
+    cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
+    grid = polygons.withColumn("_box", bounds(F.col("ring"))).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
+    near = points.withColumn("_cell", cell).join(grid, "_cell").where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
+    return near.where(G.contains(F.col("ring"), lat, lng)).drop("_cell", "_box")
 
 
 def pixels_within(pixels: DataFrame, polygons: DataFrame, key: str) -> DataFrame:

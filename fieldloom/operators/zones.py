@@ -38,7 +38,8 @@ def granularity(area_ha: Column, ring: Column, lat: Column) -> Column:
 def zone_crops(parcels: DataFrame, lat: float, lng: float, radius_m: float, min_confidence: float = 0.0, crops: list[str] | None = None, traced: DataFrame | None = None) -> DataFrame:
     """Features of a circle: (parcel_id, source_id, crop_pred, area_ha, distance_m, cover_ratio, granularity, geometry_source, source_rank).
 
-    With traced parcels each takes the crop of the block that covers it most; blocks covered enough go.
+    With traced parcels each takes the crop of the block that covers it most; blocks covered enough go. A traced parcel keeps its own
+    ``area_ha`` (unless that is 0) and ``source`` if the table has them; other areas are measured.
     """
     blocks = crops_in_circle(parcels, lat, lng, radius_m, min_confidence, crops).withColumn("source_id", F.col("parcel_id"))
     whole = blocks
@@ -51,18 +52,20 @@ def zone_crops(parcels: DataFrame, lat: float, lng: float, radius_m: float, min_
         whole = blocks.join(left, "parcel_id", "left_semi")
         from fieldloom.functions.mathx import haversine_m
 
+        own = lambda c: F.col(f"own_{c}") if c in traced.columns else F.lit(None)
+        given = traced.select(F.col("traced_id").alias("parcel_id"), "ring", "center_lat", "center_lng", *[F.col(c).alias(f"own_{c}") for c in ("area_ha", "source") if c in traced.columns])
         halves = (
-            assigned.join(traced.withColumnRenamed("traced_id", "parcel_id"), "parcel_id")
+            assigned.join(given, "parcel_id")
             .join(blocks.select(F.col("source_id").alias("block_id"), "crop_pred"), "block_id")
             .select(
                 F.col("parcel_id"),
                 F.col("block_id").alias("source_id"),
                 "crop_pred",
-                round_up(G.area_ha(F.col("ring"), F.col("center_lat")), 4).alias("area_ha"),
+                round_even(F.coalesce(F.nullif(own("area_ha").cast("double"), F.lit(0.0)), G.area_ha(F.col("ring"), F.col("center_lat"))), 4).alias("area_ha"),
                 round_even(haversine_m(F.lit(lng), F.lit(lat), "center_lng", "center_lat")).cast("long").alias("distance_m"),
-                round_up(F.col("cover_ratio"), 3).alias("cover_ratio"),
+                round_even(F.col("cover_ratio"), 3).alias("cover_ratio"),
                 F.lit("parcelle").alias("granularity"),
-                F.lit("JECAM-VHR").alias("geometry_source"),
+                F.coalesce(F.nullif(own("source").cast("string"), F.lit("")), F.lit("JECAM-VHR")).alias("geometry_source"),
                 F.lit(0).alias("source_rank"),
             )
         )

@@ -26,8 +26,20 @@ select parcel_id, {r('a', 1)} as area_m2, {r('d', 2)} as distance_m from q where
 
 def parcels_to_classify(spark: SparkSession, d: str) -> DataFrame:
     p = with_ring(table(spark, d, "traced")).select(F.col("traced_id").alias("parcel_id"), "ring")
-    return D.to_classify(p, LAT, LNG, 4000.0, 1.0).select("parcel_id", "area_m2", "distance_m")
-
+    return D.to_classify(p, LAT, LNG, 4000.0, 1.0).select("parcel_id", round_up(F.col("area_m2"), 1).alias("area_m2"), round_up(F.col("distance_m"), 2).alias("distance_m"))
+
+
+PARCELS_TO_CLASSIFY = with_("traced", recursive=True) + f""", q as (select traced_id as parcel_id, center_lat, center_lng, 4*half_lng*half_lat*111320e0*111320e0*cos(radians(center_lat)) as a, sqrt(pow((center_lng-47.03e0)*111320e0*cos(radians(-19.85e0)),2)+pow((center_lat+19.85e0)*111320e0,2)) as d from traced),
+c as materialized (select *, row_number() over (order by d, parcel_id) as k from q where a >= 10000 and a <= 800000 and d <= 4000),
+walk(k, kept, lats, lngs) as (
+  select 1::bigint, parcel_id, [center_lat], [center_lng] from c where k = 1
+  union all
+  select c.k, case when far then c.parcel_id end, case when far then list_append(w.lats, c.center_lat) else w.lats end, case when far then list_append(w.lngs, c.center_lng) else w.lngs end
+  from walk w join c on c.k = w.k + 1
+  cross join lateral (select min(sqrt(pow((c.center_lng-o.lng)*111320e0*greatest(abs(cos(radians(o.lat))), 0.1e0), 2)+pow((c.center_lat-o.lat)*111320e0, 2))) >= 15 as far from (select unnest(w.lats) as lat, unnest(w.lngs) as lng) o)
+  where len(w.lats) < 20)
+select parcel_id, {r('a', 1)} as area_m2, {r('d', 2)} as distance_m from c where parcel_id in (select kept from walk)
+"""
 
 def candidates_discovered(spark: SparkSession, d: str) -> DataFrame:
     """The whole cascade around one point."""
@@ -49,7 +61,7 @@ SERIES_SPREAD = with_("series") + f"""select parcel_id, count(ndvi) as n_ndvi, m
 
 QUERIES = {
     "parcels_in_reach": (parcels_in_reach, PARCELS_IN_REACH),
-    "parcels_to_classify": (parcels_to_classify, None),
+    "parcels_to_classify": (parcels_to_classify, PARCELS_TO_CLASSIFY),
     "candidates_discovered": (candidates_discovered, None),
     "series_spread": (series_spread, SERIES_SPREAD),
 }

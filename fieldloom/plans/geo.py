@@ -113,10 +113,7 @@ def geo_contains(spark: SparkSession, d: str) -> DataFrame:
     """Traced centres inside parcels."""
     parcels = with_ring(table(spark, d, "parcels")).select("parcel_id", "ring")
     points = table(spark, d, "traced").select("traced_id", "center_lat", "center_lng")
-    size = 0.004
-    cell = F.struct(F.floor(F.col("center_lng") / size).alias("cx"), F.floor(F.col("center_lat") / size).alias("cy"))
-    grid = parcels.withColumn("cell", F.explode(S.cells(S.bounds(F.col("ring")), size)))
-    return points.withColumn("cell", cell).join(grid, "cell").where(G.contains(F.col("ring"), "center_lat", "center_lng")).select("parcel_id", "traced_id")
+    return S.containing(points, parcels, 0.004).select("parcel_id", "traced_id")
 
 
 GEO_CONTAINS = with_("parcels", "traced") + """
@@ -226,8 +223,31 @@ def geo_clip(spark: SparkSession, d: str) -> DataFrame:
     return p.where(F.size("clip") >= 3).select("parcel_id", F.size("clip").cast("long").alias("n_points"), M.round_up(G.area_m2(F.col("clip")), 1).alias("area_m2"))
 
 
+def _clipped() -> str:
+    """SQL for the 48-gon of the circle clipped to each parcel, one side of the rectangle after the other: k4 has the points, in degrees and in order."""
+    out = with_("parcels") + """, k0 as (select parcel_id, center_lat, center_lng, half_lat, half_lng, i as k,
+  47.03e0+cos(i/48e0*2*pi())*3000/(111320e0*cos(radians(-19.85e0))) as x, -19.85e0+sin(i/48e0*2*pi())*3000/110574e0 as y from parcels, (select unnest(range(48)) as i)
+  where abs(center_lng-47.03e0) < 0.03e0+half_lng and abs(center_lat+19.85e0) < 0.03e0+half_lat)"""
+    for n, side in enumerate(("x-(center_lng-half_lng)", "center_lng+half_lng-x", "y-(center_lat-half_lat)", "center_lat+half_lat-y")):
+        out += f""", s{n} as (select *, {side} as s from k{n}), e{n} as (select *, last_value(k) over w as kl, coalesce(lag(x) over o, last_value(x) over w) as px, coalesce(lag(y) over o, last_value(y) over w) as py, coalesce(lag(s) over o, last_value(s) over w) as ps from s{n}
+  window o as (partition by parcel_id order by k), w as (partition by parcel_id order by k rows between unbounded preceding and unbounded following)),
+  k{n + 1} as (select parcel_id, center_lat, center_lng, half_lat, half_lng, row_number() over (partition by parcel_id order by j) as k, x, y from (
+    select *, 2*k as j from (select parcel_id, center_lat, center_lng, half_lat, half_lng, k, px+(x-px)*ps/(ps-s) as x, py+(y-py)*ps/(ps-s) as y from e{n} where (s >= 0) <> (ps >= 0))
+    union all select parcel_id, center_lat, center_lng, half_lat, half_lng, k, x, y, 2*k+1 from e{n} where s >= 0))"""
+    return out + """, means as (select parcel_id, avg(x) as mx, avg(y) as my, count(*) as n_points from k4 group by 1),
+  local as (select parcel_id, k, n_points, (x-mx)*111320e0*cos(radians(my)) as x, (y-my)*111320e0 as y from k4 join means using (parcel_id)),
+  parts as (select *, coalesce(lead(x) over (partition by parcel_id order by k), first_value(x) over (partition by parcel_id order by k)) as nx, coalesce(lead(y) over (partition by parcel_id order by k), first_value(y) over (partition by parcel_id order by k)) as ny from local),
+  clipped as (select parcel_id, n_points, abs(sum(x*ny-nx*y))/2 as area from parts where n_points >= 3 group by 1, 2)"""
+
+
+GEO_CLIP = _clipped() + f" select parcel_id, n_points, {r('area', 1)} as area_m2 from clipped where area > 0"
+
+
 def geo_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return R.coverage(with_ring(table(spark, d, "parcels")), LAT, LNG, 3.0)
+    return R.coverage(with_ring(table(spark, d, "parcels")), LAT, LNG, 3.0).select(M.round_up(F.col("coverage"), 6).alias("coverage"))
+
+
+GEO_COVERAGE = _clipped() + f" select coalesce({r('sum(area)/(pi()*9e6)', 6)}, 0e0) as coverage from clipped"
 
 
 QUERIES = {
@@ -242,6 +262,6 @@ QUERIES = {
     "geo_search_cells": (geo_search_cells, GEO_SEARCH_CELLS),
     "geo_overlap": (geo_overlap, GEO_OVERLAP),
     "geo_plausible": (geo_plausible, GEO_PLAUSIBLE),
-    "geo_clip": (geo_clip, None),
-    "geo_coverage": (geo_coverage, None),
+    "geo_clip": (geo_clip, GEO_CLIP),
+    "geo_coverage": (geo_coverage, GEO_COVERAGE),
 }

@@ -119,16 +119,17 @@ select o_orderkey as request_id, concat_ws(',', case when not (o_orderkey%200-10
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of 40 queries from three sources of falling priority."""
-    p = table(spark, d, "parcels").select((F.col("parcel_id") % 40).alias("query_id"), F.concat(F.lit("db-"), F.col("parcel_id").cast("string")).alias("candidate_id"), "center_lat", "center_lng")
-    t = table(spark, d, "traced").select((F.col("traced_id") % 60).alias("query_id"), F.concat(F.lit("vhr-"), F.col("traced_id").cast("string")).alias("candidate_id"), "center_lat", "center_lng")
-    return R.rank_sources(t.where("query_id % 3 = 0"), p.where("query_id % 2 = 0"), p.withColumn("candidate_id", F.concat(F.lit("cell-"), "candidate_id")))
+    """Candidates of 90 queries from three sources of falling priority, which serve different queries."""
+    named = lambda name, id, query: table(spark, d, name).select(query.alias("query_id"), F.col(id).cast("string").alias("candidate_id"), "center_lat", "center_lng")
+    t, p, c = named("traced", "traced_id", F.col("traced_id") % 60), named("parcels", "parcel_id", F.col("parcel_id") % 40 + 30), named("parcels", "parcel_id", F.col("parcel_id") % 90)
+    prefixed = lambda df, prefix: df.withColumn("candidate_id", F.concat(F.lit(prefix), "candidate_id"))
+    return R.rank_sources(prefixed(t, "vhr-"), prefixed(p, "db-"), prefixed(c, "cell-"))
 
 
 CANDIDATES = with_("parcels", "traced") + """, cand as (
-  select traced_id%60 as query_id, 'vhr-' || cast(traced_id as varchar) as candidate_id, center_lat, center_lng, 0 as source_rank from traced where traced_id%60%3=0
-  union all select parcel_id%40, 'db-' || cast(parcel_id as varchar), center_lat, center_lng, 1 from parcels where parcel_id%40%2=0
-  union all select parcel_id%40, 'cell-db-' || cast(parcel_id as varchar), center_lat, center_lng, 2 from parcels)"""
+  select traced_id%60 as query_id, 'vhr-' || cast(traced_id as varchar) as candidate_id, center_lat, center_lng, 0 as source_rank from traced
+  union all select parcel_id%40+30, 'db-' || cast(parcel_id as varchar), center_lat, center_lng, 1 from parcels
+  union all select parcel_id%90, 'cell-' || cast(parcel_id as varchar), center_lat, center_lng, 2 from parcels)"""
 
 
 def candidates_first_source(spark: SparkSession, d: str) -> DataFrame:
@@ -143,17 +144,29 @@ def candidates_thinned(spark: SparkSession, d: str) -> DataFrame:
     return R.thin(_candidates(spark, d), "query_id", "source_rank", "candidate_id", apart_km=0.4).select("query_id", "candidate_id")
 
 
+#: A query's candidates in their order: one stays if it is far from all those that stayed, whose places a list holds.
+CANDIDATES_THINNED = CANDIDATES.replace("with ", "with recursive ", 1) + """, c as materialized (select *, row_number() over (partition by query_id order by source_rank, candidate_id) as k from cand),
+walk(query_id, k, kept, lats, lngs) as (
+  select query_id, 1::bigint, candidate_id, [center_lat], [center_lng] from c where k = 1
+  union all
+  select w.query_id, c.k, case when far then c.candidate_id end, case when far then list_append(w.lats, c.center_lat) else w.lats end, case when far then list_append(w.lngs, c.center_lng) else w.lngs end
+  from walk w join c on c.query_id = w.query_id and c.k = w.k + 1
+  cross join lateral (select coalesce(min(sqrt(pow((c.center_lng-o.lng)*111.32e0*greatest(abs(cos(radians(o.lat))), 0.1e0), 2)+pow((c.center_lat-o.lat)*110.574e0, 2))), 1e9) >= 0.4e0 as far from (select unnest(w.lats) as lat, unnest(w.lngs) as lng) o))
+select query_id, kept as candidate_id from walk where kept is not null
+"""
+
+
 def candidates_analysed(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with their results, ranked in their query; those without one say why."""
     from pyspark.sql import Window as W
 
     c = _candidates(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("source_rank", "candidate_id")))
-    results = table(spark, d, "parcels").select(F.concat(F.lit("db-"), F.col("parcel_id").cast("string")).alias("candidate_id"), F.col("crop_pred").alias("analysis")).where("candidate_id like '%1'")
+    results = table(spark, d, "parcels").select(F.concat(F.lit("db-"), F.col("parcel_id").cast("string")).alias("candidate_id"), F.col("crop_pred").alias("analysis")).where("analysis in ('MACHINERY', 'BUILDING')")
     return R.with_results(c, results).select("query_id", "candidate_id", F.col("rank").cast("long").alias("place"), "analysis", "analysis_error")
 
 
 CANDIDATES_ANALYSED = CANDIDATES + """, ranked as (select *, row_number() over (partition by query_id order by source_rank, candidate_id) as place from cand),
-res as (select 'db-' || cast(parcel_id as varchar) as candidate_id, crop_pred as analysis from parcels where cast(parcel_id as varchar) like '%1')
+res as (select 'db-' || cast(parcel_id as varchar) as candidate_id, crop_pred as analysis from parcels where crop_pred in ('MACHINERY', 'BUILDING'))
 select query_id, candidate_id, place, analysis, case when analysis is null then case when place > 48 then 'Analyse IA non exécutée pour cette parcelle.' else 'Analyse IA non exécutée : délai de recherche automatique dépassé (trop de parcelles candidates).' end end as analysis_error
 from ranked left join res using (candidate_id)
 """
@@ -180,7 +193,7 @@ QUERIES = {
     "runs_serialised": (runs_serialised, RUNS_SERIALISED),
     "requests_checked": (requests_checked, REQUESTS_CHECKED),
     "candidates_first_source": (candidates_first_source, CANDIDATES_FIRST_SOURCE),
-    "candidates_thinned": (candidates_thinned, None),
+    "candidates_thinned": (candidates_thinned, CANDIDATES_THINNED),
     "candidates_analysed": (candidates_analysed, CANDIDATES_ANALYSED),
     "geojson_parsed": (geojson_parsed, GEOJSON_PARSED),
 }

@@ -72,7 +72,9 @@ select count(*) filter (where granularity <> 'bloc') as n_parcels, cast(0 as big
 
 def zone_crops_traced(spark: SparkSession, d: str) -> DataFrame:
     plain = with_ring(table(spark, d, "parcels")).withColumn("area_ha", round_up(G.area_ha(F.col("ring"), F.col("center_lat")), 4))
-    traced = with_ring(table(spark, d, "traced")).select("traced_id", "ring", "center_lat", "center_lng")
+    t = F.col("traced_id")
+    area, source = F.when(t % 4 == 0, t % 90 / 32).when(t % 4 == 1, F.lit(0.0)), F.when(t % 5 == 0, "FTW").when(t % 5 == 1, "")
+    traced = with_ring(table(spark, d, "traced")).select("traced_id", "ring", "center_lat", "center_lng", area.alias("area_ha"), source.alias("source"))
     return Z.zone_crops(plain, LAT, LNG, RADIUS, traced=traced).select("parcel_id", "source_id", "crop_pred", "area_ha", "distance_m", "cover_ratio", "granularity", "geometry_source")
 
 
@@ -86,8 +88,8 @@ pairs as (
 good as (select *, row_number() over (partition by traced_id order by floor(shared*1e15+0.5e0) desc, block_id) as rn from pairs where shared > 0 and shared/traced_area >= 0.35e0),
 best as (select * from good where rn = 1),
 covered as (select block_id, sum(shared) as s from best group by 1)
-select traced_id as parcel_id, block_id as source_id, crop_pred, {r(MEASURED, 4)} as area_ha, cast(round_even({hav('47.03e0', '-19.85e0', 'center_lng', 'center_lat')}, 0) as bigint) as distance_m,
-  {r('shared/traced_area', 3)} as cover_ratio, 'parcelle' as granularity, 'JECAM-VHR' as geometry_source from best
+select traced_id as parcel_id, block_id as source_id, crop_pred, round_even(case when traced_id%4=0 and traced_id%90<>0 then traced_id%90/32e0 else {MEASURED} end, 4) as area_ha, cast(round_even({hav('47.03e0', '-19.85e0', 'center_lng', 'center_lat')}, 0) as bigint) as distance_m,
+  round_even(shared/traced_area, 3) as cover_ratio, 'parcelle' as granularity, case when traced_id%5=0 then 'FTW' else 'JECAM-VHR' end as geometry_source from best
 union all
 select parcel_id, parcel_id as source_id, crop_pred, area_ha, cast(round_even(dist, 0) as bigint) as distance_m, cast(null as double) as cover_ratio,
   case when area_ha <= 2 then 'parcelle' else 'bloc' end as granularity, 'JECAM' as geometry_source
