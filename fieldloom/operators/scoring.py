@@ -227,26 +227,33 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str) -> dict:
     return {"features": features, "mean": mean, "std": std, "coef": list(fit.coefficients), "intercept": fit.intercept, "threshold": 0.5}
 
 
+#: Rows that leave-one-out takes: each of them is a fit over all the others.
+MOST_CALIBRATION_ROWS = 5_000
+
+
 def leave_one_out(rows: DataFrame, sets: list[list[str]], label: str, key: str, least: float = 0.8) -> DataFrame:
     """Leave-one-out accuracy of each feature set: (rank, features, n_rows, accuracy, majority); sets with too few complete rows are left out.
 
-    The table is a calibration set of at most a few hundred parcels: each set's rows form one group, fitted in numpy.
+    The table is a calibration set, typically of a few hundred parcels, read once: each set's rows form one group, fitted in
+    numpy. More than MOST_CALIBRATION_ROWS rows are an error.
     """
     import numpy as np
     import pandas as pd
 
-    total = rows.count()
-    parts = None
-    for rank, names in enumerate(sets):
-        complete = F.lit(True)
-        for n in names:
-            complete = complete & F.col(n).isNotNull()
-        part = rows.where(complete).select(F.lit(rank).alias("rank"), F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("y"), F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
-        parts = part if parts is None else parts.unionByName(part)
+    options = F.array(*[F.struct(F.lit(k).alias("rank"), F.array(*[F.col(n).cast("double") for n in names]).alias("x")) for k, names in enumerate(sets)])
+    parts = rows.select(F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("y"), F.explode(options).alias("o")).select("key", "y", "o.*")
+    kind = "rank int, features string, n_rows long, accuracy double, majority double"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > MOST_CALIBRATION_ROWS:
+            raise ValueError(f"leave-one-out takes at most {MOST_CALIBRATION_ROWS} rows, not {len(group)}")
+        total, rank = len(group), int(group["rank"].iat[0])
         group = group.sort_values("key")
-        x, y = np.stack(group["x"].to_numpy()), group["y"].to_numpy()
+        x, y = np.stack([np.asarray(v, float) for v in group["x"]]), group["y"].to_numpy()
+        whole = ~np.isnan(x).any(1)
+        x, y = x[whole], y[whole]
+        if len(y) < least * total:
+            return pd.DataFrame({"rank": [], "features": [], "n_rows": [], "accuracy": [], "majority": []})
         hits = 0
         for k in range(len(y)):
             rest = np.arange(len(y)) != k
@@ -262,10 +269,9 @@ def leave_one_out(rows: DataFrame, sets: list[list[str]], label: str, key: str,
                     break
             hits += int((np.append(1.0, (x[k] - m) / s) @ w >= 0) == (y[k] == 1))
         share = y.mean()
-        return pd.DataFrame({"rank": [int(group["rank"].iat[0])], "features": [",".join(sets[int(group["rank"].iat[0])])], "n_rows": [len(y)], "accuracy": [hits / len(y)], "majority": [max(share, 1 - share)]})
+        return pd.DataFrame({"rank": [rank], "features": [",".join(sets[rank])], "n_rows": [len(y)], "accuracy": [hits / len(y)], "majority": [max(share, 1 - share)]})
 
-    found = parts.groupBy("rank").applyInPandas(run, "rank int, features string, n_rows long, accuracy double, majority double")
-    return found.where(F.col("n_rows") >= least * total)
+    return parts.groupBy("rank").applyInPandas(run, kind)
 
 
 def best_feature_set(scores: DataFrame) -> DataFrame:

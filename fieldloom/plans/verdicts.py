@@ -74,23 +74,29 @@ from v
 """
 
 
+BANDS = ("2", "3", "4", "5", "6", "7", "8", "8a", "11", "12")
+
+
 def _features(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "bands")
-    bands = b.select("parcel_id", "month_key", *[X.reflectance(F.col(f"b{k}")).alias(f"B{k}") for k in (2, 4, 5, 6, 8, 11)])
+    bands = b.select("parcel_id", "month_key", *[X.reflectance(F.col(f"b{k}")).alias(f"B{k.upper()}") for k in BANDS])
     return C.seasonal_features(bands)
 
 
-WANTED = ["NDVI", "EVI", "NDRE", "NDMI", "PSRI", "MSI", "NDVI_mean", "NDVI_max", "NDVI_min", "NDVI_std", "EVI_std", "NDRE_mean", "NDMI_max", "NDVI_jun", "NDVI_aug", "NDVI_sep", "NDVI_oct", "doy_max_ndvi", "green_span_days", "first_green_doy", "last_green_doy", "pct_green", "ndvi_falling_slope", "drop_max_to_oct", "drop_sep_oct", "ratio_oct_max", "ramp_jun_to_aug"]
+#: All 48 features, as the operator names them.
+WANTED = [
+    *[f"B{k.upper()}" for k in BANDS], *C.ML_INDICES, "PSRI", "MSI", "month", "day_of_year", *[f"{i}_{f}" for i in C.ML_INDICES for f in ("mean", "max", "min", "std")], "NDVI_jun", "NDVI_aug", "NDVI_sep", "NDVI_oct",
+    "doy_max_ndvi", "green_span_days", "first_green_doy", "last_green_doy", "pct_green", "ndvi_falling_slope", "drop_max_to_oct", "drop_sep_oct", "ratio_oct_max", "ramp_jun_to_aug",
+]
 
 
 def seasonal_features(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select("parcel_id", "month_key", *[round_up(F.col(c), 5).alias(c.lower()) for c in WANTED])
 
 
-FEATURES_SQL = with_("bands") + """, x as (select parcel_id, m, month_key, b2/10000e0 as b2, b4/10000e0 as b4, b5/10000e0 as b5, b6/10000e0 as b6, b8/10000e0 as b8, b11/10000e0 as b11, cast(dayofyear(make_date(2025, m, 1)) as double) as doy from bands),
+FEATURES_SQL = with_("bands") + """, x as (select parcel_id, m, month_key, """ + ", ".join(f"b{k}/10000e0 as b{k}" for k in BANDS) + """, cast(dayofyear(make_date(2025, m, 1)) as double) as doy, cast(m as double) as month, cast(dayofyear(make_date(2025, m, 1)) as double) as day_of_year from bands),
 i as (select *, (b8-b4)/(b8+b4) as ndvi, 2.5e0*(b8-b4)/nullif(b8+6*b4-7.5e0*b2+1, 0) as evi, (b8-b5)/(b8+b5) as ndre, (b8-b11)/(b8+b11) as ndmi, (b4-b2)/(b6+1e-4) as psri, b11/(b8+1e-4) as msi from x),
-s as (select parcel_id, avg(ndvi) as ndvi_mean, max(ndvi) as ndvi_max, min(ndvi) as ndvi_min, case when count(ndvi)=1 then 0e0 else stddev_samp(ndvi) end as ndvi_std,
-  case when count(evi)=1 then 0e0 else stddev_samp(evi) end as evi_std, avg(ndre) as ndre_mean, max(ndmi) as ndmi_max,
+s as (select parcel_id, """ + ", ".join(f"avg({i}) as {i}_mean, max({i}) as {i}_max, min({i}) as {i}_min, case when count({i})=1 then 0e0 else stddev_samp({i}) end as {i}_std" for i in ("ndvi", "evi", "ndre", "ndmi")) + """,
   coalesce(avg(ndvi) filter (where m=6), avg(ndvi)) as ndvi_jun, coalesce(avg(ndvi) filter (where m=8), avg(ndvi)) as ndvi_aug, coalesce(avg(ndvi) filter (where m=9), avg(ndvi)) as ndvi_sep, coalesce(avg(ndvi) filter (where m=10), avg(ndvi)) as ndvi_oct,
   min(doy) filter (where ndvi >= 0.35e0) as first_green_doy, max(doy) filter (where ndvi >= 0.35e0) as last_green_doy, count(*) filter (where ndvi >= 0.35e0)/count(*) as pct_green
   from i group by 1 having count(ndvi) > 0),
@@ -128,13 +134,14 @@ select parcel_id, {r('p', 6)} as probability, p >= 0.5e0 as is_barley from p
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d)
-    return f.withColumn("label", (F.col("NDVI_oct") + F.col("parcel_id") % 3 * 0.05 > F.col("NDVI_mean")).cast("double"))
+    return f.withColumn("label", (F.col("NDVI_oct") + F.col("parcel_id") % 3 * 0.25 > F.col("NDVI_mean")).cast("double"))
 
 
 def forest_trained(spark: SparkSession, d: str) -> DataFrame:
-    """A forest trained on the features of all observations, and the parcels' verdicts by it."""
-    rows = _labelled(spark, d)
-    model = C.train_forest(rows, "label", ["NDVI", "NDVI_mean", "NDVI_oct", "NDVI_max", "doy_max_ndvi", "pct_green", "PSRI", "MSI"], trees=20, depth=8)
+    """A forest trained on all features of all observations, and the parcels' verdicts by it. Twenty trees of depth eight stand for the operator's default of 300 of depth 30."""
+    rows = _labelled(spark, d).persist()
+    model = C.train_forest(rows, "label", WANTED, trees=20, depth=8)
+    rows.unpersist()
     return C.classify(C.forest_probability(model, rows), F.col("p")).select("parcel_id", "probability", "is_barley", "level")
 
 
@@ -145,15 +152,48 @@ def _parcel_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
     names = ["NDVI_mean", "NDVI_oct"]
-    m = C.fit_logistic(_parcel_rows(spark, d), names, "label")
-    return spark.createDataFrame([(f, float(a), float(s), float(c), float(m["intercept"])) for f, a, s, c in zip(names, m["mean"], m["std"], m["coef"], strict=True)], "feature string, mean double, std double, coef double, intercept double")
+    rows = _parcel_rows(spark, d).persist()
+    m = C.fit_logistic(rows, names, "label")
+    rows.unpersist()
+    found = [(f, *(round(float(x), 3) + 0.0 for x in (a, s, c, m["intercept"]))) for f, a, s, c in zip(names, m["mean"], m["std"], m["coef"], strict=True)]
+    return spark.createDataFrame(found, "feature string, mean double, std double, coef double, intercept double")
+
+
+def _newton(keys: str) -> str:
+    """SQL of a step of Newton's method for a logistic model with two features u and v: sums over rows of its gradient and Hessian, then Cramer's rule. Weights but the constant are penalised by half their squares."""
+    det = lambda a: f"({a[0]}*({a[4]}*{a[8]}-{a[5]}*{a[7]})-{a[1]}*({a[3]}*{a[8]}-{a[5]}*{a[6]})+{a[2]}*({a[3]}*{a[7]}-{a[4]}*{a[6]}))"
+    h, g = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"], ["g0", "g1", "g2"]
+    step = [f"{det([g[i // 3] if i % 3 == k else x for i, x in enumerate(h)])}/{det(h)}" for k in range(3)]
+    return f"""select k+1, {keys}w0-{step[0]}, w1-{step[1]}, w2-{step[2]} from (
+    select k, {keys}w0, w1, w2, sum(p-y) as g0, sum((p-y)*u)+w1 as g1, sum((p-y)*v)+w2 as g2, sum(p*(1-p)) as h00, sum(p*(1-p)*u) as h01, sum(p*(1-p)*v) as h02, sum(p*(1-p)*u*u)+1 as h11, sum(p*(1-p)*u*v) as h12, sum(p*(1-p)*v*v)+1 as h22
+    from (select *, 1/(1+exp(-(w0+w1*u+w2*v))) as p from fit join z {'using (rank, o)' if keys else 'on true'} where k < 15) group by k, {keys}w0, w1, w2)"""
+
+
+LABELLED_SQL = FEATURES_SQL.replace("with ", "with recursive ", 1) + """, l as (select parcel_id, case when ndvi_oct+parcel_id%3*0.25e0 > ndvi_mean then 1e0 else 0e0 end as y, ndvi_mean as a, ndvi_oct as b, case when parcel_id%10<>0 then coalesce(pct_green, 0e0) end as c from stats)"""
+LOGISTIC_FIT = LABELLED_SQL + f""", m as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb from l), z as materialized (select y, (a-ma)/sa as u, (b-mb)/sb as v from l, m),
+fit(k, w0, w1, w2) as (select 0, 0e0, 0e0, 0e0 union all {_newton('')}), best as (select * from fit order by k desc limit 1)
+select feature, round(case feature when 'NDVI_mean' then ma else mb end, 3) as mean, round(case feature when 'NDVI_mean' then sa else sb end, 3) as std, round(case feature when 'NDVI_mean' then w1 else w2 end, 3) as coef, round(w0, 3) as intercept
+from m, best, (select unnest(['NDVI_mean', 'NDVI_oct']) as feature)
+"""
 
 
 def feature_sets(spark: SparkSession, d: str) -> DataFrame:
     sets = [["NDVI_mean"], ["NDVI_oct"], ["NDVI_mean", "NDVI_oct"], ["NDVI_oct", "pct_green"]]
-    scores = C.leave_one_out(_parcel_rows(spark, d), sets, "label", "parcel_id")
-    return scores.join(C.best_feature_set(scores).select("rank", F.lit(True).alias("best")), "rank", "left").select("rank", "features", "n_rows", "accuracy", "majority", F.coalesce("best", F.lit(False)).alias("best"))
-
+    scores = C.leave_one_out(_parcel_rows(spark, d), sets, "label", "parcel_id").persist()
+    best = C.best_feature_set(scores).first()
+    out = scores.select("rank", "features", "n_rows", round_up(F.col("accuracy"), 6).alias("accuracy"), round_up(F.col("majority"), 6).alias("majority"), (F.col("rank") == (best["rank"] if best else -1)).alias("best"))
+    return out
+
+
+FEATURE_SETS = LABELLED_SQL + f""", own as materialized (select 0 as rank, parcel_id as o, y, a as u, 0e0 as v from l union all select 1, parcel_id, y, b, 0e0 from l union all select 2, parcel_id, y, a, b from l union all select 3, parcel_id, y, b, c from l where c is not null),
+m as (select t.rank, t.o, avg(r.u) as mu, stddev_pop(r.u) as su, avg(r.v) as mv, stddev_pop(r.v) as sv from own t join own r on r.rank = t.rank and r.o <> t.o group by 1, 2),
+z as materialized (select m.rank, m.o, y, (u-mu)/coalesce(nullif(su, 0), 1) as u, (v-mv)/coalesce(nullif(sv, 0), 1) as v from m join own on own.rank = m.rank and own.o <> m.o),
+fit(k, rank, o, w0, w1, w2) as (select 0, rank, o, 0e0, 0e0, 0e0 from m union all {_newton('rank, o, ')}),
+hits as (select own.rank, y, (w0+w1*(u-mu)/coalesce(nullif(su, 0), 1)+w2*(v-mv)/coalesce(nullif(sv, 0), 1) >= 0) = (y = 1) as hit from fit join m using (rank, o) join own using (rank, o) where k = 15),
+scores as (select rank, count(*) as n_rows, avg(case when hit then 1e0 else 0e0 end) as accuracy, greatest(avg(y), 1-avg(y)) as majority from hits group by 1 having count(*) >= 0.8e0*(select count(*) from l))
+select cast(rank as integer) as rank, ['NDVI_mean', 'NDVI_oct', 'NDVI_mean,NDVI_oct', 'NDVI_oct,pct_green'][rank+1] as features, n_rows, {r('accuracy', 6)} as accuracy, {r('majority', 6)} as majority,
+  row_number() over (order by accuracy desc, case when rank < 2 then 1 else 2 end, rank) = 1 as best from scores
+"""
 
 QUERIES = {
     "analyses": (analyses, ANALYSES),
@@ -161,6 +201,6 @@ QUERIES = {
     "forest_verdicts": (forest_verdicts, FOREST_VERDICTS),
     "logistic_scores": (logistic_scores, LOGISTIC_SCORES),
     "forest_trained": (forest_trained, None),
-    "logistic_fit": (logistic_fit, None),
-    "feature_sets": (feature_sets, None),
+    "logistic_fit": (logistic_fit, LOGISTIC_FIT),
+    "feature_sets": (feature_sets, FEATURE_SETS),
 }

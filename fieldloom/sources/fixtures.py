@@ -64,9 +64,13 @@ select s_suppkey as parcel_id, k.m as m, '2025-' || lpad(cast(k.m as varchar(2))
   case when (s_suppkey+k.m*5)%8=0 then null else 1000e0+((s_suppkey*37+k.m*k.m*91)%3000) end as b8,
   case when (s_suppkey+k.m*5)%8=0 then null else 300e0+((s_suppkey*53+k.m*29)%900) end as b4,
   case when (s_suppkey+k.m*5)%8=0 then null else 200e0+((s_suppkey*11+k.m*7)%500) end as b2,
+  case when (s_suppkey+k.m*5)%8=0 then null else 350e0+((s_suppkey*13+k.m*43)%700) end as b3,
   case when (s_suppkey+k.m*5)%8=0 then null else 500e0+((s_suppkey*17+k.m*3)%900) end as b5,
   case when (s_suppkey+k.m*5)%8=0 then null else 600e0+((s_suppkey*23+k.m*19)%900) end as b6,
-  case when (s_suppkey+k.m*5)%8=0 then null else 900e0+((s_suppkey*41+k.m*31)%1500) end as b11
+  case when (s_suppkey+k.m*5)%8=0 then null else 700e0+((s_suppkey*29+k.m*47)%900) end as b7,
+  case when (s_suppkey+k.m*5)%8=0 then null else 1100e0+((s_suppkey*59+k.m*61)%2500) end as b8a,
+  case when (s_suppkey+k.m*5)%8=0 then null else 900e0+((s_suppkey*41+k.m*31)%1500) end as b11,
+  case when (s_suppkey+k.m*5)%8=0 then null else 800e0+((s_suppkey*67+k.m*23)%1100) end as b12
 from supplier cross join (select 1 as m union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7
   union all select 8 union all select 9 union all select 10 union all select 11 union all select 12) k
 """
