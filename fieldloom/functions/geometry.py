@@ -58,20 +58,62 @@ def close(ring: Column) -> Column:
     return F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["lng"], p["lat"]))
 
 
+def signed_deg2(ring: Column) -> Column:
+    """Area in square degrees, positive if the ring runs counter-clockwise; relative to the first point so that no digits cancel."""
+
+    def area(r: Column) -> Column:
+        x, y = F.get(r, 0)["lng"], F.get(r, 0)["lat"]
+        return total(F.zip_with(r, following(r), lambda a, b: (a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y))) / 2
+
+    return bind(ring, area)
+
+
+def joined_ring(rings: Column) -> Column:
+    """One ring of several, given as (ring, hole) structs: outer rings run counter-clockwise, holes clockwise, and from the first point of the first ring
+    a bridge leads to each other one and back.
+
+    A bridge is walked both ways, so it adds nothing to areas and centroids and changes no parity of crossings: whatever
+    takes a ring (areas, containment, overlaps) takes holes and further parts too. A single ring stays as it is.
+    """
+    turned = lambda r: F.when((signed_deg2(r["ring"]) > 0) == r["hole"], F.reverse(r["ring"])).otherwise(r["ring"])
+
+    def bridged(all_: Column) -> Column:
+        first = F.get(all_, 0)
+        rest = F.transform(F.slice(all_, 2, F.size(all_) - 1), lambda r: F.concat(r, F.slice(r, 1, 1), F.slice(first, 1, 1)))
+        return F.concat(first, F.slice(first, 1, 1), F.flatten(rest))
+
+    return bind(rings, lambda r: F.when(F.size(r) == 1, F.get(r, 0)["ring"]).when(F.size(r) > 1, bind(F.transform(r, turned), bridged)))
+
+
 def ring_of_geojson(geometry: Column) -> Column:
-    """Outer ring of a GeoJSON Polygon, or of a MultiPolygon's first one; empty for other geometries."""
-    none = F.array().cast("array<array<double>>")
+    """The ring of a GeoJSON Polygon or MultiPolygon, holes and all parts joined to it; empty for other geometries."""
+    none = F.array().cast(RING)
 
     def parse(text: Column) -> Column:
-        kind = F.get_json_object(text, "$.type")
-        plain = F.from_json(F.get_json_object(text, "$.coordinates[0]"), "array<array<double>>")
-        multi = F.from_json(F.get_json_object(text, "$.coordinates[0][0]"), "array<array<double>>")
-        return F.coalesce(F.when(kind == "Polygon", plain).when(kind == "MultiPolygon", multi), none)
+        kind, coordinates = F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates")
+        plain = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
+        return F.when(kind == "Polygon", plain).when(kind == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>"))
 
     def points(ring: Column) -> Column:
-        return F.transform(F.filter(ring, lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull()), lambda c: point(F.get(c, 1), F.get(c, 0)))
+        return normalize(F.transform(F.filter(ring, lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull()), lambda c: point(F.get(c, 1), F.get(c, 0))))
 
-    return bind(geometry, lambda text: bind(parse(text), points))
+    def rings(parts: Column) -> Column:
+        of = F.flatten(F.transform(parts, lambda part: F.transform(part, lambda ring, k: F.struct(points(ring).alias("ring"), (k > 0).alias("hole")))))
+        return F.filter(of, lambda r: r["ring"].isNotNull())
+
+    return bind(geometry, lambda text: F.coalesce(joined_ring(rings(parse(text))), none))
+
+
+def area_centroid(ring: Column) -> Column:
+    """The centre of mass, holes left out; the mean of the vertices if there is no area."""
+
+    def of(r: Column) -> Column:
+        x, y = F.get(r, 0)["lng"], F.get(r, 0)["lat"]
+        parts = F.zip_with(r, following(r), lambda a, b: F.struct(((a["lng"] - x) + (b["lng"] - x)).alias("x"), ((a["lat"] - y) + (b["lat"] - y)).alias("y"), ((a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y)).alias("w")))
+        sums = bind(parts, lambda p: F.struct(total(F.transform(p, lambda q: q["w"])).alias("w"), total(F.transform(p, lambda q: q["x"] * q["w"])).alias("x"), total(F.transform(p, lambda q: q["y"] * q["w"])).alias("y")))
+        return bind(sums, lambda s: F.when(s["w"] != 0, point(y + s["y"] / (3 * s["w"]), x + s["x"] / (3 * s["w"]))).otherwise(centroid(r)))
+
+    return bind(ring, of)
 
 
 def centroid(ring: Column) -> Column:
@@ -99,13 +141,8 @@ def area_m2(ring: Column, center: Column | None = None) -> Column:
 
 
 def area_deg2(ring: Column) -> Column:
-    """Shoelace area in square degrees, relative to the first point so that no digits cancel."""
-
-    def area(r: Column) -> Column:
-        x, y = F.get(r, 0)["lng"], F.get(r, 0)["lat"]
-        return F.abs(total(F.zip_with(r, following(r), lambda a, b: (a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y)))) / 2
-
-    return bind(ring, area)
+    """Shoelace area in square degrees."""
+    return F.abs(signed_deg2(ring))
 
 
 def area_ha(ring: Column, lat: Column) -> Column:
@@ -228,6 +265,12 @@ def shoelace(p: np.ndarray) -> float:
 
 
 
+def signed(points: list[tuple[float, float]]) -> float:
+    """Area of a ring of (x, y), positive if it runs counter-clockwise."""
+    p = np.array(points, float) - points[0]
+    return float(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))) / 2
+
+
 def hull_ratio():
     """A ring's area over its hull's, by an Arrow UDF."""
 

@@ -250,7 +250,61 @@ def geo_coverage(spark: SparkSession, d: str) -> DataFrame:
 GEO_COVERAGE = _clipped() + f" select coalesce({r('sum(area)/(pi()*9e6)', 6)}, 0e0) as coverage from clipped"
 
 
+def _with_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels as GeoJSON texts of two parts, the first with a hole in its upper right quarter, the second beside it; every third has its rings the other way round."""
+    p = table(spark, d, "parcels")
+    lat, lng, a, b = (F.col(c) for c in ("center_lat", "center_lng", "half_lat", "half_lng"))
+    rings = [G.rectangle(lat, lng, a, b), G.rectangle(lat + a / 2, lng + b / 2, a / 4, b / 4), G.rectangle(lat, lng + 2 * b, a / 2, b / 2)]
+    outer, hole, other = (F.when(F.col("parcel_id") % 3 == 0, F.reverse(G.close(x))).otherwise(G.close(x)) for x in rings)
+    text = F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), F.to_json(outer), F.lit(","), F.to_json(hole), F.lit("],["), F.to_json(other), F.lit("]]}"))
+    return p.withColumn("ring", G.ring_of_geojson(text))
+
+
+def geo_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Area and centre of mass of parcels with a hole and a second part."""
+    ring = F.col("ring")
+    p = _with_holes(spark, d).withColumn("c", G.area_centroid(ring))
+    return p.select("parcel_id", F.size(ring).cast("long").alias("n_points"), M.round_up(G.area_deg2(ring) * 1e6, 6).alias("area"), M.round_up(F.col("c.lat"), 9).alias("lat"), M.round_up(F.col("c.lng"), 9).alias("lng"))
+
+
+# Areas in units of half_lat * half_lng: 4 of the first part, 1/4 of the hole, 1 of the second part. Points: 4, the first again, and for each other ring 4 and two to close it and to go back.
+GEO_HOLES = with_("parcels") + f"""select parcel_id, cast(17 as bigint) as n_points, {r('4.75e0*half_lat*half_lng*1e6', 6)} as area,
+  {r('center_lat-0.25e0*half_lat/2/4.75e0', 9)} as lat, {r('center_lng+(2-0.125e0)*half_lng/4.75e0', 9)} as lng from parcels
+"""
+
+
+def geo_holes_shared(spark: SparkSession, d: str) -> DataFrame:
+    """What traced rectangles share with such parcels."""
+    parcels = _with_holes(spark, d).select("parcel_id", "ring")
+    traced = with_ring(table(spark, d, "traced")).select("traced_id", "ring")
+    pairs = S.overlapping(parcels, traced, "parcel_id", "traced_id").withColumn("shared", G.overlap()(F.col("ring"), F.col("r_ring")))
+    return pairs.where("shared > 1e-12").select("parcel_id", F.col("r_traced_id").alias("traced_id"), M.round_up(F.col("shared") * 1e6, 5).alias("shared"))
+
+
+GEO_HOLES_SHARED = with_("parcels", "traced") + """, w as (select parcel_id, 1 as sign, center_lat as y, center_lng as x, half_lat as a, half_lng as b from parcels
+  union all select parcel_id, -1, center_lat+half_lat/2, center_lng+half_lng/2, half_lat/4, half_lng/4 from parcels union all select parcel_id, 1, center_lat, center_lng+2*half_lng, half_lat/2, half_lng/2 from parcels),
+o as (select parcel_id, traced_id, sum(sign*greatest(0e0, least(y+a, center_lat+half_lat)-greatest(y-a, center_lat-half_lat))*greatest(0e0, least(x+b, center_lng+half_lng)-greatest(x-b, center_lng-half_lng))) as shared
+  from w join traced on abs(y-center_lat) < a+half_lat and abs(x-center_lng) < b+half_lng group by 1, 2)
+select parcel_id, traced_id, """ + r("shared*1e6", 5) + """ as shared from o where shared > 1e-12
+"""
+
+
+def geo_holes_hold(spark: SparkSession, d: str) -> DataFrame:
+    """Traced centres inside such parcels, and not in their holes."""
+    points = table(spark, d, "traced").select("traced_id", "center_lat", "center_lng")
+    return S.containing(points, _with_holes(spark, d).select("parcel_id", "ring"), 0.004).select("parcel_id", "traced_id")
+
+
+GEO_HOLES_HOLD = with_("parcels", "traced") + """
+select p.parcel_id, t.traced_id from parcels p join traced t on abs(t.center_lat-p.center_lat) < p.half_lat and t.center_lng > p.center_lng-p.half_lng and t.center_lng < p.center_lng+2.5e0*p.half_lng
+where (abs(t.center_lng-p.center_lng) < p.half_lng and not (abs(t.center_lat-p.center_lat-p.half_lat/2) < p.half_lat/4 and abs(t.center_lng-p.center_lng-p.half_lng/2) < p.half_lng/4))
+  or (abs(t.center_lat-p.center_lat) < p.half_lat/2 and abs(t.center_lng-p.center_lng-2*p.half_lng) < p.half_lng/2)
+"""
+
 QUERIES = {
+    "geo_holes": (geo_holes, GEO_HOLES),
+    "geo_holes_shared": (geo_holes_shared, GEO_HOLES_SHARED),
+    "geo_holes_hold": (geo_holes_hold, GEO_HOLES_HOLD),
     "geo_distances": (geo_distances, GEO_DISTANCES),
     "geo_polygons": (geo_polygons, GEO_POLYGONS),
     "geo_normalize": (geo_normalize, GEO_NORMALIZE),

@@ -7,6 +7,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
@@ -15,13 +16,16 @@ from fieldloom.operators.spatial import z_order
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of a FeatureCollection: (ring, properties..., ord); features without a polygon are dropped.
+    """Features of FeatureCollections: (ring, properties..., ord); features without a polygon are dropped.
 
-    ``properties`` is the DDL of the properties wanted.
+    ``properties`` is the DDL of the properties wanted. ``ord`` grows with a feature's place in its file, and over several files
+    with the order of their names, so that the first of equal ids is the same each time. A file is one document, read by one task.
     """
     schema = f"features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{', '.join(p.strip().replace(' ', ':', 1) for p in properties.split(','))}>>>"
     whole = spark.read.schema(schema).json(path, multiLine=True)
-    rows = whole.select(F.posexplode("features").alias("ord", "f"))
+    files = whole.select(F.col("_metadata.file_path").alias("path"), "features")
+    names = files.select("path").distinct().select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("file"))  # one row a file
+    rows = files.join(F.broadcast(names), "path").select("file", F.posexplode("features").alias("pos", "f")).withColumn("ord", F.col("file") * (1 << 32) + F.col("pos"))
     geometry = F.to_json(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates")))
     raw = F.concat(F.lit('{"type":"'), F.col("f.geometry.type"), F.lit('","coordinates":'), F.col("f.geometry.coordinates"), F.lit("}"))
     ring = G.normalize(G.ring_of_geojson(F.coalesce(raw, geometry)))
@@ -80,22 +84,39 @@ def wkb():
     return run
 
 
+def _wkb_rings(raw: bytes, at: int = 0) -> tuple[list[tuple[list, bool]], int]:
+    """(points, hole) of the rings of a WKB polygon or multi-polygon that starts at a byte, and where it ends."""
+    order = "<" if raw[at] == 1 else ">"
+    kind, n = struct.unpack_from(f"{order}II", raw, at + 1)
+    at, out = at + 9, []
+    for k in range(n):
+        if kind % 1000 == 6:
+            part, at = _wkb_rings(raw, at)
+            out += part
+        elif kind % 1000 == 3:
+            size, = struct.unpack_from(f"{order}I", raw, at)
+            v = struct.unpack_from(f"{order}{2 * size}d", raw, at + 4)
+            at += 4 + 16 * size
+            points = [(x, y) for x, y in zip(v[::2], v[1::2], strict=True) if math.isfinite(x) and math.isfinite(y)]
+            points = points[:-1] if len(points) > 3 and points[0] == points[-1] else points
+            if points:
+                out.append((points, k > 0))
+        else:
+            break
+    return out, at
+
+
 def ring_of_wkb():
-    """Arrow UDF: outer ring of a WKB polygon or of the first part of a multi-polygon; null of anything else."""
+    """Arrow UDF: the ring of a WKB polygon or multi-polygon, holes and all parts joined to it as ``joined_ring`` does; null of anything else."""
 
     def parse(raw):
         if raw is None or len(raw) < 9:
             return None
-        order = "<" if raw[0] == 1 else ">"
-        kind, = struct.unpack_from(f"{order}I", raw, 1)
-        if kind % 1000 == 6:
-            return parse(raw[9:])
-        if kind % 1000 != 3 or len(raw) < 13:
-            return None
-        n, = struct.unpack_from(f"{order}I", raw, 9)
-        v = struct.unpack_from(f"{order}{2 * n}d", raw, 13)
-        points = [{"lat": v[k + 1], "lng": v[k]} for k in range(0, 2 * n, 2) if math.isfinite(v[k]) and math.isfinite(v[k + 1])]
-        return points[:-1] if len(points) > 3 and points[0] == points[-1] else points or None
+        rings, _ = _wkb_rings(raw)
+        if len(rings) > 1:
+            turned = [r[::-1] if (G.signed(r) > 0) == hole else r for r, hole in rings]
+            rings = [([*turned[0], turned[0][0], *(p for r in turned[1:] for p in (*r, r[0], turned[0][0]))], False)]
+        return [{"lat": y, "lng": x} for x, y in rings[0][0]] if rings else None
 
     @F.pandas_udf(G.RING)
     def run(blobs: pd.Series) -> pd.Series:
@@ -128,10 +149,12 @@ def append_log(runs: DataFrame, path: str) -> None:
 
 
 def footer(path: str) -> dict[str, str]:
-    """Key-value metadata in a Parquet file's footer."""
+    """Key-value metadata in a Parquet file's footer, on whatever file system the path names; one small read on the driver."""
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
-    return {k.decode(): v.decode() for k, v in (pq.read_schema(path).metadata or {}).items()}
+    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return {k.decode(): v.decode() for k, v in (pq.read_schema(name, filesystem=system).metadata or {}).items()}
 
 
 def read_artefacts(spark: SparkSession, path: str) -> DataFrame:
@@ -140,6 +163,22 @@ def read_artefacts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("body"))
 
 
+def chosen_threshold(artefacts: DataFrame, default: float) -> DataFrame:
+    """(model, threshold): of each folder of artefacts the threshold of its bundle, else that of its selection file (``seuil_retenu``), else the default."""
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    value = lambda file, key: F.max(F.when(name == file, F.get_json_object("body", f"$.{key}").try_cast("double")))
+    return artefacts.groupBy(folder.alias("model")).agg(F.coalesce(value("bundle.json", "threshold"), value("threshold_selection.json", "seuil_retenu"), F.lit(default)).alias("threshold"))
+
+
+def inventory(artefacts: DataFrame, needed: list[str]) -> DataFrame:
+    """(model, n_files, bytes, missing, healthy) of each folder of artefacts: whether it has all files that are needed."""
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    found = artefacts.groupBy(folder.alias("model")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.collect_set(F.regexp_extract("path", r"([^/]+)$", 1)).alias("names"))
+    missing = F.array_except(F.array(*[F.lit(n) for n in needed]), F.col("names"))
+    return found.select("model", "n_files", "bytes", F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("healthy"))
+
+
 def check_artefacts(models: DataFrame, n_features: int = 48) -> DataFrame:
     """Errors of model rows (kind, features, threshold)."""
     from fieldloom.operators.registry import validate

@@ -2,8 +2,11 @@
 
 import io
 import json
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
@@ -58,6 +61,43 @@ def test_traced_files_prune_and_decode(spark, tmp_path):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(xmax" in plan and "geometry" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def _wkb(rings):
+    out = struct.pack("<BII", 1, 3, len(rings))
+    for r in rings:
+        out += struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r)
+    return out
+
+
+def test_holes_and_parts_of_wkb(spark):
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    blobs = [_wkb([box(0, 0, 4), box(1, 1, 2)]), struct.pack("<BII", 1, 6, 2) + _wkb([box(0, 0, 4)[::-1], box(1, 1, 1)]) + _wkb([box(6, 0, 1)]), _wkb([box(0, 0, 4)]), struct.pack("<BIdd", 1, 1, 0.0, 0.0), None, b""]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(blobs)], "k int, b binary").withColumn("ring", files.ring_of_wkb()(F.col("b")))
+    inside = lambda x, y: G.contains(F.col("ring"), F.lit(y), F.lit(x))
+    got = rows.where("ring is not null").orderBy("k").select("k", G.area_deg2(F.col("ring")).alias("a"), inside(0.5, 0.5).alias("p"), inside(1.5, 1.5).alias("q"), inside(6.5, 0.5).alias("r")).collect()
+    assert [tuple(r) for r in got] == [(0, 12.0, True, False, False), (1, 16.0, True, False, True), (2, 16.0, True, True, False)]
+
+
+def test_features_keep_their_order_over_files(spark, tmp_path):
+    square = [[[47.0, -19.0], [47.1, -19.0], [47.1, -18.9], [47.0, -19.0]]]
+    for name, ids in (("b", [3, 1]), ("a", [1, 2])):
+        doc = {"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": square}, "properties": {"parcel_id": i, "confidence": 0.5}} for i in ids]}
+        (tmp_path / f"{name}.geojson").write_text(json.dumps(doc))
+    rows = Z.best_by_id(files.read_geojson(spark, str(tmp_path), "parcel_id long, confidence double")).orderBy("pos").collect()
+    assert [(r.parcel_id, r.ord) for r in rows] == [(1, 0), (2, 1), (3, 1 << 32)]
+
+
+def test_footer_threshold_and_inventory(spark, tmp_path):
+    pq.write_table(pa.table({"a": [1]}).replace_schema_metadata({"extent": "46.9"}), str(tmp_path / "t.parquet"))
+    assert files.footer(str(tmp_path / "t.parquet"))["extent"] == "46.9" == files.footer(f"file://{tmp_path}/t.parquet")["extent"]
+    for model, parts in {"one": {"bundle.json": {"threshold": 0.4}, "threshold_selection.json": {"seuil_retenu": 0.3268}}, "two": {"threshold_selection.json": {"seuil_retenu": 0.3268}}, "three": {"metrics.json": {}}}.items():
+        (tmp_path / "models" / model).mkdir(parents=True)
+        for name, body in parts.items():
+            (tmp_path / "models" / model / name).write_text(json.dumps(body))
+    found = files.read_artefacts(spark, str(tmp_path / "models"))
+    assert {r.model: r.threshold for r in files.chosen_threshold(found, 0.5).collect()} == {"one": 0.4, "two": 0.3268, "three": 0.5}
+    assert {r.model: (r.n_files, r.missing, r.healthy) for r in files.inventory(found, ["bundle.json"]).collect()} == {"one": (2, [], True), "two": (1, ["bundle.json"], False), "three": (1, ["bundle.json"], False)}
+
+
 def test_npy_plain_and_structured(spark, tmp_path):
     def npy(a):
         out = io.BytesIO()
