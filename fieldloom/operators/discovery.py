@@ -12,6 +12,7 @@ from fieldloom.functions.text import spot_label
 from fieldloom.operators import raster as A
 from fieldloom.operators import registry as R
 from fieldloom.operators import spatial as S
+from fieldloom.sources.shared import written
 
 COLUMNS = ("candidate_id", "ring", "center_lat", "center_lng", "source")
 
@@ -25,8 +26,8 @@ def as_candidates(rings: DataFrame, source: str, id=None) -> DataFrame:
 
 def meeting(candidates: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """Candidates that meet a circle, with their distance, nearest first and without near duplicates."""
-    near = candidates.where(G.meets_circle(F.col("ring"), lat, lng, radius_km)).withColumn("distance_km", flat_km(lat, lng, "center_lat", "center_lng")).withColumn("q", F.lit(0)).persist()
-    return R.thin(near, "q", "distance_km", "candidate_id").drop("q")
+    near = candidates.where(G.meets_circle(F.col("ring"), lat, lng, radius_km)).withColumn("distance_km", flat_km(lat, lng, "center_lat", "center_lng")).withColumn("q", F.lit(0))
+    return R.thin(written(near), "q", "distance_km", "candidate_id").drop("q")
 
 
 def in_reach(parcels: DataFrame, lat: float, lng: float, radius_m: float, min_area_ha: float) -> DataFrame:
@@ -76,17 +77,18 @@ def discover(known: list[DataFrame], watershed: DataFrame, query: DataFrame, lat
     Known sources in their order, thinned; if they cover less than a share of the circle, watershed segments too;
     what is left is clipped to the circle and thinned again; search cells whose centre is in none of them follow.
     """
-    sources = R.rank_sources(*[k.select(*COLUMNS) for k in known]).withColumn("q", F.lit(0)).persist()  # a few thousand rows, thinned, measured and thinned again
-    found = R.thin(sources, "q", "source_rank", "candidate_id").persist()
+    # A few thousand rows, thinned, measured and thinned again: each step is a table in the shared folder, read twice by the next.
+    sources = written(R.rank_sources(*[k.select(*COLUMNS) for k in known]).withColumn("q", F.lit(0)))
+    found = written(R.thin(sources, "q", "source_rank", "candidate_id"))
     share = R.coverage(found, lat, lng, radius_km).first()["coverage"]
     if share < K.MIN_KNOWN_COVERAGE:
         more = watershed.select(*COLUMNS).withColumn("source_rank", F.lit(len(known))).withColumn("q", F.lit(0))
-        found = R.thin(found.unionByName(more).persist(), "q", "source_rank", "candidate_id").persist()
+        found = R.thin(written(found.unionByName(more)), "q", "source_rank", "candidate_id")
     clipped = found.withColumn("ring", G.clip_to_circle(lat, lng, radius_km)(F.col("ring"))).where(F.size("ring") >= 3)
     center = G.centroid(F.col("ring"))
-    clipped = clipped.withColumn("_c", center).withColumn("center_lat", F.col("_c.lat")).withColumn("center_lng", F.col("_c.lng")).drop("_c").persist()
-    clipped = R.thin(clipped, "q", "source_rank", "candidate_id").select(*COLUMNS, "source_rank").persist()
-    spare = cells(query, lat, lng, radius_km).persist()
+    clipped = clipped.withColumn("_c", center).withColumn("center_lat", F.col("_c.lat")).withColumn("center_lng", F.col("_c.lng")).drop("_c")
+    clipped = written(R.thin(written(clipped), "q", "source_rank", "candidate_id").select(*COLUMNS, "source_rank"))
+    spare = written(cells(query, lat, lng, radius_km))
     free = S.not_within(spare.select("candidate_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), clipped, 0.01).select("candidate_id")
     spare = spare.join(free, "candidate_id", "left_semi").withColumn("source_rank", F.lit(99))
     return clipped.unionByName(spare).orderBy("source_rank", flat_km(lat, lng, "center_lat", "center_lng"), "candidate_id").limit(K.MAX_CANDIDATES)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import discoveries, geo, rasters, registers, timeline, verdicts, zone
+from fieldloom.plans import discoveries, geo, rasters, registers, tables, timeline, verdicts, zone
 
 FLAGSHIP = "zone_crops_summary"
-PARTS = (geo, zone, timeline, verdicts, rasters, registers, discoveries)
+PARTS = (geo, zone, timeline, verdicts, rasters, registers, discoveries, tables)
 
 
 def queries() -> dict:

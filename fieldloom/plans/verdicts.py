@@ -12,6 +12,7 @@ from fieldloom.functions.mathx import logistic, round_up
 from fieldloom.operators import scoring as C
 from fieldloom.plans.geo import r
 from fieldloom.sources.fixtures import table, with_
+from fieldloom.sources.shared import written
 
 STAGE_SQL = """case when days_since_planting < 0 then 'Pré-semis' when days_since_planting <= 7 then 'Semis' when days_since_planting <= 20 then 'Levée' when days_since_planting <= 45 then 'Tallage' when days_since_planting <= 65 then 'Montaison'
   when days_since_planting <= 80 then 'Épiaison' when days_since_planting <= 110 then 'Maturation' when days_since_planting is not null then 'Récolte' end"""
@@ -179,7 +180,7 @@ from m, best, (select unnest(['NDVI_mean', 'NDVI_oct']) as feature)
 
 def feature_sets(spark: SparkSession, d: str) -> DataFrame:
     sets = [["NDVI_mean"], ["NDVI_oct"], ["NDVI_mean", "NDVI_oct"], ["NDVI_oct", "pct_green"]]
-    scores = C.leave_one_out(_parcel_rows(spark, d), sets, "label", "parcel_id").persist()
+    scores = written(C.leave_one_out(_parcel_rows(spark, d), sets, "label", "parcel_id"))
     best = C.best_feature_set(scores).first()
     out = scores.select("rank", "features", "n_rows", round_up(F.col("accuracy"), 6).alias("accuracy"), round_up(F.col("majority"), 6).alias("majority"), (F.col("rank") == (best["rank"] if best else -1)).alias("best"))
     return out

@@ -18,6 +18,6 @@ def daily_weather(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def monthly_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Sums of calendar months, each event counted in the month that it happened in."""
+    """(site_id, month, value): sums of calendar months, each event counted in the month that it happened in. Calendar months are no fixed windows, so a stream of them runs in update or complete mode."""
     timed = events.withWatermark("ts", late).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return timed.groupBy(F.window("ts", "1 day").alias("w"), "user_id", "month").agg(F.sum("value").alias("value")).select(F.col("user_id").alias("site_id"), "month", "value")
+    return timed.groupBy(F.col("user_id").alias("site_id"), "month").agg(F.sum("value").alias("value"))
