@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sources.shared import new_folder
+
 #: A side of a join is broadcast only if it has at most so many rows (of a few dozen bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 50_000
 
@@ -46,18 +44,6 @@ def settle(spark: SparkSession) -> None:
     spark.range(0, tasks, numPartitions=tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set and all runs on one machine (as in tests), a temporary one is set; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def shared_files(uri: str):
     """The file system of a folder in the shared one, as tasks use it, and the path within it."""
     from pyarrow import fs
@@ -70,7 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}"
+        self.root = new_folder(spark)
         self.names: set[str] = set()
 
     def path(self, name: str) -> str:
