@@ -14,7 +14,7 @@ from fieldloom.operators import series as E
 from fieldloom.operators import zones as Z
 from fieldloom.plans.geo import LAT, LNG, r
 from fieldloom.plans.registers import REGISTRY, _registry, _requests
-from fieldloom.plans.zone import MEASURED, RADIUS, ZONE_TRACED
+from fieldloom.plans.zone import RADIUS, ZONE_TRACED
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
 from fieldloom.sources.shared import new_folder
