@@ -35,8 +35,10 @@ LEAST, RADIUS, BLOCKS = 0.75, 15, 4
 STEP, STRIDE = 1.12, 1 / 16
 #: Items sent at once; words handled at once.
 LOT, WORDS_AT_ONCE = 20_000, 16_384
-#: Lots of so many words that share a group's tables while they are in memory; words up to which 16 bits count a window.
-LOTS_AT_ONCE, SMALL = 8, 1 << 15
+#: Groups whose tables (2 MB each) a process keeps; beyond, tables are built when needed, for so many lots of words at once.
+KEPT, LOTS_AT_ONCE = 16, 8
+#: Words up to which 16 bits count a window.
+SMALL = 1 << 15
 
 
 def _blocked_cumsum(bits: np.ndarray, kind: type = np.int16) -> np.ndarray:
@@ -90,12 +92,19 @@ def window_sizes(lengths: Iterable[int]) -> dict[int, int]:
 class Group:
     """Up to 64 items that share a window size, and their fingerprints."""
 
+    kept: np.ndarray | None = None
+
     def __init__(self, items: list, radius: int, blocks: int):
         self.items, self.radius, self.blocks, self.bits = items, radius, blocks, 64 // blocks
         self.prints = np.array([fingerprints(i["h"], np.array([0]), np.array([len(i["h"])]))[0] for i in items], np.uint64)
 
-    def tables(self) -> np.ndarray:
-        """For each block and value of it, the items whose block differs in so few bits: 2 MB, built when needed and then dropped, so that memory doesn't grow with items."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": None}  # megabytes that take a worker a moment to build
+
+    def tables(self, keep: bool = False) -> np.ndarray:
+        """For each block and value of it, the items whose block differs in so few bits; built when needed, and kept only if a benchmark has few groups, so that memory doesn't grow with items."""
+        if self.kept is not None:
+            return self.kept
         near = [0]
         for k in range(1, self.radius // self.blocks + 1):
             near += [sum(1 << b for b in c) for c in combinations(range(self.bits), k)]
@@ -104,6 +113,7 @@ class Group:
         for k, p in enumerate(self.prints.tolist()):
             for b in range(self.blocks):
                 tables[b, ((p >> (b * self.bits)) & ((1 << self.bits) - 1)) ^ near] |= np.uint64(1 << k)
+        self.kept = tables if keep else None
         return tables
 
     def search(self, prints: np.ndarray, tables: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -113,11 +123,12 @@ class Group:
         for b in range(self.blocks):
             hit |= tables[b].take(((prints >> np.uint64(b * self.bits)) & low).astype(np.int64))
         some = np.flatnonzero(hit)
+        hit, near = hit[some], prints[some]
         for k, p in enumerate(self.prints):
-            at = some[(hit[some] >> np.uint64(k)) & np.uint64(1) == 1]
-            at = at[np.bitwise_count(prints[at] ^ p) <= self.radius]
+            at = np.flatnonzero((hit & np.uint64(1 << k)) != 0)
+            at = at[np.bitwise_count(near[at] ^ p) <= self.radius]
             if len(at):
-                yield at, k
+                yield some[at], k
 
 
 class Benchmark:
@@ -158,6 +169,7 @@ class Benchmark:
                 stop += 1
             self.groups.append((size, [Group(self.items[k : min(stop, k + 64)], radius, blocks) for k in range(at, stop, 64)]))
             at = stop
+        self.keep = sum(len(groups) for _, groups in self.groups) <= KEPT
 
     def _best(self, item: dict, h: np.ndarray, low: int, high: int) -> tuple[float, int]:
         """The best similarity of a window as long as the item that starts in [low, high], and its start."""
@@ -192,7 +204,7 @@ class Benchmark:
                 held += len(found[-1])
             lots.append((at, hash_words([w for ws in found for w in ws]), np.array([len(w) for w in found])))
             at += len(found)
-            if at == len(texts) or len(lots) == LOTS_AT_ONCE:
+            if at == len(texts) or self.keep or len(lots) == LOTS_AT_ONCE:
                 yield from self._look(lots, least)
                 lots = []
 
@@ -225,7 +237,7 @@ class Benchmark:
         for n, (size, groups) in enumerate(self.groups):
             windows = [self._windows(size, least, *lot[1:], upto) for lot, upto in zip(lots, sums, strict=True)]
             for g, group in enumerate(groups if any(w is not None for w in windows) else ()):
-                tables = group.tables()
+                tables = group.tables(self.keep)
                 for k, w in enumerate(windows):
                     if w is not None:
                         doc, start, prints = w
