@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, decontaminate, hnsw, html_extract, language_id, minhash, quality, secrets, token_output, url_filters
+from fieldloom.llm import bpe, centroids, decontaminate, hnsw, html_extract, language_id, minhash, periodic, quality, secrets, token_output, url_filters
 from fieldloom.llm.common import small_batches
 
 
@@ -98,6 +98,47 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "chance")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.detect(docs, crc=F.crc32(F.col("doc_id").cast("string")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, start=F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256))
+
+
+def _op13_sql() -> str:
+    """Lloyd's rounds as chained tables."""
+    assign = """a{r} as materialized (
+  select vec_id, q, b.j as j, b.d as d from (
+    select k.vec_id, k.q, min({{'d': list_sum(list_transform(list_zip(k.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint, 'j': c.j}}) as b
+    from kept k, c{r} c group by k.vec_id, k.q) t)"""
+    move = """m{n} as (select j, i, sum(x)::hugeint as s, count(*)::hugeint as n from (select j, generate_subscripts(q, 1) as i, unnest(q) as x from a{r}) t group by j, i),
+c{n} as materialized (
+  select c.j, coalesce(l.c, c.c) as c
+  from c{r} c left join (select j, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from m{n} group by j) l on c.j = l.j)"""
+    steps = [assign.format(r=0)]
+    for r in range(centroids.ROUNDS):
+        steps += [move.format(r=r, n=r + 1), assign.format(r=r + 1)]
+    last = centroids.ROUNDS
+    return f"""
+with kept as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor({centroids.STEPS} * x::double)::bigint) as q
+  from embeddings
+  where len(embedding) = {centroids.SIZE} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {centroids.SIZE}),
+c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id::varchar)) - 1 as j, q as c from kept
+  qualify j < {centroids.COUNT}),
+{", ".join(steps)}
+select a.vec_id, a.j::int as cluster, a.d::bigint as distance,
+  (sum(a.d) over (partition by a.j))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia,
+  sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a{last} a join c{last} c on a.j = c.j
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -110,8 +151,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_secrets": op10_secrets,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op13_centroids": _op13_sql()}
