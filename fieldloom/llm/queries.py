@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, centroids, decontaminate, hnsw, html_extract, language_id, minhash, periodic, quality, secrets, token_output, url_filters
+from fieldloom.llm import bpe, centroids, decontaminate, hnsw, html_extract, katz, language_id, minhash, periodic, quality, secrets, token_output, url_filters
 from fieldloom.llm.common import small_batches
 
 
@@ -98,6 +98,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "chance")
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 10
+    docs = docs.withColumn("held_out", F.coalesce(rest == 0, F.lit(False)))
+    scores, _ = katz.score(docs, train=rest != 0)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic.detect(docs, crc=F.crc32(F.col("doc_id").cast("string")))
@@ -151,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_secrets": op10_secrets,
+        "op11_katz": op11_katz,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_centroids": op13_centroids,
     }
