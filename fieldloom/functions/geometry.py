@@ -1,4 +1,4 @@
-"""Polygon geometry over rings, arrays of (lat, lng) structs, as Column expressions; clipping, hulls and overlaps as Arrow UDFs."""
+"""Geometry of single rings, arrays of (lat, lng) structs, as Column expressions; clipping and simplification as Arrow UDFs. Polygons of parts with holes are in ``polygons``."""
 
 from __future__ import annotations
 
@@ -68,54 +68,6 @@ def signed_deg2(ring: Column) -> Column:
     return bind(ring, area)
 
 
-def joined_ring(rings: Column) -> Column:
-    """One ring of several, given as (ring, hole) structs: outer rings run counter-clockwise, holes clockwise, and from the first point of the first ring
-    a bridge leads to each other one and back.
-
-    A bridge is walked both ways, so it adds nothing to areas and centroids and changes no parity of crossings: whatever
-    takes a ring (areas, containment, overlaps) takes holes and further parts too. A single ring stays as it is.
-    """
-    turned = lambda r: F.when((signed_deg2(r["ring"]) > 0) == r["hole"], F.reverse(r["ring"])).otherwise(r["ring"])
-
-    def bridged(all_: Column) -> Column:
-        first = F.get(all_, 0)
-        rest = F.transform(F.slice(all_, 2, F.size(all_) - 1), lambda r: F.concat(r, F.slice(r, 1, 1), F.slice(first, 1, 1)))
-        return F.concat(first, F.slice(first, 1, 1), F.flatten(rest))
-
-    return bind(rings, lambda r: F.when(F.size(r) == 1, F.get(r, 0)["ring"]).when(F.size(r) > 1, bind(F.transform(r, turned), bridged)))
-
-
-def ring_of_geojson(geometry: Column) -> Column:
-    """The ring of a GeoJSON Polygon or MultiPolygon, holes and all parts joined to it; empty for other geometries."""
-    none = F.array().cast(RING)
-
-    def parse(text: Column) -> Column:
-        kind, coordinates = F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates")
-        plain = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
-        return F.when(kind == "Polygon", plain).when(kind == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>"))
-
-    def points(ring: Column) -> Column:
-        return normalize(F.transform(F.filter(ring, lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull()), lambda c: point(F.get(c, 1), F.get(c, 0))))
-
-    def rings(parts: Column) -> Column:
-        of = F.flatten(F.transform(parts, lambda part: F.transform(part, lambda ring, k: F.struct(points(ring).alias("ring"), (k > 0).alias("hole")))))
-        return F.filter(of, lambda r: r["ring"].isNotNull())
-
-    return bind(geometry, lambda text: F.coalesce(joined_ring(rings(parse(text))), none))
-
-
-def area_centroid(ring: Column) -> Column:
-    """The centre of mass, holes left out; the mean of the vertices if there is no area."""
-
-    def of(r: Column) -> Column:
-        x, y = F.get(r, 0)["lng"], F.get(r, 0)["lat"]
-        parts = F.zip_with(r, following(r), lambda a, b: F.struct(((a["lng"] - x) + (b["lng"] - x)).alias("x"), ((a["lat"] - y) + (b["lat"] - y)).alias("y"), ((a["lng"] - x) * (b["lat"] - y) - (b["lng"] - x) * (a["lat"] - y)).alias("w")))
-        sums = bind(parts, lambda p: F.struct(total(F.transform(p, lambda q: q["w"])).alias("w"), total(F.transform(p, lambda q: q["x"] * q["w"])).alias("x"), total(F.transform(p, lambda q: q["y"] * q["w"])).alias("y")))
-        return bind(sums, lambda s: F.when(s["w"] != 0, point(y + s["y"] / (3 * s["w"]), x + s["x"] / (3 * s["w"]))).otherwise(centroid(r)))
-
-    return bind(ring, of)
-
-
 def centroid(ring: Column) -> Column:
     """Mean of the vertices."""
     return bind(ring, lambda r: point(total(F.transform(r, lambda p: p["lat"])) / F.size(r), total(F.transform(r, lambda p: p["lng"])) / F.size(r)))
@@ -263,66 +215,12 @@ def shoelace(p: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-
-
 def signed(points: list[tuple[float, float]]) -> float:
     """Area of a ring of (x, y), positive if it runs counter-clockwise."""
     p = np.array(points, float) - points[0]
     return float(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))) / 2
 
 
-def hull_ratio():
-    """A ring's area over its hull's, by an Arrow UDF."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p in map(_joined, x, y):
-            hull = hull_area(p)
-            out.append(shoelace(p) / hull if hull > 0 else 0.0)
-        return pd.Series(out)
-
-    return lambda ring: run(*_axes(ring))
-
-
-def _crossings(p: np.ndarray, y: float) -> np.ndarray:
-    """Abscissae at which a horizontal line meets a ring's edges, sorted."""
-    a, b = p, np.roll(p, -1, 0)
-    hit = (a[:, 1] > y) != (b[:, 1] > y)
-    a, b = a[hit], b[hit]
-    return np.sort(a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]))
-
-
-def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area that two rings share, each filled by the even-odd rule.
-
-    Between two neighbouring ordinates of vertices or edge crossings both rings are sets of trapezoids, so the
-    shared width is linear there and the midpoint rule is exact.
-    """
-    low, high = max(p[:, 1].min(), q[:, 1].min()), min(p[:, 1].max(), q[:, 1].max())
-    if low >= high or p[:, 0].max() <= q[:, 0].min() or q[:, 0].max() <= p[:, 0].min():
-        return 0.0
-    edges = [(a, b) for r in (p, q) for a, b in zip(r, np.roll(r, -1, 0), strict=True)]
-    a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-    d = b - a
-    den = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    w = a[None] - a[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (w[..., 0] * d[None, :, 1] - w[..., 1] * d[None, :, 0]) / den
-        u = (w[..., 0] * d[:, None, 1] - w[..., 1] * d[:, None, 0]) / den
-        cross = a[:, None, 1] + t * d[:, None, 1]
-    ok = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    ys = np.concatenate([p[:, 1], q[:, 1], cross[ok]])
-    ys = np.unique(ys[(ys >= low) & (ys <= high)])
-    area = 0.0
-    for y0, y1 in zip(ys[:-1], ys[1:], strict=True):
-        mid = (y0 + y1) / 2
-        s, v = _crossings(p, mid).reshape(-1, 2), _crossings(q, mid).reshape(-1, 2)
-        if len(s) and len(v):
-            area += np.clip(np.minimum(s[:, None, 1], v[None, :, 1]) - np.maximum(s[:, None, 0], v[None, :, 0]), 0, None).sum() * (y1 - y0)
-    return float(area)
-
-
 def upright(ring: Column) -> Column:
     """Whether a ring is a rectangle along the axes."""
     p = [F.get(ring, k) for k in range(4)]
@@ -330,22 +228,6 @@ def upright(ring: Column) -> Column:
     return F.coalesce((F.size(ring) == 4) & (along("lat", "lng") | along("lng", "lat")), F.lit(False))
 
 
-def overlap():
-    """Area in square degrees that two rings share: of two rectangles along the axes in Columns, of others by an Arrow UDF, to which the rectangles go as nulls."""
-
-    @F.pandas_udf("double")
-    def run(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if x is None or u is None or len(x) < 3 or len(u) < 3 else overlap_area(np.column_stack([x, y]), np.column_stack([u, v])) for x, y, u, v in zip(ax, ay, bx, by, strict=True)], dtype=float)
-
-    def shared(left: Column, right: Column) -> Column:
-        a, b, plain = (F.get(left, 0), F.get(left, 2)), (F.get(right, 0), F.get(right, 2)), upright(left) & upright(right)
-        side = lambda k: F.greatest(F.least(F.greatest(a[0][k], a[1][k]), F.greatest(b[0][k], b[1][k])) - F.greatest(F.least(a[0][k], a[1][k]), F.least(b[0][k], b[1][k])), F.lit(0.0))
-        others = [F.when(~plain, axis) for axis in (*_axes(left), *_axes(right))]
-        return F.when(plain, side("lng") * side("lat")).otherwise(run(*others))
-
-    return shared
-
-
 def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     """The part of a ring inside a convex counter-clockwise window, one half-plane after the other; those that hold the whole ring are passed over."""
     if not len(subject):

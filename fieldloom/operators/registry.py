@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.functions.mathx import flat_km, round_up
+from fieldloom.operators.spatial import shape_of
 
 
 def newest_first(parcels: DataFrame, tie: str = "parcel_id") -> DataFrame:
@@ -165,12 +167,13 @@ def search_cells(df: DataFrame, radius_km: float, limit: int = K.MAX_CELLS) -> D
 
 
 def plausible_field(df: DataFrame) -> DataFrame:
-    """df with compactness, hull_ratio, aspect and plausible of its rings."""
-    center = G.centroid(F.col("ring"))
-    df = df.withColumn("_c", center).withColumn("_a", G.area_m2(F.col("ring"), F.col("_c"))).withColumn("compactness", G.compactness(F.col("_a"), G.perimeter_m(F.col("ring"), F.col("_c"))))
-    df = df.withColumn("hull_ratio", G.hull_ratio()(F.col("ring"))).withColumn("aspect", G.aspect_ratio(F.col("ring")))
-    ok = (F.size("ring") >= 3) & (F.col("compactness") >= K.MIN_COMPACTNESS) & (F.col("hull_ratio") >= K.MIN_HULL_RATIO) & (F.col("aspect") <= K.MAX_ASPECT)
-    return df.withColumn("plausible", F.coalesce(ok, F.lit(False))).drop("_c", "_a")
+    """df with compactness, hull_ratio, aspect and plausible of its rings or shapes; a shape's compactness is that of its outer rings, as holes don't change a field's outline."""
+    shape = shape_of(df)
+    df = df.withColumn("_s", F.transform(shape, lambda part: F.slice(part, 1, 1))).withColumn("_c", P.center(F.col("_s")))
+    df = df.withColumn("compactness", G.compactness(P.area_m2(F.col("_s"), F.col("_c")), P.perimeter_m(F.col("_s"), F.col("_c"))))
+    df = df.withColumn("hull_ratio", P.hull_ratio()(F.col("_s"))).withColumn("aspect", P.aspect_ratio(F.col("_s")))
+    ok = F.exists("_s", lambda part: F.size(F.get(part, 0)) >= 3) & (F.col("compactness") >= K.MIN_COMPACTNESS) & (F.col("hull_ratio") >= K.MIN_HULL_RATIO) & (F.col("aspect") <= K.MAX_ASPECT)
+    return df.withColumn("plausible", F.coalesce(ok, F.lit(False))).drop("_c", "_s")
 
 
 def with_results(candidates: DataFrame, results: DataFrame, key: str = "candidate_id") -> DataFrame:

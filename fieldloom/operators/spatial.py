@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.functions.mathx import col, degrees_of, haversine_m, mercator
 
-def bounds(ring: Column) -> Column:
-    lats, lngs = F.transform(ring, lambda p: p["lat"]), F.transform(ring, lambda p: p["lng"])
-    return F.struct(F.array_min(lngs).alias("x0"), F.array_min(lats).alias("y0"), F.array_max(lngs).alias("x1"), F.array_max(lats).alias("y1"))
+def shape_of(df: DataFrame, name: str = "ring") -> Column:
+    """A column of rings or of shapes as shapes."""
+    kind = df.schema[name].dataType
+    return P.of_ring(F.col(name)) if isinstance(kind.elementType, StructType) else F.col(name)
+
+
+def bounds_of(df: DataFrame, name: str = "ring") -> Column:
+    return P.bounds(shape_of(df, name))
 
 
 def cells(box: Column, size: float) -> Column:
@@ -25,24 +32,52 @@ def cells(box: Column, size: float) -> Column:
 
 def cell_size(df: DataFrame, ring: str = "ring") -> float:
     """Twice the 95th percentile of the sides of the bounding boxes; one row reaches the driver."""
-    box = bounds(F.col(ring))
+    box = bounds_of(df, ring)
     side = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
     found = df.select(F.percentile_approx(side, 0.95, 1000).alias("s")).first()["s"]
     return 2 * found if found else 0.01
 
 
+def boxes_meet(a: Column, b: Column) -> Column:
+    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
 def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float | None = None) -> DataFrame:
-    """Pairs of rows whose bounding boxes meet, once each: (left columns, right columns with r_ before them).
+    """Pairs of rows whose polygons' bounding boxes meet, once each: (left columns, right columns with r_ before them).
 
     A pair is reported by the one cell that holds the lower left corner of the boxes' intersection, so no
     deduplication is needed. Hot cells are split by AQE.
     """
     size = size or cell_size(left)
-    a = left.withColumn("l_box", bounds(F.col("ring"))).withColumn("cell", F.explode(cells(F.col("l_box"), size)))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], bounds(F.col("ring")).alias("r_box")).withColumn("cell", F.explode(cells(F.col("r_box"), size)))
-    both = a.join(b, "cell").where((F.col("l_box.x0") <= F.col("r_box.x1")) & (F.col("r_box.x0") <= F.col("l_box.x1")) & (F.col("l_box.y0") <= F.col("r_box.y1")) & (F.col("r_box.y0") <= F.col("l_box.y1")))
-    x, y = F.greatest(F.col("l_box.x0"), F.col("r_box.x0")), F.greatest(F.col("l_box.y0"), F.col("r_box.y0"))
-    return both.where((F.col("cell.cx") == F.floor(x / size)) & (F.col("cell.cy") == F.floor(y / size))).drop("cell", "l_box", "r_box")
+    a = left.withColumn("_box", bounds_of(left)).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], bounds_of(right).alias("_r_box")).withColumn("_cell", F.explode(cells(F.col("_r_box"), size)))
+    x, y = F.greatest(F.col("_box.x0"), F.col("_r_box.x0")), F.greatest(F.col("_box.y0"), F.col("_r_box.y0"))
+    both = a.join(b, "_cell").where(boxes_meet(F.col("_box"), F.col("_r_box")) & (F.col("_cell.cx") == F.floor(x / size)) & (F.col("_cell.cy") == F.floor(y / size)))
+    return both.drop("_cell", "_box", "_r_box")
+
+
+def shared_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float | None = None, keep_left: tuple[str, ...] = (), keep_right: tuple[str, ...] = ()) -> DataFrame:
+    """(left_id, r_right_id, shared) of the polygons (ring, or a shape of that name) that share an area, in square degrees, with the columns to keep (those of the right side after r_).
+
+    Each polygon is cut into trapezoids once; these meet in equi-joins by grid cell, where two of them are counted in the one cell that holds
+    the lower left corner of their boxes' intersection; sums by pair follow. A polygon of many edges or great width is thus dealt out
+    over many cells, and a hot cell is split by adaptive execution.
+    """
+    size = size or cell_size(left)
+
+    def pieces(df: DataFrame, side: str, names: tuple[str, ...]) -> DataFrame:
+        rows = df.select(*[F.col(c).alias(f"{side}{c}") for c in names], F.explode(P.trapezoids()(shape_of(df))).alias(f"_{side}t"))
+        t = F.col(f"_{side}t")
+        box = F.struct(F.least(t["l0"], t["l1"]).alias("x0"), t["y0"].alias("y0"), F.greatest(t["r0"], t["r1"]).alias("x1"), t["y1"].alias("y1"))
+        return rows.withColumn(f"_{side}box", box).withColumn("_cell", F.explode(cells(F.col(f"_{side}box"), size)))
+
+    a, b = pieces(left, "", (left_id, *keep_left)), pieces(right, "r_", (right_id, *keep_right))
+    l_box, r_box = F.col("_box"), F.col("_r_box")
+    x, y = F.greatest(l_box["x0"], r_box["x0"]), F.greatest(l_box["y0"], r_box["y0"])
+    both = a.join(b, "_cell").where(boxes_meet(l_box, r_box) & (F.col("_cell.cx") == F.floor(x / size)) & (F.col("_cell.cy") == F.floor(y / size)))
+    kept = [*keep_left, *[f"r_{c}" for c in keep_right]]
+    sums = both.groupBy(left_id, f"r_{right_id}").agg(F.sum(P.trapezoids_share(F.col("_t"), F.col("_r_t"))).alias("shared"), *[F.any_value(c).alias(c) for c in kept])
+    return sums.where("shared > 0")
 
 
 def in_circle(df: DataFrame, lat: float, lng: float, radius_m: float, lat_col: str = "center_lat", lng_col: str = "center_lng") -> DataFrame:
@@ -65,11 +100,11 @@ def in_circles(df: DataFrame, circles: DataFrame, size: float = 0.02, lat_col: s
 def assign_by_overlap(blocks: DataFrame, parcels: DataFrame, least: float = K.MIN_COVER_RATIO) -> DataFrame:
     """For each parcel the block that shares the most area with it, if it covers enough of it: (parcel_id, block_id, shared, cover_ratio).
 
-    blocks: (block_id, block_rank, ring); parcels: (parcel_id, ring). Of equal shares the lower rank wins.
+    blocks: (block_id, block_rank, ring); parcels: (parcel_id, ring), where a ring may be a shape. Of equal shares the lower rank wins.
     """
-    pairs = overlapping(parcels.select("parcel_id", "ring"), blocks.select("block_id", "block_rank", "ring"), "parcel_id", "block_id")
-    pairs = pairs.withColumn("shared", G.overlap()(F.col("ring"), F.col("r_ring"))).withColumn("cover_ratio", F.try_divide(F.col("shared"), G.area_deg2(F.col("ring"))))
-    good = pairs.where((F.col("shared") > 0) & (F.col("cover_ratio") >= least))
+    mine = parcels.select("parcel_id", "ring", P.area_deg2(shape_of(parcels)).alias("_area"))
+    pairs = shared_areas(mine, blocks.select("block_id", "block_rank", "ring"), "parcel_id", "block_id", keep_left=("_area",), keep_right=("block_rank",))
+    good = pairs.withColumn("cover_ratio", F.try_divide(F.col("shared"), F.col("_area"))).where(F.col("cover_ratio") >= least)
     best = good.groupBy("parcel_id").agg(F.max(F.struct(F.col("shared"), (-F.col("r_block_rank")).alias("order"), F.col("r_block_id").alias("block_id"), F.col("cover_ratio"))).alias("b"))
     return best.select("parcel_id", "b.block_id", "b.shared", "b.cover_ratio")
 
@@ -77,15 +112,15 @@ def assign_by_overlap(blocks: DataFrame, parcels: DataFrame, least: float = K.MI
 def uncovered(blocks: DataFrame, assigned: DataFrame, enough: float = K.BLOCK_COVERED) -> DataFrame:
     """Blocks of which assigned parcels cover less than a share; those that no parcel met stay."""
     covered = assigned.groupBy("block_id").agg(F.sum("shared").alias("covered"))
-    return blocks.join(covered, "block_id", "left").where(F.coalesce("covered", F.lit(0.0)) / G.area_deg2(F.col("ring")) < enough)
+    return blocks.join(covered, "block_id", "left").where(F.coalesce("covered", F.lit(0.0)) / P.area_deg2(shape_of(blocks)) < enough)
 
 
 def not_within(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
     """Points (lat, lng) inside no polygon (ring); both sides meet by cell."""
     size = size or cell_size(polygons)
-    p = polygons.select(F.col("ring").alias("_ring"), bounds(F.col("ring")).alias("_box")).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
+    p = polygons.select(shape_of(polygons).alias("_ring"), bounds_of(polygons).alias("_box")).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
     cell = F.struct(F.floor(F.col("lng") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
-    return points.join(p, (cell == F.col("_cell")) & in_box(F.col("_box"), F.col("lat"), F.col("lng")) & G.contains(F.col("_ring"), F.col("lat"), F.col("lng")), "left_anti")
+    return points.join(p, (cell == F.col("_cell")) & in_box(F.col("_box"), F.col("lat"), F.col("lng")) & P.contains(F.col("_ring"), F.col("lat"), F.col("lng")), "left_anti")
 
 
 def in_box(box: Column, lat: Column, lng: Column) -> Column:
@@ -96,9 +131,9 @@ def in_box(box: Column, lat: Column, lng: Column) -> Column:
 def containing(points: DataFrame, polygons: DataFrame, size: float, lat: str = "center_lat", lng: str = "center_lng") -> DataFrame:
     """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring."""
     cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
-    grid = polygons.withColumn("_box", bounds(F.col("ring"))).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
+    grid = polygons.withColumn("_box", bounds_of(polygons)).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
     near = points.withColumn("_cell", cell).join(grid, "_cell").where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
-    return near.where(G.contains(F.col("ring"), lat, lng)).drop("_cell", "_box")
+    return near.where(P.contains(shape_of(polygons), lat, lng)).drop("_cell", "_box")
 
 
 def pixels_within(pixels: DataFrame, polygons: DataFrame, key: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import mathx as M
+from fieldloom.functions import polygons as P
 from fieldloom.operators import registry as R
 from fieldloom.operators import spatial as S
+from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
+from fieldloom.sources.shared import written
 
 LAT, LNG = -19.85, 47.03
 
@@ -191,7 +194,7 @@ select query_id, cast(row as bigint) as row, cast(col as bigint) as column_no, {
 def geo_overlap(spark: SparkSession, d: str) -> DataFrame:
     parcels = with_ring(table(spark, d, "parcels")).select("parcel_id", "ring")
     traced = with_ring(table(spark, d, "traced")).select("traced_id", "ring")
-    pairs = S.overlapping(parcels, traced, "parcel_id", "traced_id").withColumn("shared", G.overlap()(F.col("ring"), F.col("r_ring")))
+    pairs = S.shared_areas(parcels, traced, "parcel_id", "traced_id")
     return pairs.where("shared > 1e-12").select("parcel_id", F.col("r_traced_id").alias("traced_id"), M.round_up(F.col("shared") * 1e6, 6).alias("shared"))
 
 
@@ -250,34 +253,111 @@ def geo_coverage(spark: SparkSession, d: str) -> DataFrame:
 GEO_COVERAGE = _clipped() + f" select coalesce({r('sum(area)/(pi()*9e6)', 6)}, 0e0) as coverage from clipped"
 
 
-def _with_holes(spark: SparkSession, d: str) -> DataFrame:
-    """Parcels as GeoJSON texts of two parts, the first with a hole in its upper right quarter, the second beside it; every third has its rings the other way round."""
+def _texts(shape: list[list[Column]], turned: Column) -> Column:
+    """The text of a GeoJSON MultiPolygon of parts of rings, the other way round where ``turned`` holds."""
+    ring = lambda x: F.to_json(F.when(turned, F.reverse(G.close(x))).otherwise(G.close(x)))
+    parts = [F.concat(F.lit("["), F.concat_ws(",", *map(ring, part)), F.lit("]")) for part in shape]
+    return F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.concat_ws(",", *parts), F.lit("]}"))
+
+
+def with_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels read from GeoJSON texts of two parts, the first with a hole in its upper right quarter, the second beside it; every third has its rings the other way round.
+
+    Texts are parsed once, into a written table."""
     p = table(spark, d, "parcels")
     lat, lng, a, b = (F.col(c) for c in ("center_lat", "center_lng", "half_lat", "half_lng"))
-    rings = [G.rectangle(lat, lng, a, b), G.rectangle(lat + a / 2, lng + b / 2, a / 4, b / 4), G.rectangle(lat, lng + 2 * b, a / 2, b / 2)]
-    outer, hole, other = (F.when(F.col("parcel_id") % 3 == 0, F.reverse(G.close(x))).otherwise(G.close(x)) for x in rings)
-    text = F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), F.to_json(outer), F.lit(","), F.to_json(hole), F.lit("],["), F.to_json(other), F.lit("]]}"))
-    return p.withColumn("ring", G.ring_of_geojson(text))
+    first, hole, second = G.rectangle(lat, lng, a, b), G.rectangle(lat + a / 2, lng + b / 2, a / 4, b / 4), G.rectangle(lat, lng + 2 * b, a / 2, b / 2)
+    text = _texts([[first, hole], [second]], F.col("parcel_id") % 3 == 0)
+    return written(p.withColumn("ring", P.of_geojson(text)))
 
 
 def geo_holes(spark: SparkSession, d: str) -> DataFrame:
     """Area and centre of mass of parcels with a hole and a second part."""
-    ring = F.col("ring")
-    p = _with_holes(spark, d).withColumn("c", G.area_centroid(ring))
-    return p.select("parcel_id", F.size(ring).cast("long").alias("n_points"), M.round_up(G.area_deg2(ring) * 1e6, 6).alias("area"), M.round_up(F.col("c.lat"), 9).alias("lat"), M.round_up(F.col("c.lng"), 9).alias("lng"))
+    shape = F.col("ring")
+    p = with_holes(spark, d).withColumn("c", P.centroid(shape))
+    return p.select("parcel_id", F.size(P.points(shape)).cast("long").alias("n_points"), M.round_up(P.area_deg2(shape) * 1e6, 6).alias("area"), M.round_up(F.col("c.lat"), 9).alias("lat"), M.round_up(F.col("c.lng"), 9).alias("lng"))
 
 
-# Areas in units of half_lat * half_lng: 4 of the first part, 1/4 of the hole, 1 of the second part. Points: 4, the first again, and for each other ring 4 and two to close it and to go back.
-GEO_HOLES = with_("parcels") + f"""select parcel_id, cast(17 as bigint) as n_points, {r('4.75e0*half_lat*half_lng*1e6', 6)} as area,
+# Areas in units of half_lat * half_lng: 4 of the first part, 1/4 of the hole, 1 of the second part.
+GEO_HOLES = with_("parcels") + f"""select parcel_id, cast(12 as bigint) as n_points, {r('4.75e0*half_lat*half_lng*1e6', 6)} as area,
   {r('center_lat-0.25e0*half_lat/2/4.75e0', 9)} as lat, {r('center_lng+(2-0.125e0)*half_lng/4.75e0', 9)} as lng from parcels
 """
 
 
+def geo_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Of the same parcels the length of all rings and of the outer ones, shape figures of the outline, and whether they meet a circle: with an edge of a part or of a hole, not across the gap between parts."""
+    shape = F.col("ring")
+    p = R.plausible_field(with_holes(spark, d))
+    at = G.point("center_lat", "center_lng")
+    near = P.meets_circle(shape, LAT, LNG, 1.2)
+    return p.select("parcel_id", M.round_up(P.perimeter_m(shape, at), 3).alias("length_m"), M.round_up(P.perimeter_m(shape, at, holes=False), 3).alias("outer_m"), M.round_up(F.col("hull_ratio"), 6).alias("hull_ratio"), M.round_up(F.col("aspect"), 6).alias("aspect"), M.round_up(F.col("compactness"), 6).alias("compactness"), near.alias("near"))
+
+
+# The outline is 2 by 2 and 1 by 1 half sides, from -1 to 2.5; its hull adds two triangles and what is between the parts.
+GEO_PARTS = with_("parcels") + f""", q as (
+  select *, half_lng*111320e0*cos(radians(center_lat)) as w, half_lat*111320e0 as h, 3.5e0*half_lng*111320e0*greatest(abs(cos(radians(center_lat))),0.1e0) as bw, 2*half_lat*110574e0 as bh,
+    (center_lng-47.03e0)*111.32e0*cos(radians(-19.85e0)) as x, (center_lat+19.85e0)*110.574e0 as y, half_lng*111.32e0*cos(radians(-19.85e0)) as kx, half_lat*110.574e0 as ky from parcels),
+s as (select *, 4*(w+h)+2*(w+h) as outer_m, 4*(w+h)+2*(w+h)+(w+h) as length_m, 5/6.25e0 as hull,
+  -- distances to the sides of the hole if the centre is in it, else to the parts
+  abs(x+kx/2) < kx/4 and abs(y+ky/2) < ky/4 as in_hole,
+  least(kx/4-abs(x+kx/2), ky/4-abs(y+ky/2)) as hole_km,
+  least(sqrt(pow(greatest(abs(x)-kx, 0e0),2)+pow(greatest(abs(y)-ky, 0e0),2)), sqrt(pow(greatest(abs(x+2*kx)-kx/2, 0e0),2)+pow(greatest(abs(y)-ky/2, 0e0),2))) as km from q)
+select parcel_id, {r('length_m', 3)} as length_m, {r('outer_m', 3)} as outer_m, {r('hull', 6)} as hull_ratio, {r('greatest(bw,bh)/least(bw,bh)', 6)} as aspect,
+  {r('4*pi()*5*w*h/pow(outer_m,2)', 6)} as compactness,
+  case when in_hole then hole_km else km end <= 1.2e0 as near from s
+"""
+
+
+def geo_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels traced as bow-ties, with a part that overlaps them, or with a hole that reaches outside, repaired: what they cover stays."""
+    p = table(spark, d, "parcels").repartition(spark.sparkContext.defaultParallelism)  # a small file's rows, but much work each
+    lat, lng, a, b = (F.col(c) for c in ("center_lat", "center_lng", "half_lat", "half_lng"))
+    x = G.rectangle(lat, lng, a, b)
+    bow = F.array(F.get(x, 0), F.get(x, 2), F.get(x, 1), F.get(x, 3))
+    beside, below = G.rectangle(lat, lng + b, a / 2, b / 2), G.rectangle(lat - a, lng, a / 2, b / 2)
+    kind, turned = F.col("parcel_id") % 3, F.col("parcel_id") % 2 == 0
+    text = F.when(kind == 0, _texts([[bow]], turned)).when(kind == 1, _texts([[x], [beside]], turned)).otherwise(_texts([[x, below]], turned))
+    shape = F.col("shape")
+    found = files.parse_traced(p.select("parcel_id", "center_lat", text.alias("feature"))).withColumn("c", P.centroid(shape))
+    return found.select("parcel_id", F.size(shape).cast("long").alias("n_parts"), F.size(P.points(shape)).cast("long").alias("n_points"), M.round_up(P.area_deg2(shape) * 1e6, 6).alias("area"), M.round_up(F.col("c.lat"), 8).alias("lat"), M.round_up(F.col("c.lng"), 8).alias("lng"))
+
+
+# In units of half sides: two triangles of 1; 4 and half of a square of 1 that sticks out; 4 less half of such a square, and by the even-odd rule the half outside. The last touches itself in two points and falls into two parts.
+GEO_REPAIRED = with_("parcels") + f"""select parcel_id, cast(case when parcel_id%3=1 then 1 else 2 end as bigint) as n_parts, cast(case parcel_id%3 when 0 then 6 when 1 then 8 else 12 end as bigint) as n_points,
+  {r('case parcel_id%3 when 0 then 2e0 when 1 then 4.5e0 else 4e0 end*half_lat*half_lng*1e6', 6)} as area,
+  {r('center_lat+half_lat*case parcel_id%3 when 2 then (0.5e0*0.75e0-0.5e0*1.25e0)/4 else 0e0 end', 8)} as lat, {r('center_lng+half_lng*case parcel_id%3 when 1 then 0.5e0*1.25e0/4.5e0 else 0e0 end', 8)} as lng from parcels
+"""
+
+
+def geo_concave_shared(spark: SparkSession, d: str) -> DataFrame:
+    """What traced rectangles share with parcels that lack their upper right quarter, and with the triangles below their rising diagonal."""
+    p = table(spark, d, "parcels")
+    lat, lng, a, b = (F.col(c) for c in ("center_lat", "center_lng", "half_lat", "half_lng"))
+    at = lambda k, m: G.point(lat + a * k, lng + b * m)
+    ell = F.array(at(-1, -1), at(-1, 1), at(0, 1), at(0, 0), at(1, 0), at(1, -1))
+    half = F.array(at(-1, -1), at(-1, 1), at(1, 1))
+    both = p.select("parcel_id", F.explode(F.array(F.struct(F.lit("ell").alias("kind"), ell.alias("ring")), F.struct(F.lit("half").alias("kind"), half.alias("ring")))).alias("s"))
+    named = both.select(F.concat_ws("-", "s.kind", F.col("parcel_id").cast("string")).alias("shape_id"), "s.ring")
+    pairs = S.shared_areas(named, with_ring(table(spark, d, "traced")).select("traced_id", "ring"), "shape_id", "traced_id")
+    return pairs.where("shared > 1e-12").select("shape_id", F.col("r_traced_id").alias("traced_id"), M.round_up(F.col("shared") * 1e6, 5).alias("shared"))
+
+
+# The triangle in half sides is v <= u: over a box from u0, v0 to u1, v1 its area is that of the integral of clamp(u, v0, v1) - v0 over u.
+GEO_CONCAVE_SHARED = with_("parcels", "traced") + f""", o as (
+  select p.*, traced_id, greatest(-1e0, (t.center_lng-t.half_lng-p.center_lng)/p.half_lng) as u0, least(1e0, (t.center_lng+t.half_lng-p.center_lng)/p.half_lng) as u1,
+    greatest(-1e0, (t.center_lat-t.half_lat-p.center_lat)/p.half_lat) as v0, least(1e0, (t.center_lat+t.half_lat-p.center_lat)/p.half_lat) as v1
+  from parcels p join (select traced_id, center_lat, center_lng, half_lat, half_lng from traced) t on abs(p.center_lat-t.center_lat) < p.half_lat+t.half_lat and abs(p.center_lng-t.center_lng) < p.half_lng+t.half_lng),
+s as (select 'ell-'||parcel_id as shape_id, traced_id, ((u1-u0)*(v1-v0)-greatest(0e0, u1-greatest(u0, 0e0))*greatest(0e0, v1-greatest(v0, 0e0)))*half_lat*half_lng as shared from o
+  union all select 'half-'||parcel_id, traced_id, (greatest(0e0, u1-greatest(u0, v1))*(v1-v0) + (pow(greatest(v0, least(v1, u1))-v0, 2)-pow(greatest(v0, least(v1, u0))-v0, 2))/2)*half_lat*half_lng from o)
+select shape_id, traced_id, {r('shared*1e6', 5)} as shared from s where shared > 1e-12
+"""
+
+
 def geo_holes_shared(spark: SparkSession, d: str) -> DataFrame:
     """What traced rectangles share with such parcels."""
-    parcels = _with_holes(spark, d).select("parcel_id", "ring")
+    parcels = with_holes(spark, d).select("parcel_id", "ring")
     traced = with_ring(table(spark, d, "traced")).select("traced_id", "ring")
-    pairs = S.overlapping(parcels, traced, "parcel_id", "traced_id").withColumn("shared", G.overlap()(F.col("ring"), F.col("r_ring")))
+    pairs = S.shared_areas(parcels, traced, "parcel_id", "traced_id")
     return pairs.where("shared > 1e-12").select("parcel_id", F.col("r_traced_id").alias("traced_id"), M.round_up(F.col("shared") * 1e6, 5).alias("shared"))
 
 
@@ -292,7 +372,7 @@ select parcel_id, traced_id, """ + r("shared*1e6", 5) + """ as shared from o whe
 def geo_holes_hold(spark: SparkSession, d: str) -> DataFrame:
     """Traced centres inside such parcels, and not in their holes."""
     points = table(spark, d, "traced").select("traced_id", "center_lat", "center_lng")
-    return S.containing(points, _with_holes(spark, d).select("parcel_id", "ring"), 0.004).select("parcel_id", "traced_id")
+    return S.containing(points, with_holes(spark, d).select("parcel_id", "ring"), 0.004).select("parcel_id", "traced_id")
 
 
 GEO_HOLES_HOLD = with_("parcels", "traced") + """
@@ -303,6 +383,9 @@ where (abs(t.center_lng-p.center_lng) < p.half_lng and not (abs(t.center_lat-p.c
 
 QUERIES = {
     "geo_holes": (geo_holes, GEO_HOLES),
+    "geo_parts": (geo_parts, GEO_PARTS),
+    "geo_repaired": (geo_repaired, GEO_REPAIRED),
+    "geo_concave_shared": (geo_concave_shared, GEO_CONCAVE_SHARED),
     "geo_holes_shared": (geo_holes_shared, GEO_HOLES_SHARED),
     "geo_holes_hold": (geo_holes_hold, GEO_HOLES_HOLD),
     "geo_distances": (geo_distances, GEO_DISTANCES),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.functions.mathx import round_up
 from fieldloom.operators import registry as R
 from fieldloom.plans.geo import LAT, LNG, r
@@ -179,7 +180,7 @@ def geojson_parsed(spark: SparkSession, d: str) -> DataFrame:
     bare = F.concat(F.lit('{"type":"Polygon","coordinates":'), coords, F.lit("}"))
     text = F.when(F.col("traced_id") % 4 == 0, bare).when(F.col("traced_id") % 4 == 1, F.concat(F.lit('{"type":"Feature","geometry":'), bare, F.lit("}"))).when(F.col("traced_id") % 4 == 2, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), coords, F.lit("]}"))).otherwise('{"type":"Point","coordinates":[1,2]}')
     out = files.parse_traced(p.select("traced_id", text.alias("feature")))
-    return out.select("traced_id", F.size("ring").cast("long").alias("n_points"), round_up(G.area_deg2(F.col("ring")) * 1e6, 6).alias("area"))
+    return out.select("traced_id", F.size(P.points(F.col("shape"))).cast("long").alias("n_points"), round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
 
 
 GEOJSON_PARSED = with_("traced") + f"select traced_id, cast(4 as bigint) as n_points, {r('4*half_lat*half_lng*1e6', 6)} as area from traced where traced_id%4 <> 3"

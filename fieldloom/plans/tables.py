@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.functions import text as T
 from fieldloom.functions.mathx import round_up
 from fieldloom.operators import registry as R
 from fieldloom.operators import scoring as C
 from fieldloom.operators import series as E
 from fieldloom.operators import zones as Z
-from fieldloom.plans.geo import LAT, LNG, r
+from fieldloom.plans.geo import LAT, LNG, r, with_holes
 from fieldloom.plans.registers import REGISTRY, _registry, _requests
 from fieldloom.plans.zone import RADIUS, ZONE_TRACED
 from fieldloom.sources import files
@@ -20,8 +21,8 @@ from fieldloom.sources.fixtures import table, with_, with_ring
 from fieldloom.sources.shared import new_folder
 from fieldloom.streaming import weather as SW
 
-#: Documents of a written feature collection.
-DOCUMENTS = 16
+#: Documents of a written feature collection, at least, and items of one, about.
+DOCUMENTS, ITEMS = 16, 2_000
 
 
 def files_traced(spark: SparkSession, d: str) -> DataFrame:
@@ -37,19 +38,33 @@ def files_traced_rings(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark)
     t = with_ring(table(spark, d, "traced"))
     files.write_traced(t.select(F.col("traced_id").alias("ftw_id"), "confidence", F.lit(0.0).alias("area_ha"), "ring"), folder)
-    ring = files.read_traced(spark, folder).select("ftw_id", files.ring_of_wkb()(F.col("geometry")).alias("ring"))
-    return ring.select("ftw_id", F.size("ring").cast("long").alias("n_points"), round_up(G.area_deg2(F.col("ring")) * 1e6, 6).alias("area"))
+    shape = files.read_traced(spark, folder).select("ftw_id", P.of_wkb()(F.col("geometry")).alias("shape"))
+    return shape.select("ftw_id", F.size(P.points(F.col("shape"))).cast("long").alias("n_points"), round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
 
 
 FILES_TRACED_RINGS = with_("traced") + f"select traced_id as ftw_id, cast(4 as bigint) as n_points, {r('4*half_lat*half_lng*1e6', 6)} as area from traced"
 
 
 def _documents(df: DataFrame, item: str, key: str, start: str, end: str, folder: str) -> None:
-    """Writes texts as DOCUMENTS documents, a file each, that enclose a list of their items."""
-    grouped = df.groupBy(F.pmod(F.xxhash64(key), F.lit(DOCUMENTS)).alias("_d")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """Writes texts as documents, a file each, that enclose a list of their items; a document has some ITEMS however many there are."""
+    grouped = df.groupBy(F.pmod(F.xxhash64(key), F.lit(max(DOCUMENTS, df.count() // ITEMS))).alias("_d")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     grouped.select(F.concat(F.lit(start), F.array_join("items", "," if start.startswith("{") else ""), F.lit(end)).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
+def files_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons with a hole and a second part, written as GeoJSON and as WKB and read back: each comes back with its parts and rings, outer ones counter-clockwise."""
+    shaped = with_holes(spark, d).select("parcel_id", F.col("ring").alias("shape"))
+    folder = new_folder(spark)
+    shaped.select("parcel_id", P.to_geojson(F.col("shape")).alias("text"), P.to_wkb()(F.col("shape")).alias("wkb")).write.parquet(folder)
+    back = spark.read.parquet(folder)
+    both = back.select("parcel_id", F.lit("geojson").alias("kind"), P.of_geojson(F.col("text")).alias("shape")).unionByName(back.select("parcel_id", F.lit("wkb").alias("kind"), P.of_wkb()(F.col("wkb")).alias("shape")))
+    turns = F.transform(P.rings(F.col("shape")), lambda ring: F.when(G.signed_deg2(ring) > 0, "+").otherwise("-"))
+    return both.select("parcel_id", "kind", F.size("shape").cast("long").alias("n_parts"), F.array_join(turns, "").alias("turns"), round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
+
+
+FILES_SHAPES = with_("parcels") + f"select parcel_id, kind, cast(2 as bigint) as n_parts, '+-+' as turns, {r('4.75e0*half_lat*half_lng*1e6', 6)} as area from parcels, (select unnest(['geojson', 'wkb']) as kind)"
+
+
 def files_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Parcels written as feature collections and read back, the most confident of each id."""
     p = with_ring(table(spark, d, "parcels"))
@@ -57,7 +72,7 @@ def files_geojson(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark)
     _documents(p.withColumn("f", feature), "f", "parcel_id", '{"type":"FeatureCollection","features":[', "]}", folder)
     read = Z.best_by_id(files.read_geojson(spark, folder, "parcel_id long, crop_pred string, confidence double"))
-    return read.select("parcel_id", "crop_pred", "confidence", round_up(G.area_deg2(F.col("ring")) * 1e6, 6).alias("area"))
+    return read.select("parcel_id", "crop_pred", "confidence", round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
 
 
 FILES_GEOJSON = with_("parcels") + f"select parcel_id, crop_pred, confidence, {r('4*half_lat*half_lng*1e6', 6)} as area from parcels"
@@ -93,10 +108,10 @@ FILES_OVERPASS = with_("traced") + "select 'osm-way-' || cast(traced_id as varch
 def runs_appended(spark: SparkSession, d: str) -> DataFrame:
     """Scan runs of a log to which two lots were added."""
     runs, folder = table(spark, d, "scan_runs"), new_folder(spark)
-    first = F.col("created_at") < "1995-01-01"
+    first = F.col("created_at") < "1997-01-01"
     for lot in (first, ~first):
-        files.append_log(runs.where(lot).coalesce(1), folder)
-    return spark.read.parquet(folder).groupBy(F.col("day").cast("date").alias("run_day")).agg(F.count(F.lit(1)).alias("n_runs"), round_up(F.sum("score"), 2).alias("score"))
+        files.append_log(runs.where(lot), folder)
+    return spark.read.parquet(folder).groupBy(F.to_date("created_at").alias("run_day")).agg(F.count(F.lit(1)).alias("n_runs"), round_up(F.sum("score"), 2).alias("score"))
 
 
 RUNS_APPENDED = with_("scan_runs") + f"select cast(created_at as date) as run_day, count(*) as n_runs, {r('sum(score)', 2)} as score from scan_runs group by 1"
@@ -136,12 +151,12 @@ select 'none' as rule, count(*) as n from b where r_ok and c_ok having count(*)
 def scenes_chosen(spark: SparkSession, d: str) -> DataFrame:
     """Scenes of an interval, of one mode and not too cloudy, by region."""
     s = table(spark, d, "scene_pixels").withColumn("instrument_mode", F.when(F.col("pixel_id") == 0, "EW").otherwise("IW"))
-    chosen = E.scenes_of(s, "1994-03-01", "1994-06-01", 35, "IW")
+    chosen = E.scenes_of(s, "1995-03-01", "1995-06-01", 35, "IW")
     return chosen.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.max("cloud_pct").alias("most_cloud"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"))
 
 
 SCENES_CHOSEN = with_("scene_pixels") + """select region_id, count(*) as n, max(cloud_pct) as most_cloud, cast(min(ts) as date) as first_day, cast(max(ts) as date) as last_day
-from scene_pixels where ts >= '1994-03-01' and ts < '1994-06-01' and cloud_pct < 35 and pixel_id <> 0 group by 1"""
+from scene_pixels where ts >= '1995-03-01' and ts < '1995-06-01' and cloud_pct < 35 and pixel_id <> 0 group by 1"""
 
 
 def months_zipped(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +215,7 @@ EVENTS_MONTHLY = f"select user_id as site_id, strftime(ts, '%Y-%m') as month_key
 QUERIES = {
     "files_traced": (files_traced, ZONE_TRACED),
     "files_traced_rings": (files_traced_rings, FILES_TRACED_RINGS),
+    "files_shapes": (files_shapes, FILES_SHAPES),
     "files_geojson": (files_geojson, FILES_GEOJSON),
     "files_kml": (files_kml, FILES_KML),
     "files_overpass": (files_overpass, FILES_OVERPASS),

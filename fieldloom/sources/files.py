@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import math
-import struct
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.functions.text import kml_label
-from fieldloom.operators.spatial import z_order
+from fieldloom.operators.spatial import bounds_of, shape_of, z_order
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of FeatureCollections: (ring, properties..., ord); features without a polygon are dropped.
+    """Features of FeatureCollections: (shape, properties..., ord); polygons that cross themselves are repaired, features without one are dropped.
 
     ``properties`` is the DDL of the properties wanted. ``ord`` grows with a feature's place in its file, and over several files
     with the order of their names, so that the first of equal ids is the same each time. A file is one document, read by one task.
@@ -28,26 +25,22 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     rows = files.join(F.broadcast(names), "path").select("file", F.posexplode("features").alias("pos", "f")).withColumn("ord", F.col("file") * (1 << 32) + F.col("pos"))
     geometry = F.to_json(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates")))
     raw = F.concat(F.lit('{"type":"'), F.col("f.geometry.type"), F.lit('","coordinates":'), F.col("f.geometry.coordinates"), F.lit("}"))
-    ring = G.normalize(G.ring_of_geojson(F.coalesce(raw, geometry)))
-    return rows.select(ring.alias("ring"), "f.properties.*", "ord").where("ring is not null")
+    shaped = rows.select(P.of_geojson(F.coalesce(raw, geometry)).alias("shape"), "f.properties.*", "ord").where("shape is not null")
+    return shaped.withColumn("shape", P.repaired()(F.col("shape"))).where("shape is not null")
 
 
 def parse_traced(rows: DataFrame, column: str = "feature") -> DataFrame:
-    """Rings of GeoJSON texts, each a Feature or a bare geometry; what has no area is dropped."""
+    """Shapes of GeoJSON texts, each a Feature or a bare geometry; those that cross themselves are repaired, what covers nothing is dropped."""
     text = F.col(column)
-    geometry = F.coalesce(F.get_json_object(text, "$.geometry"), text)
-    ring = G.normalize(G.ring_of_geojson(geometry))
-    return rows.withColumn("ring", ring).where(F.col("ring").isNotNull() & (G.area_deg2(F.col("ring")) > 0))
+    shape = P.of_geojson(F.coalesce(F.get_json_object(text, "$.geometry"), text))
+    found = rows.withColumn("shape", shape).where("shape is not null")
+    return found.withColumn("shape", P.repaired()(F.col("shape"))).where(F.col("shape").isNotNull() & (P.area_deg2(F.col("shape")) > 0))
 
 
-def to_geojson(df: DataFrame, *properties: str) -> DataFrame:
-    """One text: the FeatureCollection of rows with a ring. The result is one document, so its rows should be a page of features."""
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(G.close(F.col("ring"))).alias("coordinates")).alias("geometry"),
-        F.struct(*properties).alias("properties"),
-    )
-    return df.select(feature.alias("f")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("geojson"))
+def to_geojson(df: DataFrame, *properties: str, polygon: str = "ring") -> DataFrame:
+    """One text: the FeatureCollection of rows with a polygon, a ring or a shape. The result is one document, so its rows should be a page of features."""
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), P.to_geojson(shape_of(df, polygon)), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}"))
+    return df.select(feature.alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("geojson"))
 
 
 def read_kml(spark: SparkSession, path: str, row_tag: str = "Placemark") -> DataFrame:
@@ -69,67 +62,12 @@ def read_overpass(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.concat(F.lit("osm-way-"), F.col("e.id").cast("string")).alias("candidate_id"), ring.alias("ring"), F.col("e.tags").alias("tags")).where("ring is not null")
 
 
-def wkb():
-    """Arrow UDF: WKB of a ring as a polygon."""
-
-    @F.pandas_udf("binary")
-    def run(rings: pd.Series) -> pd.Series:
-        out = []
-        for ring in rings:
-            p = [(q["lng"], q["lat"]) for q in ring]
-            p.append(p[0])
-            out.append(struct.pack("<BIII", 1, 3, 1, len(p)) + b"".join(struct.pack("<dd", *q) for q in p))
-        return pd.Series(out)
-
-    return run
-
-
-def _wkb_rings(raw: bytes, at: int = 0) -> tuple[list[tuple[list, bool]], int]:
-    """(points, hole) of the rings of a WKB polygon or multi-polygon that starts at a byte, and where it ends."""
-    order = "<" if raw[at] == 1 else ">"
-    kind, n = struct.unpack_from(f"{order}II", raw, at + 1)
-    at, out = at + 9, []
-    for k in range(n):
-        if kind % 1000 == 6:
-            part, at = _wkb_rings(raw, at)
-            out += part
-        elif kind % 1000 == 3:
-            size, = struct.unpack_from(f"{order}I", raw, at)
-            v = struct.unpack_from(f"{order}{2 * size}d", raw, at + 4)
-            at += 4 + 16 * size
-            points = [(x, y) for x, y in zip(v[::2], v[1::2], strict=True) if math.isfinite(x) and math.isfinite(y)]
-            points = points[:-1] if len(points) > 3 and points[0] == points[-1] else points
-            if points:
-                out.append((points, k > 0))
-        else:
-            break
-    return out, at
-
-
-def ring_of_wkb():
-    """Arrow UDF: the ring of a WKB polygon or multi-polygon, holes and all parts joined to it as ``joined_ring`` does; null of anything else."""
-
-    def parse(raw):
-        if raw is None or len(raw) < 9:
-            return None
-        rings, _ = _wkb_rings(raw)
-        if len(rings) > 1:
-            turned = [r[::-1] if (G.signed(r) > 0) == hole else r for r, hole in rings]
-            rings = [([*turned[0], turned[0][0], *(p for r in turned[1:] for p in (*r, r[0], turned[0][0]))], False)]
-        return [{"lat": y, "lng": x} for x, y in rings[0][0]] if rings else None
-
-    @F.pandas_udf(G.RING)
-    def run(blobs: pd.Series) -> pd.Series:
-        return pd.Series([parse(b) for b in blobs], dtype=object)
-
-    return run
-
-
-def write_traced(parcels: DataFrame, path: str, files: int = 8, rows_a_group: int = 20_000) -> None:
-    """Parcels (ftw_id, confidence, area_ha, ring) as GeoParquet-like files along a Z-order curve, so that box bounds skip row groups."""
-    lats, lngs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
-    out = parcels.select("ftw_id", "confidence", "area_ha", F.array_min(lngs).alias("xmin"), F.array_min(lats).alias("ymin"), F.array_max(lngs).alias("xmax"), F.array_max(lats).alias("ymax"), wkb()(F.col("ring")).alias("geometry"))
+def write_traced(parcels: DataFrame, path: str, rows_a_file: int = 1_000_000, rows_a_group: int = 20_000) -> None:
+    """Parcels (ftw_id, confidence, area_ha, ring, which may be a shape) as GeoParquet-like files along a Z-order curve, so that box bounds skip row groups. The number of files follows a count."""
+    box = bounds_of(parcels)
+    out = parcels.select("ftw_id", "confidence", "area_ha", *[box[k].alias(n) for k, n in zip(("x0", "y0", "x1", "y1"), ("xmin", "ymin", "xmax", "ymax"), strict=True)], P.to_wkb()(shape_of(parcels)).alias("geometry"))
     out = out.withColumn("_z", z_order((F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2))
+    files = max(8, -(-parcels.count() // rows_a_file))
     out.repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").option("parquet.block.row.count.limit", rows_a_group).parquet(path)
 
 
@@ -144,8 +82,9 @@ def read_registry(spark: SparkSession, url: str, table: str, key: str, low: int,
 
 
 def append_log(runs: DataFrame, path: str) -> None:
-    """Adds scan runs to the log, a folder of Parquet files by day."""
-    runs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Adds scan runs to the log, a folder of Parquet files by month; a month's runs are spread over tasks by day, so that none writes many small files and a busy month is no single task."""
+    dated = runs.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    dated.repartition("month", F.to_date("created_at")).write.mode("append").partitionBy("month").parquet(path)
 
 
 def footer(path: str) -> dict[str, str]:

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
+from fieldloom.functions import polygons as P
 from fieldloom.operators import raster as A
 from fieldloom.operators import zones as Z
 from fieldloom.sources import files
@@ -29,8 +30,8 @@ def test_geojson_round_trip(spark, tmp_path):
     (tmp_path / "p.geojson").write_text(json.dumps(doc))
     df = files.read_geojson(spark, str(tmp_path / "p.geojson"), "parcel_id string, confidence double, crop_pred string")
     rows = df.collect()
-    assert [(r.parcel_id, r.confidence, r.crop_pred, len(r.ring)) for r in rows] == [("a", 0.5, None, 4)]
-    back = json.loads(files.to_geojson(df, "parcel_id").first().geojson)
+    assert [(r.parcel_id, r.confidence, r.crop_pred, len(r["shape"][0][0])) for r in rows] == [("a", 0.5, None, 4)]
+    back = json.loads(files.to_geojson(df, "parcel_id", polygon="shape").first().geojson)
     assert back["features"][0]["geometry"]["coordinates"][0] == square and back["features"][0]["properties"] == {"parcel_id": "a"}
 
 
@@ -50,10 +51,10 @@ def test_overpass(spark, tmp_path):
 
 def test_traced_files_prune_and_decode(spark, tmp_path):
     df = spark.range(400).select(F.col("id").alias("ftw_id"), (F.col("id") % 100).cast("double").alias("confidence"), F.lit(0.3).alias("area_ha"), G.rectangle(-20 + F.col("id") % 20 / 10, 47 + F.floor(F.col("id") / 20) / 10, F.lit(0.001), F.lit(0.001)).alias("ring"))
-    files.write_traced(df, str(tmp_path / "t"), files=4)
+    files.write_traced(df, str(tmp_path / "t"), rows_a_file=100)
     read = files.read_traced(spark, str(tmp_path / "t"))
     assert read.count() == 400
-    ring = read.where("ftw_id = 21").select(files.ring_of_wkb()(F.col("geometry")).alias("r")).first().r
+    ring = read.where("ftw_id = 21").select(P.of_wkb()(F.col("geometry")).alias("r")).first().r[0][0]
     assert len(ring) == 4 and abs(ring[0]["lat"] + 19.901) < 1e-9
     near = Z.traced_in_circle(read, -19.9, 47.1, 500)
     assert [r.ftw_id for r in near.collect()] == [21]
@@ -71,9 +72,9 @@ def _wkb(rings):
 def test_holes_and_parts_of_wkb(spark):
     box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
     blobs = [_wkb([box(0, 0, 4), box(1, 1, 2)]), struct.pack("<BII", 1, 6, 2) + _wkb([box(0, 0, 4)[::-1], box(1, 1, 1)]) + _wkb([box(6, 0, 1)]), _wkb([box(0, 0, 4)]), struct.pack("<BIdd", 1, 1, 0.0, 0.0), None, b""]
-    rows = spark.createDataFrame([(k, b) for k, b in enumerate(blobs)], "k int, b binary").withColumn("ring", files.ring_of_wkb()(F.col("b")))
-    inside = lambda x, y: G.contains(F.col("ring"), F.lit(y), F.lit(x))
-    got = rows.where("ring is not null").orderBy("k").select("k", G.area_deg2(F.col("ring")).alias("a"), inside(0.5, 0.5).alias("p"), inside(1.5, 1.5).alias("q"), inside(6.5, 0.5).alias("r")).collect()
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(blobs)], "k int, b binary").withColumn("shape", P.of_wkb()(F.col("b")))
+    inside = lambda x, y: P.contains(F.col("shape"), F.lit(y), F.lit(x))
+    got = rows.where("shape is not null").orderBy("k").select("k", P.area_deg2(F.col("shape")).alias("a"), inside(0.5, 0.5).alias("p"), inside(1.5, 1.5).alias("q"), inside(6.5, 0.5).alias("r")).collect()
     assert [tuple(r) for r in got] == [(0, 12.0, True, False, False), (1, 16.0, True, False, True), (2, 16.0, True, True, False)]
 
 

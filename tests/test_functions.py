@@ -58,19 +58,6 @@ def test_square_plausible_spiky_not(spark):
     assert [r.plausible for r in plausible_field(df).orderBy("id").collect()] == [True, False, False]
 
 
-def test_overlap_is_exact_and_symmetric():
-    ell = np.array([(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)], float)
-    box = np.array([(0.5, 0.5), (2, 0.5), (2, 2), (0.5, 2)], float)
-    assert G.overlap_area(ell, box) == pytest.approx(1.5 * 1.5 - 1.0)
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        p, q = rng.random((5, 2)), rng.random((6, 2))
-        v = G.overlap_area(p, q)
-        assert v == pytest.approx(G.overlap_area(q, p)) and v == pytest.approx(G.overlap_area(np.roll(p, 2, 0), q))
-        assert -1e-12 <= v <= 1
-    assert G.overlap_area(box, box + 10) == 0
-
-
 def test_clip_never_grows(spark):
     d = 0.01
     inside, half = [(-d / 2, -d / 2), (-d / 2, d / 2), (d / 2, d / 2), (d / 2, -d / 2)], [(-1, -1), (-1, 1), (1, 1), (1, -1)]
