@@ -253,24 +253,24 @@ def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
-def clip_to_circle(lat: float, lng: float, radius_km: float):
-    """A ring's part inside a circle of 48 vertices, as a ring, by an Arrow UDF; empty if there is none."""
-    scale = np.array([K.M_PER_DEG * max(abs(math.cos(math.radians(lat))), 0.1), 110_574.0])
+def clip_to_circle(lat, lng, radius_km):
+    """A ring's part inside a circle of 48 vertices (of constants or of each row's columns), as a ring, by an Arrow UDF; empty if there is none."""
     angle = np.arange(48) / 48 * 2 * math.pi
-    window = np.column_stack([np.cos(angle), np.sin(angle)]) * radius_km * 1000
-    origin = np.array([lng, lat])
+    unit = np.column_stack([np.cos(angle), np.sin(angle)])
 
     @F.pandas_udf("x array<double>, y array<double>")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    def run(xs: pd.Series, ys: pd.Series, lats: pd.Series, lngs: pd.Series, radii: pd.Series) -> pd.DataFrame:
         out = []
-        for p in map(_joined, xs, ys):
+        for p, y, x, radius in zip(map(_joined, xs, ys), lats, lngs, radii, strict=True):
             if len(p) > 1 and (p[0] == p[-1]).all():
                 p = p[:-1]
-            inside = clip_convex((p - origin) * scale, window) / scale + origin
+            scale, origin = np.array([K.M_PER_DEG * max(abs(math.cos(math.radians(y))), 0.1), 110_574.0]), np.array([x, y])
+            inside = clip_convex((p - origin) * scale, unit * radius * 1000) / scale + origin
             out.append((inside[:, 0], inside[:, 1]))
         return pd.DataFrame({"x": [o[0] for o in out], "y": [o[1] for o in out]})
 
-    return lambda ring: bind(run(*_axes(ring)), lambda c: F.zip_with(c["x"], c["y"], lambda x, y: point(y, x)))
+    once = run.asNondeterministic()  # or else filters on the result would run it again
+    return lambda ring: bind(once(*_axes(ring), col(lat), col(lng), col(radius_km)), lambda c: F.zip_with(c["x"], c["y"], lambda x, y: point(y, x)))
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
-from fieldloom.functions.mathx import flat_km, flat_m
+from fieldloom.functions.mathx import flat_km, flat_m, round_up
 from fieldloom.functions.text import spot_label
 from fieldloom.operators import raster as A
 from fieldloom.operators import registry as R
@@ -24,10 +27,17 @@ def as_candidates(rings: DataFrame, source: str, id=None) -> DataFrame:
     return df.select((id if id is not None else spot_label(source, "center_lat", "center_lng")).alias("candidate_id"), "ring", "center_lat", "center_lng", F.lit(source).alias("source"))
 
 
-def meeting(candidates: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
-    """Candidates that meet a circle, with their distance, nearest first and without near duplicates."""
-    near = candidates.where(G.meets_circle(F.col("ring"), lat, lng, radius_km)).withColumn("distance_km", flat_km(lat, lng, "center_lat", "center_lng")).withColumn("q", F.lit(0))
-    return R.thin(written(near), "q", "distance_km", "candidate_id").drop("q")
+def meeting(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+    """Candidates that meet the circles of requests (query_id, lat, lng, radius_km), with query_id and their distance, without near duplicates of nearer ones.
+
+    Circles and candidates meet by grid cell of their bounding boxes; edges are looked at where boxes meet.
+    """
+    r = F.col("radius_km") * 1.0001
+    box = G.rectangle("lat", "lng", r / K.KM_PER_DEG_LAT, r / (K.KM_PER_DEG_LNG * F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))))
+    pairs = S.overlapping(candidates, requests.select("query_id", "lat", "lng", "radius_km", box.alias("ring")), "candidate_id", "query_id")
+    near = pairs.where(G.meets_circle(F.col("ring"), "r_lat", "r_lng", "r_radius_km")).withColumn("distance_km", flat_km("r_lat", "r_lng", "center_lat", "center_lng"))
+    near = near.withColumnRenamed("r_query_id", "query_id").drop("r_lat", "r_lng", "r_radius_km", "r_ring")
+    return R.thin(written(near), "query_id", "distance_km", "candidate_id")
 
 
 def in_reach(parcels: DataFrame, lat: float, lng: float, radius_m: float, min_area_ha: float) -> DataFrame:
@@ -62,33 +72,41 @@ def from_watershed(pixels: DataFrame, grids: DataFrame, tolerance_px: float = 1.
     return as_candidates(good, "gee-watershed-segmentation", F.concat_ws("-", F.lit("gee-watershed"), F.col("raster_id").cast("string"), F.col("label").cast("string")))
 
 
-def cells(df: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
-    """Search cells of one circle as candidates, clipped to it; df has one row (query_id, lat, lng)."""
-    import math
-
-    half = max(0.1, radius_km / math.sqrt(K.MAX_CELLS / math.pi)) / 2
-    grid = R.search_cells(df, radius_km).withColumn("ring", G.clip_to_circle(lat, lng, radius_km)(G.square_around("cell_lat", "cell_lng", half))).where(F.size("ring") >= 3)
-    return as_candidates(grid, "satellite-search-cell", F.concat_ws("_", F.lit("satellite-search-cell"), F.col("row").cast("string"), F.col("column").cast("string")))
+def cells(requests: DataFrame) -> DataFrame:
+    """Search cells of requests (query_id, lat, lng, radius_km) as candidates, clipped to their circles."""
+    grid = R.search_cells(requests.select("query_id", "lat", "lng", "radius_km"), "radius_km")
+    half = F.greatest(F.lit(0.1), F.col("radius_km") / math.sqrt(K.MAX_CELLS / math.pi)) / 2
+    grid = grid.withColumn("ring", G.clip_to_circle("lat", "lng", "radius_km")(G.square_around("cell_lat", "cell_lng", half))).where(F.size("ring") >= 3)
+    grid = grid.withColumn("_c", G.centroid(F.col("ring")))
+    name = F.concat_ws("_", F.lit("satellite-search-cell"), F.col("row").cast("string"), F.col("column").cast("string"))
+    return grid.select("query_id", name.alias("candidate_id"), "ring", F.col("_c.lat").alias("center_lat"), F.col("_c.lng").alias("center_lng"), F.lit("satellite-search-cell").alias("source"))
 
 
-def discover(known: list[DataFrame], watershed: DataFrame, query: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
-    """Candidates of a circle, at most MAX_CANDIDATES.
+def discover(requests: DataFrame, known: list[DataFrame], watershed: DataFrame | None = None) -> DataFrame:
+    """Candidates of each request (query_id, lat, lng, radius_km), at most MAX_CANDIDATES each: (query_id, COLUMNS, source_rank, rank).
 
-    Known sources in their order, thinned; if they cover less than a share of the circle, watershed segments too;
-    what is left is clipped to the circle and thinned again; search cells whose centre is in none of them follow.
+    Known sources (COLUMNS) in their order, thinned; requests of whose circle they cover less than a share take their watershed
+    segments (query_id, COLUMNS) too; what there is is clipped to the circle and thinned again; search cells whose centre is in none
+    of them follow. All requests go through each step together, as joins and groups by query_id; a request's share of the circle is a
+    column that decides a join, so nothing about a request reaches the driver. A request without candidates gets search cells alone.
     """
-    # A few thousand rows, thinned, measured and thinned again: each step is a table in the shared folder, read twice by the next.
-    sources = written(R.rank_sources(*[k.select(*COLUMNS) for k in known]).withColumn("q", F.lit(0)))
-    found = written(R.thin(sources, "q", "source_rank", "candidate_id"))
-    share = R.coverage(found, lat, lng, radius_km).first()["coverage"]
-    if share < K.MIN_KNOWN_COVERAGE:
-        more = watershed.select(*COLUMNS).withColumn("source_rank", F.lit(len(known))).withColumn("q", F.lit(0))
-        found = R.thin(written(found.unionByName(more)), "q", "source_rank", "candidate_id")
-    clipped = found.withColumn("ring", G.clip_to_circle(lat, lng, radius_km)(F.col("ring"))).where(F.size("ring") >= 3)
-    center = G.centroid(F.col("ring"))
-    clipped = clipped.withColumn("_c", center).withColumn("center_lat", F.col("_c.lat")).withColumn("center_lng", F.col("_c.lng")).drop("_c")
-    clipped = written(R.thin(written(clipped), "q", "source_rank", "candidate_id").select(*COLUMNS, "source_rank"))
-    spare = written(cells(query, lat, lng, radius_km))
-    free = S.not_within(spare.select("candidate_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), clipped, 0.01).select("candidate_id")
-    spare = spare.join(free, "candidate_id", "left_semi").withColumn("source_rank", F.lit(99))
-    return clipped.unionByName(spare).orderBy("source_rank", flat_km(lat, lng, "center_lat", "center_lng"), "candidate_id").limit(K.MAX_CANDIDATES)
+    circles = requests.select("query_id", "lat", "lng", "radius_km")
+    own = ["query_id", *COLUMNS, "source_rank"]
+    # Each step is a table in the shared folder, read twice by the next.
+    sources = written(R.rank_sources(*[meeting(k.select(*COLUMNS), circles) for k in known]).select(*own))
+    found = written(R.thin(sources, "query_id", "source_rank", "candidate_id"))
+    if watershed is not None:
+        shares = R.coverages(found.join(circles, "query_id"))
+        short = circles.join(shares, "query_id", "left").where(F.coalesce("coverage", F.lit(0.0)) < K.MIN_KNOWN_COVERAGE).select("query_id")
+        more = watershed.select("query_id", *COLUMNS).join(short, "query_id", "left_semi").withColumn("source_rank", F.lit(len(known)))
+        found = R.thin(written(found.unionByName(more)), "query_id", "source_rank", "candidate_id")
+    clipped = found.join(circles, "query_id").withColumn("ring", G.clip_to_circle("lat", "lng", "radius_km")(F.col("ring"))).where(F.size("ring") >= 3)
+    clipped = clipped.withColumn("_c", G.centroid(F.col("ring"))).withColumn("center_lat", F.col("_c.lat")).withColumn("center_lng", F.col("_c.lng"))
+    clipped = written(R.thin(written(clipped.select(*own)), "query_id", "source_rank", "candidate_id"))
+    spare = written(cells(circles))
+    held = S.containing(spare.select("query_id", "candidate_id", "center_lat", "center_lng"), clipped.select(F.col("query_id").alias("_query"), "ring"), 0.01, also=F.col("query_id") == F.col("_query"))
+    spare = spare.join(held.select("query_id", "candidate_id").distinct(), ["query_id", "candidate_id"], "left_anti").withColumn("source_rank", F.lit(99))
+    all_ = clipped.unionByName(spare).join(circles, "query_id")
+    distance = round_up(flat_km("lat", "lng", "center_lat", "center_lng"), 9)
+    ranked = all_.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("source_rank", distance, "candidate_id"))).where(F.col("rank") <= K.MAX_CANDIDATES)
+    return ranked.select(*own, "rank")

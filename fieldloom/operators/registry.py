@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
 from fieldloom.functions import polygons as P
-from fieldloom.functions.mathx import flat_km, round_up
+from fieldloom.functions.mathx import col, flat_km, round_up
 from fieldloom.operators.spatial import shape_of
+from fieldloom.sources.shared import written
 
 
 def newest_first(parcels: DataFrame, tie: str = "parcel_id") -> DataFrame:
@@ -129,18 +130,66 @@ def _thinned(group: pd.DataFrame, apart_km: float, degree_km: tuple[float, float
     return group.iloc[out][["g", "id"]]
 
 
-def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CENTER_DUPLICATE_KM, id: str = "candidate_id", degree_km: tuple[float, float] = (K.KM_PER_DEG_LAT, K.KM_PER_DEG_LNG)) -> DataFrame:
+#: Groups of at most so many candidates are thinned by a fold in one task, larger ones by rounds; both give the same rows.
+FOLD_ROWS = 5_000
+
+
+def thin(candidates: DataFrame, group: str, *order: str, apart_km: float = K.CENTER_DUPLICATE_KM, id: str = "candidate_id", degree_km: tuple[float, float] = (K.KM_PER_DEG_LAT, K.KM_PER_DEG_LNG), fold_rows: int | None = None) -> DataFrame:
     """Greedy thinning of each query's candidates in an order: one stays if none that stayed is nearer than ``apart_km``.
 
-    A query's candidates are one group; requests hold two thousand at most.
+    The order must tell a query's candidates apart. ``candidates`` are read several times, so they should be a table.
     """
     names = [f"o{k}" for k in range(len(order))]
     typed = candidates.select(F.col(group).alias("g"), F.col(id).alias("id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
     types = dict(typed.dtypes)
-    kept = typed.groupBy("g").applyInPandas(lambda g: _thinned(g.sort_values(names, kind="stable"), apart_km, degree_km), f"g {types['g']}, id {types['id']}")
+    large = typed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (FOLD_ROWS if fold_rows is None else fold_rows)).select("g")
+    several = not large.isEmpty()
+    small = typed.join(large, typed["g"].eqNullSafe(large["g"]), "left_anti") if several else typed
+    kept = small.groupBy("g").applyInPandas(lambda g: _thinned(g.sort_values(names, kind="stable"), apart_km, degree_km), f"g {types['g']}, id {types['id']}")
+    if several:
+        kept = kept.unionByName(_thinned_by_rounds(typed.join(large, "g", "left_semi"), names, apart_km, degree_km))
     return candidates.join(kept.select(F.col("g").alias(group), F.col("id").alias(id)), [group, id], "left_semi")
 
 
+def _thinned_by_rounds(typed: DataFrame, names: list[str], apart_km: float, degree_km: tuple[float, float]) -> DataFrame:
+    """The same for groups of any size: (g, id) of those that stay.
+
+    Points lie in grid cells about as wide as they must be apart. Each round takes the first open point of every cell and holds it against
+    the open points of the cells around: it stays if none of them that is near comes before it, and then those near it go.
+    A round compares each open point with at most nine cells' firsts, so that points piled up in one place cost no pairs of
+    all of them, and the first of all is always settled.
+    """
+    high = apart_km / degree_km[0]
+    row = F.floor(F.col("lat") / high)
+
+    def width(r: Column) -> Column:
+        """Of the cells of a row, in degrees: no point in it or in a row beside has more degrees to the distance."""
+        edge = (F.greatest(F.abs(r), F.abs(r + 1)) + 1) * high
+        return apart_km / (degree_km[1] * F.greatest(F.abs(F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(0.1))) * 1.000001
+
+    point = F.struct(*names, "id", "lat", "lng", F.greatest(F.abs(F.cos(F.radians("lat"))), F.lit(0.1)).alias("scale"))
+    left = written(typed.withColumn("row", row).withColumn("cell", F.floor(F.col("lng") / width(F.col("row")))).select("g", "row", "cell", point.alias("p")))
+    near = lambda a, b, scale: F.hypot((a["lng"] - b["lng"]) * degree_km[1] * scale, (a["lat"] - b["lat"]) * degree_km[0]) < apart_km
+    stays = None
+    while True:
+        firsts = left.groupBy("g", "row", "cell").agg(F.min("p").alias("m"))
+        around = firsts.select("g", "m", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"))
+        span = [F.floor((F.col("m.lng") + k * width(F.col("row"))) / width(F.col("row"))) for k in (-1, 1)]
+        around = around.withColumn("cell", F.explode(F.sequence(*span)))
+        p, m = F.col("p"), F.col("m")
+        before = p < m
+        close = left.join(around, ["g", "row", "cell"]).where(near(p, m, F.when(before, p["scale"]).otherwise(m["scale"])))
+        close = written(close.select("g", p["id"].alias("id"), m["id"].alias("first"), before.alias("before")))
+        settled = written(close.groupBy("g", "first").agg(F.max("before").alias("waits")).where("not waits").select("g", "first"))
+        new = settled.select("g", F.col("first").alias("id"))
+        stays = new if stays is None else stays.unionByName(new)
+        gone = close.join(settled, ["g", "first"], "left_semi").select(F.col("g"), F.col("id")).distinct()
+        rest = left.withColumn("id", F.col("p.id")).join(gone, ["g", "id"], "left_anti").select("g", "row", "cell", "p")
+        left = written(rest)
+        if left.isEmpty():
+            return stays
+
+
 def first_available(options: DataFrame, group: str, priority: str = "source_rank") -> DataFrame:
     """Rows of each group's first source that has any."""
     return options.withColumn("_m", F.min(priority).over(W.partitionBy(group))).where(F.col(priority) == F.col("_m")).drop("_m")
@@ -153,11 +202,19 @@ def coverage(candidates: DataFrame, lat: float, lng: float, radius_km: float) ->
     return part.agg((F.coalesce(area, F.lit(0.0)) / (math.pi * (radius_km * 1000) ** 2)).alias("coverage"))
 
 
-def search_cells(df: DataFrame, radius_km: float, limit: int = K.MAX_CELLS) -> DataFrame:
-    """Square search cells over the circle of each query (query_id, lat, lng), nearest first: (query_id, row, column, cell_lat, cell_lng)."""
-    size = max(0.1, radius_km / math.sqrt(limit / math.pi))
-    n = math.ceil(radius_km / size)
-    steps = F.sequence(F.lit(-n), F.lit(n))
+def coverages(candidates: DataFrame) -> DataFrame:
+    """(query_id, coverage) of candidates with their query's circle (query_id, lat, lng, radius_km): the share that they cover, overlaps counted each time."""
+    part = candidates.withColumn("_clip", G.clip_to_circle("lat", "lng", "radius_km")(F.col("ring")))
+    area = F.when(F.size("_clip") >= 3, G.area_m2(F.col("_clip")))
+    return part.groupBy("query_id").agg((F.coalesce(F.sum(area), F.lit(0.0)) / (math.pi * F.pow(F.any_value("radius_km") * 1000, F.lit(2)))).alias("coverage"))
+
+
+def search_cells(df: DataFrame, radius_km: float | str, limit: int = K.MAX_CELLS) -> DataFrame:
+    """Square search cells over the circle of each query (query_id, lat, lng), nearest first: its row, column, cell_lat, cell_lng. The radius is a constant or a column."""
+    radius_km = col(radius_km)
+    size = F.greatest(F.lit(0.1), radius_km / math.sqrt(limit / math.pi))
+    n = F.ceil(radius_km / size).cast("int")
+    steps = F.sequence(-n, n)
     grid = df.withColumn("row", F.explode(steps)).withColumn("column", F.explode(steps))
     c = G.offset("lat", "lng", F.col("column") * size, F.col("row") * size)
     grid = grid.withColumn("cell_lat", c["lat"]).withColumn("cell_lng", c["lng"]).withColumn("distance_km", round_up(flat_km("lat", "lng", "cell_lat", "cell_lng"), 9))

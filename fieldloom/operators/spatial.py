@@ -128,11 +128,11 @@ def in_box(box: Column, lat: Column, lng: Column) -> Column:
     return lng.between(box["x0"], box["x1"]) & lat.between(box["y0"], box["y1"])
 
 
-def containing(points: DataFrame, polygons: DataFrame, size: float, lat: str = "center_lat", lng: str = "center_lng") -> DataFrame:
-    """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring."""
+def containing(points: DataFrame, polygons: DataFrame, size: float, lat: str = "center_lat", lng: str = "center_lng", also: Column | None = None) -> DataFrame:
+    """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring. ``also``: what a pair must fulfil besides."""
     cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
     grid = polygons.withColumn("_box", bounds_of(polygons)).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
-    near = points.withColumn("_cell", cell).join(grid, "_cell").where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
+    near = points.withColumn("_cell", cell).join(grid, "_cell").where(F.lit(True) if also is None else also).where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
     return near.where(P.contains(shape_of(polygons), lat, lng)).drop("_cell", "_box")
 
 

@@ -212,3 +212,16 @@ def test_windows_hop_and_tumble(spark):
     rows = spark.createDataFrame([(dt.datetime(2025, 2, 10),), (dt.datetime(2025, 2, 28),)], "ts timestamp")
     assert sorted(r.label for r in E.in_month_windows(rows, "ts", "2025-03-15", 3, 2).collect()) == ["2025-01", "2025-02", "2025-02"]
     assert [r.label for r in E.in_month_windows(rows, "ts", "2025-03-15", 3, 1).collect()] == ["2025-02"]
+
+
+def test_thinning_by_rounds_equals_the_fold(spark):
+    """Also where a third of all points lie in one place, near the poles and over the date line's edge."""
+    rng = np.random.default_rng(6)
+    lat = np.concatenate([rng.normal(-19.8, 0.01, 150), np.full(120, -19.8), rng.uniform(80, 89.9, 60), rng.uniform(-0.01, 0.01, 60)])
+    lng = np.concatenate([rng.normal(47, 0.01, 150), 47 + rng.normal(0, 1e-5, 120), rng.uniform(-180, 180, 60), rng.uniform(-0.01, 0.01, 60)])
+    rows = [(int(k % 2), int(rng.integers(0, 4)), f"c{k:04d}", float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lng, strict=True))]
+    df = spark.createDataFrame(rows, "q int, source_rank int, candidate_id string, center_lat double, center_lng double")
+    for apart in (0.3, 2.0):
+        folded = {(r.q, r.candidate_id) for r in R.thin(df, "q", "source_rank", "candidate_id", apart_km=apart).collect()}
+        mixed = {(r.q, r.candidate_id) for r in R.thin(df, "q", "source_rank", "candidate_id", apart_km=apart, fold_rows=10).collect()}
+        assert folded == mixed and 10 < len(folded) < len(rows)
