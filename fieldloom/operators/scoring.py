@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -148,15 +148,16 @@ def analysed(df: DataFrame) -> DataFrame:
     return df.withColumn("anomaly_level", F.when(c("is_barley"), "AUCUNE").otherwise("FORTE"))
 
 
-def seasonal_features(series: DataFrame) -> DataFrame:
+def seasonal_features(series: DataFrame, order: str | None = None) -> DataFrame:
     """Features of each observation (parcel_id, month_key, reflectances B2 to B11): its own indices and the parcel's statistics.
 
-    Of rows with one date the first counts; observations without data stay, as zeros; parcels without any NDVI
+    Of rows with one date the first by ``order`` counts, a column that tells a list's places; without it, that of the least reflectances, so that
+    a rerun chooses the same. Observations without data stay, as zeros; parcels without any NDVI
     are absent.
     """
     bands = {k: F.col(k) for k in ("B2", "B4", "B5", "B8", "B11")}
     rows = series.withColumns(X.monthly(bands)).withColumn("date", month_start(F.col("month_key"))).where("date is not null")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("parcel_id", "date").orderBy("month_key"))).where("_n = 1").drop("_n")
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("parcel_id", "date").orderBy(*([order] if order else [c for c in series.columns if c.startswith("B")]), "month_key"))).where("_n = 1").drop("_n", *([order] if order else []))
     rows = rows.withColumns({"month": F.month("date"), "day_of_year": F.dayofyear("date"), "PSRI": X.senescence(F.col("B2"), F.col("B4"), F.col("B6")), "MSI": X.moisture(F.col("B8"), F.col("B11"))})
     ndvi, doy = F.col("NDVI"), F.col("day_of_year")
     green = ndvi >= K.GREEN_NDVI
@@ -214,6 +215,92 @@ def forest_probability(model, features: DataFrame) -> DataFrame:
     return model.transform(features).withColumn("p", F.coalesce(F.get(vector_to_array("_prob"), 1), F.lit(0.0))).drop("_x", "_prob", "_pred", "_raw")
 
 
+NODE = "tree int, node int, feature int, threshold double, left_child int, right_child int, value double"
+
+
+def write_forest(nodes: DataFrame, path: str) -> None:
+    """Stores a forest as a table of nodes (NODE): an inner one has a feature's number, a threshold and children, a leaf the share of the class."""
+    nodes.write.parquet(path)
+
+
+def read_forest(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes (NODE) of a stored forest: a table of nodes, or what MLlib saves of a random forest for two classes."""
+    if "nodeData" not in (stored := spark.read.parquet(path)).columns:
+        return stored.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in NODE.split(", ")])
+    n = F.col("nodeData")
+    inner = n["leftChild"] >= 0
+    kept = lambda c: F.when(inner, c)
+    share = F.coalesce(F.try_divide(F.get(n["impurityStats"], 1), F.aggregate(n["impurityStats"], F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+    return stored.select(
+        F.col("treeID").alias("tree"),
+        n["id"].alias("node"),
+        kept(n["split"]["featureIndex"]).alias("feature"),
+        kept(F.get(n["split"]["leftCategoriesOrThreshold"], 0)).alias("threshold"),
+        kept(n["leftChild"]).alias("left_child"),
+        kept(n["rightChild"]).alias("right_child"),
+        F.when(~inner, share).alias("value"),
+    )
+
+
+#: Nodes that go to every task at once; a larger forest is evaluated some trees at a time.
+MOST_NODES = 200_000
+_TREE = "array<struct<feature:int,threshold:double,l:int,r:int,value:double>>"
+
+
+def _arrays(nodes: list) -> tuple[list[list[tuple]], int]:
+    """(trees as lists of nodes, whose children are places in the list, the root first; edges to the deepest leaf) of rows of NODE in order."""
+    trees: dict[int, list] = {}
+    for n in nodes:
+        trees.setdefault(n["tree"], []).append(n)
+    out, deepest = [], 0
+    for tree in trees.values():
+        place = {n["node"]: k for k, n in enumerate(tree)}
+        out.append([(n["feature"], n["threshold"], place.get(n["left_child"]), place.get(n["right_child"]), n["value"]) for n in tree])
+        level, depth = [0], -1
+        while level:
+            level, depth = [c for k in level for c in out[-1][k][2:4] if c is not None], depth + 1
+        deepest = max(deepest, depth)
+    return out, deepest
+
+
+def forest_scores(features: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """features with ``p``, the mean over a stored forest's trees of the leaf that each row comes to.
+
+    Trees are arrays of nodes in one row that goes to all tasks, MOST_NODES nodes at a time (or one tree, if that has more): they
+    don't grow with the rows. A row walks down each tree in a fold as long as the deepest tree. Missing features count as 0.
+    """
+    sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()  # a row a tree
+    if not sizes:
+        raise ValueError("the forest has no trees")
+    lots: list[list[int]] = []
+    held = MOST_NODES
+    for row in sizes:
+        if held + row["n"] > MOST_NODES:
+            lots.append([])
+            held = 0
+        lots[-1].append(row["tree"])
+        held += row["n"]
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    out = features.withColumn("p", F.lit(0.0)).withColumn("_x", x)
+    for lot in lots:
+        arrays, deepest = _arrays(nodes.where(F.col("tree").between(lot[0], lot[-1])).orderBy("tree", "node").collect())
+        row = features.sparkSession.createDataFrame([(arrays,)], f"_trees array<{_TREE}>")
+
+        steps = F.array_repeat(F.lit(0), max(deepest, 1))
+
+        def leaf(tree: Column) -> Column:
+            def down(k: Column, _: Column) -> Column:
+                n = F.get(tree, k)
+                return F.when(n["feature"].isNull(), k).when(F.get(F.col("_x"), n["feature"]) <= n["threshold"], n["l"]).otherwise(n["r"])
+
+            return F.get(tree, F.aggregate(steps, F.lit(0), down))["value"]
+
+        scored = out.crossJoin(F.broadcast(row))
+        sums = F.aggregate(F.transform("_trees", leaf), F.lit(0.0), lambda a, v: a + v)
+        out = scored.withColumn("p", F.col("p") + sums).drop("_trees")
+    return out.withColumn("p", F.col("p") / len(sizes)).drop("_x")
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str) -> dict:
     """A penalised logistic model over standardised features, in MLlib: the optimum that plain gradient descent approaches."""
     from pyspark.ml.classification import LogisticRegression

@@ -12,7 +12,7 @@ from fieldloom.functions.mathx import logistic, round_up
 from fieldloom.operators import scoring as C
 from fieldloom.plans.geo import r
 from fieldloom.sources.fixtures import table, with_
-from fieldloom.sources.shared import written
+from fieldloom.sources.shared import new_folder, written
 
 STAGE_SQL = """case when days_since_planting < 0 then 'Pré-semis' when days_since_planting <= 7 then 'Semis' when days_since_planting <= 20 then 'Levée' when days_since_planting <= 45 then 'Tallage' when days_since_planting <= 65 then 'Montaison'
   when days_since_planting <= 80 then 'Épiaison' when days_since_planting <= 110 then 'Maturation' when days_since_planting is not null then 'Récolte' end"""
@@ -109,14 +109,30 @@ stats as (select s.*, k.doy_max_ndvi, case when first_green_doy is null then 0e0
 SEASONAL_FEATURES = FEATURES_SQL + f"""select i.parcel_id, i.month_key, {', '.join(f'coalesce({r(c.lower(), 5)}, 0e0) as {c.lower()}' for c in WANTED)} from i join stats using (parcel_id)"""
 
 
+#: A forest of fifteen nodes a tree, from a table that both engines have.
+FOREST = """select cast(n_nationkey as int) as tree, k.node, case when k.node < 7 then cast((n_nationkey*3+k.node*5)%5 as int) end as feature,
+  case when k.node < 7 then 0.1037e0+((n_nationkey*37+k.node*11)%40)/70e0 end as threshold, case when k.node < 7 then 2*k.node+1 end as left_child, case when k.node < 7 then 2*k.node+2 end as right_child,
+  case when k.node >= 7 then ((n_nationkey*29+k.node*13)%100)/100e0 end as value
+from nation cross join (select 0 as node union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9
+  union all select 10 union all select 11 union all select 12 union all select 13 union all select 14) k"""
+SPLIT_ON = ["NDVI", "NDVI_mean", "NDVI_oct", "NDVI_max", "pct_green"]
+
+
 def forest_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Parcel verdicts from observation probabilities; here the probabilities are a plain function of two features."""
-    p = 1 / (1 + F.exp(-(F.col("NDVI_max") * 4 - F.col("NDVI_oct") * 3 + F.col("NDVI"))))
-    out = C.classify(_features(spark, d), p)
+    """Parcel verdicts by a forest that is read from its artefact, a table of nodes."""
+    path = new_folder(spark)
+    C.write_forest(spark.sql(FOREST.replace("from nation", "from {nation}"), nation=spark.read.parquet(f"{d}/nation.parquet")), path)
+    scores = C.forest_scores(_features(spark, d), C.read_forest(spark, path), SPLIT_ON)
+    out = C.classify(scores, F.col("p"))
     return out.select("parcel_id", round_up(F.col("probability"), 5).alias("probability"), "n_observations", round_up(F.col("ndvi_oct"), 4).alias("ndvi_oct"), "doy_peak", "is_barley", "level")
 
 
-FOREST_VERDICTS = FEATURES_SQL + f""", p as (select parcel_id, avg(1/(1+exp(-(ndvi_max*4-ndvi_oct*3+coalesce(ndvi, 0e0))))) as p, count(*) as n, any_value(ndvi_oct) as o, any_value(doy_max_ndvi) as k from i join stats using (parcel_id) group by 1)
+FOREST_VERDICTS = FEATURES_SQL.replace("with ", "with recursive ", 1) + f""", forest as materialized ({FOREST}),
+o as materialized (select parcel_id, m, [coalesce(ndvi, 0e0), coalesce(ndvi_mean, 0e0), coalesce(ndvi_oct, 0e0), coalesce(ndvi_max, 0e0), coalesce(pct_green, 0e0)] as x, ndvi_oct, doy_max_ndvi from i join stats using (parcel_id)),
+walk as (select parcel_id, m, tree, 0 as node, null::double as value from o, (select distinct tree from forest)
+  union all select w.parcel_id, w.m, w.tree, case when o.x[f.feature+1] <= f.threshold then f.left_child else f.right_child end, null from walk w join forest f on f.tree = w.tree and f.node = w.node and f.feature is not null join o on o.parcel_id = w.parcel_id and o.m = w.m),
+scores as (select w.parcel_id, w.m, avg(f.value) as p from walk w join forest f on f.tree = w.tree and f.node = w.node and f.feature is null group by 1, 2),
+p as (select parcel_id, avg(p) as p, count(*) as n, any_value(ndvi_oct) as o, any_value(doy_max_ndvi) as k from scores join o using (parcel_id, m) group by 1)
 select parcel_id, {r('p', 5)} as probability, n as n_observations, {r('o', 4)} as ndvi_oct, k as doy_peak, p >= 0.3268e0 as is_barley,
   case when p < 0.15e0 then 'NON_ORGE' when p >= 0.7e0 and o <= 0.5e0 and k <= 245 then 'ORGE' else 'A_VERIFIER' end as level from p
 """
@@ -139,11 +155,12 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_trained(spark: SparkSession, d: str) -> DataFrame:
-    """A forest trained on all features of all observations, and the parcels' verdicts by it. Twenty trees of depth eight stand for the operator's default of 300 of depth 30."""
-    rows = _labelled(spark, d).persist()
-    model = C.train_forest(rows, "label", WANTED, trees=20, depth=8)
-    rows.unpersist()
-    return C.classify(C.forest_probability(model, rows), F.col("p")).select("parcel_id", "probability", "is_barley", "level")
+    """A forest trained on all features of all observations, stored, read back as nodes, and the parcels' verdicts by it. Twenty trees of depth eight stand for the operator's default of 300 of depth 30."""
+    rows = written(_labelled(spark, d))
+    path = new_folder(spark)
+    C.train_forest(rows, "label", WANTED, trees=20, depth=8).stages[-1].save(path)
+    scores = C.forest_scores(rows, C.read_forest(spark, f"{path}/data"), WANTED)
+    return C.classify(scores, F.col("p")).select("parcel_id", "probability", "is_barley", "level")
 
 
 def _parcel_rows(spark: SparkSession, d: str) -> DataFrame:

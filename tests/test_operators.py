@@ -225,3 +225,33 @@ def test_thinning_by_rounds_equals_the_fold(spark):
         folded = {(r.q, r.candidate_id) for r in R.thin(df, "q", "source_rank", "candidate_id", apart_km=apart).collect()}
         mixed = {(r.q, r.candidate_id) for r in R.thin(df, "q", "source_rank", "candidate_id", apart_km=apart, fold_rows=10).collect()}
         assert folded == mixed and 10 < len(folded) < len(rows)
+
+
+def test_a_stored_forest_scores_as_mllib_and_as_a_plain_walk(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(float, v), float(v[0] + 0.5 * v[1] > 0.2)) for k, v in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, label double")
+    model = C.train_forest(df, "label", ["a", "b", "c"], trees=7, depth=5)
+    model.stages[-1].save(str(tmp_path / "m"))
+    nodes = C.read_forest(spark, str(tmp_path / "m" / "data"))
+    want = {r.k: r.p for r in C.forest_probability(model, df).collect()}
+    for most in (200_000, 20):  # all trees at once, and one after the other
+        C.MOST_NODES, before = most, C.MOST_NODES
+        got = {r.k: r.p for r in C.forest_scores(df, nodes, ["a", "b", "c"]).collect()}
+        C.MOST_NODES = before
+        assert got == {k: pytest.approx(p, abs=1e-9) for k, p in want.items()}
+    C.write_forest(nodes, str(tmp_path / "n"))
+    held = {(n.tree, n.node): n for n in C.read_forest(spark, str(tmp_path / "n")).collect()}
+
+    def walk(x):
+        total = 0.0
+        for tree in range(7):
+            n = held[tree, 0]
+            while n.feature is not None:
+                n = held[tree, n.left_child if x[n.feature] <= n.threshold else n.right_child]
+            total += n.value
+        return total / 7
+
+    assert {r[0]: pytest.approx(walk(r[1:4])) for r in rows} == want
+    missing = spark.createDataFrame([(1, None, 0.3, None)], "k int, a double, b double, c double")
+    assert C.forest_scores(missing, nodes, ["a", "b", "c"]).first().p == pytest.approx(walk((0.0, 0.3, 0.0)))
