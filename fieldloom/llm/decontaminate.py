@@ -2,8 +2,10 @@
 
 Benchmark items are grouped by length; each group has a window size within STEP of its items' lengths. Every
 text is cut into words, and a 64-bit SimHash of word pairs is taken of every window of every size, at starts a
-small share of the window apart (a text shorter than a window is one window, if long enough to match). A
-fingerprint is looked up in tables of its BLOCKS blocks, which hold every value within radius // BLOCKS bits of an
+small share of the window apart (a text shorter than a window is one window, if its shingles could weigh enough to match).
+Pairs vote with the weight that verification gives their shingles: a pair weighs as the lightest of the shingles over it, so what
+many items share (a template around questions) hardly moves a fingerprint, and starts are the closer the less of an
+item is its own. A fingerprint is looked up in tables of its BLOCKS blocks, which hold every value within radius // BLOCKS bits of an
 item's block: two fingerprints within the radius agree that well in one block at least, so none is missed.
 Candidates within the radius are verified at every start nearby by the weighted Jaccard similarity of five-word
 shingles, windows being as long as the item; a shingle weighs less the more items hold it.
@@ -37,8 +39,8 @@ STEP, STRIDE = 1.12, 1 / 16
 LOT, WORDS_AT_ONCE = 20_000, 16_384
 #: Groups whose tables (2 MB each) a process keeps; beyond, tables are built when needed, for so many lots of words at once.
 KEPT, LOTS_AT_ONCE = 16, 8
-#: Words up to which 16 bits count a window.
-SMALL = 1 << 15
+#: Votes up to which 16 bits count a window; votes of a pair of full weight where weights differ.
+SMALL, VOTES = 1 << 15, 16
 
 
 def _blocked_cumsum(bits: np.ndarray, kind: type = np.int16) -> np.ndarray:
@@ -61,20 +63,28 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(_pairs(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def _bits(h: np.ndarray, votes: np.ndarray | None = None) -> np.ndarray:
+    """The bits of each word pair, times its votes."""
+    bits = np.unpackbits(_pairs(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return bits if votes is None else bits * votes[:, None]
 
 
-def _majority(upto: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The fingerprint of each window: bits that more than half of its word pairs have."""
+def _majority(upto: np.ndarray, starts: np.ndarray, last: np.ndarray, votes: np.ndarray | None = None) -> np.ndarray:
+    """The fingerprint of each window: bits that more than half of its word pairs have, or of the votes, whose prefix sums are given."""
     sums = upto.take(last, 0)
     sums -= upto.take(starts, 0)
-    return np.packbits(sums > ((last - starts) // 2).astype(upto.dtype)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    all_ = last - starts if votes is None else votes.take(last) - votes.take(starts)
+    return np.packbits(sums > (all_ // 2).astype(upto.dtype)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, votes: np.ndarray | None = None) -> np.ndarray:
     """SimHash of the word pairs of each window [start, end) of hashed words."""
-    return _majority(_blocked_cumsum(_bits(h), np.int16 if len(h) < SMALL else np.int32), starts, np.maximum(ends - 1, starts + 1))
+    most = len(h) if votes is None else len(h) * VOTES
+    return _majority(_blocked_cumsum(_bits(h, votes), np.int16 if most < SMALL else np.int32), starts, np.maximum(ends - 1, starts + 1), _prefix(votes))
+
+
+def _prefix(votes: np.ndarray | None) -> np.ndarray | None:
+    return None if votes is None else np.concatenate([[0], np.cumsum(votes, dtype=np.int64)])
 
 
 def window_sizes(lengths: Iterable[int]) -> dict[int, int]:
@@ -96,7 +106,7 @@ class Group:
 
     def __init__(self, items: list, radius: int, blocks: int):
         self.items, self.radius, self.blocks, self.bits = items, radius, blocks, 64 // blocks
-        self.prints = np.array([fingerprints(i["h"], np.array([0]), np.array([len(i["h"])]))[0] for i in items], np.uint64)
+        self.prints = np.array([fingerprints(i["h"], np.array([0]), np.array([len(i["h"])]), i.get("votes"))[0] for i in items], np.uint64)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"kept": None}  # megabytes that take a worker a moment to build
@@ -161,16 +171,42 @@ class Benchmark:
             at += 1
         self.short = {n: dict(of) for n, of in self.short.items()}
         sizes = window_sizes(n for n in (lengths or Counter(len(i["h"]) for i in self.items)) if n >= SPAN)
-        self.kind = np.int16 if max(sizes.values(), default=0) < SMALL else np.int32
+        light = np.array(sorted(self.weights), np.uint64)
+        self.light = light, np.array([max(1, round(VOTES * self.weights[s] / self.full)) for s in light.tolist()], np.uint8)
+        for i in self.items[at:]:
+            i["votes"] = self._votes(i["h"], np.array([0, len(i["h"])]))
+        self.kind = np.int16 if max(sizes.values(), default=0) * (VOTES if len(light) else 1) < SMALL else np.int32
         self.groups: list[tuple[int, list[Group]]] = []  # by window size
+        self.least_words: list[float] = []  # of each size: full shingles that weigh as much as the lightest item
         while at < len(self.items):
             size, stop = sizes[len(self.items[at]["h"])], at
             while stop < len(self.items) and sizes[len(self.items[stop]["h"])] == size:
                 stop += 1
             self.groups.append((size, [Group(self.items[k : min(stop, k + 64)], radius, blocks) for k in range(at, stop, 64)]))
+            self.least_words.append(min(i["weight"] for i in self.items[at:stop]) / self.full)
             at = stop
         self.keep = sum(len(groups) for _, groups in self.groups) <= KEPT
 
+    def _votes(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
+        """Votes of each word and the next in texts laid end to end, as the lightest of the shingles in its text that hold both; None if all shingles weigh the same."""
+        keys, marks = self.light
+        n = len(flat)
+        if not len(keys) or n < SPAN:
+            return np.full(n, VOTES, np.uint8) if len(keys) else None
+        found = spans(flat)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        own = np.where(keys[at] == found, marks[at], np.uint8(VOTES))
+        for end in offsets[1:-1]:  # shingles over a text's end are none
+            own[max(0, end - SPAN + 1) : end] = VOTES
+        votes = np.full(n, VOTES, np.uint8)
+        for k in range(SPAN - 1):
+            np.minimum(votes[k : k + len(own)], own, out=votes[k : k + len(own)])
+        return votes
+
+    def _stride(self, n: int) -> int:
+        """Words between the starts of windows of a size."""
+        return max(1, int(min(self.groups[n][0], self.least_words[n] + SPAN - 1) * STRIDE))
+
     def _best(self, item: dict, h: np.ndarray, low: int, high: int) -> tuple[float, int]:
         """The best similarity of a window as long as the item that starts in [low, high], and its start."""
         size, mine = len(item["h"]), frozenset(item["set"].tolist())
@@ -232,10 +268,11 @@ class Benchmark:
             yield from ((at + k, *rest) for k, *rest in self._short(flat, offsets, least))
         if not lots or not self.groups:
             return
-        sums = [_blocked_cumsum(_bits(flat), self.kind) for _, flat, _, _ in lots]
+        votes = [self._votes(flat, offsets) for _, flat, _, offsets in lots]
+        sums = [(_blocked_cumsum(_bits(flat, v), self.kind), _prefix(v)) for (_, flat, _, _), v in zip(lots, votes, strict=True)]
         spots: dict[tuple, list[int]] = defaultdict(list)  # by lot, text, size, group, item
         for n, (size, groups) in enumerate(self.groups):
-            windows = [self._windows(size, least, *lot[1:], upto) for lot, upto in zip(lots, sums, strict=True)]
+            windows = [self._windows(size, self._stride(n), least * self.least_words[n], *lot[1:], *upto) for lot, upto in zip(lots, sums, strict=True)]
             for g, group in enumerate(groups if any(w is not None for w in windows) else ()):
                 tables = group.tables(self.keep)
                 for k, w in enumerate(windows):
@@ -247,7 +284,7 @@ class Benchmark:
         for (k, d, n, g, item), starts in sorted(spots.items()):
             first, flat, _, offsets = lots[k]
             size, it = self.groups[n][0], self.groups[n][1][g].items[item]
-            slack = max(1, int(size * STRIDE)) + abs(size - len(it["h"])) + 1
+            slack = self._stride(n) + abs(size - len(it["h"])) + 1
             h = flat[offsets[d] : offsets[d + 1]]
             best, reach = (0.0, 0), -1
             for s in sorted(starts):
@@ -260,10 +297,10 @@ class Benchmark:
                 yield first + d, it["id"], round(best[0], 6), best[1], min(len(it["h"]), len(h))
 
     @staticmethod
-    def _windows(size: int, least: float, flat: np.ndarray, counts: np.ndarray, offsets: np.ndarray, upto: np.ndarray):
-        """(text, first word, fingerprint) of each window of a size in a lot of texts; None if there is none."""
-        stride, room = max(1, int(size * STRIDE)), counts - size
-        n = np.where(room >= 0, room // stride + 1 + (room % stride > 0), (room < 0) & (counts >= size * least * 0.8))
+    def _windows(size: int, stride: int, needed: float, flat: np.ndarray, counts: np.ndarray, offsets: np.ndarray, upto: np.ndarray, votes: np.ndarray | None):
+        """(text, first word, fingerprint) of each window of a size in a lot of texts; None if there is none. A shorter text is looked at if it has the shingles needed."""
+        room = counts - size
+        n = np.where(room >= 0, room // stride + 1 + (room % stride > 0), (room < 0) & (counts > 0) & (np.maximum(counts - SPAN + 1, 1) >= needed - 1e-9))
         if not n.any():
             return None
         doc = np.repeat(np.arange(len(counts)), n)
@@ -271,7 +308,7 @@ class Benchmark:
         start = np.minimum(k * stride, np.maximum(room, 0)[doc])
         begin = offsets[doc] + start
         last = np.minimum(np.maximum(begin + np.minimum(size, counts[doc]) - 1, begin + 1), len(flat))
-        return doc, start, _majority(upto, begin, last)
+        return doc, start, _majority(upto, begin, last, votes)
 
 
 def _shared(items: DataFrame) -> DataFrame:

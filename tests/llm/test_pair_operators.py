@@ -1,6 +1,8 @@
 """Near duplicates, decontamination, embeddings and the pipeline against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -280,3 +282,32 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
 
 def test_queries_carry_the_contract_columns():
     assert [n for n in queries.queries()] == ["op1_url_filters", "op2_token_output", "op3_quality", "op4_html_extraction", "op5_decontamination", "op6_embedding_dedup", "op7_language_id", "op8_minhash", "op9_byte_bpe", "op10_secrets"]
+
+
+def _weighted_hits(items, texts):
+    """(text, item) of weighted similarity 0.75 or more at any start, shingle by shingle."""
+    shingled = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+    held = Counter(s for w in items for s in set(shingled(w)))
+    weigh = lambda some: sum(math.log1p(len(items) / held.get(s, 1)) for s in some)
+    out = set()
+    for d, t in enumerate(texts):
+        for k, w in enumerate(items):
+            mine = set(shingled(w))
+            for a in range(max(1, len(t) - len(w) + 1)):
+                window = set(shingled(t[a : a + len(w)]))
+                if mine & window and weigh(mine & window) >= 0.75 * weigh(mine | window):
+                    out.add((d, k))
+    return out
+
+
+@pytest.mark.parametrize("own, shared", [(40, 40), (40, 30), (14, 60)])
+def test_items_that_share_a_template_are_found_by_their_own_words(own, shared):
+    """Texts cut to an item's own words, and items with changed words inside texts: all that reach the weighted similarity, where most of each item is what all share."""
+    rng = random.Random(own + shared)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template = [word() for _ in range(shared)]
+    items = [[*(word() for _ in range(own)), *template] for _ in range(50)]
+    texts = [w[: own + extra] for extra in (0, 4, 10, shared) for w in items[:20]] + [[*(word() for _ in range(rng.randrange(40))), *(x if rng.random() > 0.02 else word() for x in w), *(word() for _ in range(rng.randrange(40)))] for w in items]
+    want = _weighted_hits(items, texts)
+    bench = decontaminate.Benchmark([(k, " ".join(w)) for k, w in enumerate(items)])
+    assert {m[:2] for m in bench.matches([" ".join(t) for t in texts])} == want and len(want) > 40
