@@ -8,7 +8,9 @@ dropped by length or position. Whole pages are read in one pass with a bounded n
 Class names hint at boilerplate in all that an element holds, but a name on an article or on what a page calls its
 main part, or on a wrapper around it, only if the whole name is one of boilerplate (``OTHER``), and around ``main`` never.
 Inside an article a part of a name is no hint either: there the whole name must be one of boilerplate (``WHOLE``), and that of a
-paragraph, heading or list item one of few (``INSERTS``).
+paragraph, heading or list item one of few (``INSERTS``). A form, or an element whose name only holds a word of boilerplate, may
+be a wrapper around the whole page (``_wraps``): if most of the page's words lie in it, as paragraphs, it taints none of them.
+Text of buttons and labels is dropped where it stands.
 
 Markup is found in one pass, in time that grows with the page's length whatever its faults: a quote that is never
 closed is read as text of its tag, once for the whole page; an element whose content is no text (``RAW``) ends with its own tag
@@ -49,7 +51,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
-AWAY = frozenset("nav footer aside header form menu dialog button label fieldset".split())
+AWAY = frozenset("nav footer aside header form menu dialog fieldset".split())
+#: Elements whose text is dropped, even in the middle of a block.
+DROPPED = frozenset(("button", "label"))
 HOME = frozenset("article main".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|(?:site|page|top|global)[_-]?header|head-?bar|masthead|topbar"
@@ -110,8 +114,9 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if name in RAW:
             if not m[1] and not (attributes.endswith("/") and name not in CODE):
                 stop = None if name in unclosed else _closing(name).search(page, end)
-                if stop:
-                    end = stop.end()
+                close = page.find(">", stop.end()) + 1 if stop else 0
+                if close:
+                    end = close
                 else:
                     unclosed.add(name)
                     if name in CODE and not attributes.endswith("/"):
@@ -134,14 +139,16 @@ def _tag_end(page: str, at: int) -> int:
 
 @lru_cache(32)
 def _closing(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}(?:\s[^>]*)?>", re.I)
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """Flat blocks in page order: (text, words, words inside links, away, hint, home, heading)."""
     out: list[tuple] = []
-    stack: list[tuple[str, list[str], tuple[int, int] | None]] = []
-    counts = {"away": 0, "hint": 0, "other": 0, "home": 0, "a": 0, "heading": 0}
+    stack: list[tuple] = []
+    counts = {"away": 0, "hint": 0, "other": 0, "home": 0, "a": 0, "heading": 0, "drop": 0}
+    soft: dict[str, list[int]] = {"away": [], "hint": []}  # open elements that may be wrappers, by number
+    wrappers = 0
     open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
@@ -151,25 +158,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 inside = sum(len(entities.unescape(x).split()) for x in linked)
-                out.append((text, text.count(" ") + 1, inside, counts["away"] > 0, counts["hint"] > 0, counts["home"] > 0, counts["heading"] > 0))
+                out.append((text, text.count(" ") + 1, inside, counts["away"], counts["hint"], counts["home"] > 0, counts["heading"] > 0, tuple(soft["away"]), tuple(soft["hint"])))
             parts.clear()
         linked.clear()
 
     def kinds(name: str, hint: bool, other: bool) -> list[str]:
-        return [k for k, on in (("away", name in AWAY and not (name == "header" and counts["home"])), ("hint", hint), ("other", other), ("home", name in HOME), ("a", name == "a"), ("heading", name in ("h1", "h2", "h3", "h4", "h5", "h6"))) if on]
+        return [k for k, on in (("away", name in AWAY and not (name == "header" and counts["home"])), ("hint", hint), ("other", other), ("home", name in HOME), ("a", name == "a"), ("heading", name in ("h1", "h2", "h3", "h4", "h5", "h6")), ("drop", name in DROPPED)) if on]
 
     def pop() -> None:
-        name, on, around = stack.pop()
+        name, on, around, wrapper = stack.pop()
         open_[name] -= 1
         for k in on:
             counts[k] -= 1
+        if wrapper:
+            soft[wrapper].pop()
         if around:
-            counts["hint"], counts["other"] = around
+            counts["hint"], counts["other"], soft["hint"] = around
 
     at = 0
     for start, end, name, closing, attributes in markup(page):
         if start > at:
-            text = page[at:start]
+            text = "" if counts["drop"] else page[at:start]
             parts.append(text)
             if counts["a"]:
                 linked.append(text)
@@ -203,7 +212,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         around = None
         main = name == "main" or bool(attributes) and name in BLOCKS and name not in AWAY and ROOF.search(attributes) is not None
         if main or name == "article":
-            around = counts["hint"], counts["other"]
+            around = counts["hint"], counts["other"], soft["hint"]
+            soft["hint"] = []
             if main:
                 counts["other"], hints, other = 0, [], False
             counts["hint"] = counts["other"]
@@ -211,14 +221,35 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         on = kinds(name, bool(hints), other)
         for k in on:
             counts[k] += 1
-        stack.append((name, on, around))
+        wrapper = "away" if name == "form" else "hint" if "hint" in on and not other else None
+        if wrapper:
+            wrappers += 1
+            soft[wrapper].append(wrappers)
+        stack.append((name, on, around, wrapper))
         open_[name] += 1
-    if at < len(page):
+    if at < len(page) and not counts["drop"]:
         parts.append(page[at:])
         if counts["a"]:
             linked.append(page[at:])
     flush()
-    return out
+    fine = _wraps(out) if wrappers else ()
+    some = lambda count, numbers: count > sum(k in fine for k in numbers)
+    return [(*b[:3], some(b[3], b[7]), some(b[4], b[8]), *b[5:7]) for b in out]
+
+
+def _wraps(found: list[tuple]) -> set[int]:
+    """Numbers of forms and hinted elements that hold most of a page's words, as two paragraphs at least, or as one: a long one of a form, or all that no other element taints."""
+    total, free = sum(b[1] for b in found), sum(b[1] for b in found if not b[3] and not b[4])
+    words: Counter[int] = Counter()
+    paragraphs: dict[int, list[int]] = {}
+    for b in found:
+        for k in (*b[7], *b[8]):
+            words[k] += b[1]
+            if b[1] >= 10 and 3 * b[2] < b[1]:
+                paragraphs.setdefault(k, []).append(b[1])
+    forms = {k for b in found for k in b[7]}
+    one = lambda k: max(paragraphs[k]) >= 40 if k in forms else not free
+    return {k for k, n in words.items() if 2 * n > total and k in paragraphs and (len(paragraphs[k]) > 1 or one(k))}
 
 
 def features(found: list[tuple]) -> np.ndarray:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import give_back, without
+from fieldloom.llm.common import give_back
 
 #: Chance from which a candidate is a secret; what stands for it after redaction.
 THRESHOLD, MARK = 0.5, "[SECRET]"
@@ -324,10 +324,12 @@ def redact(docs: DataFrame, text: str = "text", path: str | Column | None = None
         for texts, paths in batches:
             out = []
             for t, q in zip(texts, paths, strict=True):
-                for a, b, _, _ in reversed(scan(t, q, model, threshold)):
-                    t = t[:a] + mark + t[b:]
-                out.append(t)
+                parts, at = [], 0
+                for a, b, _, _ in scan(t, q, model, threshold):
+                    parts += [t[at:a], mark]
+                    at = b
+                out.append("".join([*parts, t[at:]]) if parts else t)
             yield pd.Series(out, dtype=object)
         give_back()
 
-    return without(docs, "_").withColumn(text, run(F.col(text), _path(docs, path)))
+    return docs.withColumn(text, run(F.col(text), _path(docs, path)))

@@ -236,3 +236,65 @@ def test_shards_hold_every_sequence_at_its_slot(spark, reference, tmp_path):
     again = str(tmp_path / "again")
     assert sorted(map(tuple, token_output.materialise(docs, VOCABULARY, again, length=64, shards=7).select("slot", "sha256").collect())) == sorted((r.slot, r.sha256) for r in rows)
     assert token_output.materialise(docs.limit(0), VOCABULARY, str(tmp_path / "none")).count() == 0
+
+
+ARTICLE = "<h1>On the river</h1><p>After three days of rain the river left its bed and the lower town stood under water.</p><p>Nobody was hurt in the town, and the school will open on Monday as planned, the council said.</p>"
+TEXT = "On the river\nAfter three days of rain the river left its bed and the lower town stood under water.\nNobody was hurt in the town, and the school will open on Monday as planned, the council said."
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="social-science">{}</div>', '<div class="legal">{}</div>', '<div class="ads-free">{}</div>', '<form id="aspnetForm">{}</form>', '<form><div class="search-page">{}</div></form>'])
+def test_wrappers_of_a_whole_page_lose_no_article(wrapper):
+    around = "<nav><a href=1>Home</a> <a href=2>News</a></nav>{}<footer>All rights reserved by the publisher.</footer>"
+    for page in (around.format(wrapper.format(ARTICLE)), wrapper.format(around.format(ARTICLE))):
+        assert html_extract.main_text(f"<html><body>{page}</body></html>") == TEXT
+
+
+def test_forms_comments_and_notices_stay_away_however_long():
+    long = " ".join(["word"] * 60)
+    for other in (f'<div class="comments"><p>{long}</p><p>{long}</p></div>', f'<div class="cookie-notice">{long}</div>', "<form><label>Your name</label><input><button>Send it now</button></form>", f"<aside><p>{long}</p><p>{long}</p></aside>"):
+        assert html_extract.main_text(f"<article>{ARTICLE}</article>{other}") == TEXT
+    assert html_extract.main_text("<form><p>Your name please</p><p>and address</p></form>") == ""
+
+
+def test_buttons_and_labels_are_dropped_in_place():
+    page = "<p>He went <button>Click <b>me</b></button>down to the lake, as <label>tick</label>each day before the sun was up.</p><button>Share</button>"
+    assert html_extract.main_text(page) == "He went down to the lake, as each day before the sun was up."
+
+
+@pytest.mark.parametrize("piece", ["</script ", "<script ", "<script></script ", "<textarea></textarea ", "<style></style x", "<a href='", "<!--", "<p <p "])
+def test_a_megabyte_of_faults_takes_no_long(piece):
+    begun = time.process_time()
+    html_extract.main_text("<script>" + piece * (1_000_000 // len(piece)))
+    html_extract.main_text("<p>Text</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begun < 20
+
+
+def test_the_forest_of_findings_equals_a_plain_walk():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 6)), (rng.random(200) < 0.5).astype(float)
+    grown = secrets.Forest(x, y, trees=5, depth=6)
+
+    def walk(row):
+        total = 0.0
+        for feature, cut, left, right, share in grown.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            total += share[at]
+        return total / 5
+
+    more = rng.normal(size=(100, 6))
+    assert grown.chance(more).tolist() == pytest.approx([walk(r) for r in more])
+
+
+def test_redaction_keeps_columns_and_takes_very_many_secrets(spark):
+    key = "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    text = "\n".join(f"{key[:-3]}{k:03d}" for k in range(1000)) * 3
+    found = len(secrets.scan(text, "", secrets.forest()))
+    assert found > 1000
+    df = spark.createDataFrame([(1, text, "kept"), (2, None, None), (3, "nothing here", "x")], "doc_id long, text string, _ string")
+    begun = time.process_time()
+    rows = {r["doc_id"]: r for r in secrets.redact(df).collect()}
+    assert time.process_time() - begun < 30
+    assert rows[1]["_"] == "kept" and rows[1]["text"].count(secrets.MARK) == found and "EXAMPLEKEY"[:7] not in rows[1]["text"]
+    assert rows[2]["text"] is None and rows[3]["text"] == "nothing here"
