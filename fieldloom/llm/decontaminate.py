@@ -178,12 +178,15 @@ class Benchmark:
         self.kind = np.int16 if max(sizes.values(), default=0) * (VOTES if len(light) else 1) < SMALL else np.int32
         self.groups: list[tuple[int, list[Group]]] = []  # by window size
         self.least_words: list[float] = []  # of each size: full shingles that weigh as much as the lightest item
+        self.strides: list[int] = []  # of each size: words between starts, fewer if a tenth or more of an item isn't its own
         while at < len(self.items):
             size, stop = sizes[len(self.items[at]["h"])], at
             while stop < len(self.items) and sizes[len(self.items[stop]["h"])] == size:
                 stop += 1
             self.groups.append((size, [Group(self.items[k : min(stop, k + 64)], radius, blocks) for k in range(at, stop, 64)]))
             self.least_words.append(min(i["weight"] for i in self.items[at:stop]) / self.full)
+            own = min(i["weight"] / (self.full * len(i["set"])) for i in self.items[at:stop])
+            self.strides.append(max(1, int(size * min(1.0, own * 1.1) * STRIDE)))
             at = stop
         self.keep = sum(len(groups) for _, groups in self.groups) <= KEPT
 
@@ -203,10 +206,6 @@ class Benchmark:
             np.minimum(votes[k : k + len(own)], own, out=votes[k : k + len(own)])
         return votes
 
-    def _stride(self, n: int) -> int:
-        """Words between the starts of windows of a size."""
-        return max(1, int(min(self.groups[n][0], self.least_words[n] + SPAN - 1) * STRIDE))
-
     def _best(self, item: dict, h: np.ndarray, low: int, high: int) -> tuple[float, int]:
         """The best similarity of a window as long as the item that starts in [low, high], and its start."""
         size, mine = len(item["h"]), frozenset(item["set"].tolist())
@@ -272,7 +271,7 @@ class Benchmark:
         sums = [(_blocked_cumsum(_bits(flat, v), self.kind), _prefix(v)) for (_, flat, _, _), v in zip(lots, votes, strict=True)]
         spots: dict[tuple, list[int]] = defaultdict(list)  # by lot, text, size, group, item
         for n, (size, groups) in enumerate(self.groups):
-            windows = [self._windows(size, self._stride(n), least * self.least_words[n], *lot[1:], *upto) for lot, upto in zip(lots, sums, strict=True)]
+            windows = [self._windows(size, self.strides[n], least * self.least_words[n], *lot[1:], *upto) for lot, upto in zip(lots, sums, strict=True)]
             for g, group in enumerate(groups if any(w is not None for w in windows) else ()):
                 tables = group.tables(self.keep)
                 for k, w in enumerate(windows):
@@ -284,7 +283,7 @@ class Benchmark:
         for (k, d, n, g, item), starts in sorted(spots.items()):
             first, flat, _, offsets = lots[k]
             size, it = self.groups[n][0], self.groups[n][1][g].items[item]
-            slack = self._stride(n) + abs(size - len(it["h"])) + 1
+            slack = self.strides[n] + abs(size - len(it["h"])) + 1
             h = flat[offsets[d] : offsets[d + 1]]
             best, reach = (0.0, 0), -1
             for s in sorted(starts):
