@@ -121,6 +121,32 @@ def contains(shape: Column, lat, lng) -> Column:
     return F.size(F.filter(edges(rings(shape)), lambda e: F.coalesce(right(e), F.lit(False)))) % 2 == 1
 
 
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two shapes have a point in common: edges that cross or touch, or a part of one inside the other."""
+
+    def turn(px, py, qx, qy, rx, ry) -> Column:
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    def between(e: Column, x: Column, y: Column) -> Column:
+        return x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]))
+
+    def meet(e: Column, f: Column) -> Column:
+        t = F.struct(
+            turn(e["x0"], e["y0"], e["x1"], e["y1"], f["x0"], f["y0"]).alias("f0"),
+            turn(e["x0"], e["y0"], e["x1"], e["y1"], f["x1"], f["y1"]).alias("f1"),
+            turn(f["x0"], f["y0"], f["x1"], f["y1"], e["x0"], e["y0"]).alias("e0"),
+            turn(f["x0"], f["y0"], f["x1"], f["y1"], e["x1"], e["y1"]).alias("e1"),
+        )
+        ends = lambda v: ((v["f0"] == 0) & between(e, f["x0"], f["y0"])) | ((v["f1"] == 0) & between(e, f["x1"], f["y1"])) | ((v["e0"] == 0) & between(f, e["x0"], e["y0"])) | ((v["e1"] == 0) & between(f, e["x1"], e["y1"]))
+        return bind(t, lambda v: ((v["f0"] * v["f1"] < 0) & (v["e0"] * v["e1"] < 0)) | ends(v))
+
+    def cross(both: Column) -> Column:
+        return F.exists(both["a"], lambda e: F.exists(both["b"], lambda f: meet(e, f)))
+
+    inside = lambda s, t: F.exists(outers(t), lambda r: contains(s, F.get(r, 0)["lat"], F.get(r, 0)["lng"]))
+    return bind(F.struct(edges(rings(a)).alias("a"), edges(rings(b)).alias("b")), cross) | inside(a, b) | inside(b, a)
+
+
 def meets_circle(shape: Column, lat, lng, radius_km) -> Column:
     """Whether a shape holds the centre, or comes within the radius with a vertex or an edge of a ring."""
     y, x, r = col(lat), col(lng), col(radius_km)

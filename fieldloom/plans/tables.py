@@ -207,7 +207,7 @@ TEXTS_LISTED = """select cast(n_nationkey as bigint) as k, case when n_regionkey
 def events_monthly(spark: SparkSession, d: str) -> DataFrame:
     """The streaming sums of months, run over a whole table at once."""
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    return SW.monthly_totals(e).select("site_id", F.col("month").alias("month_key"), round_up(F.col("value"), 3).alias("total"))
+    return SW.monthly_totals(SW.daily_totals(e)).select("site_id", F.col("month").alias("month_key"), round_up(F.col("value"), 3).alias("total"))
 
 
 EVENTS_MONTHLY = f"select user_id as site_id, strftime(ts, '%Y-%m') as month_key, {r('sum(value)', 3)} as total from events group by 1, 2"

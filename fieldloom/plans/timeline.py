@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral as X
 from fieldloom.functions import text as T
 from fieldloom.functions.mathx import round_up
 from fieldloom.operators import series as E
 from fieldloom.plans.geo import r
-from fieldloom.sources.fixtures import table, with_
+from fieldloom.sources.fixtures import table, with_, with_ring
+from fieldloom.sources.shared import written
 
 BANDS = ["b8", "b4", "b2", "b5", "b11"]
 AS_OF = "1997-06-20"
@@ -46,13 +48,57 @@ def region_tumbling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def month_spine(spark: SparkSession, d: str) -> DataFrame:
+    """Hopping and tumbling windows up to a date, each with the number of scan runs in it; windows without any stay."""
     a = E.month_windows(spark, AS_OF, 6, 2).withColumn("span", F.lit(2))
-    return a.unionByName(E.month_windows(spark, AS_OF, 12, 1).withColumn("span", F.lit(1)))
+    spine = a.unionByName(E.month_windows(spark, AS_OF, 12, 1).withColumn("span", F.lit(1)))
+    runs = table(spark, d, "scan_runs")
+    labelled = [E.in_month_windows(runs, "created_at", AS_OF, months, span).groupBy("label").agg(F.count(F.lit(1)).alias("n_runs")).withColumn("span", F.lit(span)) for months, span in ((6, 2), (12, 1))]
+    counts = labelled[0].unionByName(labelled[1])
+    return spine.join(counts, ["label", "span"], "left").select("label", "start", "end", "span", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
 
 
-MONTH_SPINE = f"""
-with s as (select 2 as span, unnest(range(6)) as k union all select 1, unnest(range(12))), m as (select span, cast(date_trunc('month', date '{AS_OF}') - to_months(cast(k as integer)) as date) as start from s)
-select strftime(start, '%Y-%m') as label, start, last_day(cast(start + to_months(span-1) as date)) as "end", span from m
+MONTH_SPINE = with_("scan_runs") + f""",
+s as (select 2 as span, unnest(range(6)) as k union all select 1, unnest(range(12))), m as (select span, cast(date_trunc('month', date '{AS_OF}') - to_months(cast(k as integer)) as date) as start from s)
+select strftime(start, '%Y-%m') as label, start, last_day(cast(start + to_months(span-1) as date)) as "end", span, count(run_id) as n_runs
+from m left join scan_runs on cast(created_at as date) >= start and cast(created_at as date) < last_day(cast(start + to_months(span-1) as date)) group by all
+"""
+
+
+LATTICE = 0.0005
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """An image of each order: a rhombic footprint of up to 500 m around a place, its day and its clouds."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select(k.cast("long").alias("image_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), (k * 37 % 100).alias("cloud_pct"), (-19.9 + c * 7919 % 997 / 9970.0).alias("cy"), (46.98 + c * 10473 % 1007 / 10070.0).alias("cx"), (0.002 + k % 4 / 1000.0).alias("a"), (0.003 + k % 3 / 1000.0).alias("b"))
+    return o.withColumn("footprint", F.array(G.point(F.col("cy") - F.col("a"), "cx"), G.point("cy", F.col("cx") + F.col("b")), G.point(F.col("cy") + F.col("a"), "cx"), G.point("cy", F.col("cx") - F.col("b"))))
+
+
+def footprint_series(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels with the images of a season whose footprints meet them, their pixels' medians over those images, and the mean of these: what a remote reduction over a polygon gives, from footprints and pixel centres alone."""
+    images = _images(spark, d)
+    regions = written(with_ring(table(spark, d, "parcels")).select(F.col("parcel_id").alias("region_id"), "ring"))
+    pairs = written(E.images_over(images, regions, "1995-03-01", "1995-07-01", 30, size=0.004))
+    lattice = lambda c, h: F.sequence(F.floor((F.col(c) - F.col(h)) / LATTICE), F.floor((F.col(c) + F.col(h)) / LATTICE))
+    pixels = images.join(pairs.select("image_id").distinct(), "image_id").withColumn("gy", F.explode(lattice("cy", "a"))).withColumn("gx", F.explode(lattice("cx", "b")))
+    pixels = pixels.withColumn("lat", (F.col("gy") + 0.5) * LATTICE).withColumn("lng", (F.col("gx") + 0.5) * LATTICE).where(F.abs(F.col("lat") - F.col("cy")) / F.col("a") + F.abs(F.col("lng") - F.col("cx")) / F.col("b") < 1)
+    pixels = pixels.select("image_id", "lat", "lng", F.concat_ws("/", F.col("gx").cast("string"), F.col("gy").cast("string")).alias("pixel_id"), ((F.col("image_id") * 7 + F.col("gx") * 13 + F.col("gy") * 29) % 1000 / 1000.0).alias("b8"))
+    inside = E.pixels_over(pixels, pairs, regions, 0.004)
+    means = E.region_mean(E.composite(inside, ["b8"], "region_id"), ["b8"], "region_id")
+    counts = pairs.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_images"))
+    return counts.join(means, "region_id", "left").select("region_id", "n_images", F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), round_up(F.col("b8"), 9).alias("b8"))
+
+
+FOOTPRINT_SERIES = with_("parcels") + f""", images as materialized (select cast(o_orderkey as bigint) as image_id, -19.9e0+(o_custkey*7919%997)/9970e0 as cy, 46.98e0+(o_custkey*10473%1007)/10070e0 as cx, 0.002e0+(o_orderkey%4)/1000e0 as a, 0.003e0+(o_orderkey%3)/1000e0 as b
+  from orders where o_orderdate >= date '1995-03-01' and o_orderdate < date '1995-07-01' and (o_orderkey*37)%100 < 30),
+pairs as materialized (select image_id, parcel_id as region_id, cy, cx, a, b, center_lat, center_lng, half_lat, half_lng from images join parcels on abs(cy-center_lat) <= a+half_lat and abs(cx-center_lng) <= b+half_lng
+  where greatest(abs(cx-center_lng)-half_lng, 0e0)/b + greatest(abs(cy-center_lat)-half_lat, 0e0)/a <= 1),
+gy as (select *, unnest(range(cast(floor((cy-a)/{LATTICE}e0) as bigint), cast(floor((cy+a)/{LATTICE}e0) as bigint)+1)) as gy from pairs),
+g as (select *, unnest(range(cast(floor((cx-b)/{LATTICE}e0) as bigint), cast(floor((cx+b)/{LATTICE}e0) as bigint)+1)) as gx from gy),
+px as (select *, (gy+0.5e0)*{LATTICE}e0 as lat, (gx+0.5e0)*{LATTICE}e0 as lng from g),
+hit as (select region_id, gx, gy, ((image_id*7+gx*13+gy*29)%1000)/1000e0 as v from px where abs(lat-cy)/a+abs(lng-cx)/b < 1 and abs(lat-center_lat) < half_lat and abs(lng-center_lng) < half_lng),
+comp as (select region_id, gx, gy, median(v) as v from hit group by 1, 2, 3), means as (select region_id, count(*) as n_pixels, avg(v) as v from comp group by 1)
+select region_id, n_images, coalesce(n_pixels, 0) as n_pixels, {r('v', 9)} as b8 from (select region_id, count(*) as n_images from pairs group by 1) left join means using (region_id)
 """
 
 
@@ -219,6 +265,7 @@ from k
 """
 
 QUERIES = {
+    "footprint_series": (footprint_series, FOOTPRINT_SERIES),
     "month_spine": (month_spine, MONTH_SPINE),
     "region_hopping": (region_hopping, _region_sql(2)),
     "region_tumbling": (region_tumbling, _region_sql(1)),

@@ -17,7 +17,12 @@ def daily_weather(events: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select("site_id", F.to_date("w.start").alias("obs_date"), "tmax", "tmin", "precipitation_mm")
 
 
-def monthly_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(site_id, month, value): sums of calendar months, each event counted in the month that it happened in. Calendar months are no fixed windows, so a stream of them runs in update or complete mode."""
-    timed = events.withWatermark("ts", late).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return timed.groupBy(F.col("user_id").alias("site_id"), "month").agg(F.sum("value").alias("value"))
+def daily_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """(site_id, day, value): sums of days. The day is a window of event time, so a stream in append mode gives each day out once and forgets it when the watermark has passed: state is as large as the days still open."""
+    days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), F.col("user_id").alias("site_id")).agg(F.sum("value").alias("value"))
+    return days.select("site_id", F.to_date("w.start").alias("day"), "value")
+
+
+def monthly_totals(days: DataFrame) -> DataFrame:
+    """(site_id, month, value) of a table of days, such as a stream of ``daily_totals`` writes. Calendar months are no fixed windows, so a stream would have to keep them for ever."""
+    return days.groupBy("site_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("value").alias("value"))

@@ -1,6 +1,7 @@
 """File sources and sinks, artefact checks and streams."""
 
 import io
+import datetime as dt
 import json
 import struct
 
@@ -131,3 +132,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.site_id, r.obs_date): r.tmax for r in spark.table("daily").collect()}
     want = events.groupBy("user_id", F.to_date("ts").alias("d")).agg((F.max("value") / 10).alias("m")).collect()
     assert got == {(r.user_id, r.d): r.m for r in want}
+
+
+def test_streamed_days_make_the_months_and_are_given_out_once(spark, tmp_path):
+    """In append mode a day comes out when the watermark has passed it; its state goes."""
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * k), float(k)) for k in range(120) for s in (1, 2)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp, value double")
+    for k in range(6):
+        events.where((F.col("value") >= 20 * k) & (F.col("value") < 20 * (k + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = SW.daily_totals(SW.event_stream(spark, str(tmp_path / "in"), events.schema))
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "days"))
+    query.awaitTermination(180)
+    days = spark.read.schema("site_id long, day date, value double").parquet(str(tmp_path / "days"))
+    assert days.count() == days.select("site_id", "day").distinct().count() > 60
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 12
+    through = days.agg(F.max("day")).first()[0]
+    got = {(r.site_id, r.month): r.value for r in SW.monthly_totals(days).collect()}
+    want = events.where(F.to_date("ts") <= F.lit(through)).groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("m")).agg(F.sum("value").alias("v")).collect()
+    assert got == {(r.user_id, r.m): r.v for r in want}

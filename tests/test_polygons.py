@@ -162,3 +162,17 @@ def test_containment_minds_holes_and_parts(spark):
     assert sorted((r.p, r.k) for r in S.containing(points, shapes, 0.7).collect()) == [(0, 0), (2, 0), (3, 1)]
     gone = S.not_within(points.select("p", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), shapes, 0.7)
     assert sorted(r.p for r in gone.collect()) == [1, 4]
+
+
+def test_shapes_intersect_as_their_areas_and_edges_tell(spark):
+    rng = np.random.default_rng(9)
+    shapes = [P.arranged([[rng.random((4, 2)) * 0.4 + rng.random(2)]]) for _ in range(40)]
+    a = frame(spark, shapes).withColumnRenamed("k", "a")
+    pairs = a.crossJoin(a.select(F.col("a").alias("b"), F.col("ring").alias("other"))).withColumn("hit", P.intersects(F.col("ring"), F.col("other")))
+    hits = {(r.a, r.b) for r in pairs.where("hit").select("a", "b").collect()}
+    shared = {(r.a, r.r_b) for r in S.shared_areas(a, a.withColumnRenamed("a", "b"), "a", "b").where("shared > 1e-12").collect()}
+    assert hits == shared and len(hits) < 1600
+    touching = [[[box(0, 0, 1)]], [[box(1, 0, 1)]], [[box(1, 1, 1)]], [[box(5, 5, 1)]], [[box(-1, -1, 4), box(-0.5, -0.5, 3.2)]], [[box(0.2, 0.2, 0.1)]]]
+    b = frame(spark, touching)
+    pairs = b.crossJoin(b.select(F.col("k").alias("j"), F.col("ring").alias("other"))).where(P.intersects(F.col("ring"), F.col("other")) & (F.col("k") < F.col("j")))
+    assert sorted((r.k, r.j) for r in pairs.collect()) == [(0, 1), (0, 2), (0, 5), (1, 2)]
