@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +60,90 @@ def upsert(old: DataFrame, new: DataFrame, key: str, listed: list[str]) -> DataF
     return both.select(*[pick(c) for c in old.columns])
 
 
+class Registry:
+    """A registry kept as Parquet in buckets of its key, of which an upsert rewrites only those that change.
+
+    The folder holds data files of versions, never overwritten, and a manifest for each version that names each bucket's folder; a reader
+    takes the newest manifest, so it sees the whole registry before or after an upsert, and a lost task or driver leaves at
+    worst folders that no manifest names. One writer at a time: a version's manifest is created and never replaced, so of two
+    writers the second fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> tuple[int, dict[int, str]]:
+        """(newest version, folder of each bucket that has rows); version 0 is empty."""
+        folder, fs = self._fs()
+        if not fs.exists(folder):
+            return 0, {}
+        versions = [int(f.getPath().getName()[1:-5]) for f in fs.listStatus(folder) if re.fullmatch(r"v\d+\.json", f.getPath().getName())]
+        if not versions:
+            return 0, {}
+        text = "".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifests/v{max(versions)}.json", wholetext=True).collect())
+        return max(versions), {int(k): v for k, v in json.loads(text).items()}
+
+    def _publish(self, version: int, buckets: dict[int, str]) -> None:
+        folder, fs = self._fs()
+        fs.mkdirs(folder)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{version}.json")
+        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/.v{version}-{uuid.uuid4().hex}")
+        out = fs.create(part, False)
+        out.write(bytearray(json.dumps(buckets).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise RuntimeError(f"version {version} of {self.path} was written by another")
+
+    def read(self) -> DataFrame | None:
+        """All rows; None of a registry without any."""
+        _, buckets = self.manifest()
+        return self.spark.read.parquet(*[f"{self.path}/{v}" for v in sorted(buckets.values())]) if buckets else None
+
+    def write(self, rows: DataFrame) -> int:
+        """The first version."""
+        return self._write(rows, 1, {}, set(range(self.buckets)))
+
+    def _write(self, rows: DataFrame, version: int, kept: dict[int, str], changed: set[int]) -> int:
+        data = f"data/v{version}-{uuid.uuid4().hex}"
+        split = rows.withColumn("_bucket", self._bucket(F.col(self.key)))
+        split.repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/{data}")
+        found = {r["_bucket"] for r in self.spark.read.schema("_bucket int").parquet(f"{self.path}/{data}").select("_bucket").distinct().collect()} if changed else set()  # at most a row a bucket
+        self._publish(version, {b: v for b, v in kept.items() if b not in changed} | {b: f"{data}/_bucket={b}" for b in found})
+        return version
+
+    def upsert(self, new: DataFrame, listed: list[str], latest: str | None = None) -> set[int]:
+        """Overwrites the listed columns of rows that ``new`` has by key, adds its other rows, and returns the buckets that changed.
+
+        Of rows of new with one key the last by ``latest`` counts; without such a column repeated keys are an error. Keys that are null are refused.
+        """
+        if latest is not None:
+            new = new.withColumn("_n", F.row_number().over(W.partitionBy(self.key).orderBy(F.desc(latest), *[F.desc(c) for c in listed if c != latest]))).where("_n = 1").drop("_n")
+        new = written(new)
+        wrong = new.agg(F.count_if(F.col(self.key).isNull()).alias("nulls"), (F.count(self.key) - F.count_distinct(self.key)).alias("repeated")).first()
+        if wrong["nulls"] or wrong["repeated"]:
+            raise ValueError(f"{wrong['nulls']} keys are null, {wrong['repeated']} rows repeat a key")
+        changed = {r["b"] for r in new.select(self._bucket(F.col(self.key)).alias("b")).distinct().collect()}  # at most a row a bucket
+        version, buckets = self.manifest()
+        touched = [f"{self.path}/{buckets[b]}" for b in sorted(changed) if b in buckets]
+        whole = self.read()
+        if whole is None:
+            self.write(new)
+            return changed
+        old = self.spark.read.schema(whole.schema).parquet(*touched) if touched else whole.limit(0)
+        if changed:
+            self._write(upsert(old, new, self.key, listed), version + 1, buckets, changed)
+        return changed
+
+
 def delete(parcels: DataFrame, ids: DataFrame, key: str = "parcel_id") -> tuple[DataFrame, DataFrame]:
     """(what stays, outcome of each id): deleted, missing, or refused for parcels that were corrected by hand."""
     guarded = F.coalesce(F.col("data_source") == K.PROTECTED_SOURCE, F.lit(False))

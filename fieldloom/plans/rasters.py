@@ -9,7 +9,9 @@ from fieldloom.functions import geometry as G
 from fieldloom.functions.mathx import round_up
 from fieldloom.operators import raster as A
 from fieldloom.plans.geo import r
+from fieldloom.sources import npy
 from fieldloom.sources.fixtures import table, with_
+from fieldloom.sources.shared import new_folder, written
 
 #: Tiles of 20 by 20 pixels.
 PIXELS = """
@@ -97,7 +99,23 @@ def pixels_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 PIXELS_IN_POLYGON = SQL + "select raster_id, count(*) as n_pixels from pixels where abs(-10+col+0.5e0) < 2.65e0 and abs(10-row-0.5e0) < 5.05e0 group by 1"
 
+def rasters_read(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters written as NPY files of three bands and two of these read back, each pixel by its place in the file."""
+    folder = new_folder(spark)
+    made = written(npy.write_rasters(_pixels(spark, d), folder, "raster_id", "ndvi", "grad", "tstd"))
+    read = npy.read_rasters(spark, folder, "ndvi", "tstd").join(F.broadcast(made.select("raster_id", "path", "height", "width")) if made.count() <= 50_000 else made.select("raster_id", "path", "height", "width"), "path")
+    checks = (F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"), round_up(F.sum("value"), 2).alias("total"), round_up(F.sum(F.col("value") * (F.col("row") + 1)), 1).alias("by_row"), round_up(F.sum(F.col("value") * (F.col("col") + 1)), 1).alias("by_col"))
+    return read.groupBy("raster_id", "band", "height", "width").agg(*checks)
+
+
+# Values go through four bytes; pixels that no row has are NaN, read as null.
+RASTERS_READ = SQL + f""", b as (select raster_id, row, col, 'ndvi' as band, cast(cast(ndvi as float) as double) as v from pixels union all select raster_id, row, col, 'tstd', cast(cast(tstd as float) as double) from pixels),
+s as (select raster_id, cast(max(row)+1 as integer) as height, cast(max(col)+1 as integer) as width from pixels group by 1)
+select raster_id, band, height, width, count(v) as n, height*width-count(v) as n_null, {r('sum(v)', 2)} as total, {r('sum(v*(row+1))', 1)} as by_row, {r('sum(v*(col+1))', 1)} as by_col from b join s using (raster_id) group by raster_id, band, height, width
+"""
+
 QUERIES = {
+    "rasters_read": (rasters_read, RASTERS_READ),
     "zone_statistics": (zone_statistics, ZONE_STATISTICS),
     "boundary_strength": (boundary_strength, BOUNDARY_STRENGTH),
     "seed_thresholds": (seed_thresholds, SEED_THRESHOLDS),

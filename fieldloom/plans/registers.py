@@ -13,6 +13,7 @@ from fieldloom.operators import registry as R
 from fieldloom.plans.geo import LAT, LNG, r
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
+from fieldloom.sources.shared import new_folder
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,16 @@ from registry r full outer join fresh f on f.label = r.label
 """
 
 
+def registry_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert on a registry kept in buckets, of which it rewrites those that new rows fall into; rows of new that repeat a key are settled by the last."""
+    registry = R.Registry(spark, new_folder(spark), "label", buckets=16)
+    registry.write(_registry(spark, d))
+    fresh = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p-"), (F.col("p_partkey") + 500).cast("string")).alias("label"), F.explode(F.array(F.lit(1), F.lit(0))).alias("seen"), F.col("p_partkey").cast("double").alias("p"))
+    fresh = fresh.select("label", "seen", (F.col("p") * F.col("seen")).alias("confidence"), F.lit("NEW").alias("crop_pred"))
+    registry.upsert(fresh, ["label", "confidence", "crop_pred"], latest="seen")
+    return registry.read()
+
+
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 17).alias("parcel_id"))
 
@@ -186,6 +197,7 @@ def geojson_parsed(spark: SparkSession, d: str) -> DataFrame:
 GEOJSON_PARSED = with_("traced") + f"select traced_id, cast(4 as bigint) as n_points, {r('4*half_lat*half_lng*1e6', 6)} as area from traced where traced_id%4 <> 3"
 
 QUERIES = {
+    "registry_buckets": (registry_buckets, REGISTRY_UPSERT),
     "registry_upsert": (registry_upsert, REGISTRY_UPSERT),
     "registry_delete": (registry_delete, REGISTRY_DELETE),
     "registry_remaining": (registry_remaining, REGISTRY_REMAINING),

@@ -255,3 +255,29 @@ def test_a_stored_forest_scores_as_mllib_and_as_a_plain_walk(spark, tmp_path):
     assert {r[0]: pytest.approx(walk(r[1:4])) for r in rows} == want
     missing = spark.createDataFrame([(1, None, 0.3, None)], "k int, a double, b double, c double")
     assert C.forest_scores(missing, nodes, ["a", "b", "c"]).first().p == pytest.approx(walk((0.0, 0.3, 0.0)))
+
+
+def test_an_upsert_rewrites_only_buckets_that_change(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    registry = R.Registry(spark, path, "label", buckets=8)
+    assert registry.read() is None
+    old = spark.createDataFrame([(f"p{k}", float(k), f"note {k}") for k in range(200)], "label string, confidence double, note string")
+    registry.write(old)
+    before = {b: sorted(p.name for p in (tmp_path / "registry" / f).iterdir()) for b, f in registry.manifest()[1].items()}
+    new = spark.createDataFrame([("p3", 90.0, 1), ("p3", 91.0, 2), ("fresh", 5.0, 1)], "label string, confidence double, seen int")
+    with pytest.raises(ValueError, match="1 rows repeat"):
+        registry.upsert(new, ["label", "confidence"])
+    changed = registry.upsert(new, ["label", "confidence"], latest="seen")
+    version, now = registry.manifest()
+    assert version == 2 and 1 <= len(changed) <= 2
+    for b, files_ in before.items():
+        assert b in changed or sorted(p.name for p in (tmp_path / "registry" / now[b]).iterdir()) == files_ and now[b].startswith("data/v1-")
+    rows = {r.label: (r.confidence, r.note) for r in registry.read().collect()}
+    want = {f"p{k}": (float(k), f"note {k}") for k in range(200)} | {"p3": (91.0, "note 3"), "fresh": (5.0, None)}
+    assert rows == want and registry.read().count() == 201
+    with pytest.raises(ValueError, match="1 keys are null"):
+        registry.upsert(spark.createDataFrame([(None, 1.0)], "label string, confidence double"), ["label", "confidence"])
+    with pytest.raises(RuntimeError):  # of two writers of one version the second fails
+        registry._publish(2, {})
+    assert {r.label: (r.confidence, r.note) for r in registry.read().collect()} == want
+    assert registry.upsert(new.limit(0).drop("seen"), ["label", "confidence"]) == set() and registry.manifest()[0] == 2
