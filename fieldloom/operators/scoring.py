@@ -193,6 +193,28 @@ def seasonal_features(series: DataFrame, order: str | None = None) -> DataFrame:
     return both.select("parcel_id", "month_key", *[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in numbers])
 
 
+#: Months of the parts of a crop's season and of the seasons of a year; parameters, as feature sets name them without saying which months they are.
+CROP_PARTS = {"early_crop": (5, 6), "mid_crop": (7, 8), "late_crop": (9, 10)}
+SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)}
+
+
+def index_features(series: DataFrame, *parts: dict[str, tuple[int, ...]], indices: tuple[str, ...] = ML_INDICES) -> DataFrame:
+    """Features of each parcel over its observations (parcel_id, month_key, reflectances): of each index mean, median, std (of a sample; 0 of one value), min, max, amp,
+    q10 and q90, and the mean of each part of the year, by its months.
+
+    One aggregate for all of them. Null values count in none; what no value is there for is null; parcels without any value stay, as nulls.
+    """
+    bands = {k: F.col(k) for k in ("B2", "B4", "B5", "B8", "B11")}
+    rows = series.withColumns(X.monthly(bands)).withColumn("_month", F.month(month_start(F.col("month_key"))))
+    aggs = []
+    for i in indices:
+        v = finite(F.col(i))
+        of = {"mean": F.avg(v), "median": F.median(v), "std": F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)), "min": F.min(v), "max": F.max(v), "amp": F.max(v) - F.min(v), "q10": F.percentile(v, 0.1), "q90": F.percentile(v, 0.9)}
+        of |= {f"{name}_mean": F.avg(F.when(F.col("_month").isin(*months), v)) for part in parts for name, months in part.items()}
+        aggs += [value.alias(f"{i}_{name}") for name, value in of.items()]
+    return rows.groupBy("parcel_id").agg(*aggs)
+
+
 def classify(features: DataFrame, probability: Column, threshold: float = K.RF_THRESHOLD) -> DataFrame:
     """Mean probability of each parcel's observations, and what follows from it."""
     p = features.withColumn("_p", probability).groupBy("parcel_id").agg(F.avg("_p").alias("probability"), F.count(F.lit(1)).alias("n_observations"), F.first("NDVI_oct").alias("ndvi_oct"), F.first("doy_max_ndvi").alias("doy_peak"))

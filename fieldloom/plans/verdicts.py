@@ -109,6 +109,21 @@ stats as (select s.*, k.doy_max_ndvi, case when first_green_doy is null then 0e0
 SEASONAL_FEATURES = FEATURES_SQL + f"""select i.parcel_id, i.month_key, {', '.join(f'coalesce({r(c.lower(), 5)}, 0e0) as {c.lower()}' for c in WANTED)} from i join stats using (parcel_id)"""
 
 
+def index_features(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles, amplitudes and means of parts of the year of four indices."""
+    b = table(spark, d, "bands")
+    found = C.index_features(b.select("parcel_id", "month_key", *[X.reflectance(F.col(f"b{k}")).alias(f"B{k.upper()}") for k in BANDS]), C.CROP_PARTS, C.SEASONS)
+    return found.select("parcel_id", *[round_up(F.col(c), 5).alias(c.lower()) for c in found.columns[1:]])
+
+
+def _index_features_sql() -> str:
+    names = {**C.CROP_PARTS, **C.SEASONS}
+    of = {"mean": "avg({i})", "median": "median({i})", "std": "case when count({i})=1 then 0e0 else stddev_samp({i}) end", "min": "min({i})", "max": "max({i})", "amp": "max({i})-min({i})", "q10": "quantile_cont({i}, 0.1)", "q90": "quantile_cont({i}, 0.9)"}
+    of |= {f"{name}_mean": f"avg({{i}}) filter (where m in ({', '.join(map(str, months))}))" for name, months in names.items()}
+    columns = ", ".join(f"{r(sql.format(i=i), 5)} as {i}_{name}" for i in ("ndvi", "evi", "ndre", "ndmi") for name, sql in of.items())
+    return FEATURES_SQL[: FEATURES_SQL.index("s as (select parcel_id")].rstrip().rstrip(",") + f" select parcel_id, {columns} from i group by 1"
+
+
 #: A forest of fifteen nodes a tree, from a table that both engines have.
 FOREST = """select cast(n_nationkey as int) as tree, k.node, case when k.node < 7 then cast((n_nationkey*3+k.node*5)%5 as int) end as feature,
   case when k.node < 7 then 0.1037e0+((n_nationkey*37+k.node*11)%40)/70e0 end as threshold, case when k.node < 7 then 2*k.node+1 end as left_child, case when k.node < 7 then 2*k.node+2 end as right_child,
@@ -216,6 +231,7 @@ select cast(rank as integer) as rank, ['NDVI_mean', 'NDVI_oct', 'NDVI_mean,NDVI_
 QUERIES = {
     "analyses": (analyses, ANALYSES),
     "seasonal_features": (seasonal_features, SEASONAL_FEATURES),
+    "index_features": (index_features, _index_features_sql()),
     "forest_verdicts": (forest_verdicts, FOREST_VERDICTS),
     "logistic_scores": (logistic_scores, LOGISTIC_SCORES),
     "forest_trained": (forest_trained, None),
