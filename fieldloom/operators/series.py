@@ -46,18 +46,18 @@ def scenes_of(scenes: DataFrame, start: str, end: str, max_cloud: float | None =
     return out if mode is None else out.where(F.col("instrument_mode") == mode)
 
 
-def images_over(images: DataFrame, regions: DataFrame, start: str, end: str, max_cloud: float | None = None, mode: str | None = None, size: float | None = None) -> DataFrame:
+def images_over(images: DataFrame, regions: DataFrame, start: str, end: str, max_cloud: float | None = None, mode: str | None = None) -> DataFrame:
     """(image_id, region_id) of the images (image_id, footprint, ts, ...) chosen as by ``scenes_of`` whose footprint has a point in common with a region (region_id, ring).
 
-    Images are chosen before the join, where filters reach the scan; footprints and regions, rings or shapes, then meet by grid cell of their bounding
+    Images are chosen before the join, where filters reach the scan; footprints and regions, rings or shapes, then meet by cell of their bounding
     boxes, and edges are looked at where boxes meet.
     """
     chosen = scenes_of(images, start, end, max_cloud, mode).select("image_id", F.col("footprint").alias("ring"))
-    pairs = S.overlapping(regions.select("region_id", "ring"), chosen, "region_id", "image_id", size)
+    pairs = S.overlapping(regions.select("region_id", "ring"), chosen, "region_id", "image_id")
     return pairs.where(P.intersects(S.shape_of(pairs, "ring"), S.shape_of(pairs, "r_ring"))).select(F.col("r_image_id").alias("image_id"), "region_id")
 
 
-def pixels_over(pixels: DataFrame, pairs: DataFrame, regions: DataFrame, size: float = 0.01) -> DataFrame:
+def pixels_over(pixels: DataFrame, pairs: DataFrame, regions: DataFrame, size: float | None = None) -> DataFrame:
     """Pixels (image_id, lat, lng of their centre, ...) with the regions of their image that hold their centre, met by image and grid cell."""
     wanted = pairs.join(regions.select("region_id", "ring"), "region_id").select(F.col("image_id").alias("_image"), "region_id", "ring")
     return S.containing(pixels, wanted, size, "lat", "lng", also=F.col("image_id") == F.col("_image")).drop("_image", "ring")

@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on grid cells, refined by exact predicates."""
+"""Spatial joins as equi-joins on cells of a grid or a quadtree, refined by exact predicates."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from fieldloom import constants as K
 from fieldloom.functions import geometry as G
 from fieldloom.functions import polygons as P
 from fieldloom.functions.mathx import col, degrees_of, haversine_m, mercator
+from fieldloom.sources.shared import written
+
 
 def shape_of(df: DataFrame, name: str = "ring") -> Column:
     """A column of rings or of shapes as shapes."""
@@ -30,51 +32,76 @@ def cells(box: Column, size: float) -> Column:
     )
 
 
-def cell_size(df: DataFrame, ring: str = "ring") -> float:
-    """Twice the 95th percentile of the sides of the bounding boxes; one row reaches the driver."""
-    box = bounds_of(df, ring)
+#: Side of the cells of level 0, in degrees; each level's cells are twice as wide. Levels there are.
+FINEST, LEVELS = 0.0005, 24
+
+
+def level_of(box: Column) -> Column:
+    """The level at which a box meets four cells at most: the first whose cells are as wide as it is."""
     side = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    found = df.select(F.percentile_approx(side, 0.95, 1000).alias("s")).first()["s"]
-    return 2 * found if found else 0.01
+    return F.coalesce(F.least(F.greatest(F.ceil(F.log2(F.when(side > 0, side) / FINEST)).cast("int"), F.lit(0)), F.lit(LEVELS)), F.lit(0))
 
 
-def boxes_meet(a: Column, b: Column) -> Column:
-    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+def _side(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level) * FINEST
 
 
-def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float | None = None) -> DataFrame:
-    """Pairs of rows whose polygons' bounding boxes meet, once each: (left columns, right columns with r_ before them).
+def _at_levels(df: DataFrame, box: str, levels: Column) -> DataFrame:
+    """df with ``_cell`` (level, cx, cy): a row for each cell that its box meets at each of some levels."""
+    at = lambda v: F.floor(F.col(f"{box}.{v}") / _side(F.col("_level")))
+    rows = df.withColumn("_level", F.explode(levels)).withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    return rows.withColumn("_cell", F.struct(F.col("_level").alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).drop("_level", "_cx", "_cy")
 
-    A pair is reported by the one cell that holds the lower left corner of the boxes' intersection, so no
-    deduplication is needed. Hot cells are split by AQE.
+
+def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> DataFrame:
+    """Pairs of rows whose boxes (x0, y0, x1, y1) meet, once each. Both sides should be tables, as they are read several times; their columns' names differ.
+
+    A quadtree instead of a grid: a box lies in at most four cells of its own level, whatever its size, and looks for larger boxes
+    of the other side in the cells of those of its coarser levels that the other side has. So a row makes four rows a level at most, there is no cell
+    size to choose, and small boxes never meet each other in a coarse cell. A pair is reported by the cell that holds the lower left
+    corner of the boxes' intersection at the coarser of both levels.
     """
-    size = size or cell_size(left)
-    a = left.withColumn("_box", bounds_of(left)).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], bounds_of(right).alias("_r_box")).withColumn("_cell", F.explode(cells(F.col("_r_box"), size)))
-    x, y = F.greatest(F.col("_box.x0"), F.col("_r_box.x0")), F.greatest(F.col("_box.y0"), F.col("_r_box.y0"))
-    both = a.join(b, "_cell").where(boxes_meet(F.col("_box"), F.col("_r_box")) & (F.col("_cell.cx") == F.floor(x / size)) & (F.col("_cell.cy") == F.floor(y / size)))
-    return both.drop("_cell", "_box", "_r_box")
+    levels = lambda df, box: sorted(r["l"] for r in df.select(level_of(F.col(box)).alias("l")).distinct().collect())  # noqa: E731  a few numbers
+    own = lambda box: F.array(level_of(F.col(box)))
+    coarser = lambda box, others: F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > level_of(F.col(box)))
+    of_left, of_right = levels(left, left_box), levels(right, right_box)
+    same_or_finer = _at_levels(left, left_box, own(left_box)).join(_at_levels(right, right_box, F.concat(own(right_box), coarser(right_box, of_left))), "_cell")
+    both = same_or_finer
+    if any(k < m for k in of_left for m in of_right):
+        both = both.unionByName(_at_levels(left, left_box, coarser(left_box, of_right)).join(_at_levels(right, right_box, own(right_box)), "_cell"))
+    a, b = F.col(left_box), F.col(right_box)
+    side = _side(F.col("_cell.level"))
+    corner = (F.col("_cell.cx") == F.floor(F.greatest(a["x0"], b["x0"]) / side)) & (F.col("_cell.cy") == F.floor(F.greatest(a["y0"], b["y0"]) / side))
+    # A finer box of the right side also lies in its coarser cells where the left box is finer still: such pairs meet at the coarser level of both.
+    level = F.greatest(level_of(a), level_of(b))
+    return both.where(boxes_meet(a, b) & corner & (F.col("_cell.level") == level)).drop("_cell")
 
 
-def shared_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float | None = None, keep_left: tuple[str, ...] = (), keep_right: tuple[str, ...] = ()) -> DataFrame:
+def boxes_meet(a: Column, b: Column) -> Column:
+    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Pairs of rows whose polygons' bounding boxes meet, once each: (left columns, right columns with r_ before them)."""
+    a = written(left.withColumn("_box", bounds_of(left)))
+    b = written(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], bounds_of(right).alias("_r_box")))
+    return box_pairs(a, b, "_box", "_r_box").drop("_box", "_r_box")
+
+
+def shared_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keep_left: tuple[str, ...] = (), keep_right: tuple[str, ...] = ()) -> DataFrame:
     """(left_id, r_right_id, shared) of the polygons (ring, or a shape of that name) that share an area, in square degrees, with the columns to keep (those of the right side after r_).
 
-    Each polygon is cut into trapezoids once; these meet in equi-joins by grid cell, where two of them are counted in the one cell that holds
-    the lower left corner of their boxes' intersection; sums by pair follow. A polygon of many edges or great width is thus dealt out
-    over many cells, and a hot cell is split by adaptive execution.
+    Each polygon is cut into trapezoids once; these meet by the cells of a quadtree, and sums by pair follow. A polygon of many edges
+    or great width is thus dealt out over many cells, and a hot cell is split by adaptive execution.
     """
-    size = size or cell_size(left)
 
     def pieces(df: DataFrame, side: str, names: tuple[str, ...]) -> DataFrame:
         rows = df.select(*[F.col(c).alias(f"{side}{c}") for c in names], F.explode(P.trapezoids()(shape_of(df))).alias(f"_{side}t"))
         t = F.col(f"_{side}t")
         box = F.struct(F.least(t["l0"], t["l1"]).alias("x0"), t["y0"].alias("y0"), F.greatest(t["r0"], t["r1"]).alias("x1"), t["y1"].alias("y1"))
-        return rows.withColumn(f"_{side}box", box).withColumn("_cell", F.explode(cells(F.col(f"_{side}box"), size)))
+        return written(rows.withColumn(f"_{side}box", box))
 
-    a, b = pieces(left, "", (left_id, *keep_left)), pieces(right, "r_", (right_id, *keep_right))
-    l_box, r_box = F.col("_box"), F.col("_r_box")
-    x, y = F.greatest(l_box["x0"], r_box["x0"]), F.greatest(l_box["y0"], r_box["y0"])
-    both = a.join(b, "_cell").where(boxes_meet(l_box, r_box) & (F.col("_cell.cx") == F.floor(x / size)) & (F.col("_cell.cy") == F.floor(y / size)))
+    both = box_pairs(pieces(left, "", (left_id, *keep_left)), pieces(right, "r_", (right_id, *keep_right)), "_box", "_r_box")
     kept = [*keep_left, *[f"r_{c}" for c in keep_right]]
     sums = both.groupBy(left_id, f"r_{right_id}").agg(F.sum(P.trapezoids_share(F.col("_t"), F.col("_r_t"))).alias("shared"), *[F.any_value(c).alias(c) for c in kept])
     return sums.where("shared > 0")
@@ -115,12 +142,23 @@ def uncovered(blocks: DataFrame, assigned: DataFrame, enough: float = K.BLOCK_CO
     return blocks.join(covered, "block_id", "left").where(F.coalesce("covered", F.lit(0.0)) / P.area_deg2(shape_of(blocks)) < enough)
 
 
+def _placed(points: DataFrame, polygons: DataFrame, lat: str, lng: str, size: float | None) -> tuple[DataFrame, DataFrame]:
+    """Points with ``_cell`` and polygons with ``_box`` and ``_cell``: of a grid of a given size, or of the levels of a quadtree that polygons lie in."""
+    boxed = polygons.withColumn("_box", bounds_of(polygons))
+    if size is not None:
+        cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
+        return points.withColumn("_cell", cell), boxed.withColumn("_cell", F.explode(cells(F.col("_box"), size)))
+    boxed = written(boxed)
+    found = sorted(r["l"] for r in boxed.select(level_of(F.col("_box")).alias("l")).distinct().collect())  # a few numbers
+    spot = F.struct(F.col(lng).alias("x0"), F.col(lat).alias("y0"), F.col(lng).alias("x1"), F.col(lat).alias("y1"))
+    return _at_levels(points.withColumn("_spot", spot), "_spot", F.array(*[F.lit(k) for k in found]).cast("array<int>")).drop("_spot"), _at_levels(boxed, "_box", F.array(level_of(F.col("_box"))))
+
+
 def not_within(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
     """Points (lat, lng) inside no polygon (ring); both sides meet by cell."""
-    size = size or cell_size(polygons)
-    p = polygons.select(shape_of(polygons).alias("_ring"), bounds_of(polygons).alias("_box")).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
-    cell = F.struct(F.floor(F.col("lng") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
-    return points.join(p, (cell == F.col("_cell")) & in_box(F.col("_box"), F.col("lat"), F.col("lng")) & P.contains(F.col("_ring"), F.col("lat"), F.col("lng")), "left_anti")
+    numbered = written(points.withColumn("_point", F.monotonically_increasing_id()))
+    inside = containing(numbered.select("_point", "lat", "lng"), polygons.select("ring"), size, "lat", "lng")
+    return numbered.join(inside.select("_point").distinct(), "_point", "left_anti").drop("_point")
 
 
 def in_box(box: Column, lat: Column, lng: Column) -> Column:
@@ -128,11 +166,13 @@ def in_box(box: Column, lat: Column, lng: Column) -> Column:
     return lng.between(box["x0"], box["x1"]) & lat.between(box["y0"], box["y1"])
 
 
-def containing(points: DataFrame, polygons: DataFrame, size: float, lat: str = "center_lat", lng: str = "center_lng", also: Column | None = None) -> DataFrame:
-    """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring. ``also``: what a pair must fulfil besides."""
-    cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
-    grid = polygons.withColumn("_box", bounds_of(polygons)).withColumn("_cell", F.explode(cells(F.col("_box"), size)))
-    near = points.withColumn("_cell", cell).join(grid, "_cell").where(F.lit(True) if also is None else also).where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
+def containing(points: DataFrame, polygons: DataFrame, size: float | None = None, lat: str = "center_lat", lng: str = "center_lng", also: Column | None = None) -> DataFrame:
+    """Pairs of a point and a polygon (ring) that holds it; both sides meet by cell, and only points in a ring's box are held against the ring.
+
+    Without a grid's ``size`` cells are those of a quadtree, whatever the sizes of polygons. ``also``: what a pair must fulfil besides.
+    """
+    at, grid = _placed(points, polygons, lat, lng, size)
+    near = at.join(grid, "_cell").where(F.lit(True) if also is None else also).where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
     return near.where(P.contains(shape_of(polygons), lat, lng)).drop("_cell", "_box")
 
 

@@ -116,7 +116,7 @@ def geo_contains(spark: SparkSession, d: str) -> DataFrame:
     """Traced centres inside parcels."""
     parcels = with_ring(table(spark, d, "parcels")).select("parcel_id", "ring")
     points = table(spark, d, "traced").select("traced_id", "center_lat", "center_lng")
-    return S.containing(points, parcels, 0.004).select("parcel_id", "traced_id")
+    return S.containing(points, parcels).select("parcel_id", "traced_id")
 
 
 GEO_CONTAINS = with_("parcels", "traced") + """
@@ -372,7 +372,7 @@ select parcel_id, traced_id, """ + r("shared*1e6", 5) + """ as shared from o whe
 def geo_holes_hold(spark: SparkSession, d: str) -> DataFrame:
     """Traced centres inside such parcels, and not in their holes."""
     points = table(spark, d, "traced").select("traced_id", "center_lat", "center_lng")
-    return S.containing(points, with_holes(spark, d).select("parcel_id", "ring"), 0.004).select("parcel_id", "traced_id")
+    return S.containing(points, with_holes(spark, d).select("parcel_id", "ring")).select("parcel_id", "traced_id")
 
 
 GEO_HOLES_HOLD = with_("parcels", "traced") + """

@@ -126,7 +126,7 @@ def test_shared_areas_of_any_shapes(spark):
     make = lambda n: [P.arranged([[rng.random((5, 2)), rng.random((4, 2))], [rng.random((4, 2))]]) for _ in range(n)]
     a, b = make(12), [*make(10), [[np.array(box(0.2, 0.2, 0.5))]], [[np.array(box(3, 3, 1))]]]
     left, right = frame(spark, a).withColumnRenamed("k", "a"), frame(spark, b).withColumnRenamed("k", "b")
-    got = {(r.a, r.r_b): r.shared for r in S.shared_areas(left, right, "a", "b", size=0.17).collect()}
+    got = {(r.a, r.r_b): r.shared for r in S.shared_areas(left, right, "a", "b").collect()}
     side = 120
     at = (np.stack(np.meshgrid(np.arange(side), np.arange(side)), -1).reshape(-1, 2) + 0.5) / side
     fill = lambda s: np.logical_or.reduce([np.logical_xor.reduce([P._odd(r, np.roll(r, -1, 0), at) for r in p]) for p in s])
@@ -137,9 +137,6 @@ def test_shared_areas_of_any_shapes(spark):
     assert not any(j == 11 for _, j in got)
     whole = {r.a: r.shared for r in S.shared_areas(left, left.withColumnRenamed("a", "b"), "a", "b").where("a = r_b").collect()}
     assert whole == {k: pytest.approx(area([[r.tolist() for r in p] for p in s]), rel=1e-9) for k, s in enumerate(a)}
-    # Any grid gives the same sums.
-    again = {(r.a, r.r_b): r.shared for r in S.shared_areas(left, right, "a", "b", size=5.0).collect()}
-    assert again == {k: pytest.approx(v, rel=1e-9) for k, v in got.items()}
 
 
 def test_an_ell_and_a_square_share_an_exact_area(spark):
@@ -176,3 +173,31 @@ def test_shapes_intersect_as_their_areas_and_edges_tell(spark):
     b = frame(spark, touching)
     pairs = b.crossJoin(b.select(F.col("k").alias("j"), F.col("ring").alias("other"))).where(P.intersects(F.col("ring"), F.col("other")) & (F.col("k") < F.col("j")))
     assert sorted((r.k, r.j) for r in pairs.collect()) == [(0, 1), (0, 2), (0, 5), (1, 2)]
+
+
+def test_boxes_of_very_different_sizes_meet_without_many_rows(spark):
+    """From a metre to a continent on both sides: all pairs, each once, and at most four rows a level."""
+    rng = np.random.default_rng(12)
+
+    def boxes(n, name):
+        side = 10.0 ** rng.uniform(-5, 1.5, n)
+        side[: n // 3] = 0.001
+        x, y = rng.uniform(-2, 2, n), rng.uniform(-2, 2, n)
+        return [(k, (float(a), float(b), float(a + s), float(b + s * t))) for k, (a, b, s, t) in enumerate(zip(x, y, side, rng.random(n), strict=True))], f"{name} int, {name}_box struct<x0:double,y0:double,x1:double,y1:double>"
+
+    (rows_a, kind_a), (rows_b, kind_b) = boxes(150, "a"), boxes(170, "b")
+    rows_a += [(900, (0.0, 0.0, 0.0, 0.0)), (901, (-180.0, -90.0, 180.0, 90.0))]
+    a, b = spark.createDataFrame(rows_a, kind_a), spark.createDataFrame(rows_b, kind_b)
+    got = [(r.a, r.b) for r in S.box_pairs(a, b, "a_box", "b_box").select("a", "b").collect()]
+    want = {(i, j) for i, p in rows_a for j, q in rows_b if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]}
+    assert len(got) == len(set(got)) and set(got) == want
+    most = S._at_levels(a, "a_box", F.array(S.level_of(F.col("a_box")))).groupBy("a").count().agg(F.max("count")).first()[0]
+    assert most <= 4
+
+
+def test_containment_by_quadtree_equals_that_by_grid(spark):
+    rng = np.random.default_rng(2)
+    shapes = frame(spark, [[[box(*rng.random(2), 10.0 ** rng.uniform(-3, 0))]] for _ in range(40)])
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.random((300, 2)) * 1.5)], "p int, center_lat double, center_lng double")
+    by_tree = {(r.p, r.k) for r in S.containing(points, shapes).collect()}
+    assert by_tree == {(r.p, r.k) for r in S.containing(points, shapes, 0.1).collect()} and len(by_tree) > 100
