@@ -114,11 +114,17 @@ def in_circle(df: DataFrame, lat: float, lng: float, radius_m: float, lat_col: s
     return near.withColumn("distance_m", haversine_m(F.lit(lng), F.lit(lat), lng_col, lat_col)).where(F.col("distance_m") <= radius_m)
 
 
+def circle_box(lat, lng, radius_m) -> Column:
+    """A box around a circle."""
+    y, x = col(lat), col(lng)
+    d_lat = F.degrees(col(radius_m) / K.EARTH_RADIUS_M) * 1.0001
+    d_lng = d_lat / F.greatest(F.cos(F.radians(y)), F.lit(1e-6)) * 1.001
+    return F.struct((x - d_lng).alias("x0"), (y - d_lat).alias("y0"), (x + d_lng).alias("x1"), (y + d_lat).alias("y1"))
+
+
 def in_circles(df: DataFrame, circles: DataFrame, size: float = 0.02, lat_col: str = "center_lat", lng_col: str = "center_lng") -> DataFrame:
     """The same for a table of circles (query_id, lat, lng, radius_m), joined by cell."""
-    d_lat = F.degrees(F.col("radius_m") / K.EARTH_RADIUS_M) * 1.0001
-    d_lng = d_lat / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)) * 1.001
-    box = F.struct((F.col("lng") - d_lng).alias("x0"), (F.col("lat") - d_lat).alias("y0"), (F.col("lng") + d_lng).alias("x1"), (F.col("lat") + d_lat).alias("y1"))
+    box = circle_box("lat", "lng", "radius_m")
     q = circles.withColumn("cell", F.explode(cells(box, size)))
     p = df.withColumn("cell", F.struct(F.floor(F.col(lng_col) / size).alias("cx"), F.floor(F.col(lat_col) / size).alias("cy")))
     return p.join(q, "cell").withColumn("distance_m", haversine_m("lng", "lat", lng_col, lat_col)).where(F.col("distance_m") <= F.col("radius_m")).drop("cell")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom import constants as K
 from fieldloom.functions import geometry as G
-from fieldloom.functions.mathx import round_even, round_up
+from fieldloom.functions.mathx import haversine_m, round_even, round_up
 from fieldloom.operators import spatial as S
+from fieldloom.sources.shared import written
 
 
 def best_by_id(parcels: DataFrame, id: str = "parcel_id", order: str = "ord") -> DataFrame:
@@ -134,6 +136,24 @@ def traced_in_circle(parcels: DataFrame, lat: float, lng: float, radius_m: float
     return found.select("ftw_id", round_up(F.col("confidence"), 1).alias("confidence"), round_up(F.col("area_ha"), 4).alias("area_ha"), F.col("_d").cast("int").alias("distance_m"), F.lit("FTW").alias("source"))
 
 
+def traced_in_circles(parcels: DataFrame, circles: DataFrame, min_confidence: float = 0.0, min_area_ha: float = 0.0, limit: int = K.MAX_FEATURES) -> DataFrame:
+    """The same for a table of circles (query_id, lat, lng, radius_m): the nearest of each, at most ``limit``, with query_id and rank.
+
+    Box centres and circles meet by the cells of a quadtree.
+    """
+    q = circles.select("query_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.least(F.col("radius_m").cast("double"), F.lit(K.MAX_RADIUS_M)).alias("_r"))
+    q = written(q.withColumn("_circle", S.circle_box("_lat", "_lng", "_r")))
+    if min_confidence:
+        parcels = parcels.where(F.col("confidence") >= float(min_confidence))
+    if min_area_ha:
+        parcels = parcels.where(F.col("area_ha") >= float(min_area_ha))
+    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    spots = written(parcels.select("ftw_id", "confidence", "area_ha", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")).alias("_spot")))
+    near = S.box_pairs(spots, q, "_spot", "_circle").withColumn("_d", haversine_m("_lng", "_lat", F.col("_spot.x0"), F.col("_spot.y0"))).where(F.col("_d") <= F.col("_r"))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_d", "ftw_id"))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "ftw_id", round_up(F.col("confidence"), 1).alias("confidence"), round_up(F.col("area_ha"), 4).alias("area_ha"), F.col("_d").cast("int").alias("distance_m"), "rank")
+
+
 def size_histogram(features: DataFrame) -> DataFrame:
     """Parcels of each size class, empty classes too, with the totals."""
     counts = [F.count_if((F.col("area_ha") >= low) & (F.col("area_ha") < high)).alias(f"c{k}") for k, (_, low, high) in enumerate(K.SIZE_CLASSES)]

@@ -13,12 +13,12 @@ from fieldloom.operators import registry as R
 from fieldloom.operators import scoring as C
 from fieldloom.operators import series as E
 from fieldloom.operators import zones as Z
-from fieldloom.plans.geo import LAT, LNG, r, with_holes
+from fieldloom.plans.geo import LAT, LNG, hav, r, with_holes
 from fieldloom.plans.registers import REGISTRY, _registry, _requests
 from fieldloom.plans.zone import RADIUS, ZONE_TRACED
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import new_folder
+from fieldloom.sources.shared import new_folder, written
 from fieldloom.streaming import weather as SW
 
 #: Documents of a written feature collection, at least, and items of one, about.
@@ -33,6 +33,25 @@ def files_traced(spark: SparkSession, d: str) -> DataFrame:
     return Z.traced_in_circle(files.read_traced(spark, folder), LAT, LNG, RADIUS, 20, 0.05)
 
 
+def files_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest five traced parcels of a circle around each supplier, from the files that an index of row-group boxes says may hold some."""
+    t, folder = with_ring(table(spark, d, "traced")), new_folder(spark)
+    area = round_up(G.area_ha(F.col("ring"), F.col("center_lat")), 6)
+    files.write_traced(t.select(F.col("traced_id").alias("ftw_id"), "confidence", area.alias("area_ha"), "ring"), folder)
+    k = F.col("s_suppkey")
+    circles = spark.read.parquet(f"{d}/supplier.parquet").select(k.cast("long").alias("query_id"), (-19.9 + (k * 41 % 100) / 1000.0).alias("lat"), (46.98 + (k * 59 % 100) / 1000.0).alias("lng"), (300.0 + k % 7 * 100).alias("radius_m"))
+    index = written(files.index_traced(spark, folder))
+    found = Z.traced_in_circles(files.read_traced_near(spark, folder, index, circles), circles, 20, 0.05, 5)
+    return found.select("query_id", "ftw_id", "confidence", "area_ha", "distance_m", F.col("rank").cast("long").alias("rank"))
+
+
+FILES_INDEXED = with_("traced") + f""", c as (select cast(s_suppkey as bigint) as query_id, -19.9e0+(s_suppkey*41%100)/1000e0 as lat, 46.98e0+(s_suppkey*59%100)/1000e0 as lng, 300e0+s_suppkey%7*100 as radius_m from supplier),
+t as (select *, floor(4*half_lat*half_lng*111132e0*111320e0*cos(radians(center_lat))/10000*1e6+0.5e0)/1e6 as area from traced),
+n as (select query_id, traced_id as ftw_id, confidence, area, {hav('lng', 'lat', 'center_lng', 'center_lat')} as dist, radius_m from c join t on abs(center_lat-lat) < 0.02e0 and abs(center_lng-lng) < 0.02e0 where confidence >= 20 and area >= 0.05e0)
+select query_id, ftw_id, {r('confidence', 1)} as confidence, {r('area', 4)} as area_ha, cast(floor(dist) as integer) as distance_m, row_number() over (partition by query_id order by dist, ftw_id) as rank from n where dist <= radius_m qualify rank <= 5
+"""
+
+
 def files_traced_rings(spark: SparkSession, d: str) -> DataFrame:
     """Geometries that went to WKB and back."""
     folder = new_folder(spark)
@@ -214,6 +233,7 @@ EVENTS_MONTHLY = f"select user_id as site_id, strftime(ts, '%Y-%m') as month_key
 
 QUERIES = {
     "files_traced": (files_traced, ZONE_TRACED),
+    "files_indexed": (files_indexed, FILES_INDEXED),
     "files_traced_rings": (files_traced_rings, FILES_TRACED_RINGS),
     "files_shapes": (files_shapes, FILES_SHAPES),
     "files_geojson": (files_geojson, FILES_GEOJSON),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 from fieldloom.functions import polygons as P
 from fieldloom.functions.text import kml_label
-from fieldloom.operators.spatial import bounds_of, shape_of, z_order
+from fieldloom.operators.spatial import bounds_of, box_pairs, circle_box, shape_of, z_order
+from fieldloom.sources.shared import written
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -75,6 +80,56 @@ def read_traced(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def index_traced(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest of the files that ``write_traced`` wrote: (file, row_group, n_rows, box), the box of each row group from the statistics in its footer. Footers are read by tasks; rows are not."""
+    names = spark.read.parquet(path).inputFiles()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for name in batch.column(0).to_pylist():
+                with _opened(name) as source:
+                    meta = pq.ParquetFile(source).metadata
+                    place = {meta.schema.column(k).path: k for k in range(meta.num_columns)}
+                    for g in range(meta.num_row_groups):
+                        group = meta.row_group(g)
+                        of = {c: group.column(place[c]).statistics for c in ("xmin", "ymin", "xmax", "ymax")}
+                        known = all(s is not None and s.has_min_max for s in of.values())
+                        out.append((name, g, group.num_rows, (of["xmin"].min, of["ymin"].min, of["xmax"].max, of["ymax"].max) if known else (-180.0, -90.0, 180.0, 90.0)))
+            box = pa.StructArray.from_arrays([pa.array([r[3][k] for r in out], pa.float64()) for k in range(4)], ["x0", "y0", "x1", "y1"])
+            columns = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), box]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "row_group", "n_rows", "box"])
+
+    files = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+    return files.mapInArrow(run, "file string, row_group int, n_rows long, box struct<x0:double,y0:double,x1:double,y1:double>")
+
+
+def _opened(name: str):
+    """A file as tasks open it."""
+    from pyarrow import fs
+
+    if name.startswith("file:") and not name.startswith("file://"):
+        name = "file://" + name[len("file:") :]
+    system, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+    return system.open_input_file(path)
+
+
+def read_traced_near(spark: SparkSession, path: str, index: DataFrame, circles: DataFrame) -> DataFrame:
+    """Traced parcels of the files that may hold some of any of the circles (query_id, lat, lng, radius_m): those with a row group whose box meets a circle's.
+
+    The index meets circles by the cells of a quadtree; names of files reach the driver, as they do in any scan. The box around all circles goes down to the scan.
+    """
+    box = circle_box("lat", "lng", "radius_m")
+    boxed = written(circles.select("query_id", box.alias("circle")))
+    hit = [r["file"] for r in box_pairs(index.select("file", "box"), boxed, "box", "circle").select("file").distinct().collect()]
+    whole = spark.read.parquet(path)
+    if not hit:
+        return whole.limit(0)
+    all_ = boxed.agg(F.min("circle.x0"), F.min("circle.y0"), F.max("circle.x1"), F.max("circle.y1")).first()
+    some = spark.read.schema(whole.schema).parquet(*sorted(hit))
+    return some.where((F.col("xmax") >= all_[0]) & (F.col("ymax") >= all_[1]) & (F.col("xmin") <= all_[2]) & (F.col("ymin") <= all_[3]))
+
+
 def read_registry(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 16, **options: str) -> DataFrame:
     """A registry in a database, read by ranges of a numeric key in parallel."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options)

@@ -150,3 +150,21 @@ def test_streamed_days_make_the_months_and_are_given_out_once(spark, tmp_path):
     got = {(r.site_id, r.month): r.value for r in SW.monthly_totals(days).collect()}
     want = events.where(F.to_date("ts") <= F.lit(through)).groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("m")).agg(F.sum("value").alias("v")).collect()
     assert got == {(r.user_id, r.m): r.v for r in want}
+
+
+def test_an_index_of_boxes_spares_files(spark, tmp_path):
+    """A table of circles reads the files whose row groups meet one of them, and no others."""
+    df = spark.range(400).select(F.col("id").alias("ftw_id"), (F.col("id") % 100).cast("double").alias("confidence"), F.lit(0.3).alias("area_ha"), G.rectangle(-20 + F.col("id") % 20 / 10, 47 + F.floor(F.col("id") / 20) / 10, F.lit(0.001), F.lit(0.001)).alias("ring"))
+    path = str(tmp_path / "t")
+    files.write_traced(df, path)
+    index = files.index_traced(spark, path)
+    assert index.agg(F.sum("n_rows")).first()[0] == 400
+    circles = spark.createDataFrame([(1, -19.9, 47.1, 500.0), (2, -19.9, 47.2, 15_000.0), (3, 10.0, 10.0, 900.0)], "query_id int, lat double, lng double, radius_m double")
+    near = files.read_traced_near(spark, path, index, circles)
+    everything = spark.read.parquet(path)
+    assert 0 < len(near.inputFiles()) < len(everything.inputFiles())
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(xmax" in plan
+    got = {(r.query_id, r.ftw_id) for r in Z.traced_in_circles(near, circles).collect()}
+    assert got == {(q.query_id, r.ftw_id) for q in circles.collect() for r in Z.traced_in_circle(everything, q.lat, q.lng, q.radius_m).collect()} and len(got) > 4
+    assert files.read_traced_near(spark, path, index, circles.where("query_id = 3")).count() == 0
