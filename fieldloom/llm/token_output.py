@@ -12,7 +12,8 @@ A shard is written under a name of its attempt and then renamed; a task that is
 
 Edge cases: a null or empty text has no sequence; an empty table gives an empty manifest; rows that share an id share its places,
 and the order of their ids settles the tie, so each sequence still has a slot of its own; rows without an id stand for one more id; texts may be of
-any length and other columns of any name; if ids times room exceed 2^62, that is an error.
+any length and other columns of any name. Ids that are no whole numbers (texts, say), or lie so far apart that their range times room exceeds
+2^62 (hashes), are replaced by their ranks for the index, which takes a sort of the ids and a join; the manifest has the ids themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fieldloom.llm.bpe import cut, ragged
 from fieldloom.llm.common import Scratch, give_back, join_sized, shared_files
@@ -117,6 +119,20 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _numbered(ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((key, number) of each distinct id, numbers from 0 on in the ids' order; how many there are). Ids are dealt by range; a row for each range reaches the driver."""
+    spark = ids.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = ids.where("id is not null").distinct().repartitionByRange(parts, "id").sortWithinPartitions("id").select(F.col("id").alias("key"), F.monotonically_increasing_id().alias("at"))
+    placed = scratch.table(placed, "placed").select("key", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    before, total = [], 0
+    for r in sorted(placed.groupBy("range").count().collect()):
+        before.append((r["range"], total))
+        total += r["count"]
+    starts = spark.createDataFrame(before, "range long, before long")
+    return join_sized(placed, starts, "range", "inner", len(before)).select("key", (F.col("before") + F.col("within")).alias("number")), total
+
+
 def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: int = 20_240_229, id: str = "doc_id", text: str = "text", length: int = LENGTH, shards: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Writes shards (by default as many as the input has partitions) to ``out``, a folder that all machines share; by default a new one in the shared folder.
 
@@ -125,19 +141,29 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
     """
     scratch = scratch or Scratch(docs.sparkSession)
     out = out or scratch.path("shards")
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
+    whole = isinstance(docs.schema[id].dataType, IntegralType)
+    rows = docs.select((F.col(id).cast("long") if whole else F.col(id)).alias("id"), F.col(text).alias("t"))
+    kind = dict(rows.dtypes)["id"]
     shards = shards or max(1, rows.rdd.getNumPartitions())
-    low, high, longest = rows.agg(F.min("id"), F.max("id"), F.max(F.octet_length("t"))).first()
+    low, high, longest = rows.agg(*([F.min("id"), F.max("id")] if whole else [F.lit(0), F.lit(0)]), F.max(F.octet_length("t"))).first()
     low, high, room = low or 0, high or 0, max(1, -(-(longest or 0) // length))  # a token has a byte at least
+    if whole and (high - low + 2) * room <= 1 << 62:
+        rows = rows.withColumn("n", F.col("id") - low)
+    else:  # ids that are no whole numbers, or lie too far apart
+        numbers, count = _numbered(rows.select("id"), scratch)
+        rows = join_sized(rows, numbers, F.col("id") == F.col("key"), "left", count).select("id", "t", F.col("number").alias("n"))
+        low, high = 0, count - 1
     space = (high - low + 2) * room  # with one more for rows without an id
     if space > 1 << 62:
-        raise ValueError(f"ids from {low} to {high} with up to {room} sequences each are too many for 62 bits")
+        raise ValueError(f"{high - low + 1} ids with up to {room} sequences each are too many for 62 bits")
+    # Ids go through Python as texts, since pandas would round large numbers among nulls; rows without one have the last number.
+    rows = rows.select(F.col("id").cast("string").alias("id"), "t", F.coalesce("n", F.lit(high - low + 1)).cast("long").alias("n"))
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["t"]]
-            keys = batch["id"].astype("Int64").array
-            first = (keys.fillna(high + 1).to_numpy(np.int64) - low) * room
+            keys = batch["id"].to_numpy(object)
+            first = batch["n"].to_numpy(np.int64) * room
             lot: list[tuple] = []
             for k, ids in enumerate(words(vocabulary).encode(texts)):
                 raw = ids.astype("<u2").tobytes()
@@ -150,7 +176,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
         words(vocabulary).forget()
         give_back()
 
-    dealt = rows.mapInPandas(sequences, "place long, shard int, id long, part long, ids binary")
+    dealt = rows.mapInPandas(sequences, "place long, shard int, id string, part long, ids binary")
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "ids")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +207,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
                 yield pd.DataFrame(
                     {
                         "number": numbers,
-                        id: batch["id"].astype("Int64"),
+                        id: batch["id"],
                         "part": batch["part"],
                         "n_tokens": [len(b) // 2 for b in batch["ids"]],
                         "shard": of.astype(np.int64),
@@ -194,7 +220,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
             if stream is not None and not stream.closed:
                 stream.close()
 
-    written = scratch.table(dealt.mapInPandas(write, f"number long, {id} long, part long, n_tokens long, shard long, sha256 string"), "written")
+    written = scratch.table(dealt.mapInPandas(write, f"number long, {id} string, part long, n_tokens long, shard long, sha256 string"), "written")
     counts = written.groupBy("shard").agg(F.max("number").alias("last"))
     before, rows_before = [], 0
     for r in sorted(counts.collect()):  # one row a shard
@@ -202,7 +228,7 @@ def materialise(docs: DataFrame, vocabulary: str, out: str | None = None, key: i
         rows_before += r["last"] + 1
     starts = docs.sparkSession.createDataFrame(before, "shard long, before long")
     found = join_sized(written, starts, "shard", "inner", len(before))
-    return found.select((F.col("before") + F.col("number")).alias("slot"), id, "part", "n_tokens", "shard", (F.col("number") * 2 * length).alias("byte_offset"), "sha256")
+    return found.select((F.col("before") + F.col("number")).alias("slot"), F.col(id).cast(kind).alias(id), "part", "n_tokens", "shard", (F.col("number") * 2 * length).alias("byte_offset"), "sha256")
 
 
 def read_shard(out: str, shard: int, start: int = 0, length: int = LENGTH) -> np.ndarray:

@@ -309,8 +309,8 @@ def test_slots_depend_on_the_data_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     slots = [sorted((r.slot, r.doc_id or 0, r.part, r.sha256) for r in token_output.materialise(d, VOCABULARY, shards=3).collect()) for d in (docs.repartition(5), docs.coalesce(1).orderBy("text"))]
     assert slots[0] == slots[1] and [s[0] for s in slots[0]] == list(range(len(slots[0])))
-    with pytest.raises(ValueError):
-        token_output.materialise(spark.createDataFrame([(-(2**62), "a"), (2**62, "b")], "doc_id long, text string"), VOCABULARY)
+    far = token_output.materialise(spark.createDataFrame([(-(2**62), "a"), (2**62, "b")], "doc_id long, text string"), VOCABULARY).collect()
+    assert sorted(r.slot for r in far) == [0, 1] and {r.doc_id for r in far} == {-(2**62), 2**62}
 
 
 def test_embeddings_of_any_size_of_number(spark):
@@ -319,3 +319,21 @@ def test_embeddings_of_any_size_of_number(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in hnsw.near_duplicates(df).collect())
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 2, False), (2, 1, 2, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (0, 0, 0, True)])
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_any_ids_get_places_of_their_own(spark, tmp_path, kind, reference):
+    """Texts, and hashes that lie all over 64 bits: the manifest has them, and each sequence a slot and its tokens."""
+    r = random.Random(3)
+    ids = [f"doc-{r.randrange(10**9):x}" for _ in range(40)] if kind == "string" else [r.randrange(-(1 << 63), 1 << 63) for _ in range(40)]
+    texts = {i: " ".join(r.choice(["rain", "sun", "the lake", "mill"]) for _ in range(r.randrange(0, 900))) for i in ids}
+    rows = [*texts.items(), (None, "no id here"), (ids[0], texts[ids[0]])]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    found = token_output.materialise(df, VOCABULARY, out=str(tmp_path / "out"), shards=4).collect()
+    assert sorted(f["slot"] for f in found) == list(range(len(found))) and {f["doc_id"] for f in found} <= {*ids, None}
+    read = {k: token_output.read_shard(str(tmp_path / "out"), k) for k in range(4)}
+    again: dict = {}
+    for f in found:
+        again.setdefault(f["doc_id"], {})[f["part"]] = read[f["shard"]][f["byte_offset"] // (2 * token_output.LENGTH)][: f["n_tokens"]].tolist()
+    for i, t in texts.items():
+        assert [x for _, p in sorted(again.get(i, {}).items()) for x in p] == reference.encode_ordinary(t)
