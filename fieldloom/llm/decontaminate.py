@@ -5,7 +5,7 @@ text is cut into words, and a 64-bit SimHash of word pairs is taken of every win
 small share of the window apart (a text shorter than a window is one window, if its shingles could weigh enough to match).
 Pairs vote with the weight that verification gives their shingles: a pair weighs as the lightest of the shingles over it, so what
 many items share (a template around questions) hardly moves a fingerprint, and starts are the closer the less of an
-item is its own. A fingerprint is looked up in tables of its BLOCKS blocks, which hold every value within radius // BLOCKS bits of an
+item is its own. Where nine tenths of each item's weight are its own, pairs vote alike. A fingerprint is looked up in tables of its BLOCKS blocks, which hold every value within radius // BLOCKS bits of an
 item's block: two fingerprints within the radius agree that well in one block at least, so none is missed.
 Candidates within the radius are verified at every start nearby by the weighted Jaccard similarity of five-word
 shingles, windows being as long as the item; a shingle weighs less the more items hold it.
@@ -39,8 +39,13 @@ STEP, STRIDE = 1.12, 1 / 16
 LOT, WORDS_AT_ONCE = 20_000, 16_384
 #: Groups whose tables (2 MB each) a process keeps; beyond, tables are built when needed, for so many lots of words at once.
 KEPT, LOTS_AT_ONCE = 16, 8
-#: Votes up to which 16 bits count a window; votes of a pair of full weight where weights differ.
-SMALL, VOTES = 1 << 15, 16
+#: Votes of a pair of full weight where weights differ; the share of an item's weight that must be its own for pairs to vote alike.
+VOTES, OWN = 16, 0.9
+
+
+def _kind(votes: int) -> type:
+    """The smallest numbers that count so many votes in a window, as prefix sums may wrap around."""
+    return np.uint8 if votes < 1 << 8 else np.int16 if votes < 1 << 15 else np.int32
 
 
 def _blocked_cumsum(bits: np.ndarray, kind: type = np.int16) -> np.ndarray:
@@ -80,7 +85,7 @@ def _majority(upto: np.ndarray, starts: np.ndarray, last: np.ndarray, votes: np.
 def fingerprints(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, votes: np.ndarray | None = None) -> np.ndarray:
     """SimHash of the word pairs of each window [start, end) of hashed words."""
     most = len(h) if votes is None else len(h) * VOTES
-    return _majority(_blocked_cumsum(_bits(h, votes), np.int16 if most < SMALL else np.int32), starts, np.maximum(ends - 1, starts + 1), _prefix(votes))
+    return _majority(_blocked_cumsum(_bits(h, votes), _kind(most)), starts, np.maximum(ends - 1, starts + 1), _prefix(votes))
 
 
 def _prefix(votes: np.ndarray | None) -> np.ndarray | None:
@@ -119,23 +124,24 @@ class Group:
         for k in range(1, self.radius // self.blocks + 1):
             near += [sum(1 << b for b in c) for c in combinations(range(self.bits), k)]
         near = np.array(near, np.int64)
-        tables = np.zeros((self.blocks, 1 << self.bits), np.uint64)
+        kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(self.prints) <= n)
+        tables = np.zeros((self.blocks, 1 << self.bits), kind)
         for k, p in enumerate(self.prints.tolist()):
             for b in range(self.blocks):
-                tables[b, ((p >> (b * self.bits)) & ((1 << self.bits) - 1)) ^ near] |= np.uint64(1 << k)
+                tables[b, ((p >> (b * self.bits)) & ((1 << self.bits) - 1)) ^ near] |= kind(1 << k)
         self.kept = tables if keep else None
         return tables
 
     def search(self, prints: np.ndarray, tables: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """(window numbers, item number) of all fingerprints within the radius."""
         low = np.uint64((1 << self.bits) - 1)
-        hit = np.zeros(len(prints), np.uint64)
+        hit = np.zeros(len(prints), tables.dtype)
         for b in range(self.blocks):
             hit |= tables[b].take(((prints >> np.uint64(b * self.bits)) & low).astype(np.int64))
         some = np.flatnonzero(hit)
         hit, near = hit[some], prints[some]
         for k, p in enumerate(self.prints):
-            at = np.flatnonzero((hit & np.uint64(1 << k)) != 0)
+            at = np.flatnonzero((hit & hit.dtype.type(1 << k)) != 0)
             at = at[np.bitwise_count(near[at] ^ p) <= self.radius]
             if len(at):
                 yield some[at], k
@@ -171,11 +177,12 @@ class Benchmark:
             at += 1
         self.short = {n: dict(of) for n, of in self.short.items()}
         sizes = window_sizes(n for n in (lengths or Counter(len(i["h"]) for i in self.items)) if n >= SPAN)
-        light = np.array(sorted(self.weights), np.uint64)
+        alike = all(i["weight"] >= OWN * self.full * len(i["set"]) for i in self.items)
+        light = np.array([] if alike else sorted(self.weights), np.uint64)
         self.light = light, np.array([max(1, round(VOTES * self.weights[s] / self.full)) for s in light.tolist()], np.uint8)
         for i in self.items[at:]:
             i["votes"] = self._votes(i["h"], np.array([0, len(i["h"])]))
-        self.kind = np.int16 if max(sizes.values(), default=0) * (VOTES if len(light) else 1) < SMALL else np.int32
+        self.kind = _kind(max(sizes.values(), default=0) * (VOTES if len(light) else 1))
         self.groups: list[tuple[int, list[Group]]] = []  # by window size
         self.least_words: list[float] = []  # of each size: full shingles that weigh as much as the lightest item
         self.strides: list[int] = []  # of each size: words between starts, fewer if a tenth or more of an item isn't its own
@@ -186,7 +193,7 @@ class Benchmark:
             self.groups.append((size, [Group(self.items[k : min(stop, k + 64)], radius, blocks) for k in range(at, stop, 64)]))
             self.least_words.append(min(i["weight"] for i in self.items[at:stop]) / self.full)
             own = min(i["weight"] / (self.full * len(i["set"])) for i in self.items[at:stop])
-            self.strides.append(max(1, int(size * min(1.0, own * 1.1) * STRIDE)))
+            self.strides.append(max(1, int(size * min(1.0, own / OWN) * STRIDE)))
             at = stop
         self.keep = sum(len(groups) for _, groups in self.groups) <= KEPT
 
