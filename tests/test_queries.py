@@ -12,6 +12,10 @@ from fieldloom.plans import catalog
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+#: Its rasters hold no pixel of the few parts of the smallest tables.
+EMPTY = {"pixels_in_polygon"} if SF.endswith("sf0.001") else set()
+
+
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
@@ -35,11 +39,12 @@ def test_query(spark, oracle, name):
     rows = df.collect()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert rows
         return
     found = oracle.execute(sql)
     names = [d[0] for d in found.description]
     want = found.fetchall()
+    assert want or name in EMPTY, "an oracle without rows shows nothing"
     assert sorted(names) == sorted(df.columns)
     order = sorted(df.columns)
     key = lambda r: tuple((x is not None, str(x)) for x in r)
