@@ -201,3 +201,19 @@ def test_containment_by_quadtree_equals_that_by_grid(spark):
     points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.random((300, 2)) * 1.5)], "p int, center_lat double, center_lng double")
     by_tree = {(r.p, r.k) for r in S.containing(points, shapes).collect()}
     assert by_tree == {(r.p, r.k) for r in S.containing(points, shapes, 0.1).collect()} and len(by_tree) > 100
+
+
+def test_pairs_of_small_shapes_share_areas_without_a_shuffle_of_pairs(spark):
+    """Small shapes, a circle of many trapezoids and an id of two rows: the same areas, and no sums by pair where all shapes are small."""
+    turn = np.linspace(0, 2 * np.pi, 60, endpoint=False) + 0.01
+    circle = [[np.column_stack([0.5 + 0.4 * np.sin(turn), 0.5 + 0.4 * np.cos(turn)]).tolist()]]
+    shapes = [[[box(0, 0, 1)]], [[[(0, 0), (0, 1), (1, 0)]]], circle, [[box(0.25, 0.25, 0.5)]]]
+    left = frame(spark, shapes).withColumnRenamed("k", "a")
+    right = left.withColumnRenamed("a", "b")
+    got = {(r.a, r.r_b): r.shared for r in S.shared_areas(left, right, "a", "b").collect()}
+    assert len(got) == 16 and all(got[i, j] == pytest.approx(got[j, i]) for i in range(4) for j in range(4))
+    assert [got[0, j] for j in range(4)] == [pytest.approx(v) for v in (1, 0.5, area(shapes[2]), 0.25)] and got[1, 3] == pytest.approx(0.125)
+    twice = S.shared_areas(left.where("a <> 2").withColumn("a", F.when(F.col("a") == 3, 0).otherwise(F.col("a"))), right.where("b = 0"), "a", "b").collect()
+    assert sorted((r.a, r.shared) for r in twice) == [(0, pytest.approx(1.25)), (1, pytest.approx(0.5))]
+    small = S.shared_areas(left.where("a <> 2"), right.where("b <> 2"), "a", "b")
+    assert "Aggregate" not in small._jdf.queryExecution().executedPlan().toString()
