@@ -178,8 +178,8 @@ def uncovered(blocks: DataFrame, assigned: DataFrame, enough: float = K.BLOCK_CO
 
 
 def _placed(points: DataFrame, polygons: DataFrame, lat: str, lng: str, size: float | None) -> tuple[DataFrame, DataFrame]:
-    """Points with ``_cell`` and polygons with ``_box`` and ``_cell``: of a grid of a given size, or of the levels of a quadtree that polygons lie in."""
-    boxed = polygons.withColumn("_box", bounds_of(polygons))
+    """Points with ``_cell`` and polygons with ``_box``, ``_plain`` (a rectangle along the axes) and ``_cell``: of a grid of a given size, or of the levels of a quadtree that polygons lie in."""
+    boxed = polygons.withColumn("_box", bounds_of(polygons)).withColumn("_plain", P.upright(shape_of(polygons)))
     if size is not None:
         cell = F.struct(F.floor(F.col(lng) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy"))
         return points.withColumn("_cell", cell), boxed.withColumn("_cell", F.explode(cells(F.col("_box"), size)))
@@ -207,8 +207,11 @@ def containing(points: DataFrame, polygons: DataFrame, size: float | None = None
     Without a grid's ``size`` cells are those of a quadtree, whatever the sizes of polygons. ``also``: what a pair must fulfil besides.
     """
     at, grid = _placed(points, polygons, lat, lng, size)
-    near = at.join(grid, "_cell").where(F.lit(True) if also is None else also).where(in_box(F.col("_box"), F.col(lat), F.col(lng)))
-    return near.where(P.contains(shape_of(polygons), lat, lng)).drop("_cell", "_box")
+    near = at.join(grid, "_cell").where(F.lit(True) if also is None else also)
+    b, y, x = F.col("_box"), F.col(lat), F.col(lng)
+    # A rectangle along the axes holds its lower and left sides, as the walk along its edges has it.
+    held = (y >= b["y0"]) & (y < b["y1"]) & (x >= b["x0"]) & (x < b["x1"])
+    return near.where(in_box(b, y, x)).where(F.when(F.col("_plain"), held).otherwise(P.contains(shape_of(polygons), lat, lng))).drop("_cell", "_box", "_plain")
 
 
 def pixels_within(pixels: DataFrame, polygons: DataFrame, key: str) -> DataFrame:

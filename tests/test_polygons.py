@@ -217,3 +217,11 @@ def test_pairs_of_small_shapes_share_areas_without_a_shuffle_of_pairs(spark):
     assert sorted((r.a, r.shared) for r in twice) == [(0, pytest.approx(1.25)), (1, pytest.approx(0.5))]
     small = S.shared_areas(left.where("a <> 2"), right.where("b <> 2"), "a", "b")
     assert "Aggregate" not in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rectangles_hold_points_by_comparisons(spark):
+    """Lower and left sides belong to a rectangle, and its edges are not walked along."""
+    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.5), (2, 0.5, 1.0), (3, 0.5, 0.5)], "p int, center_lat double, center_lng double")
+    held = S.containing(points, frame(spark, [[[box(0, 0, 1)]]]))
+    assert sorted(r.p for r in held.collect()) == [0, 3]
+    assert "CASE WHEN _plain" in held._jdf.queryExecution().executedPlan().toString()
