@@ -225,3 +225,7 @@ def test_rectangles_hold_points_by_comparisons(spark):
     held = S.containing(points, frame(spark, [[[box(0, 0, 1)]]]))
     assert sorted(r.p for r in held.collect()) == [0, 3]
     assert "CASE WHEN _plain" in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_a_small_file_are_parsed_by_all_cores(spark):
+    assert len(geo.with_holes(spark, "/root/testdata/sf0.001").inputFiles()) == spark.sparkContext.defaultParallelism
