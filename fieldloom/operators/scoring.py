@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from fieldloom import constants as K
 from fieldloom.functions import spectral as X
 from fieldloom.functions.mathx import clamp, finite, logistic, round_even, round_up
 from fieldloom.functions.text import joined, month_start
+from fieldloom.sources.shared import written
 
 ML_INDICES = ("NDVI", "EVI", "NDRE", "NDMI")
 
@@ -336,51 +340,178 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str) -> dict:
     return {"features": features, "mean": mean, "std": std, "coef": list(fit.coefficients), "intercept": fit.intercept, "threshold": 0.5}
 
 
-#: Rows that leave-one-out takes: each of them is a fit over all the others.
-MOST_CALIBRATION_ROWS = 5_000
+#: Fits that leave-one-out refines at a time.
+LOT = 1_000
 
 
 def leave_one_out(rows: DataFrame, sets: list[list[str]], label: str, key: str, least: float = 0.8) -> DataFrame:
     """Leave-one-out accuracy of each feature set: (rank, features, n_rows, accuracy, majority); sets with too few complete rows are left out.
 
-    The table is a calibration set, typically of a few hundred parcels, read once: each set's rows form one group, fitted in
-    numpy. More than MOST_CALIBRATION_ROWS rows are an error.
+    The fit without a row is a Newton step away from the fit of all rows, and how far its optimum is from there is bounded (``_held_out``). Where the
+    sign of the row's logit is beyond that bound, it is settled without a fit of its own; the other rows, a handful in a large table,
+    are fitted, LOT at a time. So a table is read a few times, whatever its size, by tasks that return sums alone.
     """
     import numpy as np
-    import pandas as pd
 
-    options = F.array(*[F.struct(F.lit(k).alias("rank"), F.array(*[F.col(n).cast("double") for n in names]).alias("x")) for k, names in enumerate(sets)])
+    x = lambda names: F.array(*[F.col(n).cast("double") for n in names])
+    options = F.array(*[F.struct(F.lit(k).alias("rank"), x(names).alias("x")) for k, names in enumerate(sets)])
     parts = rows.select(F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("y"), F.explode(options).alias("o")).select("key", "y", "o.*")
-    kind = "rank int, features string, n_rows long, accuracy double, majority double"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_CALIBRATION_ROWS:
-            raise ValueError(f"leave-one-out takes at most {MOST_CALIBRATION_ROWS} rows, not {len(group)}")
-        total, rank = len(group), int(group["rank"].iat[0])
-        group = group.sort_values("key")
-        x, y = np.stack([np.asarray(v, float) for v in group["x"]]), group["y"].to_numpy()
-        whole = ~np.isnan(x).any(1)
-        x, y = x[whole], y[whole]
-        if len(y) < least * total:
-            return pd.DataFrame({"rank": [], "features": [], "n_rows": [], "accuracy": [], "majority": []})
-        hits = 0
-        for k in range(len(y)):
-            rest = np.arange(len(y)) != k
-            m, s = x[rest].mean(0), x[rest].std(0)
-            s[s == 0] = 1.0
-            z = np.column_stack([np.ones(rest.sum()), (x[rest] - m) / s])
-            w, ridge = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * (z.shape[1] - 1))
-            for _ in range(25):
-                p = 1 / (1 + np.exp(-z @ w))
-                step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - y[rest]) + ridge @ w)
-                w = w - step
-                if np.abs(step).max() < 1e-9:
-                    break
-            hits += int((np.append(1.0, (x[k] - m) / s) @ w >= 0) == (y[k] == 1))
-        share = y.mean()
-        return pd.DataFrame({"rank": [rank], "features": [",".join(sets[rank])], "n_rows": [len(y)], "accuracy": [hits / len(y)], "majority": [max(share, 1 - share)]})
-
-    return parts.groupBy("rank").applyInPandas(run, kind)
+    whole = F.forall("x", lambda v: finite(v).isNotNull()) & F.col("y").isNotNull()
+    # A small file's rows, but each row's fit costs work.
+    parts = written(parts.withColumn("whole", whole).repartition(rows.sparkSession.sparkContext.defaultParallelism, "key"))
+    wide = max(map(len, sets))
+    value = lambda k: F.when(F.col("whole"), F.get("x", k))
+    aggs = [f(value(k)).alias(f"{n}{k}") for k in range(wide) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
+    ones = F.count_if(F.col("whole") & (F.col("y") == 1))
+    scale, majority = {}, {}
+    for g in parts.groupBy("rank").agg(F.count(F.lit(1)).alias("total"), F.count_if("whole").alias("n"), ones.alias("ones"), *aggs).collect():  # a row a set
+        if g["n"] >= max(2, least * g["total"]):
+            get = lambda n, c=len(sets[g["rank"]]), g=g: np.array([g[f"{n}{k}"] for k in range(c)], float)
+            m, s = get("m"), get("s")
+            s[(s == 0) | (get("lo") == get("hi"))] = 1.0
+            scale[g["rank"]] = (m, s, np.append(1.0, np.maximum(np.abs(get("lo") - m), np.abs(get("hi") - m)) / s), g["n"], g["ones"])
+    zs = parts.where(F.col("whole") & F.col("rank").isin(*scale)).select("rank", "y", "x")
+    hits = dict.fromkeys(scale, 0)
+    mixed = {r: v for r, v in scale.items() if 0 < v[4] < v[3]}
+    for r, (_, _, _, n, n_ones) in scale.items():
+        majority[r] = max(n_ones / n, 1 - n_ones / n)
+        if r not in mixed:  # all rows have one label, and so do the others of each
+            hits[r] = n
+    if mixed:
+        start = {r: (np.zeros((1, len(v[0]) + 1)), np.ones((1, len(v[0])))) for r, v in mixed.items()}
+        fits = _newton(zs, mixed, start)
+        open_ = written(_held_out(zs, mixed, fits))
+        for g in open_.groupBy("rank").agg(F.count_if("hit").alias("hits")).collect():
+            hits[g["rank"]] += g["hits"]
+        numbered = written(open_.where("hit is null").select("rank", "y", "x").withColumn("lot", F.row_number().over(W.partitionBy("rank").orderBy("y", "x"))).withColumn("lot", F.floor((F.col("lot") - 1) / LOT)))
+        for r, lot in sorted((g["rank"], g["lot"]) for g in numbered.select("rank", "lot").distinct().collect()):
+            own = numbered.where((F.col("rank") == r) & (F.col("lot") == lot)).collect()
+            m, s, _, n, n_ones = mixed[r]
+            y = np.array([o["y"] for o in own])
+            z = np.column_stack([np.ones(len(own)), (np.array([o["x"] for o in own]) - m) / s])
+            sole = (y == 1) & (n_ones == 1) | (y != 1) & (n_ones == n - 1)  # the others all have the other label
+            if (~sole).any():
+                z, y = z[~sole], y[~sole]
+                w0 = np.repeat(fits[r][0], len(y), 0)
+                w = _newton(zs.where(F.col("rank") == r), {r: mixed[r]}, {r: (w0, _penalties(z, n))}, {r: (z, y)})[r][0]
+                hits[r] += int((((w * z).sum(1) >= 0) == (y == 1)).sum())
+    found = [(r, ",".join(sets[r]), scale[r][3], hits[r] / scale[r][3], float(majority[r])) for r in sorted(scale)]
+    return rows.sparkSession.createDataFrame(found, "rank int, features string, n_rows long, accuracy double, majority double")
+
+
+def _penalties(z, n: int):
+    """Variances, without each row, of features that have variance 1 with it: the weights of the ridge where features are standardised over the others. Of others that are all equal it is any positive number, as their weight is 0."""
+    import numpy as np
+
+    v = n / (n - 1) * (1 - z[:, 1:] ** 2 / (n - 1))
+    return np.where(v < 1e-12, 1.0, v)
+
+
+def _newton(rows: DataFrame, scale: dict, start: dict, without: dict | None = None) -> dict:
+    """Logistic fits by Newton's method: of each set (rank) some fits at once, from weights and ridges; ``without`` has a row (z, y) that each leaves out.
+
+    Returns (weights, their Hessians and gradients) by set. Tasks add up gradients and Hessians of all fits by matrix products; a step that raises the loss is halved.
+    """
+    import numpy as np
+
+    def sums(weights: dict) -> dict:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc: dict = {}
+            for batch in batches:
+                for r, group in batch.groupby("rank"):
+                    m, s = scale[r][:2]
+                    x, y = np.stack(group["x"].to_numpy()), (group["y"].to_numpy() == 1).astype(float)
+                    for k in range(0, len(y), 2_000):
+                        z = np.column_stack([np.ones(len(y[k : k + 2_000])), (x[k : k + 2_000] - m) / s])
+                        got = _sums(z, y[k : k + 2_000], weights[r])
+                        acc[r] = got if r not in acc else [a + b for a, b in zip(acc[r], got, strict=True)]
+            if acc:
+                yield pd.DataFrame({"rank": list(acc), "v": [np.concatenate([a.ravel() for a in v]) for v in acc.values()]})
+
+        out: dict = {}
+        for row in rows.mapInPandas(run, "rank int, v array<double>").collect():  # a row a task and set, of some fits
+            v = np.array(row["v"])
+            out[row["rank"]] = v if row["rank"] not in out else out[row["rank"]] + v
+        found = {}
+        for r, w in weights.items():
+            u, c = w.shape
+            loss, g, h = out[r][:u], out[r][u : u + u * c].reshape(u, c), out[r][u + u * c :].reshape(u, c, c)
+            if without:
+                z, y = without[r]
+                l0, g0, h0 = _sums(z, (y == 1).astype(float), w, each=True)
+                loss, g, h = loss - l0, g - g0, h - h0
+            ridge = start[r][1]
+            found[r] = (loss + (ridge * w[:, 1:] ** 2).sum(1) / 2, g + np.pad(ridge * w[:, 1:], ((0, 0), (1, 0))), h + np.eye(c) * np.pad(ridge, ((0, 0), (1, 0)))[:, None, :])
+        return found
+
+    best = {r: w for r, (w, _) in start.items()}
+    state = sums(best)
+    step = {r: -np.linalg.solve(h, g[..., None])[..., 0] for r, (_, g, h) in state.items()}
+    for _ in range(60):
+        moving = {r for r in best if np.abs(step[r]).max() >= 1e-9}
+        if not moving:
+            break
+        tried = sums({r: best[r] + step[r] for r in best})
+        for r in best:
+            better = tried[r][0] <= state[r][0] + 1e-12 * np.abs(state[r][0])
+            on = better[:, None]
+            best[r] = np.where(on, best[r] + step[r], best[r])
+            state[r] = tuple(np.where(better.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(tried[r], state[r], strict=True))
+            step[r] = np.where(on, -np.linalg.solve(state[r][2], state[r][1][..., None])[..., 0], step[r] / 2)
+    return {r: (best[r], state[r][2], state[r][1]) for r in best}
+
+
+def _sums(z, y, w, each: bool = False) -> list:
+    """(losses, gradients, Hessians) of fits with weights w over rows z with labels y; with ``each`` of a row for each fit."""
+    import numpy as np
+
+    a = (z * w).sum(1) if each else z @ w.T
+    p = 1 / (1 + np.exp(-np.clip(a, -700, 700)))
+    t = y if each else y[:, None]
+    loss, d, q = np.logaddexp(0, a) - t * a, p - t, p * (1 - p)
+    c = z.shape[1]
+    if each:
+        return [loss, d[:, None] * z, q[:, None, None] * z[:, :, None] * z[:, None, :]]
+    h = (z[:, :, None] * z[:, None, :]).reshape(len(z), c * c)
+    return [loss.sum(0), d.T @ z, (q.T @ h).reshape(-1, c, c)]
+
+
+def _held_out(rows: DataFrame, scale: dict, fits: dict) -> DataFrame:
+    """(rank, y, x, hit) of rows: whether the fit of the other rows gives a row its label; null where only that fit itself can tell.
+
+    From the fit of all rows a Newton step d of the others' loss F leads to w. Their Hessian H changes by a factor of exp(t) at most where logits change by t
+    (as the logistic function's second derivative does), so with t the largest change by d, the gradient in w has at most the norm
+    e = exp(t/2) (exp(t) - 1 - t) / t |d|_H in the metric of the Hessian there. With C the largest norm of a row in it and C e < 1, logits at the optimum
+    differ from those at w by s = -log(1 - C e) at most, and a row of norm c by c s / C.
+    """
+    import numpy as np
+
+    plain = {r: (*scale[r], fits[r][0][0], fits[r][1][0], fits[r][2][0]) for r in scale}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r, group in batch.groupby("rank"):
+                m, s, most, n, ones, w, h, g = plain[r]
+                y = group["y"].to_numpy() == 1
+                z = np.column_stack([np.ones(len(y)), (np.stack(group["x"].to_numpy()) - m) / s])
+                _, d0, h0 = _sums(z, y.astype(float), np.repeat(w[None], len(y), 0), each=True)
+                more = np.pad(_penalties(z, n) - 1, ((0, 0), (1, 0)))
+                with np.errstate(all="ignore"):
+                    own = h - h0 + np.eye(len(w)) * more[:, None, :]
+                    sound = (np.linalg.eigvalsh(own)[:, 0] > 1e-9) & (ones - y > 0) & (ones - y < n - 1)
+                    inverse = np.linalg.inv(np.where(sound[:, None, None], own, np.eye(len(w))))
+                    d = -(inverse @ (g - d0 + more * w)[..., None])[..., 0]
+                    t = np.maximum(np.abs(d) @ most, 1e-12)
+                    norm = np.sqrt(np.maximum(np.einsum("ki,kij,kj->k", d, own, d), 0))
+                    e = np.exp(t / 2) * (np.expm1(t) - t) / t * norm
+                    wide = np.exp(t / 2) * np.sqrt(np.einsum("i,kij,j->k", most, np.abs(inverse), most))
+                    mine = np.exp(t / 2) * np.sqrt(np.einsum("ki,kij,kj->k", z, inverse, z))
+                    off = -np.log1p(-wide * e) * mine / wide + 1e-7
+                    logit = (z * (w + d)).sum(1)
+                    sure = sound & (wide * e < 1) & (np.abs(logit) > off)
+                yield pd.DataFrame({"rank": r, "y": group["y"].to_numpy(), "x": group["x"].to_numpy(), "hit": pd.array(np.where(sure, (logit >= 0) == y, None), "boolean")})
+
+    return rows.mapInPandas(run, "rank int, y double, x array<double>, hit boolean")
 
 
 def best_feature_set(scores: DataFrame) -> DataFrame:

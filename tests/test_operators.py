@@ -281,3 +281,55 @@ def test_an_upsert_rewrites_only_buckets_that_change(spark, tmp_path):
         registry._publish(2, {})
     assert {r.label: (r.confidence, r.note) for r in registry.read().collect()} == want
     assert registry.upsert(new.limit(0).drop("seen"), ["label", "confidence"]) == set() and registry.manifest()[0] == 2
+
+
+def _left_out(x, y):
+    """Hits of plain leave-one-out: a fit over all others of each row."""
+    import numpy as np
+
+    hits = 0
+    for k in range(len(y)):
+        rest = np.arange(len(y)) != k
+        m, s = x[rest].mean(0), x[rest].std(0)
+        s[s == 0] = 1.0
+        z = np.column_stack([np.ones(rest.sum()), (x[rest] - m) / s])
+        w, ridge = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * (z.shape[1] - 1))
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - y[rest]) + ridge @ w)
+        hits += int((np.append(1.0, (x[k] - m) / s) @ w >= 0) == (y[k] == 1))
+    return hits
+
+
+def test_leave_one_out_equals_a_fit_for_each_row(spark):
+    import numpy as np
+
+    from fieldloom.operators import scoring as C
+
+    rng = np.random.default_rng(5)
+    for n, noise in ((60, 2.0), (300, 6.0)):
+        x = np.round(rng.normal(size=(n, 3)) * [1, 10, 0.1] + [0, 100, 3], 2)
+        y = (x[:, 0] + rng.normal(size=n) * noise > 0.2).astype(float)
+        x[:, 2] = 3.0
+        x[0, 2] = 3.5 if n == 60 else 3.0  # of the others' values all are equal
+        x[1:4, 0] = x[1, 0]
+        table = [(k, float(y[k]), *map(float, x[k]), None if k % 4 == 0 else 1.0) for k in range(n)]
+        rows = spark.createDataFrame(table, "key long, y double, a double, b double, c double, d double")
+        sets = [["a"], ["a", "b"], ["b", "c"], ["d"], ["c"]]
+        found = {r["rank"]: r for r in C.leave_one_out(rows, sets, "y", "key").collect()}
+        assert sorted(found) == [0, 1, 2, 4]
+        for r in found:
+            at = ["abc".index(c) for c in sets[r]]
+            assert (found[r]["n_rows"], round(found[r]["accuracy"] * n)) == (n, _left_out(x[:, at], y)), (n, r)
+    one = spark.createDataFrame([(k, 1.0 if k else 0.0, float(k)) for k in range(5)], "key long, y double, a double")
+    assert C.leave_one_out(one, [["a"]], "y", "key").first()["accuracy"] == 0.8
+    assert C.leave_one_out(one.where("key > 0"), [["a"]], "y", "key").first()["accuracy"] == 1.0
+    assert C.leave_one_out(one.where("key = 0"), [["a"]], "y", "key").isEmpty()
+
+
+def test_leave_one_out_takes_tables_of_any_size(spark):
+    from fieldloom.operators import scoring as C
+
+    rows = spark.range(6_000).selectExpr("id", "cast(id % 997 * 7 % 100 + id % 3 * 30 > 80 as double) as y", "cast(id % 997 * 7 % 100 as double) as a")
+    found = C.leave_one_out(rows, [["a"]], "y", "id").first()
+    assert found["n_rows"] == 6_000 and found["accuracy"] > found["majority"]
