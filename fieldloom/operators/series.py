@@ -11,6 +11,7 @@ from fieldloom.functions import spectral as X
 from fieldloom.functions.mathx import round_to, round_up
 from fieldloom.functions.text import age_days, growth_stage
 from fieldloom.operators import spatial as S
+from fieldloom.sources.shared import written
 
 
 def month_windows(spark: SparkSession, as_of: str, months: int, span: int = 1) -> DataFrame:
@@ -50,11 +51,21 @@ def images_over(images: DataFrame, regions: DataFrame, start: str, end: str, max
     """(image_id, region_id) of the images (image_id, footprint, ts, ...) chosen as by ``scenes_of`` whose footprint has a point in common with a region (region_id, ring).
 
     Images are chosen before the join, where filters reach the scan; footprints and regions, rings or shapes, then meet by cell of their bounding
-    boxes, and edges are looked at where boxes meet.
+    boxes. Where boxes meet, a convex footprint of four points and a rectangle are compared by their sides; of other shapes edges are looked at.
     """
     chosen = scenes_of(images, start, end, max_cloud, mode).select("image_id", F.col("footprint").alias("ring"))
-    pairs = S.overlapping(regions.select("region_id", "ring"), chosen, "region_id", "image_id")
-    return pairs.where(P.intersects(S.shape_of(pairs, "ring"), S.shape_of(pairs, "r_ring"))).select(F.col("r_image_id").alias("image_id"), "region_id")
+    shape, footprint = S.shape_of(regions, "ring"), S.shape_of(chosen, "ring")
+    a = written(regions.select("region_id", "ring", P.bounds(shape).alias("_box"), P.upright(shape).alias("_plain")))
+    b = written(chosen.select("image_id", F.col("ring").alias("r_ring"), P.bounds(footprint).alias("_r_box"), P.quad_edges(footprint).alias("_quad")))
+    plain, quad = a.where("_plain").select("region_id", "_box"), b.where("_quad is not null").select("image_id", "_r_box", "_quad")
+    # No array and no function over arrays in this join, which most pairs come from.
+    out = S.box_pairs(plain, quad, "_box", "_r_box", salts=8).where(P.quad_meets_box(F.col("_quad"), F.col("_r_box"), F.col("_box"))).select("image_id", "region_id")
+    odd = b.where("_quad is null")
+    for left, right in ((a.where("_plain"), odd), (a.where("not _plain"), b)):
+        if not left.isEmpty() and not right.isEmpty():
+            pairs = S.box_pairs(left, right, "_box", "_r_box")
+            out = out.unionByName(pairs.where(P.intersects(S.shape_of(pairs, "ring"), S.shape_of(pairs, "r_ring"))).select("image_id", "region_id"))
+    return out
 
 
 def pixels_over(pixels: DataFrame, pairs: DataFrame, regions: DataFrame, size: float | None = None) -> DataFrame:

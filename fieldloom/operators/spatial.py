@@ -53,22 +53,33 @@ def _at_levels(df: DataFrame, box: str, levels: Column) -> DataFrame:
     return rows.withColumn("_cell", F.struct(F.col("_level").alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).drop("_level", "_cx", "_cy")
 
 
-def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str, salts: int = 1) -> DataFrame:
     """Pairs of rows whose boxes (x0, y0, x1, y1) meet, once each. Both sides should be tables, as they are read several times; their columns' names differ.
 
     A quadtree instead of a grid: a box lies in at most four cells of its own level, whatever its size, and looks for larger boxes
     of the other side in the cells of those of its coarser levels that the other side has. So a row makes four rows a level at most, there is no cell
     size to choose, and small boxes never meet each other in a coarse cell. A pair is reported by the cell that holds the lower left
-    corner of the boxes' intersection at the coarser of both levels.
+    corner of the boxes' intersection at the coarser of both levels. Where few cells hold most pairs, ``salts`` deals the left side's rows of a cell
+    out over so many tasks, each of which gets the cell's rows of the right side.
     """
     levels = lambda df, box: sorted(r["l"] for r in df.select(level_of(F.col(box)).alias("l")).distinct().collect())  # noqa: E731  a few numbers
     own = lambda box: F.array(level_of(F.col(box)))
     coarser = lambda box, others: F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > level_of(F.col(box)))
     of_left, of_right = levels(left, left_box), levels(right, right_box)
-    same_or_finer = _at_levels(left, left_box, own(left_box)).join(_at_levels(right, right_box, F.concat(own(right_box), coarser(right_box, of_left))), "_cell")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        if salts == 1:
+            return a.join(b, "_cell")
+        # Small in bytes but not in pairs: a fixed number of partitions, which adaptive execution doesn't put together.
+        n = 4 * left.sparkSession.sparkContext.defaultParallelism
+        a = a.withColumn("_salt", F.pmod(F.xxhash64(left_box), F.lit(salts))).repartition(n, "_cell", "_salt")
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(n, "_cell", "_salt")
+        return a.join(b, ["_cell", "_salt"]).drop("_salt")
+
+    same_or_finer = met(_at_levels(left, left_box, own(left_box)), _at_levels(right, right_box, F.concat(own(right_box), coarser(right_box, of_left))))
     both = same_or_finer
     if any(k < m for k in of_left for m in of_right):
-        both = both.unionByName(_at_levels(left, left_box, coarser(left_box, of_right)).join(_at_levels(right, right_box, own(right_box)), "_cell"))
+        both = both.unionByName(met(_at_levels(left, left_box, coarser(left_box, of_right)), _at_levels(right, right_box, own(right_box))))
     a, b = F.col(left_box), F.col(right_box)
     side = _side(F.col("_cell.level"))
     corner = (F.col("_cell.cx") == F.floor(F.greatest(a["x0"], b["x0"]) / side)) & (F.col("_cell.cy") == F.floor(F.greatest(a["y0"], b["y0"]) / side))

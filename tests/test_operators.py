@@ -333,3 +333,27 @@ def test_leave_one_out_takes_tables_of_any_size(spark):
     rows = spark.range(6_000).selectExpr("id", "cast(id % 997 * 7 % 100 + id % 3 * 30 > 80 as double) as y", "cast(id % 997 * 7 % 100 as double) as a")
     found = C.leave_one_out(rows, [["a"]], "y", "id").first()
     assert found["n_rows"] == 6_000 and found["accuracy"] > found["majority"]
+
+
+def test_images_meet_regions_by_sides_as_by_edges(spark):
+    import random
+
+    from fieldloom.functions import geometry as G
+    from fieldloom.functions import polygons as P
+    from fieldloom.operators import series as E
+
+    rnd = random.Random(3)
+    rhombus = lambda y, x, a, b: [(y - a, x), (y, x + b), (y + a, x), (y, x - b)]
+    points = lambda p: [{"lat": y, "lng": x} for y, x in p]
+    shapes = [rhombus(rnd.uniform(0, 0.02), rnd.uniform(0, 0.02), rnd.uniform(0.001, 0.004), rnd.uniform(0.001, 0.004)) for _ in range(60)]
+    shapes += [s[::-1] for s in shapes[:20]] + [s[:3] for s in shapes[:20]] + [rhombus(0.5, 0.5, 0.25, 0.25)]
+    images = spark.createDataFrame([(k, points(s), "2025-01-02", 5) for k, s in enumerate(shapes)], f"image_id long, footprint {G.RING}, ts string, cloud_pct int")
+    boxes = [(rnd.uniform(0, 0.02), rnd.uniform(0, 0.02), rnd.uniform(0.0002, 0.003), rnd.uniform(0.0002, 0.003)) for _ in range(60)] + [(0.625, 0.625, 0.0, 0.0), (0.875, 0.5, 0.125, 0.125)]  # the last touch
+    regions = spark.createDataFrame([(k, *b) for k, b in enumerate(boxes)], "region_id long, y double, x double, h double, w double").select("region_id", G.rectangle("y", "x", "h", "w").alias("ring"))
+    both = regions.crossJoin(images).where(P.intersects(P.of_ring(F.col("ring")), P.of_ring(F.col("footprint"))))
+    right = {tuple(r) for r in both.select("image_id", "region_id").collect()}
+    found = [tuple(r) for r in E.images_over(images, regions, "2025-01-01", "2025-02-01", 30).collect()]
+    assert len(found) == len(set(found)) and set(found) == right and {(100, 60), (100, 61)} <= right
+    # Rectangles and convex quadrilaterals meet without a walk along their edges.
+    only = E.images_over(images.where("image_id < 80 or image_id = 100"), regions, "2025-01-01", "2025-02-01", 30)
+    assert "exists(" not in only._jdf.queryExecution().optimizedPlan().toString()
