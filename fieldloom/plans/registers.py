@@ -13,7 +13,7 @@ from fieldloom.operators import registry as R
 from fieldloom.plans.geo import LAT, LNG, r
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import new_folder
+from fieldloom.sources.shared import new_folder, spread
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,7 @@ from ranked left join res using (candidate_id)
 
 def geojson_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Features and bare geometries as texts, parsed back to rings."""
-    p = with_ring(table(spark, d, "traced"))
+    p = with_ring(spread(table(spark, d, "traced")))
     coords = F.to_json(F.array(G.close(F.col("ring"))))
     bare = F.concat(F.lit('{"type":"Polygon","coordinates":'), coords, F.lit("}"))
     text = F.when(F.col("traced_id") % 4 == 0, bare).when(F.col("traced_id") % 4 == 1, F.concat(F.lit('{"type":"Feature","geometry":'), bare, F.lit("}"))).when(F.col("traced_id") % 4 == 2, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), coords, F.lit("]}"))).otherwise('{"type":"Point","coordinates":[1,2]}')
