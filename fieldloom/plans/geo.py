@@ -12,7 +12,7 @@ from fieldloom.operators import registry as R
 from fieldloom.operators import spatial as S
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import written
+from fieldloom.sources.shared import spread, written
 
 LAT, LNG = -19.85, 47.03
 
@@ -208,7 +208,7 @@ select parcel_id, traced_id, {r('w*h*1e6', 6)} as shared from o where w*h > 1e-1
 
 
 def geo_plausible(spark: SparkSession, d: str) -> DataFrame:
-    p = R.plausible_field(with_ring(table(spark, d, "parcels")))
+    p = R.plausible_field(with_ring(spread(table(spark, d, "parcels"))))
     return p.select("parcel_id", M.round_up(F.col("compactness"), 6).alias("compactness"), M.round_up(F.col("hull_ratio"), 6).alias("hull_ratio"), M.round_up(F.col("aspect"), 6).alias("aspect"), "plausible")
 
 
@@ -310,7 +310,7 @@ select parcel_id, {r('length_m', 3)} as length_m, {r('outer_m', 3)} as outer_m,
 
 def geo_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Parcels traced as bow-ties, with a part that overlaps them, or with a hole that reaches outside, repaired: what they cover stays."""
-    p = table(spark, d, "parcels").repartition(spark.sparkContext.defaultParallelism)  # a small file's rows, but much work each
+    p = spread(table(spark, d, "parcels"))
     lat, lng, a, b = (F.col(c) for c in ("center_lat", "center_lng", "half_lat", "half_lng"))
     x = G.rectangle(lat, lng, a, b)
     bow = F.array(F.get(x, 0), F.get(x, 2), F.get(x, 1), F.get(x, 3))
