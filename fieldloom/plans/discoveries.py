@@ -11,7 +11,7 @@ from fieldloom.operators import registry as R
 from fieldloom.operators import series as E
 from fieldloom.plans.geo import LAT, LNG, r
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import written
+from fieldloom.sources.shared import spread, written
 
 
 def parcels_in_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,7 @@ select parcel_id, {r('a', 1)} as area_m2, {r('d', 2)} as distance_m from q where
 
 
 def parcels_to_classify(spark: SparkSession, d: str) -> DataFrame:
-    p = with_ring(table(spark, d, "traced")).select(F.col("traced_id").alias("parcel_id"), "ring")
+    p = with_ring(spread(table(spark, d, "traced"))).select(F.col("traced_id").alias("parcel_id"), "ring")
     return D.to_classify(p, LAT, LNG, 4000.0, 1.0).select("parcel_id", round_up(F.col("area_m2"), 1).alias("area_m2"), round_up(F.col("distance_m"), 2).alias("distance_m"))
 
 
