@@ -139,7 +139,7 @@ def traced_in_circle(parcels: DataFrame, lat: float, lng: float, radius_m: float
 def traced_in_circles(parcels: DataFrame, circles: DataFrame, min_confidence: float = 0.0, min_area_ha: float = 0.0, limit: int = K.MAX_FEATURES) -> DataFrame:
     """The same for a table of circles (query_id, lat, lng, radius_m): the nearest of each, at most ``limit``, with query_id and rank.
 
-    Box centres and circles meet by the cells of a quadtree.
+    Box centres and circles meet by the cells of a quadtree; circles are first narrowed to what holds ``limit`` centres (``_narrowed``).
     """
     q = circles.select("query_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.least(F.col("radius_m").cast("double"), F.lit(K.MAX_RADIUS_M)).alias("_r"))
     q = written(q.withColumn("_circle", S.circle_box("_lat", "_lng", "_r")))
@@ -148,12 +148,35 @@ def traced_in_circles(parcels: DataFrame, circles: DataFrame, min_confidence: fl
     if min_area_ha:
         parcels = parcels.where(F.col("area_ha") >= float(min_area_ha))
     x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    spots = written(parcels.select("ftw_id", "confidence", "area_ha", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")).alias("_spot")))
+    spots = parcels.select("ftw_id", "confidence", "area_ha", F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1")).alias("_spot"))
+    spots = written(spots.withColumn("_n", F.row_number().over(W.partitionBy("_spot").orderBy("ftw_id"))).where(F.col("_n") <= limit).drop("_n"))  # of centres in one place the first are nearest
+    q = written(_narrowed(q, spots, limit))
     near = S.box_pairs(spots, q, "_spot", "_circle").withColumn("_d", haversine_m("_lng", "_lat", F.col("_spot.x0"), F.col("_spot.y0"))).where(F.col("_d") <= F.col("_r"))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_d", "ftw_id"))).where(F.col("rank") <= limit)
     return ranked.select("query_id", "ftw_id", round_up(F.col("confidence"), 1).alias("confidence"), round_up(F.col("area_ha"), 4).alias("area_ha"), F.col("_d").cast("int").alias("distance_m"), "rank")
 
 
+#: Cells that circles are narrowed by: the finest are so many degrees wide, each level's twice as wide.
+_FINE, _STEPS = S.FINEST / 32, 14
+
+
+def _narrowed(q: DataFrame, spots: DataFrame, limit: int) -> DataFrame:
+    """Circles (_lat, _lng, _r, _circle) with a radius within which at least ``limit`` spots lie, where that is less: what the smallest cell around its centre with so many spots is across.
+
+    Thus a circle meets some multiple of ``limit`` spots, however many there are in all of it. Spots are counted by cell, circles find counts by an equi-join.
+    """
+    at = lambda v: F.floor(v / _FINE)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(_STEPS - 1))).alias("_k")
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("_k")).alias(c)
+    fine = spots.groupBy(at(F.col("_spot.x0")).alias("_cx"), at(F.col("_spot.y0")).alias("_cy")).agg(F.count(F.lit(1)).alias("n"))
+    full = fine.select("_cx", "_cy", "n", steps).select("_k", up("_cx"), up("_cy"), "n").groupBy("_k", "_cx", "_cy").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).drop("n")
+    places = q.select("_lat", "_lng").distinct()
+    held = places.select("_lat", "_lng", at(F.col("_lng")).alias("_cx"), at(F.col("_lat")).alias("_cy"), steps).select("_lat", "_lng", "_k", up("_cx"), up("_cy"))
+    best = held.join(full, ["_k", "_cx", "_cy"]).groupBy("_lat", "_lng").agg(F.min("_k").alias("_k"))
+    across = F.radians(F.pow(F.lit(2.0), F.col("_k")) * _FINE) * (2**0.5 * 1.001 * K.EARTH_RADIUS_M)
+    return q.join(best, ["_lat", "_lng"], "left").withColumn("_r", F.least("_r", across)).withColumn("_circle", S.circle_box("_lat", "_lng", "_r")).drop("_k")
+
+
 def size_histogram(features: DataFrame) -> DataFrame:
     """Parcels of each size class, empty classes too, with the totals."""
     counts = [F.count_if((F.col("area_ha") >= low) & (F.col("area_ha") < high)).alias(f"c{k}") for k, (_, low, high) in enumerate(K.SIZE_CLASSES)]

@@ -18,7 +18,7 @@ from fieldloom.plans.registers import REGISTRY, _registry, _requests
 from fieldloom.plans.zone import RADIUS, ZONE_TRACED
 from fieldloom.sources import files
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import new_folder, written
+from fieldloom.sources.shared import new_folder, spread, written
 from fieldloom.streaming import weather as SW
 
 #: Documents of a written feature collection, at least, and items of one, about.
@@ -35,7 +35,7 @@ def files_traced(spark: SparkSession, d: str) -> DataFrame:
 
 def files_indexed(spark: SparkSession, d: str) -> DataFrame:
     """The nearest five traced parcels of a circle around each supplier, from the files that an index of row-group boxes says may hold some."""
-    t, folder = with_ring(table(spark, d, "traced")), new_folder(spark)
+    t, folder = with_ring(spread(table(spark, d, "traced"))), new_folder(spark)
     area = round_up(G.area_ha(F.col("ring"), F.col("center_lat")), 6)
     files.write_traced(t.select(F.col("traced_id").alias("ftw_id"), "confidence", area.alias("area_ha"), "ring"), folder)
     k = F.col("s_suppkey")
