@@ -75,7 +75,7 @@ def files_shapes(spark: SparkSession, d: str) -> DataFrame:
     shaped = with_holes(spark, d).select("parcel_id", F.col("ring").alias("shape"))
     folder = new_folder(spark)
     shaped.select("parcel_id", P.to_geojson(F.col("shape")).alias("text"), P.to_wkb()(F.col("shape")).alias("wkb")).write.parquet(folder)
-    back = spark.read.parquet(folder)
+    back = spread(spark.read.parquet(folder))
     both = back.select("parcel_id", F.lit("geojson").alias("kind"), P.of_geojson(F.col("text")).alias("shape")).unionByName(back.select("parcel_id", F.lit("wkb").alias("kind"), P.of_wkb()(F.col("wkb")).alias("shape")))
     turns = F.transform(P.rings(F.col("shape")), lambda ring: F.when(G.signed_deg2(ring) > 0, "+").otherwise("-"))
     return both.select("parcel_id", "kind", F.size("shape").cast("long").alias("n_parts"), F.array_join(turns, "").alias("turns"), round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
