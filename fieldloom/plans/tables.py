@@ -86,7 +86,7 @@ FILES_SHAPES = with_("parcels") + f"select parcel_id, kind, cast(2 as bigint) as
 
 def files_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Parcels written as feature collections and read back, the most confident of each id."""
-    p = with_ring(table(spark, d, "parcels"))
+    p = with_ring(spread(table(spark, d, "parcels")))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(G.close(F.col("ring"))).alias("coordinates")).alias("geometry"), F.struct("parcel_id", "crop_pred", "confidence").alias("properties")))
     folder = new_folder(spark)
     _documents(p.withColumn("f", feature), "f", "parcel_id", '{"type":"FeatureCollection","features":[', "]}", folder)

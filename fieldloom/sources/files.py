@@ -24,9 +24,10 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     with the order of their names, so that the first of equal ids is the same each time. A file is one document, read by one task.
     """
     schema = f"features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{', '.join(p.strip().replace(' ', ':', 1) for p in properties.split(','))}>>>"
-    whole = spark.read.schema(schema).json(path, multiLine=True)
-    files = whole.select(F.col("_metadata.file_path").alias("path"), "features")
-    names = files.select("path").distinct().select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("file"))  # one row a file
+    # Documents as texts: the JSON source goes back over a document for each text in it, and to number the files it would parse them.
+    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = documents.select("path", F.from_json(F.regexp_replace("value", "^\ufeff", ""), schema)["features"].alias("features"))
+    names = documents.select("path").distinct().select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("file"))  # one row a file
     rows = files.join(F.broadcast(names), "path").select("file", F.posexplode("features").alias("pos", "f")).withColumn("ord", F.col("file") * (1 << 32) + F.col("pos"))
     geometry = F.to_json(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates")))
     raw = F.concat(F.lit('{"type":"'), F.col("f.geometry.type"), F.lit('","coordinates":'), F.col("f.geometry.coordinates"), F.lit("}"))
