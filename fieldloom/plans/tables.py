@@ -55,9 +55,9 @@ select query_id, ftw_id, {r('confidence', 1)} as confidence, {r('area', 4)} as a
 def files_traced_rings(spark: SparkSession, d: str) -> DataFrame:
     """Geometries that went to WKB and back."""
     folder = new_folder(spark)
-    t = with_ring(table(spark, d, "traced"))
+    t = with_ring(spread(table(spark, d, "traced")))
     files.write_traced(t.select(F.col("traced_id").alias("ftw_id"), "confidence", F.lit(0.0).alias("area_ha"), "ring"), folder)
-    shape = files.read_traced(spark, folder).select("ftw_id", P.of_wkb()(F.col("geometry")).alias("shape"))
+    shape = spread(files.read_traced(spark, folder).select("ftw_id", "geometry")).select("ftw_id", P.of_wkb()(F.col("geometry")).alias("shape"))
     return shape.select("ftw_id", F.size(P.points(F.col("shape"))).cast("long").alias("n_points"), round_up(P.area_deg2(F.col("shape")) * 1e6, 6).alias("area"))
 
 
