@@ -357,3 +357,32 @@ def test_images_meet_regions_by_sides_as_by_edges(spark):
     # Rectangles and convex quadrilaterals meet without a walk along their edges.
     only = E.images_over(images.where("image_id < 80 or image_id = 100"), regions, "2025-01-01", "2025-02-01", 30)
     assert "exists(" not in only._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_circles_are_narrowed_to_what_holds_their_nearest(spark):
+    from fieldloom.operators import zones as Z
+
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.uniform(0, 0.05, (3_000, 2)), np.full((300, 2), 0.02), rng.uniform(0.3, 0.5, (20, 2))])
+    parcels = spark.createDataFrame([(k, 50.0, 1.0, float(x), float(y), float(x), float(y)) for k, (x, y) in enumerate(at)], "ftw_id long, confidence double, area_ha double, xmin double, ymin double, xmax double, ymax double")
+    spots = np.concatenate([rng.uniform(-0.002, 0.052, (40, 2)), [[0.02, 0.02], [0.4, 0.4], [2.0, 2.0]]])
+    circles = spark.createDataFrame([(k, float(y), float(x), 3_000.0 + k) for k, (x, y) in enumerate(spots)], "query_id long, lat double, lng double, radius_m double")
+    found = {(r["query_id"], r["rank"]): r["ftw_id"] for r in Z.traced_in_circles(parcels, circles, limit=5).collect()}
+    rad = np.radians
+    for k, (x, y) in enumerate(spots):
+        h = np.sin(rad(at[:, 1] - y) / 2) ** 2 + np.cos(rad(y)) * np.cos(rad(at[:, 1])) * np.sin(rad(at[:, 0] - x) / 2) ** 2
+        km = 2 * 6_371_000 * np.arcsin(np.sqrt(h))
+        right = [i for i in np.lexsort((np.arange(len(at)), km)) if km[i] <= 3_000 + k][:5]
+        assert [found.get((k, n + 1)) for n in range(len(right))] == right and (k, len(right) + 1) not in found
+    q = circles.selectExpr("query_id", "lat as _lat", "lng as _lng", "radius_m as _r").withColumn("_circle", S.circle_box("_lat", "_lng", "_r"))
+    placed = parcels.selectExpr("ftw_id", "struct(xmin as x0, ymin as y0, xmax as x1, ymax as y1) as _spot")
+    narrow = {r["query_id"]: r["_r"] for r in Z._narrowed(q, placed, 5).collect()}
+    assert len(narrow) == 43 and narrow[42] == 3_042 and np.median(list(narrow.values())) < 1_500
+
+
+def test_small_files_are_worked_on_by_all_cores(spark):
+    from fieldloom.plans import geo, registers, tables
+
+    d = "/root/testdata/sf0.001"
+    for plan in (geo.geo_plausible, geo.geo_repaired, registers.geojson_parsed, tables.rings_simplified, tables.files_shapes, tables.files_traced_rings):
+        assert plan(spark, d).rdd.getNumPartitions() >= 4, plan.__name__
