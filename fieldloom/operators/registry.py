@@ -289,9 +289,9 @@ def coverage(candidates: DataFrame, lat: float, lng: float, radius_km: float) ->
     return part.agg((F.coalesce(area, F.lit(0.0)) / (math.pi * (radius_km * 1000) ** 2)).alias("coverage"))
 
 
-def coverages(candidates: DataFrame) -> DataFrame:
-    """(query_id, coverage) of candidates with their query's circle (query_id, lat, lng, radius_km): the share that they cover, overlaps counted each time."""
-    part = candidates.withColumn("_clip", G.clip_to_circle("lat", "lng", "radius_km")(F.col("ring")))
+def coverages(candidates: DataFrame, clipped: str | None = None) -> DataFrame:
+    """(query_id, coverage) of candidates with their query's circle (query_id, lat, lng, radius_km): the share that they cover, overlaps counted each time. ``clipped``: a column with their parts in the circle, if there is one."""
+    part = candidates.withColumn("_clip", F.col(clipped) if clipped else G.clip_to_circle("lat", "lng", "radius_km")(F.col("ring")))
     area = F.when(F.size("_clip") >= 3, G.area_m2(F.col("_clip")))
     return part.groupBy("query_id").agg((F.coalesce(F.sum(area), F.lit(0.0)) / (math.pi * F.pow(F.any_value("radius_km") * 1000, F.lit(2)))).alias("coverage"))
 

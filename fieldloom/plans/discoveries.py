@@ -11,7 +11,7 @@ from fieldloom.operators import registry as R
 from fieldloom.operators import series as E
 from fieldloom.plans.geo import LAT, LNG, r
 from fieldloom.sources.fixtures import table, with_, with_ring
-from fieldloom.sources.shared import spread, written
+from fieldloom.sources.shared import spread
 
 
 def parcels_in_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +53,7 @@ def candidates_discovered(spark: SparkSession, d: str) -> DataFrame:
     database = D.as_candidates(with_ring(table(spark, d, "parcels")), "database", F.concat(F.lit("db-"), F.col("parcel_id").cast("string")))
     traced = D.as_candidates(with_ring(table(spark, d, "traced")), "osm", F.concat(F.lit("osm-"), F.col("traced_id").cast("string")))
     segments = D.as_candidates(with_ring(table(spark, d, "parcels").withColumn("center_lat", shifted)), "segment", F.concat(F.lit("seg-"), F.col("parcel_id").cast("string")))
-    requests = written(_requests(spark, d))
-    of_request = D.meeting(segments, requests).select("query_id", *D.COLUMNS)
-    found = D.discover(requests, [traced, database], of_request)
+    found = D.once_a_circle(_requests(spark, d), lambda circles: D.discover(circles, [traced, database], lambda short: D.meeting(segments, short)))
     return found.select("query_id", "candidate_id", "source", F.size("ring").cast("long").alias("n_points"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -386,3 +386,55 @@ def test_small_files_are_worked_on_by_all_cores(spark):
     d = "/root/testdata/sf0.001"
     for plan in (geo.geo_plausible, geo.geo_repaired, registers.geojson_parsed, tables.rings_simplified, tables.files_shapes, tables.files_traced_rings):
         assert plan(spark, d).rdd.getNumPartitions() >= 4, plan.__name__
+
+
+def _candidates(spark, spots, source):
+    """Squares of about 40 m around spots (lat, lng)."""
+    from fieldloom.operators import discovery as D
+
+    df = spark.createDataFrame([(f"{source}-{k}", float(y), float(x)) for k, (y, x) in enumerate(spots)], "name string, y double, x double")
+    return D.as_candidates(df.withColumn("ring", G.rectangle("y", "x", F.lit(0.0002), F.lit(0.0002))), source, F.col("name"))
+
+
+def test_requests_with_one_circle_are_discovered_once(spark, tmp_path, monkeypatch):
+    from fieldloom.operators import discovery as D
+    from fieldloom.plans import discoveries as Q
+
+    for name in ("customer", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(1, 303).where("id % 100 < 3").select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    asked, plain = [], D.discover
+    monkeypatch.setattr(D, "discover", lambda requests, *a: asked.append(requests.count()) or plain(requests, *a))
+    rows = {(r["query_id"], r["rank"]): (r["candidate_id"], r["source"], r["n_points"]) for r in Q.candidates_discovered(spark, str(tmp_path)).collect()}
+    assert asked == [3]
+    ids = {q for q, _ in rows}
+    assert ids == {1, 2, 100, 101, 102, 200, 201, 202, 300, 301, 302}
+    for q, rank in rows:
+        assert rows[q, rank] == rows[q % 100 + 100, rank] and (q % 100 + 100, rank) in rows
+    assert sum(q % 100 == 1 for q, _ in rows) == 4 * sum(q == 101 for q, _ in rows)
+
+
+def test_full_requests_ask_no_later_sources(spark):
+    from fieldloom.operators import discovery as D
+
+    rng = np.random.default_rng(7)
+    first = _candidates(spark, np.concatenate([rng.uniform(-0.003, 0.003, (120, 2)), rng.uniform(0.297, 0.303, (12, 2))]), "first")
+    spots = np.concatenate([rng.uniform(-0.003, 0.003, (60, 2)), rng.uniform(0.297, 0.303, (12, 2))])
+    second, aside = _candidates(spark, spots, "second"), _candidates(spark, spots + 0.0001, "aside")
+    requests = spark.createDataFrame([(1, 0.0, 0.0, 0.4), (2, 0.3, 0.3, 0.4), (3, 0.8, 0.8, 0.4)], "query_id long, lat double, lng double, radius_km double")
+    asked = []
+
+    def segments(short):
+        asked.append(sorted(r["query_id"] for r in short.collect()))
+        return D.meeting(aside, short)
+
+    found = D.discover(requests, [first, second], segments)
+    rows = sorted((r["query_id"], r["rank"], r["source_rank"]) for r in found.collect())
+    assert asked == [[2, 3]]
+    assert [r[1:] for r in rows if r[0] == 1] == [(k, 0) for k in range(1, 49)]
+    assert {r[2] for r in rows if r[0] == 2} == {0, 1, 2, 99} and {r[2] for r in rows if r[0] == 3} == {99}
+    # Segments given as a table, and a source that can't be read but isn't needed.
+    again = D.discover(requests, [first, second], segments(requests.select("query_id", "lat", "lng", "radius_km")).select("query_id", *D.COLUMNS))
+    assert sorted((r["query_id"], r["rank"], r["source_rank"]) for r in again.collect()) == rows
+    broken = second.withColumn("candidate_id", F.raise_error(F.lit("read without need")).cast("string"))
+    assert D.discover(requests.where("query_id = 1"), [first, broken]).count() == 48
