@@ -253,6 +253,49 @@ def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rings clipped at once, and the points up to which a ring is clipped with others.
+CLIP_ROWS, CLIP_POINTS = 4_096, 16
+
+
+def clip_each(subjects: list[np.ndarray], windows: np.ndarray) -> list[np.ndarray]:
+    """``clip_convex`` of each ring with its own window (all of as many points), with the same numbers: small rings side by side in padded arrays, half-plane by half-plane."""
+    out = [s if len(s) <= CLIP_POINTS else clip_convex(s, w) for s, w in zip(subjects, windows, strict=True)]
+    small = np.flatnonzero([0 < len(s) <= CLIP_POINTS for s in subjects])
+    for at in range(0, len(small), CLIP_ROWS):
+        rows = small[at : at + CLIP_ROWS]
+        n = np.array([len(subjects[r]) for r in rows])
+        points = np.zeros((len(rows), n.max(), 2))
+        points[np.arange(n.max()) < n[:, None]] = np.concatenate([subjects[r] for r in rows])
+        window = windows[rows]
+        step = np.roll(window, -1, 1) - window
+        real = np.arange(n.max()) < n[:, None]
+        off = step[:, :, :1] * (points[:, None, :, 1] - window[:, :, 1:]) - step[:, :, 1:] * (points[:, None, :, 0] - window[:, :, :1]) < 0
+        n[(off | ~real[:, None]).all(2).any(1)] = 0
+        cut = (off & real[:, None]).any(2)
+        for k in range(window.shape[1]):
+            rs = np.flatnonzero(cut[:, k] & (n > 0))
+            if not len(rs):
+                continue
+            p, a, d = points[rs], window[rs, k], step[rs, k]
+            place = np.arange(p.shape[1])
+            real, before = place < n[rs, None], np.where(place > 0, place - 1, n[rs, None] - 1)
+            s = d[:, :1] * (p[:, :, 1] - a[:, 1:]) - d[:, 1:] * (p[:, :, 0] - a[:, :1])
+            q, r = np.take_along_axis(p, before[:, :, None], 1), np.take_along_axis(s, before, 1)
+            crosses = ((s >= 0) != (r >= 0)) & real
+            met = q + (p - q) * np.divide(r, r - s, out=np.zeros_like(s), where=crosses)[:, :, None]
+            both = np.stack([met, p], 2).reshape(len(rs), -1, 2)
+            stays = np.stack([crosses, (s >= 0) & real], 2).reshape(len(rs), -1)
+            n[rs] = stays.sum(1)
+            most = int(n[rs].max())
+            first = np.argsort(~stays, 1, kind="stable")[:, :most]
+            if most > points.shape[1]:
+                points = np.pad(points, ((0, 0), (0, most - points.shape[1]), (0, 0)))
+            points[rs, :most] = np.take_along_axis(both, first[:, :, None], 1)
+        for r, p, m in zip(rows, points, n, strict=True):
+            out[r] = p[:m]
+    return out
+
+
 def clip_to_circle(lat, lng, radius_km):
     """A ring's part inside a circle of 48 vertices (of constants or of each row's columns), as a ring, by an Arrow UDF; empty if there is none."""
     angle = np.arange(48) / 48 * 2 * math.pi
@@ -260,14 +303,16 @@ def clip_to_circle(lat, lng, radius_km):
 
     @F.pandas_udf("x array<double>, y array<double>")
     def run(xs: pd.Series, ys: pd.Series, lats: pd.Series, lngs: pd.Series, radii: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, y, x, radius in zip(map(_joined, xs, ys), lats, lngs, radii, strict=True):
+        rings, frames = [], []
+        for p, y, x in zip(map(_joined, xs, ys), lats, lngs, strict=True):
             if len(p) > 1 and (p[0] == p[-1]).all():
                 p = p[:-1]
             scale, origin = np.array([K.M_PER_DEG * max(abs(math.cos(math.radians(y))), 0.1), 110_574.0]), np.array([x, y])
-            inside = clip_convex((p - origin) * scale, unit * radius * 1000) / scale + origin
-            out.append((inside[:, 0], inside[:, 1]))
-        return pd.DataFrame({"x": [o[0] for o in out], "y": [o[1] for o in out]})
+            rings.append((p - origin) * scale)
+            frames.append((scale, origin))
+        clipped = clip_each(rings, unit * radii.to_numpy(float)[:, None, None] * 1000)
+        out = [c / scale + origin for c, (scale, origin) in zip(clipped, frames, strict=True)]
+        return pd.DataFrame({"x": [o[:, 0] for o in out], "y": [o[:, 1] for o in out]})
 
     once = run.asNondeterministic()  # or else filters on the result would run it again
     return lambda ring: bind(once(*_axes(ring), col(lat), col(lng), col(radius_km)), lambda c: F.zip_with(c["x"], c["y"], lambda x, y: point(y, x)))

@@ -50,9 +50,10 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 def candidates_discovered(spark: SparkSession, d: str) -> DataFrame:
     """The cascade for a table of requests: registered and traced parcels, where they cover too little the segments of the request (parcels a little aside), search cells."""
     shifted = F.col("center_lat") + F.when(F.col("parcel_id") % 2 == 0, 0.00002).otherwise(0.001)  # two metres: near duplicates
-    database = D.as_candidates(with_ring(table(spark, d, "parcels")), "database", F.concat(F.lit("db-"), F.col("parcel_id").cast("string")))
-    traced = D.as_candidates(with_ring(table(spark, d, "traced")), "osm", F.concat(F.lit("osm-"), F.col("traced_id").cast("string")))
-    segments = D.as_candidates(with_ring(table(spark, d, "parcels").withColumn("center_lat", shifted)), "segment", F.concat(F.lit("seg-"), F.col("parcel_id").cast("string")))
+    parcels = spread(table(spark, d, "parcels"))
+    database = D.as_candidates(with_ring(parcels), "database", F.concat(F.lit("db-"), F.col("parcel_id").cast("string")))
+    traced = D.as_candidates(with_ring(spread(table(spark, d, "traced"))), "osm", F.concat(F.lit("osm-"), F.col("traced_id").cast("string")))
+    segments = D.as_candidates(with_ring(parcels.withColumn("center_lat", shifted)), "segment", F.concat(F.lit("seg-"), F.col("parcel_id").cast("string")))
     found = D.once_a_circle(_requests(spark, d), lambda circles: D.discover(circles, [traced, database], lambda short: D.meeting(segments, short)))
     return found.select("query_id", "candidate_id", "source", F.size("ring").cast("long").alias("n_points"), F.col("rank").cast("long").alias("rank"))
 

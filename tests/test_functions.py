@@ -99,3 +99,21 @@ def test_texts(spark):
         season=T.season(F.lit(-1.0), F.lit(3)),
     )
     assert (r.green, r.red, r.blue, r.none, r.joined, r.number, r.season) == (1, 0, None, None, None, None, "Jachère")
+
+
+def test_rings_clipped_side_by_side_equal_those_clipped_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    angle = np.arange(48) / 48 * 2 * np.pi
+    unit = np.column_stack([np.cos(angle), np.sin(angle)])
+    rings = [rng.normal(0, 1, (int(n), 2)) * rng.uniform(0.1, 2) + rng.normal(0, 0.8, 2) for n in rng.integers(0, 25, 600)]
+    rings += [np.array([[-2.0, -2], [2, -2], [2, 2], [-2, 2]]), np.array([[1.0, 0], [2, 0], [2, 1]]), np.array([[3.0, 3], [4, 3], [4, 4]]), np.array([[0.0, 0]]), np.zeros((0, 2)), np.array([[np.nan, 0], [0, 1], [2, 0]])]
+    windows = unit * rng.uniform(0.3, 1.5, len(rings))[:, None, None]
+    alone = [G.clip_convex(r, w) for r, w in zip(rings, windows, strict=True)]
+    single = []
+    plain = G.clip_convex
+    monkeypatch.setattr(G, "clip_convex", lambda r, w: single.append(len(r)) or plain(r, w))
+    monkeypatch.setattr(G, "CLIP_ROWS", 100)
+    found = G.clip_each(rings, windows)
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(alone, found, strict=True))
+    assert {len(a) for a in alone} >= {0, 1, 3, 4, 5, 6, 48} and min(single) > G.CLIP_POINTS
+    assert G.clip_each([], np.zeros((0, 48, 2))) == []
