@@ -229,3 +229,26 @@ def test_rectangles_hold_points_by_comparisons(spark):
 
 def test_texts_of_a_small_file_are_parsed_by_all_cores(spark):
     assert len(geo.with_holes(spark, "/root/testdata/sf0.001").inputFiles()) == spark.sparkContext.defaultParallelism
+
+
+def test_containment_goes_by_tile_and_sends_no_side_through_the_driver(spark):
+    points = spark.range(2000).select(F.col("id").alias("p"), (F.col("id") % 41 / 10.0).alias("center_lat"), (F.col("id") % 53 / 13.0).alias("center_lng"))
+    squares = frame(spark, [[[box(k % 4, k // 4, 0.9)]] for k in range(16)])
+    held = S.containing(points, squares)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # one a side, before rows take their cells
+    assert held.count() == points.crossJoin(squares).where(P.contains(F.col("ring"), "center_lat", "center_lng")).count()
+
+
+def test_shapes_along_the_axes_hold_points_as_the_walk_along_their_edges_has_it(spark):
+    holed = [[box(0, 0, 4), box(1, 1, 1), box(2, 2, 1)], [box(5, 1, 1, 2)]]
+    ell = [[[(0, 5), (4, 5), (4, 6), (2, 6), (2, 8), (0, 8)]]]
+    slanted = [[[(5, 5), (8, 5), (8, 8)]]]
+    shapes = frame(spark, [holed, ell, slanted])
+    points = spark.range(19 * 19).select(F.col("id").alias("p"), (F.floor(F.col("id") / 19) / 2.0 - 0.25 * (F.col("id") % 2)).alias("center_lat"), (F.col("id") % 19 / 2.0).alias("center_lng"))
+    want = {(r.p, r.k) for r in points.crossJoin(shapes).where(P.contains(F.col("ring"), "center_lat", "center_lng")).collect()}
+    got = [(r.p, r.k) for r in S.containing(points, shapes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {k for _, k in want} == {0, 1, 2}
+    only = S.containing(points, shapes.where("k < 2")).select("p", "k")
+    assert "ring" not in only._jdf.queryExecution().executedPlan().toString()  # rectangles hold them
