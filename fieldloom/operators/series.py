@@ -59,7 +59,7 @@ def images_over(images: DataFrame, regions: DataFrame, start: str, end: str, max
     b = written(chosen.select("image_id", F.col("ring").alias("r_ring"), P.bounds(footprint).alias("_r_box"), P.quad_edges(footprint).alias("_quad")))
     plain, quad = a.where("_plain").select("region_id", "_box"), b.where("_quad is not null").select("image_id", "_r_box", "_quad")
     # No array and no function over arrays in this join, which most pairs come from.
-    out = S.box_pairs(plain, quad, "_box", "_r_box", salts=8).where(P.quad_meets_box(F.col("_quad"), F.col("_r_box"), F.col("_box"))).select("image_id", "region_id")
+    out = S.box_pairs(plain, quad, "_box", "_r_box", salts=2).where(P.quad_meets_box(F.col("_quad"), F.col("_r_box"), F.col("_box"))).select("image_id", "region_id")
     odd = b.where("_quad is null")
     for left, right in ((a.where("_plain"), odd), (a.where("not _plain"), b)):
         if not left.isEmpty() and not right.isEmpty():

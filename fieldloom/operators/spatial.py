@@ -81,7 +81,7 @@ def _met(big: DataFrame, big_box: str, of_big: dict, small: DataFrame, small_box
     numbers = lambda **of: F.struct(*[(F.lit(v).cast("double") if n in "wh" else F.lit(v).cast("int")).alias(n) for n, v in of.items()])
     all_steps = F.array(*[numbers(k=k, j=j, w=of_small[j][0], h=of_small[j][1], m=per_tile(k, j)) for k, v in steps.items() for j in v])
     reach = F.array(*[numbers(k=k, w=max(of_small[j][0] for j in v), h=max(of_small[j][1] for j in v)) for k, v in steps.items()])
-    rows = sum(of_big[k][2] * (per_tile(k, j) * 0.75 + 1) ** 2 for k, v in steps.items() for j in v)
+    rows = salts * sum(of_big[k][2] * (per_tile(k, j) * 0.75 + 1) ** 2 for k, v in steps.items() for j in v)
     session = big.sparkSession
     n = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")), int(rows / ROWS_A_TASK))
     # Sides that lie by tile aren't shuffled again by tile and cell.

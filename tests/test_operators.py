@@ -438,3 +438,13 @@ def test_full_requests_ask_no_later_sources(spark):
     assert sorted((r["query_id"], r["rank"], r["source_rank"]) for r in again.collect()) == rows
     broken = second.withColumn("candidate_id", F.raise_error(F.lit("read without need")).cast("string"))
     assert D.discover(requests.where("query_id = 1"), [first, broken]).count() == 48
+
+
+def test_pairs_of_images_and_regions_never_go_through_the_driver(spark):
+    at = lambda y, x: G.point(F.lit(y), F.lit(x))
+    images = spark.range(60).select(F.col("id").alias("image_id"), F.lit("2025-01-10").cast("timestamp").alias("ts"), F.lit(0).alias("cloud_pct"), F.array(at(0.0, 0.004), at(0.004, 0.008), at(0.008, 0.004), at(0.004, 0.0)).alias("footprint"))
+    regions = spark.range(70).select(F.col("id").alias("region_id"), G.rectangle(F.lit(0.004), F.lit(0.004), F.lit(0.001), F.lit(0.001)).alias("ring"))
+    pairs = E.images_over(images, regions, "2025-01-01", "2025-02-01", 30)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert pairs.distinct().count() == pairs.count() == 60 * 70
