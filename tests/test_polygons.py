@@ -252,3 +252,27 @@ def test_shapes_along_the_axes_hold_points_as_the_walk_along_their_edges_has_it(
     assert len(got) == len(set(got)) and set(got) == want and {k for _, k in want} == {0, 1, 2}
     only = S.containing(points, shapes.where("k < 2")).select("p", "k")
     assert "ring" not in only._jdf.queryExecution().executedPlan().toString()  # rectangles hold them
+
+
+@pytest.mark.parametrize("kind", ["along the axes", "slanted"])
+def test_few_pieces_and_rectangles_share_areas_without_python(spark, kind):
+    rng = np.random.default_rng(5)
+    holed = [[box(0, 0, 4), box(1, 1, 1), box(2, 2, 1)], [box(5, 1, 1, 2)]]
+    ell = [[[(0, 5), (4, 5), (4, 6), (2, 6), (2, 8), (0, 8)]]]
+    slanted = [[[[(5, 5), (8, 5), (8, 8)]]], [[[(0, 0), (3, 1), (1, 3)]]], [[[(4, 0), (6, 2), (4, 4), (2, 2)]]]]
+    shapes = [holed, ell, [[box(1, 1, 2)]]] if kind == "along the axes" else [*slanted, [[box(1, 1, 2)]]]
+    boxes = [(x, y, w, h) for x, y, w, h in zip(*rng.uniform(-1, 8, (2, 80)), *rng.uniform(0.1, 4, (2, 80)), strict=True)] + [(0, 0, 4, 4), (5, 5, 3, 3), (1, 1, 1, 1), (4, 1, 1, 1)]
+    right = frame(spark, [[[box(x, y, w, h)]] for x, y, w, h in boxes]).withColumnRenamed("k", "b")
+    found = S.shared_areas(frame(spark, shapes), right, "k", "b")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.k, r.r_b): r.shared for r in found.collect()}
+    turned = {(r.r_k, r.b): r.shared for r in S.shared_areas(right, frame(spark, shapes), "b", "k").collect()}
+    _, rows = zip(*[P.trapezoids_of(P.Flat(P._column([[[np.array(r, float) for r in part] for part in s]]))) for s in shapes], strict=True)
+    want = {}
+    for k, pieces in enumerate(rows):
+        for b, (x, y, w, h) in enumerate(boxes):
+            shared = P.trapezoids_shared(pieces, np.tile([y, y + h, x, x, x + w, x + w], (len(pieces), 1)).astype(float)).sum()
+            if shared > 1e-12:
+                want[k, b] = pytest.approx(shared, rel=1e-9, abs=1e-12)
+    large = lambda pairs: {k: v for k, v in pairs.items() if v > 1e-12}
+    assert large(got) == want and large(turned) == want and len(want) > 50
