@@ -276,3 +276,13 @@ def test_few_pieces_and_rectangles_share_areas_without_python(spark, kind):
                 want[k, b] = pytest.approx(shared, rel=1e-9, abs=1e-12)
     large = lambda pairs: {k: v for k, v in pairs.items() if v > 1e-12}
     assert large(got) == want and large(turned) == want and len(want) > 50
+
+
+def test_tasks_of_pairs_grow_with_the_rows_that_they_sort(spark, monkeypatch):
+    import re
+
+    squares = frame(spark, [[[box(k % 20 * 0.002, k // 20 * 0.002, 0.003)]] for k in range(200)])
+    tasks = lambda: min(map(int, re.findall(r"hashpartitioning\(_cell#\d+, (\d+)\)", S.shared_areas(squares, squares.withColumnRenamed("k", "b"), "k", "b")._jdf.queryExecution().executedPlan().toString())))
+    few = tasks()
+    monkeypatch.setattr(S, "ROWS_A_TASK", 50)
+    assert tasks() > 2 * few
